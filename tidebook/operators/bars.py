@@ -18,8 +18,8 @@ from tidebook.functions.rates import bar_index, bar_start
 
 KEYS = ["symbol", "session", "bar_ix"]
 
-TRADE, ADD, CANCEL = F.col("action") == "T", F.col("action") == "A", F.col("action") == "C"
-BID, ASK = F.col("side") == "B", F.col("side") == "A"
+TRADE, ADD, CANCEL = "action = 'T'", "action = 'A'", "action = 'C'"
+BID, ASK = "side = 'B'", "side = 'A'"
 
 # Output name -> tick column it summarises, by statistic.
 FIRST = {"mid_price_first": "mid_price", "weighted_mid_price_first": "weighted_mid_price"}
@@ -53,10 +53,10 @@ QUOTE_STATS = [*FIRST, *LAST, *MEAN, *DEVIATION, "mid_price_high", "mid_price_lo
 TRADE_STATS = ["trade_open", "trade_close", "trade_high", "trade_low"]
 # Volume flows (size sums) and action counts; NULL where the bar has no such tick.
 FLOWS = {
-    "added_bid": ADD & BID,
-    "canceled_bid": CANCEL & BID,
-    "added_ask": ADD & ASK,
-    "canceled_ask": CANCEL & ASK,
+    "added_bid": f"{ADD} AND {BID}",
+    "canceled_bid": f"{CANCEL} AND {BID}",
+    "added_ask": f"{ADD} AND {ASK}",
+    "canceled_ask": f"{CANCEL} AND {ASK}",
 }
 COUNTS = {"num_added_orders": ADD, "num_canceled_orders": CANCEL, "num_traded_orders": TRADE}
 
@@ -87,7 +87,7 @@ def tick_prices(ticks: DataFrame) -> DataFrame:
 def action_masks(ticks: DataFrame) -> DataFrame:
     """Add the trade/add/cancel and bid/ask flags as boolean columns."""
     masks = {"is_trade": TRADE, "is_add": ADD, "is_cancel": CANCEL, "is_bid": BID, "is_ask": ASK}
-    return ticks.withColumns({name: F.coalesce(mask, F.lit(False)) for name, mask in masks.items()})
+    return ticks.withColumns({name: F.coalesce(F.expr(mask), F.lit(False)) for name, mask in masks.items()})
 
 
 def _order_key(order: Sequence[str]) -> Column:
@@ -102,12 +102,10 @@ def aggregate_bars(ticks: DataFrame, rate: str, order: Sequence[str] = ("seq",))
     """
     key = _order_key(order)
 
-    def seen(value: Column, mask: Column | None = None) -> Column:
-        present = value.isNotNull() if mask is None else value.isNotNull() & mask
-        return F.when(present, key)
+    def seen(value: Column) -> Column:
+        return F.when(value.isNotNull(), key)
 
-    price = F.col("price")
-    trade_price = F.when(TRADE, price)
+    trade_price = F.when(F.expr(TRADE), F.col("price"))
     aggs = [
         *[F.min_by(c, seen(F.col(c))).alias(name) for name, c in FIRST.items()],
         *[F.max_by(c, seen(F.col(c))).alias(name) for name, c in LAST.items()],
@@ -115,12 +113,12 @@ def aggregate_bars(ticks: DataFrame, rate: str, order: Sequence[str] = ("seq",))
         *[F.stddev_samp(c).alias(name) for name, c in DEVIATION.items()],
         F.max("mid_price").alias("mid_price_high"),
         F.min("mid_price").alias("mid_price_low"),
-        F.min_by(price, seen(price, TRADE)).alias("trade_open"),
-        F.max_by(price, seen(price, TRADE)).alias("trade_close"),
+        F.min_by(trade_price, seen(trade_price)).alias("trade_open"),
+        F.max_by(trade_price, seen(trade_price)).alias("trade_close"),
         F.max(trade_price).alias("trade_high"),
         F.min(trade_price).alias("trade_low"),
-        *[F.sum(F.when(mask, F.coalesce("size", F.lit(0)))).alias(name) for name, mask in FLOWS.items()],
-        *[F.sum(F.when(mask, F.lit(1))).alias(name) for name, mask in COUNTS.items()],
+        *[F.sum(F.when(F.expr(mask), F.coalesce("size", F.lit(0)))).alias(name) for name, mask in FLOWS.items()],
+        *[F.sum(F.when(F.expr(mask), F.lit(1))).alias(name) for name, mask in COUNTS.items()],
     ]
     keyed = tick_prices(ticks).withColumn("bar_ix", bar_index(F.col("ts_us"), rate))
     return keyed.groupBy(*KEYS).agg(*aggs)

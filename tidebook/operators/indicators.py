@@ -13,7 +13,11 @@ from tidebook.functions.nulls import ratio
 from tidebook.operators.bars import by_session
 
 HIGH, LOW, OPEN, CLOSE, MEAN = (
-    F.col(c) for c in ("mid_price_high", "mid_price_low", "mid_price_first", "mid_price_last", "mid_price_mean")
+    "mid_price_high",
+    "mid_price_low",
+    "mid_price_first",
+    "mid_price_last",
+    "mid_price_mean",
 )
 
 NATIVE = [
@@ -62,26 +66,26 @@ def rolling(agg: Column, n: int) -> Column:
 
 def open_extremes() -> dict[str, Column]:
     """Open against the lowest low, and highest high against the open."""
-    lows = {f"OLL{n}": OPEN - rolling(F.min(LOW), n) for n in (3, 5, 10, 15)}
-    return lows | {f"OHH{n}": rolling(F.max(HIGH), n) - OPEN for n in (3, 5)}
+    lows = {f"OLL{n}": F.col(OPEN) - rolling(F.min(LOW), n) for n in (3, 5, 10, 15)}
+    return lows | {f"OHH{n}": rolling(F.max(HIGH), n) - F.col(OPEN) for n in (3, 5)}
 
 
 def close_open() -> dict[str, Column]:
     """Close minus open: rolling means, lags, the bar's range and the lagged high minus open."""
     w = by_session()
-    gap = CLOSE - OPEN
+    gap = F.col(CLOSE) - F.col(OPEN)
     out = {f"rmCO({n})": rolling(F.avg(gap), n) for n in (3, 4, 5, 6)}
     out["CO"] = gap
     out |= {f"C{k}O{k}": F.lag(gap, k).over(w) for k in (1, 2, 3)}
-    out["range"] = HIGH - LOW
-    out["OH1"] = F.lag(HIGH - OPEN).over(w)
+    out["range"] = F.col(HIGH) - F.col(LOW)
+    out["OH1"] = F.lag(F.col(HIGH) - F.col(OPEN)).over(w)
     return out
 
 
 def moving_averages() -> dict[str, Column]:
     """Simple means, and the linearly weighted mean published under the name ``HMA_10``."""
     w = by_session()
-    weighted = MEAN * 10
+    weighted = F.col(MEAN) * 10
     for k in range(1, 10):
         weighted = weighted + F.lag(MEAN, k).over(w) * (10 - k)
     return {
@@ -117,14 +121,14 @@ def aroon(n: int = 7, ties: str = "latest") -> dict[str, Column]:
 
 def awesome() -> dict[str, Column]:
     """Short minus long mean of the bar's middle."""
-    middle = (HIGH + LOW) / 2
+    middle = (F.col(HIGH) + F.col(LOW)) / 2
     return {"AO_5_10": rolling(F.avg(middle), 5) - rolling(F.avg(middle), 10)}
 
 
 def with_stochastic(bars: DataFrame, n: int = 7, smooth: int = 3) -> DataFrame:
     """Stochastic %K and its mean %D, both carried forward over bars with a zero range; needs ``row_nr``."""
     lowest, highest = rolling(F.min(LOW), n), rolling(F.max(HIGH), n)
-    raw = bars.withColumn("raw_k", ratio((CLOSE - lowest) * 100, highest - lowest))
+    raw = bars.withColumn("raw_k", ratio((F.col(CLOSE) - lowest) * 100, highest - lowest))
     frame = last_rows(smooth)
     steady = F.when(F.count("raw_k").over(frame) == smooth, F.avg("raw_k").over(frame))
     so_far = by_session().rowsBetween(Window.unboundedPreceding, 0)
