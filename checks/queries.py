@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from checks import sql
 from checks.sql import DEEP, WIDE, out, pick, q, r6, with_bars, with_indicators
+from tidebook.functions.nulls import exprs
 from tidebook.functions.rates import time_of_day_us
 from tidebook.operators import analysis, bars, book, calendar, dataset, evaluation, importance, indicators, labels, models
 from tidebook.operators import recursive, series
@@ -42,12 +43,10 @@ def rounded(df: DataFrame) -> DataFrame:
     The boundary sits off the half, so that no exact binary or decimal fraction falls on it.
     """
     cols = [
-        (F.floor(F.col(f"`{f.name}`") * 1e6 + 0.487) / F.lit(1e6)).alias(f.name)
-        if isinstance(f.dataType, T.DoubleType)
-        else F.col(f"`{f.name}`")
+        f"floor(`{f.name}` * 1e6D + 0.487D) / 1e6D AS `{f.name}`" if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`"
         for f in df.schema.fields
     ]
-    return df.select(*cols)
+    return df.selectExpr(*cols)
 
 
 def ticks(spark, folder, scope=WIDE) -> DataFrame:
@@ -67,8 +66,7 @@ def complete(spark, folder, scope=WIDE) -> DataFrame:
 
 
 def shown(df: DataFrame, columns: list[str], scope=WIDE) -> DataFrame:
-    names = [F.col(f"`{c}`") for c in columns]
-    return bars.with_bar_time(df, rate(scope)).select(*KEYS, *names)
+    return bars.with_bar_time(df, rate(scope)).selectExpr(*KEYS, *[f"`{c}`" for c in columns])
 
 
 # --- scans and ticks -------------------------------------------------------------------------------
@@ -108,7 +106,7 @@ def action_masks(spark, folder):
 )
 def market_hours(spark, folder):
     kept = src.market_hours(ticks(spark, folder))
-    return kept.select("symbol", "session", "seq", time_of_day_us(F.col("ts_us")).alias("tod_us"))
+    return kept.select("symbol", "session", "seq", F.expr(time_of_day_us()).alias("tod_us"))
 
 
 @register(
@@ -291,8 +289,12 @@ for _name, _columns, _make in [
     ("aroon", ["AROONU_7", "AROOND_7"], indicators.aroon),
     ("awesome", ["AO_5_10"], indicators.awesome),
 ]:
-    indicator_query(_name, _columns, lambda df, make=_make: df.withColumns(make()))
-indicator_query("stochastic", ["STOCHk_7_3_3", "STOCHd_7_3_3"], indicators.with_stochastic)
+    indicator_query(_name, _columns, lambda df, make=_make: df.withColumns(exprs(make())))
+indicator_query(
+    "stochastic",
+    ["STOCHk_7_3_3", "STOCHd_7_3_3"],
+    lambda df: indicators.with_stochastic(df.withColumns(exprs(indicators.stochastic_raw()))),
+)
 for _name, _columns in [
     ("ema", ["EMA_15"]),
     ("macd", ["MACD_8_21_5"]),

@@ -1,3 +1,10 @@
 """Order-book analytics on Spark: ticks to bars, features, datasets, ranking, evaluation, forecasts."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to Python workers travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

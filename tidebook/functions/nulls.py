@@ -1,8 +1,11 @@
-"""NULL is the only missing value: NaN never leaves the scan and division never raises."""
+"""NULL is the only missing value: NaN never leaves the scan and division never raises.
+
+The helpers build SQL expression text, which Spark parses in one call per column.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,21 +13,26 @@ from pyspark.sql import types as T
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
+    """Replace NaN by NULL in every floating-point column."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    null = F.lit(None).cast("double")
-    return df.withColumns({c: F.nanvl(F.col(f"`{c}`").cast("double"), null) for c in floats})
+    return df.withColumns({c: F.expr(f"nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE))") for c in floats})
 
 
-def ratio(num: Column, den: Column) -> Column:
+def ratio(num: str, den: str) -> str:
     """``num / den`` as DOUBLE, NULL when ``den`` is zero or either side is missing."""
-    return F.try_divide(num.cast("double"), den.cast("double"))
+    return f"try_divide(CAST({num} AS DOUBLE), CAST({den} AS DOUBLE))"
 
 
-def all_present(columns: list[str]) -> Column:
+def all_present(columns: Iterable[str]) -> str:
     """True when none of the columns is NULL."""
-    return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns])
+    return " AND ".join(f"`{c}` IS NOT NULL" for c in columns)
 
 
-def truncated(value: Column) -> Column:
+def truncated(value: str) -> str:
     """Whole part, toward zero."""
-    return value.cast("bigint")
+    return f"CAST({value} AS BIGINT)"
+
+
+def exprs(columns: dict[str, str]) -> dict[str, Column]:
+    """Parsed columns for ``withColumns``."""
+    return {name: F.expr(text) for name, text in columns.items()}

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 DAY_US = 86_400_000_000
 
 _UNIT_US = {
@@ -36,22 +33,22 @@ def clock_us(clock: str) -> int:
     return (int(hours) * 3600 + int(minutes) * 60) * 1_000_000 + round(seconds * 1_000_000)
 
 
-def time_of_day_us(ts_us: Column) -> Column:
+def time_of_day_us(ts_us: str = "ts_us") -> str:
     """Microseconds after midnight of an epoch-microsecond column."""
-    return F.pmod(ts_us, F.lit(DAY_US))
+    return f"pmod({ts_us}, {DAY_US}L)"
 
 
-def bar_index(ts_us: Column, rate: str) -> Column:
+def bar_index(rate: str, ts_us: str = "ts_us") -> str:
     """Index of the left-closed bin of the day; bin 0 starts at midnight for every rate."""
-    return F.floor(time_of_day_us(ts_us) / F.lit(rate_us(rate))).cast("bigint")
+    return f"{time_of_day_us(ts_us)} DIV {rate_us(rate)}L"
 
 
-def bar_start(rate: str) -> Column:
+def bar_start(rate: str) -> str:
     """Start of the bin as TIMESTAMP_NTZ, from ``session`` and ``bar_ix`` (no time zone involved)."""
     seconds = rate_us(rate) / 1_000_000
-    return F.expr(f"CAST(session AS TIMESTAMP_NTZ) + bar_ix * INTERVAL '{seconds:.6f}' SECOND")
+    return f"CAST(session AS TIMESTAMP_NTZ) + bar_ix * INTERVAL '{seconds:.6f}' SECOND"
 
 
-def session_of(ts_us: Column) -> Column:
+def session_of(ts_us: str = "ts_us") -> str:
     """Calendar date of an epoch-microsecond column."""
-    return F.date_from_unix_date(F.floor(ts_us / F.lit(DAY_US)).cast("int"))
+    return f"date_from_unix_date(CAST(floor({ts_us} / {DAY_US}L) AS INT))"

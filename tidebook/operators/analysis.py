@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -16,9 +17,82 @@ BRACKET_ROWS = 1_000_000
 
 
 def _melt(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
-    """Long form ``(feature_ix, value)``."""
-    pairs = [F.struct(F.lit(i).alias("feature_ix"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(columns)]
-    return df.select(*keep, F.inline(F.array(*pairs)))
+    """Long form ``(feature_ix, value)`` without NULLs."""
+    pairs = ", ".join(f"struct({i} AS feature_ix, CAST(`{c}` AS DOUBLE) AS value)" for i, c in enumerate(columns))
+    return df.selectExpr(*keep, f"inline(array({pairs}))").where("value IS NOT NULL")
+
+
+def _sizes(tall: DataFrame, columns: Sequence[str]) -> list[int]:
+    counts = {r["feature_ix"]: r["n"] for r in tall.groupBy("feature_ix").agg(F.count("value").alias("n")).collect()}
+    return [counts.get(i, 0) for i in range(len(columns))]
+
+
+@dataclass
+class _Target:
+    """A wanted rank of one feature and the bracket that is known to hold it."""
+
+    feature: int
+    rank: int
+    low: float = -math.inf
+    high: float = math.inf
+    below: int = 0
+    held: int = 0
+
+
+def _array(values: Sequence[float]) -> str:
+    cells = ", ".join(f"double('{'Infinity' if v == math.inf else '-Infinity' if v == -math.inf else repr(v)}')" for v in values)
+    return f"array({cells})"
+
+
+def _in_brackets(tall: DataFrame, targets: Sequence[_Target]) -> DataFrame:
+    """``(t, value)``: every value once per target whose bracket holds it."""
+    spark, by_feature = tall.sparkSession, {}
+    for t, target in enumerate(targets):
+        by_feature.setdefault(target.feature, []).append((t, target.low, target.high))
+    # One row per feature: as many as there are columns, whatever the data.
+    table = spark.createDataFrame(list(by_feature.items()), "feature_ix INT, brackets ARRAY<STRUCT<t: INT, low: DOUBLE, high: DOUBLE>>")
+    spread = tall.join(F.broadcast(table), "feature_ix")
+    return spread.selectExpr("value", "inline(filter(brackets, b -> value BETWEEN b.low AND b.high))").select("t", "value")
+
+
+def _narrow(tall: DataFrame, targets: Sequence[_Target], accuracy: int) -> bool:
+    """Bracket every target again from a sketch of its current bracket; True if any bracket shrank."""
+    shares = [(t.rank - t.below + 0.5) / t.held for t in targets]
+    slack = 2.0 / accuracy
+    ends = [(max(0.0, s - slack), min(1.0, s + slack)) for s in shares]
+    probs = sorted({p for pair in ends for p in pair})
+    # The first round needs one sketch per feature, later ones one per bracket.
+    whole = all(t.low == -math.inf and t.high == math.inf for t in targets)
+    rows = tall.withColumnRenamed("feature_ix", "t") if whole else _in_brackets(tall, targets)
+    sketch = rows.groupBy("t").agg(F.percentile_approx("value", probs, accuracy).alias("q"))
+    found = {r["t"]: dict(zip(probs, r["q"])) for r in sketch.collect()}
+    brackets = []
+    for i, (t, (lo, hi)) in enumerate(zip(targets, ends)):
+        q = found[t.feature if whole else i]
+        brackets.append((q[lo], q[hi]))
+    by_feature: dict[int, list[int]] = {}
+    for i, t in enumerate(targets):
+        by_feature.setdefault(t.feature, []).append(i)
+    slots = max(len(members) for members in by_feature.values())
+    table = tall.sparkSession.createDataFrame(
+        [(f, [brackets[i][0] for i in members], [brackets[i][1] for i in members]) for f, members in by_feature.items()],
+        "feature_ix INT, lows ARRAY<DOUBLE>, highs ARRAY<DOUBLE>",
+    )
+    low, high = "get(lows, {k})", "get(highs, {k})"
+    tallies = []
+    for k in range(slots):
+        lo, hi = low.format(k=k), high.format(k=k)
+        tallies += [f"count_if(value < {lo}) AS below_{k}", f"count_if(value BETWEEN {lo} AND {hi}) AS held_{k}"]
+    counted = tall.join(F.broadcast(table), "feature_ix").groupBy("feature_ix").agg(*[F.expr(e) for e in tallies])
+    shrank = False
+    for r in counted.collect():
+        for k, i in enumerate(by_feature[r["feature_ix"]]):
+            t, below, held = targets[i], r[f"below_{k}"], r[f"held_{k}"]
+            if below <= t.rank < below + held:  # else the sketch missed; the old bracket stands
+                shrank |= held < t.held
+                t.low, t.high = brackets[i]
+                t.below, t.held = below, held
+    return shrank
 
 
 def order_statistics(
@@ -30,84 +104,35 @@ def order_statistics(
 ) -> list[dict[int, float]]:
     """Exact values at the given 0-based ranks of each column, NULLs left out.
 
-    A quantile sketch brackets every rank; counts outside the bracket are exact, and a bracket that still
-    holds too many rows is bracketed again. Only what is left inside is grouped by value and ranked, so
-    no task ever holds a column. Each round is one aggregate over ``df``; hand in a written table.
+    A quantile sketch brackets every rank and exact counts say how many values lie below and inside. A
+    bracket that still holds too many rows is bracketed again. Only what is left inside is grouped by
+    value and ranked, so no task ever holds a column. Every round reads ``df``; hand in a written table.
     """
-    wanted = [(i, r) for i, rs in enumerate(ranks) for r in sorted(set(rs))]
-    if not wanted:
-        return [{} for _ in columns]
-    bounds: dict[tuple[int, int], tuple[float, float]] = {}
-    inside: dict[tuple[int, int], tuple[int, int]] = {}  # rows below the bracket, rows in it
-    row = df.agg(*[F.count(f"`{c}`").alias(f"n_{i}") for i, c in enumerate(columns)]).first()
-    state = {key: (-math.inf, math.inf, 0, row[f"n_{key[0]}"]) for key in wanted}
-    todo = list(wanted)
+    tall = _melt(df, columns)
+    sizes = _sizes(tall, columns)
+    targets = [_Target(i, r, held=sizes[i]) for i, rs in enumerate(ranks) for r in sorted(set(rs))]
+    todo = targets
     while todo:
-        aggs = []
-        for k, (i, r) in enumerate(todo):
-            lo, hi, below, count = state[(i, r)]
-            value = F.col(f"`{columns[i]}`").cast("double")
-            within = F.when(value.between(lo, hi), value)
-            share, slack = (r - below + 0.5) / count, 2.0 / accuracy
-            probs = [max(0.0, share - slack), min(1.0, share + slack)]
-            aggs.append(F.percentile_approx(within, probs, accuracy).alias(f"b_{k}"))
-        found = df.agg(*aggs).first()
-        counts = []
-        for k, (i, r) in enumerate(todo):
-            lo, hi = found[f"b_{k}"]
-            value = F.col(f"`{columns[i]}`").cast("double")
-            counts += [
-                F.count_if(value < lo).alias(f"below_{k}"),
-                F.count_if(value.between(lo, hi)).alias(f"in_{k}"),
-            ]
-        tally = df.agg(*counts).first()
-        again = []
-        for k, key in enumerate(todo):
-            (lo, hi), below, held = found[f"b_{k}"], tally[f"below_{k}"], tally[f"in_{k}"]
-            if not below <= key[1] < below + held:  # the sketch missed: keep the wider bracket
-                lo, hi, below, held = state[key]
-                bounds[key], inside[key] = (lo, hi), (below, held)
-                continue
-            shrunk = held < state[key][3]
-            state[key] = (lo, hi, below, held)
-            bounds[key], inside[key] = (lo, hi), (below, held)
-            if held > bracket_rows and lo < hi and shrunk:
-                again.append(key)
-        todo = again
-    return _rank_inside(df, columns, bounds, inside)
-
-
-def _rank_inside(df, columns, bounds, inside) -> list[dict[int, float]]:
+        shrank = _narrow(tall, todo, accuracy)
+        todo = [t for t in todo if t.held > bracket_rows and t.low < t.high] if shrank else []
     out: list[dict[int, float]] = [{} for _ in columns]
-    open_keys = []
-    for key, (lo, hi) in bounds.items():
-        if lo == hi:
-            out[key[0]][key[1]] = lo
-        else:
-            open_keys.append(key)
-    if not open_keys:
-        return out
-    members = []
-    for k, (i, r) in enumerate(open_keys):
-        lo, hi = bounds[(i, r)]
-        value = F.col(f"`{columns[i]}`").cast("double")
-        members.append(F.when(value.between(lo, hi), F.struct(F.lit(k).alias("k"), value.alias("value"))))
-    tall = df.select(F.inline(F.filter(F.array(*members), lambda m: m.isNotNull())))
-    tied = tall.groupBy("k", "value").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("k").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    targets = F.create_map(*[F.lit(x) for k, key in enumerate(open_keys) for x in (k, key[1] - inside[key][0])])
-    ranked = tied.withColumn("upto", upto).withColumn("rank", targets[F.col("k")])
-    hit = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
-    for row in ranked.where(hit).select("k", "value").collect():  # one row per requested rank
-        i, r = open_keys[row["k"]]
-        out[i][r] = row["value"]
+    for t in targets:
+        if t.low == t.high:
+            out[t.feature][t.rank] = t.low
+    wide = [t for t in targets if t.low < t.high]
+    if wide:
+        tied = _in_brackets(tall, wide).groupBy("t", "value").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("t").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+        inner = ", ".join(f"{t.rank - t.below}L" for t in wide)
+        ranked = tied.withColumn("upto", upto).withColumn("wanted", F.expr(f"array({inner})[t]"))
+        for r in ranked.where("wanted < upto AND wanted >= upto - n").select("t", "value").collect():  # one row per target
+            out[wide[r["t"]].feature][wide[r["t"]].rank] = r["value"]
     return out
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact_rows: int = BRACKET_ROWS) -> list[list[float | None]]:
     """Exact quantiles with linear interpolation between neighbouring ranks, one list per column."""
-    row = df.agg(*[F.count(f"`{c}`").alias(f"n_{i}") for i, c in enumerate(columns)]).first()
-    sizes = [row[f"n_{i}"] for i in range(len(columns))]
+    sizes = _sizes(_melt(df, columns), columns)
     places = [[(n - 1) * p for p in probs] if n else [] for n in sizes]
     ranks = [[r for x in xs for r in (math.floor(x), math.ceil(x))] for xs in places]
     known = order_statistics(df, columns, ranks, bracket_rows=exact_rows)
@@ -123,17 +148,27 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], exa
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column."""
-    spark = df.sparkSession
-    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    aggs = [f(F.col(f"`{c}`").cast("double")).alias(f"{s}_{i}") for i, c in enumerate(columns) for s, f in stats.items()]
-    row = df.agg(*aggs).first()
+    moments = (
+        _melt(df, columns)
+        .groupBy("feature_ix")
+        .agg(
+            F.count("value").alias("count"),
+            F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+        )
+    )
+    found = {r["feature_ix"]: r for r in moments.collect()}  # one row per column
     quarters = quantiles(df, columns, [0.25, 0.5, 0.75])
     rows = [
-        (c, row[f"count_{i}"], row[f"mean_{i}"], row[f"std_{i}"], row[f"min_{i}"], *quarters[i], row[f"max_{i}"])
+        (c, r["count"], r["mean"], r["std"], r["min"], *quarters[i], r["max"])
+        if (r := found.get(i))
+        else (c, 0, *[None] * 7)
         for i, c in enumerate(columns)
     ]
     schema = "feature STRING, count BIGINT, mean DOUBLE, std DOUBLE, min DOUBLE, q25 DOUBLE, q50 DOUBLE, q75 DOUBLE, max DOUBLE"
-    return spark.createDataFrame(rows, schema)
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -169,8 +204,8 @@ def top(ranking: DataFrame, score: str, n: int | None = None, label: str = "feat
 
 def bin_edges(df: DataFrame, columns: Sequence[str], bins: int) -> list[list[float]]:
     """Inner edges of equal-count bins: the values at ranks ceil(n*q) (from 1) for q = 1/bins, 2/bins, …"""
-    row = df.agg(*[F.count(f"`{c}`").alias(f"n_{i}") for i, c in enumerate(columns)]).first()
-    ranks = [[max(-(-row[f"n_{i}"] * k // bins), 1) - 1 for k in range(1, bins)] if row[f"n_{i}"] else [] for i in range(len(columns))]
+    sizes = _sizes(_melt(df, columns), columns)
+    ranks = [[max(-(-n * k // bins), 1) - 1 for k in range(1, bins)] if n else [] for n in sizes]
     known = order_statistics(df, columns, ranks)
     return [[known[i][r] for r in rs] for i, rs in enumerate(ranks)]
 
@@ -182,10 +217,9 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
     shuffle, so the exchange carries at most features x bins x classes rows per task.
     """
     edges = bin_edges(df, features, bins)
-    lookup = F.array(*[F.array(*[F.lit(e) for e in sorted(set(es))]).cast("array<double>") for es in edges])
-    tall = _melt(df.withColumn("class", F.col(f"`{target}`")), features, "class")
-    steps = lookup[F.col("feature_ix")]
-    bucket = F.aggregate(steps, F.lit(0), lambda acc, e: acc + F.when(F.col("value") > e, 1).otherwise(0))
+    lookup = ", ".join(_array(sorted(set(es))) for es in edges)
+    tall = _melt(df.withColumn("class", F.expr(f"`{target}`")), features, "class")
+    bucket = F.expr(f"size(filter(array({lookup})[feature_ix], e -> value > e))")
     joint = tall.withColumn("bin", bucket).groupBy("feature_ix", "bin", "class").agg(F.count(F.lit(1)).alias("n"))
     by_feature = Window.partitionBy("feature_ix")
     shares = joint.withColumns(

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidebook.functions.nulls import ratio
+from tidebook.functions.nulls import exprs, ratio
 from tidebook.functions.rates import bar_index, bar_start
 
 KEYS = ["symbol", "session", "bar_ix"]
@@ -71,27 +71,34 @@ CARRIED = [
 ]
 
 
+SESSION = "PARTITION BY symbol, session ORDER BY bar_ix"
+SO_FAR = f"({SESSION} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+# The sort is not needed for this frame, but with it the frame runs in the same window operator.
+WHOLE = f"({SESSION} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+def by_session() -> WindowSpec:
+    return Window.partitionBy("symbol", "session").orderBy("bar_ix")
+
+
 def tick_prices(ticks: DataFrame) -> DataFrame:
     """Add mid-price, spread and size-weighted mid-price to every tick."""
-    bid, ask = F.col("bid_px_00"), F.col("ask_px_00")
-    bid_size, ask_size = F.col("bid_sz_00"), F.col("ask_sz_00")
+    weighted = ratio("ask_px_00 * bid_sz_00 + bid_px_00 * ask_sz_00", "bid_sz_00 + ask_sz_00")
     return ticks.withColumns(
-        {
-            "mid_price": F.coalesce((ask + bid) / 2, ask, bid),
-            "bid_ask_spread": ask - bid,
-            "weighted_mid_price": F.coalesce(ratio(ask * bid_size + bid * ask_size, bid_size + ask_size), ask, bid),
-        }
+        exprs(
+            {
+                "mid_price": "coalesce((ask_px_00 + bid_px_00) / 2, ask_px_00, bid_px_00)",
+                "bid_ask_spread": "ask_px_00 - bid_px_00",
+                "weighted_mid_price": f"coalesce({weighted}, ask_px_00, bid_px_00)",
+            }
+        )
     )
 
 
 def action_masks(ticks: DataFrame) -> DataFrame:
     """Add the trade/add/cancel and bid/ask flags as boolean columns."""
     masks = {"is_trade": TRADE, "is_add": ADD, "is_cancel": CANCEL, "is_bid": BID, "is_ask": ASK}
-    return ticks.withColumns({name: F.coalesce(F.expr(mask), F.lit(False)) for name, mask in masks.items()})
-
-
-def _order_key(order: Sequence[str]) -> Column:
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    return ticks.withColumns(exprs({name: f"coalesce({mask}, false)" for name, mask in masks.items()}))
 
 
 def aggregate_bars(ticks: DataFrame, rate: str, order: Sequence[str] = ("seq",)) -> DataFrame:
@@ -100,50 +107,33 @@ def aggregate_bars(ticks: DataFrame, rate: str, order: Sequence[str] = ("seq",))
     ``order`` names the columns that order the ticks of a session. One integer column keeps the
     aggregation hash-based; ``("ts_us", "seq")`` is always safe but sorts the ticks.
     """
-    key = _order_key(order)
-
-    def seen(value: Column) -> Column:
-        return F.when(value.isNotNull(), key)
-
-    trade_price = F.when(F.expr(TRADE), F.col("price"))
-    aggs = [
-        *[F.min_by(c, seen(F.col(c))).alias(name) for name, c in FIRST.items()],
-        *[F.max_by(c, seen(F.col(c))).alias(name) for name, c in LAST.items()],
-        *[F.avg(c).alias(name) for name, c in MEAN.items()],
-        *[F.stddev_samp(c).alias(name) for name, c in DEVIATION.items()],
-        F.max("mid_price").alias("mid_price_high"),
-        F.min("mid_price").alias("mid_price_low"),
-        F.min_by(trade_price, seen(trade_price)).alias("trade_open"),
-        F.max_by(trade_price, seen(trade_price)).alias("trade_close"),
-        F.max(trade_price).alias("trade_high"),
-        F.min(trade_price).alias("trade_low"),
-        *[F.sum(F.when(F.expr(mask), F.coalesce("size", F.lit(0)))).alias(name) for name, mask in FLOWS.items()],
-        *[F.sum(F.when(F.expr(mask), F.lit(1))).alias(name) for name, mask in COUNTS.items()],
-    ]
-    keyed = tick_prices(ticks).withColumn("bar_ix", bar_index(F.col("ts_us"), rate))
-    return keyed.groupBy(*KEYS).agg(*aggs)
+    key = order[0] if len(order) == 1 else f"struct({', '.join(order)})"
 
+    def extreme(function: str, value: str) -> str:
+        return f"{function}({value}, CASE WHEN {value} IS NOT NULL THEN {key} END)"
 
-def by_session() -> WindowSpec:
-    return Window.partitionBy("symbol", "session").orderBy("bar_ix")
-
-
-def _whole_session() -> WindowSpec:
-    # Same sort as by_session(), so both frames run in one window operator.
-    return by_session().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    trade_price = f"CASE WHEN {TRADE} THEN price END"
+    columns = {name: extreme("min_by", c) for name, c in FIRST.items()}
+    columns |= {name: extreme("max_by", c) for name, c in LAST.items()}
+    columns |= {name: f"avg({c})" for name, c in MEAN.items()}
+    columns |= {name: f"stddev_samp({c})" for name, c in DEVIATION.items()}
+    columns |= {"mid_price_high": "max(mid_price)", "mid_price_low": "min(mid_price)"}
+    columns |= {"trade_open": extreme("min_by", "trade_price"), "trade_close": extreme("max_by", "trade_price")}
+    columns |= {"trade_high": "max(trade_price)", "trade_low": "min(trade_price)"}
+    columns |= {name: f"sum(CASE WHEN {mask} THEN coalesce(size, 0) END)" for name, mask in FLOWS.items()}
+    columns |= {name: f"sum(CASE WHEN {mask} THEN 1 END)" for name, mask in COUNTS.items()}
+    keyed = tick_prices(ticks).withColumns(exprs({"trade_price": trade_price, "bar_ix": bar_index(rate)}))
+    return keyed.groupBy(*KEYS).agg(*[F.expr(f"{text} AS {name}") for name, text in columns.items()])
 
 
 def _with_spans(bars: DataFrame) -> DataFrame:
     """Carry quotes forward and add the first and last bin of every masked subset of the session."""
-    whole = _whole_session()
-    so_far = by_session().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = {c: F.last(c, ignorenulls=True).over(so_far) for c in CARRIED}
+    out = {c: f"last({c}) IGNORE NULLS OVER {SO_FAR}" for c in CARRIED}
     for name in [*FLOWS, *COUNTS]:
-        occupied = F.when(F.col(name).isNotNull(), F.col("bar_ix"))
-        out[f"{name}_lo"] = F.min(occupied).over(whole)
-        out[f"{name}_hi"] = F.max(occupied).over(whole)
-    out["first_ix"] = F.min("bar_ix").over(whole)
-    return bars.withColumns(out)
+        occupied = f"CASE WHEN {name} IS NOT NULL THEN bar_ix END"
+        out |= {f"{name}_lo": f"min({occupied}) OVER {WHOLE}", f"{name}_hi": f"max({occupied}) OVER {WHOLE}"}
+    out["first_ix"] = f"min(bar_ix) OVER {WHOLE}"
+    return bars.withColumns(exprs(out))
 
 
 def _within_spans(spanned: DataFrame) -> DataFrame:
@@ -151,19 +141,19 @@ def _within_spans(spanned: DataFrame) -> DataFrame:
 
     A net volume needs both of its subsets to cover the bin.
     """
-    zero = F.lit(0)
 
-    def covered(name: str) -> Column:
-        return F.col("bar_ix").between(F.col(f"{name}_lo"), F.col(f"{name}_hi"))
+    def covered(name: str) -> str:
+        return f"bar_ix BETWEEN {name}_lo AND {name}_hi"
 
-    def net(added: str, canceled: str) -> Column:
-        return F.when(covered(added) & covered(canceled), F.coalesce(added, zero) - F.coalesce(canceled, zero))
+    def net(added: str, canceled: str) -> str:
+        inside = f"{covered(added)} AND {covered(canceled)}"
+        return f"CASE WHEN {inside} THEN coalesce({added}, 0) - coalesce({canceled}, 0) END"
 
-    out = {c: F.when(covered(c), F.coalesce(c, zero)) for c in COUNTS}
+    out = {c: f"CASE WHEN {covered(c)} THEN coalesce({c}, 0) END" for c in COUNTS}
     out["total_bid_volume"] = net("added_bid", "canceled_bid")
     out["total_ask_volume"] = net("added_ask", "canceled_ask")
     spans = [f"{name}_{end}" for name in [*FLOWS, *COUNTS] for end in ("lo", "hi")]
-    return spanned.withColumns(out).drop(*FLOWS, *spans)
+    return spanned.withColumns(exprs(out)).drop(*FLOWS, *spans)
 
 
 def bars(ticks: DataFrame, rate: str, order: Sequence[str] = ("seq",)) -> DataFrame:
@@ -179,41 +169,35 @@ def dense_grid(ticks: DataFrame, rate: str, order: Sequence[str] = ("seq",)) ->
     symbols the grid is many times larger than the ticks.
     """
     spanned = _with_spans(aggregate_bars(ticks, rate, order))
-    upto = F.coalesce(F.lead("bar_ix").over(by_session()) - 1, F.col("bar_ix"))
-    bins = spanned.withColumn("upto", upto).withColumn("grid_ix", F.explode(F.sequence("bar_ix", "upto")))
-    real = F.col("grid_ix") == F.col("bar_ix")
+    upto = F.expr(f"coalesce(lead(bar_ix) OVER ({SESSION}) - 1, bar_ix)")
+    bins = spanned.withColumn("upto", upto).withColumn("grid_ix", F.expr("explode(sequence(bar_ix, upto))"))
     per_bin = [c for c in [*QUOTE_STATS, *TRADE_STATS, *FLOWS, *COUNTS] if c not in CARRIED]
-    grid = bins.withColumns({c: F.when(real, F.col(c)) for c in per_bin})
+    grid = bins.withColumns(exprs({c: f"CASE WHEN grid_ix = bar_ix THEN {c} END" for c in per_bin}))
     return _within_spans(grid.drop("bar_ix", "upto").withColumnRenamed("grid_ix", "bar_ix"))
 
 
-def grid_value(name: str, back: int, within: int) -> Column:
+def grid_value(name: str, back: int) -> str:
     """Value that ``name`` has on the gap-free grid ``back`` bins before the current bar.
 
     On that grid a bin without ticks repeats the bar before it, so the value is the one of the latest
-    occupied bar at or before the bin. ``within`` bars of history are enough because at most one bar
-    falls in each bin. NULL before the session's first bar.
+    occupied bar at or before the bin. ``back`` bars of history are enough because a bin holds at most
+    one bar. NULL before the session's first bar.
     """
     if back == 0:
-        return F.col(name)
-    w = by_session()
-    target = F.col("bar_ix") - back
-    found = None
-    for k in range(within + 1):
-        ix = F.lag("bar_ix", k).over(w) if k else F.col("bar_ix")
-        value = F.lag(name, k).over(w) if k else F.col(name)
-        found = F.when(ix <= target, value) if found is None else found.when(ix <= target, value)
-    return found
-
-
-def grid_mean(name: str, bins: int) -> Column:
+        return name
+    found = " ".join(
+        f"WHEN lag(bar_ix, {k}) OVER ({SESSION}) <= bar_ix - {back} THEN lag({name}, {k}) OVER ({SESSION})"
+        for k in range(1, back + 1)
+    )
+    return f"CASE {found} END"
+
+
+def grid_mean(name: str, bins: int) -> str:
     """Mean over the current and the previous ``bins - 1`` grid bins; NULL unless all of them exist."""
-    total = grid_value(name, bins - 1, bins - 1)
-    for back in range(bins - 2, -1, -1):
-        total = total + grid_value(name, back, back)
-    return total / F.lit(float(bins))
+    total = " + ".join(grid_value(name, back) for back in range(bins - 1, -1, -1))
+    return f"({total}) / {float(bins)}D"
 
 
 def with_bar_time(df: DataFrame, rate: str) -> DataFrame:
     """Add ``bar_ts``, the bin start."""
-    return df.withColumn("bar_ts", bar_start(rate))
+    return df.withColumn("bar_ts", F.expr(bar_start(rate)))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tidebook.functions.nulls import all_present, ratio, truncated
-from tidebook.operators.bars import QUOTE_STATS, TRADE_STATS, by_session, grid_mean
+from tidebook.functions.nulls import all_present, exprs, ratio, truncated
+from tidebook.operators.bars import QUOTE_STATS, SESSION, TRADE_STATS, grid_mean
 
 MOVES = ["mid_price_variation", "mean_mid_price_variation", "weighted_mid_price_variation"]
 LABELS = [
@@ -34,18 +33,17 @@ BOOK = [
 BAR_COLUMNS = [*QUOTE_STATS, *MOVES, *LABELS, *BOOK, *TRADE_STATS]
 
 
-def imbalance(bid_size: str, ask_size: str) -> Column:
+def imbalance(bid_size: str, ask_size: str) -> str:
     """Difference of the whole sizes over the sum of the sizes."""
-    gap = truncated(F.col(bid_size)) - truncated(F.col(ask_size))
-    return ratio(gap, F.col(bid_size) + F.col(ask_size))
+    return ratio(f"{truncated(bid_size)} - {truncated(ask_size)}", f"{bid_size} + {ask_size}")
 
 
-def change(value: Column) -> Column:
+def change(value: str) -> str:
     """Difference from the bar before.
 
     Carried columns repeat through empty bins, so the occupied bar before and the grid bin before agree.
     """
-    return value - F.lag(value).over(by_session())
+    return f"{value} - lag({value}) OVER ({SESSION})"
 
 
 def book_features(bars: DataFrame) -> DataFrame:
@@ -53,23 +51,20 @@ def book_features(bars: DataFrame) -> DataFrame:
 
     The means keep the ``_5s`` names although they span five bins of any rate.
     """
-    levels = bars.withColumns(
-        {
-            "mean_order_book_imbalance": imbalance("mean_best_bid_size", "mean_best_ask_size"),
-            "last_order_book_imbalance": imbalance("last_best_bid_size", "last_best_ask_size"),
-            "total_net_order_flow": truncated(F.col("last_best_bid_size")) - truncated(F.col("last_best_ask_size")),
-        }
-    )
-    return levels.withColumns(
-        {
-            "order_book_imbalance_5s": grid_mean("mean_order_book_imbalance", 5),
-            "order_flow_5s": grid_mean("total_net_order_flow", 5),
-            "bid_volume_variation": change(truncated(F.col("last_best_bid_size"))),
-            "ask_volume_variation": change(truncated(F.col("last_best_ask_size"))),
-            "bid_price_variation": change(truncated(F.col("last_best_bid_price"))),
-            "ask_price_variation": change(truncated(F.col("last_best_ask_price"))),
-        }
-    )
+    levels = {
+        "mean_order_book_imbalance": imbalance("mean_best_bid_size", "mean_best_ask_size"),
+        "last_order_book_imbalance": imbalance("last_best_bid_size", "last_best_ask_size"),
+        "total_net_order_flow": f"{truncated('last_best_bid_size')} - {truncated('last_best_ask_size')}",
+    }
+    lagged = {
+        "order_book_imbalance_5s": grid_mean("mean_order_book_imbalance", 5),
+        "order_flow_5s": grid_mean("total_net_order_flow", 5),
+        "bid_volume_variation": change(truncated("last_best_bid_size")),
+        "ask_volume_variation": change(truncated("last_best_ask_size")),
+        "bid_price_variation": change(truncated("last_best_bid_price")),
+        "ask_price_variation": change(truncated("last_best_ask_price")),
+    }
+    return bars.withColumns(exprs(levels)).withColumns(exprs(lagged))
 
 
 def complete_bars(features: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from tidebook.functions.nulls import exprs
 from tidebook.functions.rates import clock_us, rate_us
 
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday"]
@@ -12,13 +12,11 @@ WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday"]
 
 def calendar_features(bars: DataFrame, rate: str, opens: str = "09:30") -> DataFrame:
     """Seconds since the open (negative before it) and one flag per weekday."""
-    after_open = F.col("bar_ix") * F.lit(rate_us(rate)) - F.lit(clock_us(opens))
-    day = F.weekday("session")
-    flags = {f"is_{name}": (day == k).cast("int") for k, name in enumerate(WEEKDAYS)}
-    return bars.withColumns({"time_since_open": after_open / F.lit(1_000_000.0), **flags})
+    flags = {f"is_{name}": f"CAST(weekday(session) = {k} AS INT)" for k, name in enumerate(WEEKDAYS)}
+    after_open = f"(bar_ix * {rate_us(rate)}L - {clock_us(opens)}L) / 1e6D"
+    return bars.withColumns(exprs({"time_since_open": after_open, **flags}))
 
 
 def market_session(bars: DataFrame, hours: float = 3.5) -> DataFrame:
     """1 for bars later than ``hours`` after the open, else 0; needs ``time_since_open``."""
-    late = F.col("time_since_open") > F.lit(hours * 3600)
-    return bars.withColumn("market_session", late.cast("int"))
+    return bars.withColumns(exprs({"market_session": f"CAST(time_since_open > {hours * 3600!r}D AS INT)"}))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.chunks import CHUNK_ROWS, in_chunk, with_halo
-from tidebook.functions.nulls import ratio
 
 # Named feature sets.
 FEATURE_SETS: dict[str, list[str]] = {
@@ -158,7 +157,7 @@ def sequences(
 
         def unit(r):
             spans = [(r[i] - F.col(f"lo_{i}"), F.col(f"hi_{i}") - F.col(f"lo_{i}")) for i in range(d)]
-            return F.array(*[F.when(width == 0, F.lit(0.0)).otherwise(ratio(gap, width)) for gap, width in spans])
+            return F.array(*[F.when(width == 0, F.lit(0.0)).otherwise(F.try_divide(gap, width)) for gap, width in spans])
 
         windows = windows.withColumn("x", F.transform("x", unit))
     else:

@@ -10,7 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions.nulls import ratio
 
 
 def softmax(scores: Column) -> Column:
@@ -82,11 +81,11 @@ def class_report(predictions: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     scored = sums.withColumns(
         {
-            "precision": F.coalesce(ratio(F.col("hits"), F.col("predicted")), zero),
-            "recall": F.coalesce(ratio(F.col("hits"), F.col("actual")), zero),
+            "precision": F.coalesce(F.try_divide(F.col("hits"), F.col("predicted")), zero),
+            "recall": F.coalesce(F.try_divide(F.col("hits"), F.col("actual")), zero),
         }
     )
-    f1 = ratio(F.col("precision") * F.col("recall") * 2, F.col("precision") + F.col("recall"))
+    f1 = F.try_divide(F.col("precision") * F.col("recall") * 2, F.col("precision") + F.col("recall"))
     metrics = ["precision", "recall", "f1"]
     one, weight = F.lit(1.0), F.col("actual").cast("double")
 
@@ -104,7 +103,7 @@ def class_report(predictions: DataFrame) -> DataFrame:
     )
     tall = scored.withColumn("f1", F.coalesce(f1, zero)).select(F.inline(lines))
     return tall.groupBy("label").agg(
-        *[ratio(F.sum(m), F.sum("below")).alias(m) for m in metrics], F.sum("actual").alias("support")
+        *[F.try_divide(F.sum(m), F.sum("below")).alias(m) for m in metrics], F.sum("actual").alias("support")
     )
 
 
@@ -123,7 +122,7 @@ def prob_histogram(predictions: DataFrame, bins: int, value: Column | None = Non
     low = F.create_map(*[x for r in ranges for x in (F.lit(r["y"]), F.lit(r["lo"]))])[F.col("y")]
     high = F.create_map(*[x for r in ranges for x in (F.lit(r["y"]), F.lit(r["hi"]))])[F.col("y")]
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    place = F.least(F.coalesce(F.floor(ratio(F.col("value") - F.col("lo"), width)), F.lit(0)), F.lit(bins - 1)) + 1
+    place = F.least(F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), width)), F.lit(0)), F.lit(bins - 1)) + 1
     return (
         scored.withColumns({"lo": low, "hi": high})
         .withColumn("bin", place.cast("int"))

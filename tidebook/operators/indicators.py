@@ -6,11 +6,11 @@ NULL until its window is full. All windows share one partitioning and one sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions.nulls import ratio
-from tidebook.operators.bars import by_session
+from tidebook.functions.nulls import exprs, ratio
+from tidebook.operators.bars import SESSION, SO_FAR
 
 HIGH, LOW, OPEN, CLOSE, MEAN = (
     "mid_price_high",
@@ -45,101 +45,104 @@ NATIVE = [
 ]
 
 
-def last_rows(n: int) -> WindowSpec:
-    return by_session().rowsBetween(1 - n, 0)
+def last_rows(n: int) -> str:
+    return f"({SESSION} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
-def full(n: int, value: Column) -> Column:
+def full(n: int, value: str) -> str:
     """``value`` once the session has n bars; needs ``row_nr``."""
-    return F.when(F.col("row_nr") >= n, value)
+    return f"CASE WHEN row_nr >= {n} THEN {value} END"
 
 
-def numbered(bars: DataFrame) -> DataFrame:
-    """Add ``row_nr``, the position of the bar among the session's bars, from 1."""
-    return bars.withColumn("row_nr", F.row_number().over(by_session()))
+def rolling(agg: str, n: int) -> str:
+    """Aggregate over the last n bars, NULL before the n-th."""
+    return full(n, f"{agg} OVER {last_rows(n)}")
 
 
-def rolling(agg: Column, n: int) -> Column:
-    """Aggregate over the last n bars, NULL before the n-th."""
-    return full(n, agg.over(last_rows(n)))
+def lagged(value: str, k: int = 1) -> str:
+    return f"lag({value}, {k}) OVER ({SESSION})"
+
+
+def numbered(bars: DataFrame) -> DataFrame:
+    """Add ``row_nr``, the position of the bar among the session's bars, from 1."""
+    return bars.withColumn("row_nr", F.expr(f"row_number() OVER ({SESSION})"))
 
 
-def open_extremes() -> dict[str, Column]:
+def open_extremes() -> dict[str, str]:
     """Open against the lowest low, and highest high against the open."""
-    lows = {f"OLL{n}": F.col(OPEN) - rolling(F.min(LOW), n) for n in (3, 5, 10, 15)}
-    return lows | {f"OHH{n}": rolling(F.max(HIGH), n) - F.col(OPEN) for n in (3, 5)}
+    lows = {f"OLL{n}": f"{OPEN} - {rolling(f'min({LOW})', n)}" for n in (3, 5, 10, 15)}
+    return lows | {f"OHH{n}": f"{rolling(f'max({HIGH})', n)} - {OPEN}" for n in (3, 5)}
 
 
-def close_open() -> dict[str, Column]:
+def close_open() -> dict[str, str]:
     """Close minus open: rolling means, lags, the bar's range and the lagged high minus open."""
-    w = by_session()
-    gap = F.col(CLOSE) - F.col(OPEN)
-    out = {f"rmCO({n})": rolling(F.avg(gap), n) for n in (3, 4, 5, 6)}
+    gap = f"{CLOSE} - {OPEN}"
+    out = {f"rmCO({n})": rolling(f"avg({gap})", n) for n in (3, 4, 5, 6)}
     out["CO"] = gap
-    out |= {f"C{k}O{k}": F.lag(gap, k).over(w) for k in (1, 2, 3)}
-    out["range"] = F.col(HIGH) - F.col(LOW)
-    out["OH1"] = F.lag(F.col(HIGH) - F.col(OPEN)).over(w)
+    out |= {f"C{k}O{k}": lagged(gap, k) for k in (1, 2, 3)}
+    out["range"] = f"{HIGH} - {LOW}"
+    out["OH1"] = lagged(f"{HIGH} - {OPEN}")
     return out
 
 
-def moving_averages() -> dict[str, Column]:
+def moving_averages() -> dict[str, str]:
     """Simple means, and the linearly weighted mean published under the name ``HMA_10``."""
-    w = by_session()
-    weighted = F.col(MEAN) * 10
-    for k in range(1, 10):
-        weighted = weighted + F.lag(MEAN, k).over(w) * (10 - k)
+    weighted = " + ".join([f"{MEAN} * 10", *[f"{lagged(MEAN, k)} * {10 - k}" for k in range(1, 10)]])
     return {
-        "MA_10": rolling(F.avg(MEAN), 10),
-        "MA_20": rolling(F.avg(MEAN), 20),
-        "HMA_10": weighted / F.lit(55.0),
+        "MA_10": rolling(f"avg({MEAN})", 10),
+        "MA_20": rolling(f"avg({MEAN})", 20),
+        "HMA_10": f"({weighted}) / 55D",
     }
 
 
-def bollinger(n: int = 20, width: float = 2.0) -> dict[str, Column]:
+def bollinger(n: int = 20, width: float = 2.0) -> dict[str, str]:
     """Mean plus and minus ``width`` population deviations, and the close's sample deviation."""
-    middle, spread = rolling(F.avg(MEAN), n), rolling(F.stddev_pop(MEAN), n)
+    middle, spread = rolling(f"avg({MEAN})", n), rolling(f"stddev_pop({MEAN})", n)
     return {
-        "Bollinger_Upper": middle + spread * width,
-        "Bollinger_Lower": middle - spread * width,
-        "U_minus_L": spread * (2 * width),
-        "MA20dSTD": rolling(F.stddev_samp(CLOSE), n),
+        "Bollinger_Upper": f"{middle} + {width}D * {spread}",
+        "Bollinger_Lower": f"{middle} - {width}D * {spread}",
+        "U_minus_L": f"{2 * width}D * {spread}",
+        "MA20dSTD": rolling(f"stddev_samp({CLOSE})", n),
     }
 
 
-def aroon(n: int = 7, ties: str = "latest") -> dict[str, Column]:
+def aroon(n: int = 7, ties: str = "latest") -> dict[str, str]:
     """Bars since the extreme of the last n+1 bars, as a percentage; ``ties`` names the winning bar."""
-    sign = {"latest": 1, "earliest": -1}[ties]
-    row, frame = F.col("row_nr"), last_rows(n + 1)
-    highest = F.max_by(row, F.struct(HIGH, row * sign)).over(frame)
-    lowest = F.min_by(row, F.struct(LOW, row * -sign)).over(frame)
+    sign = {"latest": "", "earliest": "-"}[ties]
+    other = {"": "-", "-": ""}[sign]
+    frame = last_rows(n + 1)
+    highest = f"max_by(row_nr, struct({HIGH}, {sign}row_nr)) OVER {frame}"
+    lowest = f"min_by(row_nr, struct({LOW}, {other}row_nr)) OVER {frame}"
 
-    def percent(extreme: Column) -> Column:
-        return full(n + 1, F.lit(100.0) * (F.lit(n) - (row - extreme)) / F.lit(n))
+    def percent(extreme: str) -> str:
+        return full(n + 1, f"100D * ({n} - row_nr + {extreme}) / {n}D")
 
     return {f"AROONU_{n}": percent(highest), f"AROOND_{n}": percent(lowest)}
 
 
-def awesome() -> dict[str, Column]:
+def awesome() -> dict[str, str]:
     """Short minus long mean of the bar's middle."""
-    middle = (F.col(HIGH) + F.col(LOW)) / 2
-    return {"AO_5_10": rolling(F.avg(middle), 5) - rolling(F.avg(middle), 10)}
+    middle = f"avg(({HIGH} + {LOW}) / 2)"
+    return {"AO_5_10": f"{rolling(middle, 5)} - {rolling(middle, 10)}"}
+
+
+def stochastic_raw(n: int = 7) -> dict[str, str]:
+    """%K before it is carried over bars with a zero range."""
+    lowest, highest = rolling(f"min({LOW})", n), rolling(f"max({HIGH})", n)
+    return {"raw_k": ratio(f"({CLOSE} - {lowest}) * 100", f"{highest} - {lowest}")}
 
 
-def with_stochastic(bars: DataFrame, n: int = 7, smooth: int = 3) -> DataFrame:
-    """Stochastic %K and its mean %D, both carried forward over bars with a zero range; needs ``row_nr``."""
-    lowest, highest = rolling(F.min(LOW), n), rolling(F.max(HIGH), n)
-    raw = bars.withColumn("raw_k", ratio((F.col(CLOSE) - lowest) * 100, highest - lowest))
+def with_stochastic(with_raw: DataFrame, smooth: int = 3) -> DataFrame:
+    """Stochastic %K and its mean %D, both carried forward over bars with a zero range; needs ``raw_k``."""
     frame = last_rows(smooth)
-    steady = F.when(F.count("raw_k").over(frame) == smooth, F.avg("raw_k").over(frame))
-    so_far = by_session().rowsBetween(Window.unboundedPreceding, 0)
+    steady = f"CASE WHEN count(raw_k) OVER {frame} = {smooth} THEN avg(raw_k) OVER {frame} END"
     carried = {"STOCHk_7_3_3": "raw_k", "STOCHd_7_3_3": "raw_d"}
-    smoothed = raw.withColumn("raw_d", steady)
-    return smoothed.withColumns({k: F.last(v, ignorenulls=True).over(so_far) for k, v in carried.items()}).drop(
-        "raw_k", "raw_d"
-    )
+    smoothed = with_raw.withColumn("raw_d", F.expr(steady))
+    out = {name: f"last({raw}) IGNORE NULLS OVER {SO_FAR}" for name, raw in carried.items()}
+    return smoothed.withColumns(exprs(out)).drop("raw_k", "raw_d")
 
 
 def native_indicators(bars: DataFrame, ties: str = "latest") -> DataFrame:
-    """All window indicators; keeps ``row_nr`` for the recursive ones."""
+    """All window indicators; keeps ``row_nr``."""
     columns = open_extremes() | close_open() | moving_averages() | bollinger() | aroon(ties=ties) | awesome()
-    return with_stochastic(numbered(bars).withColumns(columns))
+    return with_stochastic(numbered(bars).withColumns(exprs(columns | stochastic_raw())))

@@ -2,65 +2,55 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.functions.nulls import ratio
-from tidebook.operators.bars import by_session
+from tidebook.functions.nulls import exprs, ratio
+from tidebook.operators.bars import SESSION
 
 
-def three_class(move: Column, threshold: float = 0.0) -> Column:
+def three_class(move: str, threshold: float = 0.0) -> str:
     """0 down, 1 flat, 2 up; moves of at most ``threshold`` are flat, and so is a missing move."""
-    big = F.abs(move) > F.lit(threshold)
-    return (F.when(big, F.signum(move)).otherwise(F.lit(0.0)) + 1).cast("int")
+    return f"CAST(1 + CASE WHEN abs({move}) > {float(threshold)!r}D THEN signum({move}) ELSE 0 END AS INT)"
 
 
-def up_class(move: Column, zero_is_up: bool = False) -> Column:
+def up_class(move: str, zero_is_up: bool = False) -> str:
     """1 up, 0 otherwise; a missing move is 0."""
-    up = move >= 0 if zero_is_up else move > 0
-    return F.when(up, F.lit(1)).otherwise(F.lit(0))
+    return f"CASE WHEN {move} {'>=' if zero_is_up else '>'} 0 THEN 1 ELSE 0 END"
 
 
 def price_moves(bars: DataFrame) -> DataFrame:
     """Relative moves within the bar: last mid, mean mid and last weighted mid against the first."""
+    moves = {
+        "mid_price_variation": ratio("mid_price_last", "mid_price_first"),
+        "mean_mid_price_variation": ratio("mid_price_mean", "mid_price_first"),
+        "weighted_mid_price_variation": ratio("weighted_mid_price_last", "weighted_mid_price_first"),
+    }
+    return bars.withColumns(exprs({name: f"{value} - 1" for name, value in moves.items()}))
 
-    def against_first(value: str, first: str) -> Column:
-        return ratio(F.col(value), F.col(first)) - 1
-
-    return bars.withColumns(
-        {
-            "mid_price_variation": against_first("mid_price_last", "mid_price_first"),
-            "mean_mid_price_variation": against_first("mid_price_mean", "mid_price_first"),
-            "weighted_mid_price_variation": against_first("weighted_mid_price_last", "weighted_mid_price_first"),
-        }
-    )
 
-
-def next_bins_mean(name: str, bins: int) -> Column:
+def next_bins_mean(name: str, bins: int) -> str:
     """Mean of ``name`` over this and the next ``bins - 1`` grid bins, for bars with as many bins before.
 
     NULL if a bin in between has no ticks, if a value is missing or if the bar is among the first
     ``bins - 1`` grid bins of the session (a trailing window over the shifted series is short there).
     """
-    w = by_session()
-    values = [F.col(name)] + [F.lead(name, k).over(w) for k in range(1, bins)]
-    total = reduce(lambda a, b: a + b, values)
-    no_gap = F.lead("bar_ix", bins - 1).over(w) == F.col("bar_ix") + (bins - 1)
-    warm = F.col("bar_ix") - F.col("first_ix") >= bins - 1
-    return F.when(no_gap & warm, total / F.lit(float(bins)))
+    total = " + ".join([name, *[f"lead({name}, {k}) OVER ({SESSION})" for k in range(1, bins)]])
+    no_gap = f"lead(bar_ix, {bins - 1}) OVER ({SESSION}) = bar_ix + {bins - 1}"
+    return f"CASE WHEN {no_gap} AND bar_ix - first_ix >= {bins - 1} THEN ({total}) / {float(bins)}D END"
 
 
 def labels(bars: DataFrame, threshold: float = 0.0, zero_is_up: bool = True) -> DataFrame:
     """Add moves and class labels. ``zero_is_up`` decides the class of an unchanged mean mid-price."""
     return price_moves(bars).withColumns(
-        {
-            "mid_price_variation_class": three_class(F.col("mid_price_variation"), threshold),
-            "mean_mid_price_variation_class": up_class(F.col("mean_mid_price_variation"), zero_is_up),
-            "next_5_mean_mid_price_variation_class": up_class(next_bins_mean("mean_mid_price_variation", 5)),
-            "weighted_mid_price_variation_class": up_class(F.col("weighted_mid_price_variation")),
-        }
+        exprs(
+            {
+                "mid_price_variation_class": three_class("mid_price_variation", threshold),
+                "mean_mid_price_variation_class": up_class("mean_mid_price_variation", zero_is_up),
+                "next_5_mean_mid_price_variation_class": up_class(next_bins_mean("mean_mid_price_variation", 5)),
+                "weighted_mid_price_variation_class": up_class("weighted_mid_price_variation"),
+            }
+        )
     )
 
 
@@ -70,19 +60,17 @@ def next_bar_target(df: DataFrame, target: str, order: str = "bar_ix") -> DataFr
     Inside a session this is a plain ``lead``. Only the last bar of a session needs the next session, so
     the step across sessions runs on one row per session instead of on a whole symbol in one task.
     """
-    in_session = Window.partitionBy("symbol", "session").orderBy(order)
+    in_session = f"(PARTITION BY symbol, session ORDER BY {order})"
     firsts = df.groupBy("symbol", "session").agg(F.min_by(target, order).alias("first_value"))
     opening = F.lead("first_value").over(Window.partitionBy("symbol").orderBy("session"))
     following = firsts.select("symbol", "session", opening.alias("next_session_value"))
     shifted = df.withColumns(
-        {
-            "next_value": F.lead(target).over(in_session),
-            "is_last": F.lead(order).over(in_session).isNull(),
-        }
+        exprs(
+            {
+                "next_value": f"lead({target}) OVER {in_session}",
+                "is_last": f"lead({order}) OVER {in_session} IS NULL",
+            }
+        )
     ).join(following, ["symbol", "session"], "left")
-    value = F.when(F.col("is_last"), F.col("next_session_value")).otherwise(F.col("next_value"))
-    return (
-        shifted.withColumn(target, value)
-        .drop("next_value", "next_session_value", "is_last")
-        .where(F.col(f"`{target}`").isNotNull())
-    )
+    moved = shifted.withColumn(target, F.expr("CASE WHEN is_last THEN next_session_value ELSE next_value END"))
+    return moved.drop("next_value", "next_session_value", "is_last").where(f"{target} IS NOT NULL")

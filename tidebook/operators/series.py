@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.chunks import CHUNK_ROWS, attach_series, chunk_of, in_chunk, running_totals, with_halo
-from tidebook.functions.nulls import ratio
 from tidebook.session import written
 
 SERIES = ["series_id"]
@@ -49,7 +48,7 @@ def acf(series: DataFrame, nlags: int = 20, chunk_rows: int = CHUNK_ROWS) -> Dat
         for k in range(nlags + 1)
     ]
     gammas = moved.groupBy("series_id").agg(*shifted)
-    cells = [F.struct(F.lit(k).alias("lag"), ratio(F.col(f"g_{k}"), F.col("g_0")).alias("acf")) for k in range(nlags + 1)]
+    cells = [F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"g_{k}"), F.col("g_0")).alias("acf")) for k in range(nlags + 1)]
     return gammas.select("series_id", F.inline(F.array(*cells)))
 
 
@@ -71,7 +70,7 @@ def _durbin_levinson(r: Column, order: int) -> Column:
             terms = F.transform(phi, lambda v, j: v * F.get(r, lag_of(j)))
             return F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)
 
-        reflect = ratio(F.get(r, k) - dot(lambda j: k - 1 - j), F.lit(1.0) - dot(lambda j: j + 1))
+        reflect = F.try_divide(F.get(r, k) - dot(lambda j: k - 1 - j), F.lit(1.0) - dot(lambda j: j + 1))
         updated = F.transform(phi, lambda v, j: v - reflect * F.get(phi, k - 2 - j))
         return F.struct(
             F.concat(updated, F.array(reflect)).alias("phi"), F.concat(acc["pacf"], F.array(reflect)).alias("pacf")
@@ -269,8 +268,8 @@ def _normal_terms(rows: DataFrame) -> DataFrame:
 
 def _two_by_two() -> tuple[Column, Column]:
     det = F.col("sxx") * F.col("see") - F.col("sxe") * F.col("sxe")
-    phi = ratio(F.col("sxy") * F.col("see") - F.col("sey") * F.col("sxe"), det)
-    theta = ratio(F.col("sey") * F.col("sxx") - F.col("sxy") * F.col("sxe"), det)
+    phi = F.try_divide(F.col("sxy") * F.col("see") - F.col("sey") * F.col("sxe"), det)
+    theta = F.try_divide(F.col("sey") * F.col("sxx") - F.col("sxy") * F.col("sxe"), det)
     return phi, theta
 
 

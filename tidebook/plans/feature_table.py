@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidebook.functions.nulls import all_present
 from tidebook.operators.bars import bars, with_bar_time
@@ -54,7 +53,7 @@ def features_of(
     """Bars, labels, book features, indicators and calendar of a tick frame."""
     table = calendar_features(indicators(bar_features(ticks, rate, threshold, zero_is_up, order)), rate)
     names = [*BAR_COLUMNS, *INDICATORS, *CALENDAR]
-    return with_bar_time(table, rate).select("symbol", "session", "bar_ts", "bar_ix", *[F.col(f"`{c}`") for c in names])
+    return with_bar_time(table, rate).selectExpr("symbol", "session", "bar_ts", "bar_ix", *[f"`{c}`" for c in names])
 
 
 def weekdays_between(start: str, end: str) -> list[date]:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,21 +57,19 @@ def missing_sessions(ticks: DataFrame, start: str, end: str) -> DataFrame:
     return wanted.join(have, ["symbol", "session"], "left_anti")
 
 
-def packed_order(ts_us: Column, tie: Column) -> Column:
+def packed_order(ts_us: str, tie: str) -> str:
     """One BIGINT that orders by microsecond of the day, then by ``tie``; fails loudly if ``tie`` is too big."""
-    fits = tie.between(0, (1 << _TIE_BITS) - 1)
-    packed = time_of_day_us(ts_us) * F.lit(1 << _TIE_BITS) + tie
-    return F.when(fits, packed).otherwise(F.raise_error(F.lit("tie-break outside the packed range")).cast("bigint"))
+    span = 1 << _TIE_BITS
+    too_big = "CAST(raise_error('tie-break outside the packed range') AS BIGINT)"
+    return f"CASE WHEN {tie} BETWEEN 0 AND {span - 1} THEN {time_of_day_us(ts_us)} * {span}L + {tie} ELSE {too_big} END"
 
 
-def _wall_clock_us(col: Column, unit: str, zone: str | None) -> Column:
+def _wall_clock_us(col: str, unit: str, zone: str | None) -> str:
     if unit not in _TIME_UNITS:
         raise ValueError(f"time unit {unit!r}: expected one of {sorted(_TIME_UNITS)}")
     mult, div = _TIME_UNITS[unit]
-    us = col * F.lit(mult) if mult > 1 else F.call_function("div", col, F.lit(div)) if div > 1 else col
-    if zone is None:
-        return us
-    return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))
+    us = f"{col} * {mult}L" if mult > 1 else f"{col} DIV {div}L"
+    return us if zone is None else f"unix_micros(from_utc_timestamp(timestamp_micros({us}), '{zone}'))"
 
 
 def read_daily_ticks(
@@ -97,14 +95,13 @@ def read_daily_ticks(
         + [T.StructField(c, T.LongType()) for c in SIZE_COLUMNS]
     )
     raw = spark.read.schema(schema).parquet(*paths)
-    name = F.col("_metadata.file_name")
-    ts_us = _wall_clock_us(F.col(time_col), time_unit, zone)
-    row = F.col("_metadata.row_index")
-    ticks = raw.select(
-        F.substring_index(name, "_", 1).alias("symbol"),
-        F.to_date(F.substring_index(F.substring_index(name, "_", 2), "_", -1)).alias("session"),
-        ts_us.alias("ts_us"),
-        (row if time_ordered else packed_order(ts_us, row)).cast("bigint").alias("seq"),
+    name, row = "_metadata.file_name", "_metadata.row_index"
+    ts_us = _wall_clock_us(f"`{time_col}`", time_unit, zone)
+    ticks = raw.selectExpr(
+        f"substring_index({name}, '_', 1) AS symbol",
+        f"to_date(substring_index(substring_index({name}, '_', 2), '_', -1)) AS session",
+        f"{ts_us} AS ts_us",
+        f"CAST({row if time_ordered else packed_order(ts_us, row)} AS BIGINT) AS seq",
         *CODE_COLUMNS,
         *PRICE_COLUMNS,
         *SIZE_COLUMNS,
@@ -124,7 +121,7 @@ def read_tick_table(spark: SparkSession, path: str, start: str | None = None, en
 
 def market_hours(ticks: DataFrame, opens: str = "09:30", closes: str = "16:00") -> DataFrame:
     """Ticks whose time of day lies in ``[opens, closes]``, both ends included."""
-    return ticks.where(time_of_day_us(F.col("ts_us")).between(clock_us(opens), clock_us(closes)))
+    return ticks.where(f"{time_of_day_us()} BETWEEN {clock_us(opens)} AND {clock_us(closes)}")
 
 
 def ticks_of_events(events: DataFrame, symbols: int = 1) -> DataFrame:
@@ -132,28 +129,25 @@ def ticks_of_events(events: DataFrame, symbols: int = 1) -> DataFrame:
 
     ``events.ts`` must be read as TIMESTAMP so that its stored microseconds come through unchanged.
     """
-    ident = F.col("event_id")
-    base = F.lit(100.0) + F.floor(F.col("value")) / F.lit(64.0)
-    ts_us = F.unix_micros("ts")
-    bid = F.when(ident % 97 != 0, base)
-    ask = F.when(ident % 89 != 0, base + (1 + ident % 5) / F.lit(64.0))
-    return events.select(
-        F.pmod(F.col("user_id"), F.lit(symbols)).cast("string").alias("symbol"),
-        session_of(ts_us).alias("session"),
-        ts_us.alias("ts_us"),
-        ident.alias("seq"),
-        F.expr("CASE event_type WHEN 'purchase' THEN 'T' WHEN 'error' THEN 'C' WHEN 'signup' THEN 'M' ELSE 'A' END").alias(
-            "action"
-        ),
-        F.when(F.floor(ident / 3) % 2 == 0, "B").otherwise("A").alias("side"),
-        base.alias("price"),
-        bid.alias("bid_px_00"),
-        ask.alias("ask_px_00"),
-        (bid - F.lit(1 / 64)).alias("bid_px_01"),
-        (ask + F.lit(1 / 64)).alias("ask_px_01"),
-        (1 + ident % 100).alias("size"),
-        (ident * 7 % 50).alias("bid_sz_00"),
-        (ident * 13 % 40).alias("ask_sz_00"),
+    base, step = "100D + floor(value) / 64D", "1 / 64D"
+    bid = f"CASE WHEN event_id % 97 <> 0 THEN {base} END"
+    ask = f"CASE WHEN event_id % 89 <> 0 THEN {base} + (1 + event_id % 5) / 64D END"
+    action = "CASE event_type WHEN 'purchase' THEN 'T' WHEN 'error' THEN 'C' WHEN 'signup' THEN 'M' ELSE 'A' END"
+    return events.selectExpr(
+        f"CAST(pmod(user_id, {symbols}) AS STRING) AS symbol",
+        f"{session_of('unix_micros(ts)')} AS session",
+        "unix_micros(ts) AS ts_us",
+        "event_id AS seq",
+        f"{action} AS action",
+        "CASE WHEN (event_id DIV 3) % 2 = 0 THEN 'B' ELSE 'A' END AS side",
+        f"{base} AS price",
+        f"{bid} AS bid_px_00",
+        f"{ask} AS ask_px_00",
+        f"{bid} - {step} AS bid_px_01",
+        f"{ask} + {step} AS ask_px_01",
+        "1 + event_id % 100 AS size",
+        "event_id * 7 % 50 AS bid_sz_00",
+        "event_id * 13 % 40 AS ask_sz_00",
     )
 
 
