@@ -122,17 +122,26 @@ def recursive_columns(high: np.ndarray, low: np.ndarray, close: np.ndarray, mean
     return {name: out[name] for name in RECURSIVE}
 
 
+PRICES = ["mid_price_high", "mid_price_low", "mid_price_last", "mid_price_mean"]
+KEYS = ["symbol", "session", "bar_ix"]
+
+
 def _session_pass(table: pa.Table) -> pa.Table:
     ordered = table.sort_by("bar_ix")
-    prices = [
-        ordered.column(c).to_numpy() for c in ("mid_price_high", "mid_price_low", "mid_price_last", "mid_price_mean")
-    ]
-    for name, values in recursive_columns(*prices).items():
+    columns = recursive_columns(*[ordered.column(c).to_numpy() for c in PRICES])
+    for name, values in columns.items():
         ordered = ordered.append_column(name, pa.array(values, from_pandas=True))
     return ordered
 
 
 def recursive_indicators(bars: DataFrame) -> DataFrame:
-    """Add every recursive indicator to complete bars."""
-    schema = T.StructType([*bars.schema.fields, *[T.StructField(c, T.DoubleType()) for c in RECURSIVE]])
-    return bars.groupBy("symbol", "session").applyInArrow(_session_pass, schema)
+    """Add every recursive indicator to complete bars.
+
+    Columns the pass does not need travel in one struct: per-column Arrow work is paid for every group,
+    and a session of a thinly traded symbol is a small group.
+    """
+    others = [c for c in bars.columns if c not in {*KEYS, *PRICES}]
+    packed = bars.selectExpr(*KEYS, *PRICES, f"struct({', '.join(f'`{c}`' for c in others)}) AS others") if others else bars
+    schema = T.StructType([*packed.schema.fields, *[T.StructField(c, T.DoubleType()) for c in RECURSIVE]])
+    done = packed.groupBy("symbol", "session").applyInArrow(_session_pass, schema)
+    return done.selectExpr(*[f"others.`{c}`" if c in others else f"`{c}`" for c in bars.columns], *RECURSIVE)

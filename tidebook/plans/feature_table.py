@@ -27,6 +27,8 @@ INDICATORS = [
     "range",
     "OH1",
 ]
+# The longest warm-up, and the only indicators that can be missing after it.
+LAST_READY = ["MACD_8_21_5", "STOCHk_7_3_3", "STOCHd_7_3_3"]
 CALENDAR = ["time_since_open", *[f"is_{d}" for d in WEEKDAYS]]
 
 
@@ -44,7 +46,7 @@ def indicators(bar_table: DataFrame) -> DataFrame:
     the Arrow pass that follows reuses both.
     """
     full_set = recursive_indicators(native_indicators(bar_table))
-    return full_set.where(all_present(INDICATORS))
+    return full_set.where(all_present(LAST_READY))
 
 
 def features_of(

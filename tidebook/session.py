@@ -16,6 +16,8 @@ def spark_session(app: str = "tidebook", master: str | None = None, **conf: str)
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # A bar costs dozens of window aggregates, so small partitions are worth their task overhead.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64kb",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Call-site capture costs milliseconds per column expression; wide plans have hundreds.
