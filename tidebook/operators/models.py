@@ -14,10 +14,12 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+FLAT = "flat_sequence"
+
 
 def flat(seqs: DataFrame) -> DataFrame:
-    """Add ``v``, the sequence as one vector."""
-    return seqs.withColumn("v", array_to_vector(F.flatten("x")))
+    """Add the sequence as one vector."""
+    return seqs.withColumn(FLAT, array_to_vector(F.flatten("x")))
 
 
 def fit_sequence_classifier(
@@ -26,13 +28,13 @@ def fit_sequence_classifier(
     """Train on ``(x, y)`` sequences; the number of classes is read from the labels."""
     num_classes = int(train.agg(F.max("y")).first()[0]) + 1
     network = MultilayerPerceptronClassifier(
-        featuresCol="v",
+        featuresCol=FLAT,
         labelCol="label",
         layers=[look_back * num_features, *hidden, max(num_classes, 2)],
         maxIter=epochs,
         seed=seed,
     )
-    return network.fit(flat(train).select("v", F.col("y").cast("double").alias("label")))
+    return network.fit(flat(train).select(FLAT, F.col("y").cast("double").alias("label")))
 
 
 def predict_classes(model: MultilayerPerceptronClassificationModel, seqs: DataFrame) -> DataFrame:
@@ -48,8 +50,8 @@ def fit_sequence_regressors(
     """One linear model per target on flattened sequences."""
     vectors = flat(train)
     return {
-        t: LinearRegression(featuresCol="v", labelCol="label", regParam=ridge).fit(
-            vectors.select("v", F.col(f"`{t}`").cast("double").alias("label"))
+        t: LinearRegression(featuresCol=FLAT, labelCol="label", regParam=ridge).fit(
+            vectors.select(FLAT, F.col(f"`{t}`").cast("double").alias("label"))
         )
         for t in targets
     }
@@ -60,4 +62,4 @@ def predict_values(models: dict[str, LinearRegressionModel], seqs: DataFrame) ->
     scored = flat(seqs)
     for t, model in models.items():
         scored = model.setPredictionCol(f"{t}_hat").transform(scored)
-    return scored.drop("v", "x")
+    return scored.drop(FLAT, "x")
