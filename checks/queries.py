@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from checks import sql
 from checks.sql import DEEP, WIDE, out, pick, q, r6, with_bars, with_indicators
-from tidebook.functions.nulls import exprs
 from tidebook.functions.rates import time_of_day_us
 from tidebook.operators import analysis, bars, book, calendar, dataset, evaluation, importance, indicators, labels, models
 from tidebook.operators import recursive, series
@@ -270,17 +269,17 @@ def label_next_bar(spark, folder):
 # --- indicators ------------------------------------------------------------------------------------
 
 
-def deep_numbered(spark, folder):
-    return indicators.numbered(complete(spark, folder, DEEP))
+def deep_bars(spark, folder):
+    return complete(spark, folder, DEEP)
 
 
 def indicator_query(name: str, columns: list[str], make: Callable[[DataFrame], DataFrame]):
     register(name, with_indicators(pick([*KEYS, *columns], "technical")))(
-        lambda spark, folder: shown(make(deep_numbered(spark, folder)), columns, DEEP)
+        lambda spark, folder: shown(make(deep_bars(spark, folder)), columns, DEEP)
     )
 
 
-for _name, _columns, _make in [
+for _name, _columns, _family in [
     ("open_extremes", ["OLL3", "OLL5", "OLL10", "OLL15", "OHH3", "OHH5"], indicators.open_extremes),
     ("rolling_co", [f"rmCO({n})" for n in (3, 4, 5, 6)], indicators.close_open),
     ("lags_range", ["CO", "C1O1", "C2O2", "C3O3", "range", "OH1"], indicators.close_open),
@@ -289,11 +288,11 @@ for _name, _columns, _make in [
     ("aroon", ["AROONU_7", "AROOND_7"], indicators.aroon),
     ("awesome", ["AO_5_10"], indicators.awesome),
 ]:
-    indicator_query(_name, _columns, lambda df, make=_make: df.withColumns(exprs(make())))
+    indicator_query(_name, _columns, lambda df, family=_family: indicators.with_families(df, family()))
 indicator_query(
     "stochastic",
     ["STOCHk_7_3_3", "STOCHd_7_3_3"],
-    lambda df: indicators.with_stochastic(df.withColumns(exprs(indicators.stochastic_raw()))),
+    lambda df: indicators.carried_stochastic(indicators.with_families(df, indicators.stochastic())),
 )
 for _name, _columns in [
     ("ema", ["EMA_15"]),

@@ -4,8 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from tidebook.functions.nulls import all_present, exprs
-from tidebook.operators.indicators import aroon, native_indicators, numbered
+from tidebook.functions.nulls import all_present
+from tidebook.operators.indicators import aroon, native_indicators, with_families
 from tidebook.operators.recursive import RECURSIVE, recursive_columns, recursive_indicators
 from tidebook.plans.feature_table import INDICATORS, indicators
 
@@ -103,9 +103,9 @@ def test_window_indicators_wait_for_a_full_window(spark):
 
 def test_aroon_ties(spark):
     rows = [("X", "d", i, 1.0, 1.0, 1.0, 1.0, 1.0) for i in range(9)]
-    bars = numbered(spark.createDataFrame(rows, SCHEMA))
+    bars = spark.createDataFrame(rows, SCHEMA)
     for ties, value in (("latest", 100.0), ("earliest", 0.0)):
-        last = collected(bars.withColumns(exprs(aroon(ties=ties))))[-1]
+        last = collected(with_families(bars, aroon(ties=ties)))[-1]
         assert (last["AROONU_7"], last["AROOND_7"]) == (value, value)
 
 

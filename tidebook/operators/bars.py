@@ -176,19 +176,32 @@ def dense_grid(ticks: DataFrame, rate: str, order: Sequence[str] = ("seq",)) ->
     return _within_spans(grid.drop("bar_ix", "upto").withColumnRenamed("grid_ix", "bar_ix"))
 
 
+def with_neighbours(bars: DataFrame, columns: Sequence[str], back: int = 0, ahead: int = 0) -> DataFrame:
+    """Add ``before_k`` and ``after_k``: structs of ``bar_ix`` and ``columns`` of the k-th bar before and after.
+
+    One offset per distance serves every column, where a lag per column and distance would each walk
+    the session again.
+    """
+    picked = f"struct({', '.join(['bar_ix', *columns])})"
+    out = {f"before_{k}": f"lag({picked}, {k}) OVER ({SESSION})" for k in range(1, back + 1)}
+    out |= {f"after_{k}": f"lead({picked}, {k}) OVER ({SESSION})" for k in range(1, ahead + 1)}
+    return bars.withColumns(exprs(out))
+
+
+def neighbour_names(back: int = 0, ahead: int = 0) -> list[str]:
+    return [f"before_{k}" for k in range(1, back + 1)] + [f"after_{k}" for k in range(1, ahead + 1)]
+
+
 def grid_value(name: str, back: int) -> str:
     """Value that ``name`` has on the gap-free grid ``back`` bins before the current bar.
 
     On that grid a bin without ticks repeats the bar before it, so the value is the one of the latest
     occupied bar at or before the bin. ``back`` bars of history are enough because a bin holds at most
-    one bar. NULL before the session's first bar.
+    one bar. NULL before the session's first bar. Needs ``before_1`` to ``before_{back}``.
     """
     if back == 0:
         return name
-    found = " ".join(
-        f"WHEN lag(bar_ix, {k}) OVER ({SESSION}) <= bar_ix - {back} THEN lag({name}, {k}) OVER ({SESSION})"
-        for k in range(1, back + 1)
-    )
+    found = " ".join(f"WHEN before_{k}.bar_ix <= bar_ix - {back} THEN before_{k}.{name}" for k in range(1, back + 1))
     return f"CASE {found} END"
 
 

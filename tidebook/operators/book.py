@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidebook.functions.nulls import all_present, exprs, ratio, truncated
-from tidebook.operators.bars import DEVIATION, QUOTE_STATS, SESSION, TRADE_STATS, grid_mean
+from tidebook.operators.bars import DEVIATION, QUOTE_STATS, TRADE_STATS, grid_mean, neighbour_names, with_neighbours
+from tidebook.operators.labels import classes_of_moves, moves
 
 MOVES = ["mid_price_variation", "mean_mid_price_variation", "weighted_mid_price_variation"]
 LABELS = [
@@ -42,33 +43,61 @@ def imbalance(bid_size: str, ask_size: str) -> str:
     return ratio(f"{truncated(bid_size)} - {truncated(ask_size)}", f"{bid_size} + {ask_size}")
 
 
-def change(value: str) -> str:
-    """Difference from the bar before.
+def change(name: str) -> str:
+    """Difference of whole parts from the bar before; needs ``before_1``.
 
     Carried columns repeat through empty bins, so the occupied bar before and the grid bin before agree.
     """
-    return f"{value} - lag({value}) OVER ({SESSION})"
+    return f"{truncated(name)} - {truncated(f'before_1.{name}')}"
 
 
-def book_features(bars: DataFrame) -> DataFrame:
-    """Imbalances, net order flow, five-bin means and bar-to-bar changes.
+# Columns the book features look back at.
+LOOKED_BACK = [
+    "mean_order_book_imbalance",
+    "total_net_order_flow",
+    "last_best_bid_size",
+    "last_best_ask_size",
+    "last_best_bid_price",
+    "last_best_ask_price",
+]
 
-    The means keep the ``_5s`` names although they span five bins of any rate.
-    """
-    levels = {
+
+def levels() -> dict[str, str]:
+    """Imbalances and net order flow of the bar itself."""
+    return {
         "mean_order_book_imbalance": imbalance("mean_best_bid_size", "mean_best_ask_size"),
         "last_order_book_imbalance": imbalance("last_best_bid_size", "last_best_ask_size"),
         "total_net_order_flow": f"{truncated('last_best_bid_size')} - {truncated('last_best_ask_size')}",
     }
-    lagged = {
+
+
+def changes() -> dict[str, str]:
+    """Five-bin means and bar-to-bar changes; needs ``before_1`` to ``before_4``.
+
+    The means keep the ``_5s`` names although they span five bins of any rate.
+    """
+    return {
         "order_book_imbalance_5s": grid_mean("mean_order_book_imbalance", 5),
         "order_flow_5s": grid_mean("total_net_order_flow", 5),
-        "bid_volume_variation": change(truncated("last_best_bid_size")),
-        "ask_volume_variation": change(truncated("last_best_ask_size")),
-        "bid_price_variation": change(truncated("last_best_bid_price")),
-        "ask_price_variation": change(truncated("last_best_ask_price")),
+        "bid_volume_variation": change("last_best_bid_size"),
+        "ask_volume_variation": change("last_best_ask_size"),
+        "bid_price_variation": change("last_best_bid_price"),
+        "ask_price_variation": change("last_best_ask_price"),
     }
-    return bars.withColumns(exprs(levels)).withColumns(exprs(lagged))
+
+
+def book_features(bars: DataFrame) -> DataFrame:
+    """Imbalances, net order flow, five-bin means and bar-to-bar changes."""
+    back = with_neighbours(bars.withColumns(exprs(levels())), LOOKED_BACK, back=4)
+    return back.withColumns(exprs(changes())).drop(*neighbour_names(back=4))
+
+
+def labelled_book(bars: DataFrame, threshold: float = 0.0, zero_is_up: bool = True) -> DataFrame:
+    """``labels`` and ``book_features`` together, with one window operator for both."""
+    both = bars.withColumns(exprs(moves() | levels()))
+    near = with_neighbours(both, [*LOOKED_BACK, "mean_mid_price_variation"], back=4, ahead=4)
+    derived = classes_of_moves(threshold, zero_is_up) | changes()
+    return near.withColumns(exprs(derived)).drop(*neighbour_names(back=4, ahead=4))
 
 
 def complete_bars(features: DataFrame) -> DataFrame:

@@ -1,11 +1,17 @@
 """Technical indicators that are windows over the bars of a session.
 
 Input bars must be complete (``complete_bars``): "n rows" means n surviving bars. Every indicator is
-NULL until its window is full. All windows share one partitioning and one sort.
+NULL until its window is full.
+
+An indicator family names the windows it needs and the columns made from them. All families together
+use one window operator: every distinct window is computed once, and one lag of a struct serves all
+columns that look k bars back.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,95 +51,116 @@ NATIVE = [
 ]
 
 
-def last_rows(n: int) -> str:
-    return f"({SESSION} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+LAGGED = f"struct({MEAN} AS mean, {CLOSE} - {OPEN} AS gap, {HIGH} - {OPEN} AS rise, {HIGH} AS high, {LOW} AS low)"
 
 
-def full(n: int, value: str) -> str:
-    """``value`` once the session has n bars; needs ``row_nr``."""
-    return f"CASE WHEN row_nr >= {n} THEN {value} END"
+class Family(NamedTuple):
+    """Windows by name, and indicator columns over those names."""
+
+    windows: dict[str, str]
+    columns: dict[str, str]
+
+
+def last_rows(n: int) -> str:
+    return f"({SESSION} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
 def rolling(agg: str, n: int) -> str:
-    """Aggregate over the last n bars, NULL before the n-th."""
-    return full(n, f"{agg} OVER {last_rows(n)}")
+    return f"{agg} OVER {last_rows(n)}"
 
 
-def lagged(value: str, k: int = 1) -> str:
-    return f"lag({value}, {k}) OVER ({SESSION})"
+def full(n: int, value: str) -> str:
+    """``value`` once the session has n bars."""
+    return f"CASE WHEN row_nr >= {n} THEN {value} END"
 
 
-def numbered(bars: DataFrame) -> DataFrame:
-    """Add ``row_nr``, the position of the bar among the session's bars, from 1."""
-    return bars.withColumn("row_nr", F.expr(f"row_number() OVER ({SESSION})"))
+def _before(count: int) -> dict[str, str]:
+    return {f"before_{k}": f"lag({LAGGED}, {k}) OVER ({SESSION})" for k in range(1, count + 1)}
 
 
-def open_extremes() -> dict[str, str]:
+def open_extremes() -> Family:
     """Open against the lowest low, and highest high against the open."""
-    lows = {f"OLL{n}": f"{OPEN} - {rolling(f'min({LOW})', n)}" for n in (3, 5, 10, 15)}
-    return lows | {f"OHH{n}": f"{rolling(f'max({HIGH})', n)} - {OPEN}" for n in (3, 5)}
+    windows = {f"low_{n}": rolling(f"min({LOW})", n) for n in (3, 5, 10, 15)}
+    windows |= {f"high_{n}": rolling(f"max({HIGH})", n) for n in (3, 5)}
+    columns = {f"OLL{n}": full(n, f"{OPEN} - low_{n}") for n in (3, 5, 10, 15)}
+    columns |= {f"OHH{n}": full(n, f"high_{n} - {OPEN}") for n in (3, 5)}
+    return Family(windows, columns)
 
 
-def close_open() -> dict[str, str]:
+def close_open() -> Family:
     """Close minus open: rolling means, lags, the bar's range and the lagged high minus open."""
-    gap = f"{CLOSE} - {OPEN}"
-    out = {f"rmCO({n})": rolling(f"avg({gap})", n) for n in (3, 4, 5, 6)}
-    out["CO"] = gap
-    out |= {f"C{k}O{k}": lagged(gap, k) for k in (1, 2, 3)}
-    out["range"] = f"{HIGH} - {LOW}"
-    out["OH1"] = lagged(f"{HIGH} - {OPEN}")
-    return out
+    windows = {f"gap_{n}": rolling(f"avg({CLOSE} - {OPEN})", n) for n in (3, 4, 5, 6)}
+    columns = {f"rmCO({n})": full(n, f"gap_{n}") for n in (3, 4, 5, 6)}
+    columns |= {"CO": f"{CLOSE} - {OPEN}", **{f"C{k}O{k}": f"before_{k}.gap" for k in (1, 2, 3)}}
+    columns |= {"range": f"{HIGH} - {LOW}", "OH1": "before_1.rise"}
+    return Family(windows | _before(3), columns)
 
 
-def moving_averages() -> dict[str, str]:
+def moving_averages() -> Family:
     """Simple means, and the linearly weighted mean published under the name ``HMA_10``."""
-    weighted = " + ".join([f"{MEAN} * 10", *[f"{lagged(MEAN, k)} * {10 - k}" for k in range(1, 10)]])
-    return {
-        "MA_10": rolling(f"avg({MEAN})", 10),
-        "MA_20": rolling(f"avg({MEAN})", 20),
-        "HMA_10": f"({weighted}) / 55D",
+    weighted = " + ".join([f"{MEAN} * 10", *[f"before_{k}.mean * {10 - k}" for k in range(1, 10)]])
+    windows = {f"mean_{n}": rolling(f"avg({MEAN})", n) for n in (10, 20)}
+    columns = {f"MA_{n}": full(n, f"mean_{n}") for n in (10, 20)}
+    return Family(windows | _before(9), columns | {"HMA_10": f"({weighted}) / 55D"})
+
+
+def bollinger() -> Family:
+    """20-bar mean plus and minus two population deviations, and the close's sample deviation."""
+    windows = {
+        "mean_20": rolling(f"avg({MEAN})", 20),
+        "spread_20": rolling(f"stddev_pop({MEAN})", 20),
+        "close_spread_20": rolling(f"stddev_samp({CLOSE})", 20),
     }
-
-
-def bollinger(n: int = 20, width: float = 2.0) -> dict[str, str]:
-    """Mean plus and minus ``width`` population deviations, and the close's sample deviation."""
-    middle, spread = rolling(f"avg({MEAN})", n), rolling(f"stddev_pop({MEAN})", n)
-    return {
-        "Bollinger_Upper": f"{middle} + {width}D * {spread}",
-        "Bollinger_Lower": f"{middle} - {width}D * {spread}",
-        "U_minus_L": f"{2 * width}D * {spread}",
-        "MA20dSTD": rolling(f"stddev_samp({CLOSE})", n),
+    columns = {
+        "Bollinger_Upper": "mean_20 + 2D * spread_20",
+        "Bollinger_Lower": "mean_20 - 2D * spread_20",
+        "U_minus_L": "4D * spread_20",
+        "MA20dSTD": "close_spread_20",
     }
+    return Family(windows, {name: full(20, value) for name, value in columns.items()})
 
 
-def aroon(n: int = 7, ties: str = "latest") -> dict[str, str]:
+def aroon(n: int = 7, ties: str = "latest") -> Family:
     """Bars since the extreme of the last n+1 bars, as a percentage; ``ties`` names the winning bar."""
-    sign = {"latest": "", "earliest": "-"}[ties]
-    other = {"": "-", "-": ""}[sign]
-    frame = last_rows(n + 1)
-    highest = f"max_by(row_nr, struct({HIGH}, {sign}row_nr)) OVER {frame}"
-    lowest = f"min_by(row_nr, struct({LOW}, {other}row_nr)) OVER {frame}"
+    if ties not in ("latest", "earliest"):
+        raise ValueError(f"ties {ties!r}: expected 'latest' or 'earliest'")
+    ages = range(n + 1) if ties == "latest" else range(n, -1, -1)
 
-    def percent(extreme: str) -> str:
-        return full(n + 1, f"100D * ({n} - row_nr + {extreme}) / {n}D")
+    def percent(now: str, field: str, extreme: str) -> str:
+        values = {k: f"before_{k}.{field}" if k else now for k in ages}
+        age = " ".join(f"WHEN {value} = {extreme} THEN {k}" for k, value in values.items())
+        return full(n + 1, f"100D * ({n} - CASE {age} END) / {n}D")
 
-    return {f"AROONU_{n}": percent(highest), f"AROOND_{n}": percent(lowest)}
+    windows = {f"high_{n + 1}": rolling(f"max({HIGH})", n + 1), f"low_{n + 1}": rolling(f"min({LOW})", n + 1)}
+    columns = {f"AROONU_{n}": percent(HIGH, "high", f"high_{n + 1}"), f"AROOND_{n}": percent(LOW, "low", f"low_{n + 1}")}
+    return Family(windows | _before(n), columns)
 
 
-def awesome() -> dict[str, str]:
+def awesome() -> Family:
     """Short minus long mean of the bar's middle."""
-    middle = f"avg(({HIGH} + {LOW}) / 2)"
-    return {"AO_5_10": f"{rolling(middle, 5)} - {rolling(middle, 10)}"}
+    windows = {f"middle_{n}": rolling(f"avg(({HIGH} + {LOW}) / 2)", n) for n in (5, 10)}
+    return Family(windows, {"AO_5_10": full(10, "middle_5 - middle_10")})
+
+
+def stochastic() -> Family:
+    """%K before it is carried over bars with a zero range; ``carried_stochastic`` makes the output columns."""
+    windows = {"high_7": rolling(f"max({HIGH})", 7), "low_7": rolling(f"min({LOW})", 7)}
+    return Family(windows, {"raw_k": full(7, ratio(f"({CLOSE} - low_7) * 100", "high_7 - low_7"))})
 
 
-def stochastic_raw(n: int = 7) -> dict[str, str]:
-    """%K before it is carried over bars with a zero range."""
-    lowest, highest = rolling(f"min({LOW})", n), rolling(f"max({HIGH})", n)
-    return {"raw_k": ratio(f"({CLOSE} - {lowest}) * 100", f"{highest} - {lowest}")}
+def with_families(bars: DataFrame, *families: Family) -> DataFrame:
+    """Add the columns of the families and ``row_nr``, the bar's position in its session from 1."""
+    windows = {"row_nr": f"row_number() OVER ({SESSION})"}
+    columns: dict[str, str] = {}
+    for family in families:
+        windows |= family.windows
+        columns |= family.columns
+    scratch = [name for name in windows if name != "row_nr"]
+    return bars.withColumns(exprs(windows)).withColumns(exprs(columns)).drop(*scratch)
 
 
-def with_stochastic(with_raw: DataFrame, smooth: int = 3) -> DataFrame:
-    """Stochastic %K and its mean %D, both carried forward over bars with a zero range; needs ``raw_k``."""
+def carried_stochastic(with_raw: DataFrame, smooth: int = 3) -> DataFrame:
+    """Stochastic %K and its mean %D, both carried forward over bars with a zero range."""
     frame = last_rows(smooth)
     steady = f"CASE WHEN count(raw_k) OVER {frame} = {smooth} THEN avg(raw_k) OVER {frame} END"
     carried = {"STOCHk_7_3_3": "raw_k", "STOCHd_7_3_3": "raw_d"}
@@ -144,5 +171,5 @@ def with_stochastic(with_raw: DataFrame, smooth: int = 3) -> DataFrame:
 
 def native_indicators(bars: DataFrame, ties: str = "latest") -> DataFrame:
     """All window indicators; keeps ``row_nr``."""
-    columns = open_extremes() | close_open() | moving_averages() | bollinger() | aroon(ties=ties) | awesome()
-    return with_stochastic(numbered(bars).withColumns(exprs(columns | stochastic_raw())))
+    families = [open_extremes(), close_open(), moving_averages(), bollinger(), aroon(ties=ties), awesome(), stochastic()]
+    return carried_stochastic(with_families(bars, *families))

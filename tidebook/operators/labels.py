@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.nulls import exprs, ratio
-from tidebook.operators.bars import SESSION
+from tidebook.operators.bars import neighbour_names, with_neighbours
 
 
 def three_class(move: str, threshold: float = 0.0) -> str:
@@ -19,14 +19,14 @@ def up_class(move: str, zero_is_up: bool = False) -> str:
     return f"CASE WHEN {move} {'>=' if zero_is_up else '>'} 0 THEN 1 ELSE 0 END"
 
 
-def price_moves(bars: DataFrame) -> DataFrame:
+def moves() -> dict[str, str]:
     """Relative moves within the bar: last mid, mean mid and last weighted mid against the first."""
-    moves = {
+    against = {
         "mid_price_variation": ratio("mid_price_last", "mid_price_first"),
         "mean_mid_price_variation": ratio("mid_price_mean", "mid_price_first"),
         "weighted_mid_price_variation": ratio("weighted_mid_price_last", "weighted_mid_price_first"),
     }
-    return bars.withColumns(exprs({name: f"{value} - 1" for name, value in moves.items()}))
+    return {name: f"{value} - 1" for name, value in against.items()}
 
 
 def next_bins_mean(name: str, bins: int) -> str:
@@ -34,24 +34,27 @@ def next_bins_mean(name: str, bins: int) -> str:
 
     NULL if a bin in between has no ticks, if a value is missing or if the bar is among the first
     ``bins - 1`` grid bins of the session (a trailing window over the shifted series is short there).
+    Needs ``after_1`` to ``after_{bins - 1}``.
     """
-    total = " + ".join([name, *[f"lead({name}, {k}) OVER ({SESSION})" for k in range(1, bins)]])
-    no_gap = f"lead(bar_ix, {bins - 1}) OVER ({SESSION}) = bar_ix + {bins - 1}"
+    total = " + ".join([name, *[f"after_{k}.{name}" for k in range(1, bins)]])
+    no_gap = f"after_{bins - 1}.bar_ix = bar_ix + {bins - 1}"
     return f"CASE WHEN {no_gap} AND bar_ix - first_ix >= {bins - 1} THEN ({total}) / {float(bins)}D END"
 
 
+def classes_of_moves(threshold: float, zero_is_up: bool) -> dict[str, str]:
+    """Class labels over the moves; needs ``after_1`` to ``after_4``."""
+    return {
+        "mid_price_variation_class": three_class("mid_price_variation", threshold),
+        "mean_mid_price_variation_class": up_class("mean_mid_price_variation", zero_is_up),
+        "next_5_mean_mid_price_variation_class": up_class(next_bins_mean("mean_mid_price_variation", 5)),
+        "weighted_mid_price_variation_class": up_class("weighted_mid_price_variation"),
+    }
+
+
 def labels(bars: DataFrame, threshold: float = 0.0, zero_is_up: bool = True) -> DataFrame:
     """Add moves and class labels. ``zero_is_up`` decides the class of an unchanged mean mid-price."""
-    return price_moves(bars).withColumns(
-        exprs(
-            {
-                "mid_price_variation_class": three_class("mid_price_variation", threshold),
-                "mean_mid_price_variation_class": up_class("mean_mid_price_variation", zero_is_up),
-                "next_5_mean_mid_price_variation_class": up_class(next_bins_mean("mean_mid_price_variation", 5)),
-                "weighted_mid_price_variation_class": up_class("weighted_mid_price_variation"),
-            }
-        )
-    )
+    ahead = with_neighbours(bars.withColumns(exprs(moves())), ["mean_mid_price_variation"], ahead=4)
+    return ahead.withColumns(exprs(classes_of_moves(threshold, zero_is_up))).drop(*neighbour_names(ahead=4))
 
 
 def next_bar_target(df: DataFrame, target: str, order: str = "bar_ix") -> DataFrame:

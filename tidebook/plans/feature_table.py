@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidebook.functions.nulls import all_present
 from tidebook.operators.bars import bars, with_bar_time
-from tidebook.operators.book import BAR_COLUMNS, book_features, complete_bars
+from tidebook.operators.book import BAR_COLUMNS, complete_bars, labelled_book
 from tidebook.operators.calendar import WEEKDAYS, calendar_features
 from tidebook.operators.indicators import NATIVE, native_indicators
-from tidebook.operators.labels import labels
 from tidebook.operators.recursive import RECURSIVE, recursive_indicators
 from tidebook.sources.ticks import daily_paths, market_hours, read_daily_ticks
 
@@ -36,7 +35,7 @@ def bar_features(
     ticks: DataFrame, rate: str, threshold: float = 0.0, zero_is_up: bool = True, order: Sequence[str] = ("seq",)
 ) -> DataFrame:
     """Complete bars with labels and book features."""
-    return complete_bars(book_features(labels(bars(ticks, rate, order), threshold, zero_is_up)))
+    return complete_bars(labelled_book(bars(ticks, rate, order), threshold, zero_is_up))
 
 
 def indicators(bar_table: DataFrame) -> DataFrame:
