@@ -113,23 +113,36 @@ def critical_values(nobs: int) -> dict[str, float]:
     return {level: sum(b / nobs**k for k, b in enumerate(bs)) for level, bs in TAU_CRITICAL.items()}
 
 
+# Partial matrices a task holds before it passes them on; bounds its memory when series are many and short.
+HELD_SERIES = 256
+
+
 def _cross_products(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Sums of products of all column pairs per series: ``(series_id, i, j, s, n)`` with i <= j.
 
-    Every Arrow batch adds its own matrix to a partial sum, so what leaves a task is one small matrix per
-    series it has seen, and the shuffle adds up matrices.
+    A task adds up one small matrix per series over all of its batches, so the shuffle carries matrices,
+    not rows, however long a series is.
     """
-    d = len(columns)
+    names, d = list(columns), len(columns)
     upper = np.triu_indices(d)
 
+    def passed_on(held):
+        for sid, (g, n) in held.items():
+            yield pd.DataFrame({"series_id": sid, "i": upper[0], "j": upper[1], "s": g[upper], "n": n})
+
     def partial(batches):
+        held: dict[str, tuple[np.ndarray, int]] = {}
         for pdf in batches:
             for sid, part in pdf.groupby("series_id", sort=False):
-                x = part[list(columns)].to_numpy(dtype=float)
-                g = x.T @ x
-                yield pd.DataFrame({"series_id": sid, "i": upper[0], "j": upper[1], "s": g[upper], "n": len(x)})
-
-    parts = rows.select("series_id", *columns).mapInPandas(partial, "series_id STRING, i INT, j INT, s DOUBLE, n BIGINT")
+                x = part[names].to_numpy(dtype=float)
+                g, n = held.get(sid, (np.zeros((d, d)), 0))
+                held[sid] = (g + x.T @ x, n + len(x))
+            if len(held) > HELD_SERIES:
+                yield from passed_on(held)
+                held = {}
+        yield from passed_on(held)
+
+    parts = rows.select("series_id", *names).mapInPandas(partial, "series_id STRING, i INT, j INT, s DOUBLE, n BIGINT")
     return parts.groupBy("series_id", "i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 

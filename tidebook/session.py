@@ -30,13 +30,15 @@ def spark_session(app: str = "tidebook", master: str | None = None, **conf: str)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, else a local one (tests only)."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else a local one in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidebook-"))
     return spark.sparkContext.getCheckpointDir()
 
