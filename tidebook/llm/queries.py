@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate
+from tidebook.llm import decontaminate, sentencepiece
 from tidebook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,22 @@ def register(name: str, oracle: str | None = None):
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the box keeps its public vocabulary files; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op7_sentencepiece")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    model = sentencepiece.load(tokenizer_file("piece_bpe_32k.model"))
+    encoded = sentencepiece.encode(table(spark, folder, "documents").select("doc_id", "text"), model).drop("text")
+    return sentencepiece.decode(encoded, model).select(
+        "doc_id",
+        (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
