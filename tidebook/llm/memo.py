@@ -10,8 +10,8 @@ from array import array
 
 import numpy as np
 
-#: Pieces remembered at once, about 160 MB; then the memory starts afresh.
-MOST_PIECES = 800_000
+#: Pieces remembered at once, about 80 MB; then the memory starts afresh.
+MOST_PIECES = 400_000
 #: Longer pieces are encoded anew each time.
 LONG_PIECE = 48
 

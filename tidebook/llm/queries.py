@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, sentencepiece
+from tidebook.llm import decontaminate, line_dedup, sentencepiece
 from tidebook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,49 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@register(
+    "op4_line_dedup",
+    rf"""
+    WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+    lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS line_no FROM docs),
+    visible AS (SELECT *, length(line) AS n FROM lines WHERE regexp_matches(line, '{SPACED}')),
+    firsts AS (SELECT line, any_value(n) AS n, min({{'d': doc_id, 'l': line_no}}) AS place FROM visible GROUP BY line),
+    long AS (SELECT * FROM firsts WHERE n >= 30),
+    halves AS (
+      SELECT line, n, place, m, side, CASE WHEN side = 0 THEN left(line, m // 2) ELSE right(line, m - m // 2) END AS half
+      FROM (SELECT *, unnest([n, n, n - 1, n - 1]) AS m, unnest([0, 1, 0, 1]) AS side FROM long)
+    ),
+    pairs AS (
+      SELECT DISTINCT a.line, string_split(a.line, '') AS x, string_split(b.line, '') AS y
+      FROM halves AS a JOIN halves AS b USING (m, side, half)
+      WHERE b.place < a.place AND abs(a.n - b.n) <= 1
+    ),
+    near AS (
+      SELECT DISTINCT line FROM pairs
+      WHERE len(list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i])) = 1 AND len(x) = len(y)
+        OR len(x) = len(y) + 1 AND len(list_filter(range(1, len(x) + 1), lambda i: x[1:i - 1] || x[i + 1:] = y)) > 0
+        OR len(y) = len(x) + 1 AND len(list_filter(range(1, len(y) + 1), lambda i: y[1:i - 1] || y[i + 1:] = x)) > 0
+    ),
+    marked AS (
+      SELECT v.doc_id, v.line_no, f.place = {{'d': v.doc_id, 'l': v.line_no}} AS first, near.line IS NOT NULL AS near
+      FROM visible AS v JOIN firsts AS f USING (line) LEFT JOIN near USING (line)
+    ),
+    kept AS (
+      SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS deduped,
+        count(m.line_no) AS n_kept
+      FROM lines AS l LEFT JOIN (SELECT * FROM marked WHERE first AND NOT near) AS m USING (doc_id, line_no)
+      WHERE m.line_no IS NOT NULL OR NOT regexp_matches(l.line, '{SPACED}')
+      GROUP BY l.doc_id
+    ),
+    counts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first AND near) AS n_near FROM marked GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_kept, 0) AS BIGINT) AS n_kept,
+      CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+      CASE WHEN text IS NULL THEN NULL ELSE sha256(coalesce(deduped, '')) END AS deduped_sha256
+    FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    deduped = line_dedup.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return deduped.select("doc_id", "n_lines", "n_kept", "n_near", F.sha2("deduped", 256).alias("deduped_sha256"))

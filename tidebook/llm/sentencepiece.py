@@ -30,7 +30,7 @@ from tidebook.llm.common import text_buffers, worker_cache
 from tidebook.llm.memo import PieceMemo
 
 SPACE = "▁"
-MOST_PAIRS = 2_000_000
+MOST_PAIRS = 300_000
 
 
 @dataclass(frozen=True)
@@ -85,15 +85,15 @@ class Encoder(PieceMemo):
             self.automaton.add_word(name, i)
         self.automaton.make_automaton()
         self.inside = {name[i : i + 2] for name in self.id_of for i in range(len(name) - 1)}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         starts_words = all(a == SPACE for a, b in self.inside if b == SPACE)
         no_newline = not any("\n" in name for name in self.id_of)
-        self.pattern = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if starts_words and no_newline else "(?s:.+)")
+        self.pattern = re.compile(" *[^ \n]+| +|\n" if starts_words and no_newline else "(?s:.+)")
 
     def cut(self, text: str) -> list[str]:
         if not text:
             return []
-        return self.pattern.findall((SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE))
+        return self.pattern.findall((" " if self.model.dummy_prefix else "") + text.replace(SPACE, " "))
 
     def encode_new(self, pieces: list[str]) -> None:
         for piece in pieces:
@@ -104,7 +104,7 @@ class Encoder(PieceMemo):
         """Ids of a piece; its last character is taken off first where nothing joins it to the rest."""
         if piece in self.known:
             return self.of(piece)
-        if 1 < len(piece) <= 48 and piece[-2:] not in self.inside:
+        if 1 < len(piece) <= 48 and piece[-2:].replace(" ", SPACE) not in self.inside:
             ids = self.learn(piece[:-1]) + self.learn(piece[-1])
         else:
             ids = self.by_prefixes(piece)
@@ -112,19 +112,20 @@ class Encoder(PieceMemo):
         return ids
 
     def by_prefixes(self, text: str) -> list[int]:
+        text = text.replace(" ", SPACE)
         if len(text) == 1:
             known = self.id_of.get(text)
             return [known] if known is not None else [self.byte_id[b] for b in text.encode()]
         last = [-1] * (len(text) + 1)  # of each prefix; -1: a character outside the vocabulary
-        size, pairs, done = self.size, self.pairs, 0
+        size, pairs, vocabulary, done = self.size, self.pairs, len(self.size), 0
         for end, token in self.automaton.iter(text):
             end += 1
             if end == done:
                 continue
-            pair = (last[end - size[token]], token)
-            fits = pairs.get(pair)
+            before = last[end - size[token]]
+            fits = pairs.get(before * vocabulary + token)
             if fits is None:
-                fits = self.compatible(pair)
+                fits = self.compatible(before, token)
             if fits:
                 last[end] = token
                 done = end
@@ -141,11 +142,12 @@ class Encoder(PieceMemo):
         ids.reverse()
         return ids
 
-    def compatible(self, pair: tuple[int, int]) -> bool:
+    def compatible(self, before: int, token: int) -> bool:
         if len(self.pairs) > MOST_PAIRS:
             self.pairs.clear()
-        expected = [i for i in pair if i >= 0]
-        fits = self.pairs[pair] = self.merged("".join(self.model.names[i] for i in expected)) == expected
+        expected = [i for i in (before, token) if i >= 0]
+        fits = self.merged("".join(self.model.names[i] for i in expected)) == expected
+        self.pairs[before * len(self.size) + token] = fits
         return fits
 
     def merged(self, text: str) -> list[int]:
