@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, line_dedup, sentencepiece
+from tidebook.llm import decontaminate, line_dedup, quality_rules, sentencepiece
 from tidebook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     deduped = line_dedup.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return deduped.select("doc_id", "n_lines", "n_kept", "n_near", F.sha2("deduped", 256).alias("deduped_sha256"))
+
+
+@register("op8_quality_rules")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
