@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, line_dedup, quality_rules, sentencepiece
+from tidebook.llm import decontaminate, licenses, line_dedup, quality_rules, sentencepiece
 from tidebook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,45 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
+def license_oracle() -> str:
+    templates = ", ".join(f"({i}, '{label}', '{wording}')" for i, (label, wording) in enumerate(licenses.TEMPLATES))
+    phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in licenses.PHRASES.items())
+    return f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS w, string_split({LOWER}, chr(10)) AS ls FROM documents),
+    phrases(phrase, label) AS (VALUES {phrases}),
+    templates(template, label, wording) AS (VALUES {templates}),
+    split_templates AS (SELECT template, label, list_distinct(string_split(wording, ' ')) AS tw FROM templates),
+    wanted AS (SELECT string_split(phrase, ' ') AS pw, label FROM phrases),
+    places AS (
+      SELECT doc_id, label, p - 1 AS place
+      FROM (SELECT doc_id, w, pw, label, unnest(range(1, len(w) - len(pw) + 2)) AS p FROM d, wanted WHERE len(w) >= len(pw))
+      WHERE w[p:p + len(pw) - 1] = pw
+    ),
+    base AS (
+      SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+      FROM places GROUP BY doc_id
+    ),
+    blocks AS (SELECT doc_id, block, list_distinct(regexp_extract_all(line, '{ALNUM}')) AS bw
+      FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS block FROM d)),
+    matches AS (
+      SELECT doc_id, block, label, len(list_intersect(tw, bw)) AS common, len(tw) AS size FROM blocks, split_templates
+      WHERE len(list_intersect(tw, bw)) >= ceil(0.8 * len(tw) - 1e-9)
+    ),
+    more AS (SELECT doc_id, max(CAST(common AS DOUBLE) / size) AS share, count(DISTINCT block) AS n_blocks FROM matches GROUP BY doc_id),
+    named AS (
+      SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels
+      FROM (SELECT doc_id, label FROM matches UNION SELECT doc_id, label FROM places) GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+      CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+      CAST(coalesce(n_blocks, 0) AS BIGINT) AS n_blocks,
+      CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0) END AS score
+    FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id) LEFT JOIN named USING (doc_id)
+    """
+
+
+@register("op5_license_scan", license_oracle())
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(table(spark, folder, "documents"))
