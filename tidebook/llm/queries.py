@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, licenses, line_dedup, quality_rules, sentencepiece
+from tidebook.llm import decontaminate, licenses, line_dedup, near_dedup, quality_rules, sentencepiece
 from tidebook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,9 @@ def license_oracle() -> str:
 @register("op5_license_scan", license_oracle())
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(table(spark, folder, "documents"))
+
+
+@register("op6_odd_sketch_near_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, folder, "documents"), width=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
