@@ -13,8 +13,9 @@ within the bound: the earliest line of a key is the only partner that matters, s
 A variant's key is a sum of hashes of (character, place), so prefix and suffix sums give all keys of a
 line in time linear in its length. Hash keys only propose; the edit distance is verified on the texts.
 
-Before variants are made, an exact filter drops lines without a possible partner: of two lines within one
-edit, one half is equal, so a line needs a partner with the same length class and the same half.
+Before variants are made, an exact filter drops lines without a possible partner. Cut a line into equal
+parts: an edit touches one, so two lines within one edit agree, in the same length class, on what is left
+without some part. All lines are filtered by halves, what remains by sixteenths.
 
 NULL text has no lines (and stays NULL); an empty table gives an empty table; any column but ``doc_id``
 and ``text`` is left alone.
@@ -28,17 +29,20 @@ from pyspark.sql import functions as F
 from tidebook.llm.common import SPACED_WORD, Scratch, text_key
 
 MIN_CHARS = 30
+#: Parts of the second filter.
+PARTS = 16
 #: Hashes summed over a line stay below 2^63 for lines of up to 2^21 characters.
 SUM_MASK = (1 << 42) - 1
 
 
-def half_keys(line: Column, n: Column) -> Column:
-    """Hashes of both halves, once as the shorter or equal line of a pair (m = n), once as the longer (m = n - 1)."""
+def part_keys(line: Column, n: Column, parts: int) -> Column:
+    """Hashes of the line without one of its parts, for each part: once as the shorter or equal line of a pair
+    (m = n characters are cut), once as the longer (m = n - 1)."""
     keys = []
     for m in (n, n - 1):
-        low = F.floor(m / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("head"), m, F.left(line, low)))
-        keys.append(F.xxhash64(F.lit("tail"), m, F.right(line, m - low)))
+        for part in range(parts):
+            start, end = (F.floor(m * i / parts).cast("int") for i in (part, part + 1))
+            keys.append(F.xxhash64(F.lit(part), m, F.left(line, start), F.lit("|"), F.right(line, m - end)))
     return F.array(*keys)
 
 
@@ -46,7 +50,7 @@ def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """One row per distinct visible line: two hashes, its first place, and half keys (NULL for short lines)."""
     lines = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     n = F.length("line")
-    halves = F.when(n >= min_chars, half_keys(F.col("line"), n))
+    halves = F.when(n >= min_chars, part_keys(F.col("line"), n, 2))
     keyed = lines.where(F.col("line").rlike(SPACED_WORD)).select(
         F.xxhash64("line").alias("h1"),
         F.xxhash64(F.lit("second"), "line").alias("h2"),
@@ -115,7 +119,10 @@ def proposed(variants: DataFrame) -> DataFrame:
 def near_repeats(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """Hashes (h1, h2) of lines that have an earlier line one edit away."""
     candidates = scratch.put("line-candidates", candidate_lines(distinct))
-    lines = scratch.put("line-texts", line_texts(docs, candidates))
+    halved = scratch.put("line-halved", line_texts(docs, candidates))
+    parts = halved.select("id", F.explode(part_keys(F.col("line"), F.length("line"), PARTS)).alias("part"))
+    close = parts.groupBy("part").agg(F.count("*").alias("lines")).where("lines > 1").select("part")
+    lines = scratch.put("line-texts", halved.join(parts.join(close, "part", "left_semi").select("id").distinct(), "id", "left_semi"))
     pairs = proposed(scratch.put("line-variants", neighbourhood(lines)))
     verified = (
         pairs.join(lines, "id")
