@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, licenses, line_dedup, near_dedup, quality_rules, sentencepiece
-from tidebook.llm.common import table
+from tidebook.llm import decontaminate, licenses, line_dedup, near_dedup, quality_rules, sentencepiece, token_files
+from tidebook.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -177,3 +177,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, folder, "documents"), width=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@register("op9_token_files")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    blocks, codes = token_files.write(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"), Scratch(spark))
+    return token_files.read(blocks, codes).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
