@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, licenses, line_dedup, near_dedup, quality_rules, sentencepiece, token_files
+from tidebook.llm import decontaminate, language_id, licenses, line_dedup, near_dedup, quality_rules, sentencepiece, token_files
 from tidebook.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     blocks, codes = token_files.write(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"), Scratch(spark))
     return token_files.read(blocks, codes).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register("op10_language_id")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language_id.predict(docs, language_id.learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
