@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, language_id, licenses, line_dedup, near_dedup, quality_rules, sentencepiece, token_files
+from tidebook.llm import decontaminate, kneser_ney, language_id, licenses, line_dedup, near_dedup, quality_rules, sentencepiece, token_files
 from tidebook.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return language_id.predict(docs, language_id.learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register("op2_kneser_ney_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    scored = kneser_ney.perplexities(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", "lang", "n_grams", "perplexity", "threshold", "kept")
