@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, kneser_ney, language_id, licenses, line_dedup, near_dedup, quality_rules, sentencepiece, token_files
+from tidebook.llm import decontaminate, kneser_ney, language_id, licenses, line_dedup, near_dedup, quality_rules, quotes, sentencepiece, token_files
 from tidebook.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,51 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     scored = kneser_ney.perplexities(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return scored.select("doc_id", "lang", "n_grams", "perplexity", "threshold", "kept")
+
+
+@register(
+    "op1_quotation_linking",
+    rf"""
+    WITH RECURSIVE m AS (SELECT row_number() OVER () AS row, conv_id, turn, role, text, string_split(text, chr(10)) AS ls FROM conversations),
+    tagged AS (
+      SELECT row, conv_id, turn, i, line, len(regexp_replace(opening, '[^>]', '', 'g')) AS level, substr(line, len(opening) + 1) AS body
+      FROM (SELECT row, conv_id, turn, i, line, regexp_extract(line, '^[ \t]*(?:>[ \t]*)+', 0) AS opening
+        FROM (SELECT row, conv_id, turn, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM m))
+    ),
+    marked AS (
+      SELECT *, level < coalesce(lead(level) OVER (PARTITION BY row ORDER BY i), 0)
+        AND regexp_matches(body, '^(?:On .+ wrote|Am .+ schrieb.*|Le .+ a écrit|El .+ escribió) ?:[ \t\r]*$') AS attribution
+      FROM tagged
+    ),
+    levels AS (SELECT DISTINCT row, level FROM marked),
+    shown AS (
+      SELECT l.row, k.conv_id, k.turn, l.level, string_agg(CASE WHEN k.level = l.level AND NOT attribution THEN body ELSE '' END, chr(10) ORDER BY i) AS text
+      FROM levels AS l JOIN marked AS k USING (row) GROUP BY ALL
+    ),
+    paragraphs AS (
+      SELECT row, conv_id, turn, level, trim(regexp_replace(lower(p), '\s+', ' ', 'g')) AS p
+      FROM (SELECT *, unnest(regexp_split_to_array(text, '\n[ \t\r\n]*\n')) AS p FROM shown)
+    ),
+    quotes AS (SELECT * FROM paragraphs WHERE level > 0 AND p <> ''),
+    originals AS (SELECT conv_id, p, min(turn) AS original FROM paragraphs WHERE level = 0 AND p <> '' GROUP BY ALL),
+    linked AS (SELECT row, conv_id, turn, level, original FROM quotes JOIN originals USING (conv_id, p) WHERE original < turn AND length(p) >= 8),
+    parents AS (
+      SELECT conv_id, turn, max(parent) AS parent
+      FROM (SELECT conv_id, turn, max({{'a': -level, 'b': original}}).b AS parent FROM linked GROUP BY row, conv_id, turn) GROUP BY ALL
+    ),
+    up AS (
+      SELECT conv_id, turn, parent AS root FROM parents
+      UNION ALL SELECT up.conv_id, up.turn, parent FROM up JOIN parents ON up.conv_id = parents.conv_id AND up.root = parents.turn
+    ),
+    roots AS (SELECT conv_id, turn, min(root) AS root FROM up GROUP BY ALL),
+    counts AS (SELECT row, count(*) AS n_quoted FROM quotes GROUP BY row),
+    links AS (SELECT row, count(*) AS n_linked FROM linked GROUP BY row),
+    own AS (SELECT s.row, CASE WHEN EXISTS (SELECT 1 FROM levels WHERE levels.row = s.row AND levels.level > 0) THEN trim(s.text, ' ' || chr(9) || chr(10) || chr(13)) ELSE m.text END AS text
+      FROM shown AS s JOIN m USING (row) WHERE s.level = 0)
+    SELECT m.conv_id, row_number() OVER (PARTITION BY m.conv_id ORDER BY coalesce(root, m.turn), m.turn, role, own.text) - 1 AS position,
+      m.turn, role, own.text, parent AS reply_to, coalesce(root, m.turn) AS thread, CAST(coalesce(n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked
+    FROM m LEFT JOIN own USING (row) LEFT JOIN parents USING (conv_id, turn) LEFT JOIN roots USING (conv_id, turn) LEFT JOIN counts USING (row) LEFT JOIN links USING (row)
+    """,
+)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.reply_ordered(table(spark, folder, "conversations"))
