@@ -52,6 +52,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Keys sent to all tasks instead of shuffling texts: at most this many rows of a few numbers, some tens of MB.
+MOST_SENT_ROWS = 1_000_000
+
+
+def sent_if_small(stored: DataFrame, rows: int = MOST_SENT_ROWS) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if it has at most ``rows``; else as it is (a shuffle join)."""
+    return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored
+
+
 def lower_az(text: Column) -> Column:
     """A-Z in lower case, everything else as it is; NULL becomes the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

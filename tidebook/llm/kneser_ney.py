@@ -28,13 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import Scratch, mixed, pieces, text_buffers, text_key
+from tidebook.llm.common import Scratch, mixed, pieces, sent_if_small, text_buffers, text_key
 
 ORDER = 4
 BEGIN, END, OTHER, BEYOND = 1, 2, 0xFFFF, 0xFFFE
 SHARD = 1 << 20
-#: Trusted ids are sent to all tasks up to this many (8 bytes each); beyond, a shuffle join.
-MOST_SENT_IDS = 2_000_000
 QUANTILE = 0.99
 
 
@@ -223,8 +221,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD,
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang")
     trusted = scratch.put("kn-trusted", trusted_ids(labels))
-    sent = F.broadcast(trusted) if trusted.count() <= MOST_SENT_IDS else trusted
-    flagged = docs.join(sent, "doc_id", "left").select("text", F.coalesce("counts", F.lit(False)).alias("counts"))
+    flagged = docs.join(sent_if_small(trusted), "doc_id", "left").select("text", F.coalesce("counts", F.lit(False)).alias("counts"))
     grams = scratch.put("kn-grams", gram_counts(flagged))
     found = log_probabilities(grams, scratch)
     if found is None:

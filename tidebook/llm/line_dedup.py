@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import SPACED_WORD, Scratch, text_key
+from tidebook.llm.common import SPACED_WORD, Scratch, sent_if_small, text_key
 
 MIN_CHARS = 30
 #: Parts of the second filter.
@@ -47,7 +47,7 @@ def part_keys(line: Column, n: Column, parts: int) -> Column:
 
 
 def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row per distinct visible line: two hashes, its first place, and half keys (NULL for short lines)."""
+    """One row per distinct visible line: a number, its first place, and half keys (NULL for short lines)."""
     lines = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     n = F.length("line")
     halves = F.when(n >= min_chars, part_keys(F.col("line"), n, 2))
@@ -57,23 +57,26 @@ def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
         *[F.get(halves, F.lit(i)).alias(f"half{i}") for i in range(4)],
         F.struct("doc_id", "text_key", "line_no").alias("place"),
     )
-    return keyed.groupBy("h1", "h2", *[f"half{i}" for i in range(4)]).agg(F.min("place").alias("place"))
+    firsts = keyed.groupBy("h1", "h2", *[f"half{i}" for i in range(4)]).agg(F.min("place").alias("place"))
+    return firsts.drop("h1", "h2").withColumn("line", F.monotonically_increasing_id())
 
 
-def candidate_lines(distinct: DataFrame) -> DataFrame:
+def candidate_lines(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """Long lines that share a half with another line, numbered in order of their first place."""
-    halves = distinct.where("half0 IS NOT NULL").select("h1", "h2", "place", F.explode(F.array(*[f"half{i}" for i in range(4)])).alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
-    found = halves.join(shared, "half", "left_semi").select("h1", "h2", "place").distinct()
-    return found.orderBy("place", "h1", "h2").withColumn("id", F.monotonically_increasing_id())
+    halves = distinct.where("half0 IS NOT NULL").select("line", F.explode(F.array("half0", "half1", "half2", "half3")).alias("half"))
+    shared = scratch.put("line-halves", halves.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half"))
+    found = scratch.put("line-sharing", halves.join(sent_if_small(shared), "half", "left_semi").select("line").distinct())
+    chosen = distinct.select("line", "place").join(sent_if_small(found), "line", "left_semi")
+    return chosen.orderBy("place", "line").withColumn("id", F.monotonically_increasing_id())
 
 
-def line_texts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+def line_texts(docs: DataFrame, candidates: DataFrame, scratch: Scratch) -> DataFrame:
     """Id and text of the candidate lines, read from the documents of their first places."""
     texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     wanted = candidates.select("id", F.col("place.doc_id").alias("at_id"), F.col("place.text_key").alias("at_text"), F.col("place.line_no").alias("at_line"))
     same_text = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_text"))
-    lines = texts.join(wanted.select("at_id", "at_text").distinct(), same_text, "left_semi").select(
+    places = sent_if_small(scratch.put("line-places", wanted.select("at_id", "at_text").distinct()))
+    lines = texts.join(places, same_text, "left_semi").select(
         "doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
     return lines.join(wanted, same_text & (F.col("line_no") == F.col("at_line"))).select("id", "line").dropDuplicates(["id"])
@@ -117,9 +120,9 @@ def proposed(variants: DataFrame) -> DataFrame:
 
 
 def near_repeats(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
-    """Hashes (h1, h2) of lines that have an earlier line one edit away."""
-    candidates = scratch.put("line-candidates", candidate_lines(distinct))
-    halved = scratch.put("line-halved", line_texts(docs, candidates))
+    """Numbers of distinct lines that have an earlier line one edit away."""
+    candidates = scratch.put("line-candidates", candidate_lines(distinct, scratch))
+    halved = scratch.put("line-halved", line_texts(docs, candidates, scratch))
     parts = halved.select("id", F.explode(part_keys(F.col("line"), F.length("line"), PARTS)).alias("part"))
     close = parts.groupBy("part").agg(F.count("*").alias("lines")).where("lines > 1").select("part")
     lines = scratch.put("line-texts", halved.join(parts.join(close, "part", "left_semi").select("id").distinct(), "id", "left_semi"))
@@ -131,15 +134,15 @@ def near_repeats(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> Data
         .select("id")
         .distinct()
     )
-    return candidates.join(verified, "id", "left_semi").select("h1", "h2", F.lit(True).alias("near"))
+    return candidates.join(verified, "id", "left_semi").select("line", F.lit(True).alias("near"))
 
 
 def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per (doc_id, text_key) that keeps or loses first lines: ``kept`` line numbers and ``n_near`` dropped."""
     scratch = Scratch(docs.sparkSession)
     distinct = scratch.put("lines", distinct_lines(docs, min_chars))
-    near = near_repeats(docs, distinct, scratch)
-    marked = distinct.join(near, ["h1", "h2"], "left").select("place.*", F.coalesce("near", F.lit(False)).alias("near"))
+    near = scratch.put("lines-near", near_repeats(docs, distinct, scratch))
+    marked = distinct.join(sent_if_small(near), "line", "left").select("place.*", F.coalesce("near", F.lit(False)).alias("near"))
     return marked.groupBy(F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_text")).agg(
         F.collect_list(F.when(~F.col("near"), F.col("line_no"))).alias("kept"), F.sum(F.col("near").cast("bigint")).alias("n_near")
     )
@@ -150,18 +153,18 @@ def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lines), ``n_kept`` and ``n_near`` (first occurrences dropped because of an earlier line one edit away).
     Columns of ``docs`` with these names are replaced."""
     results = ["deduped", "n_lines", "n_kept", "n_near"]
-    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"), F.struct("*").alias("row"))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.struct("*").alias("row"))
     joined = rows.join(
         kept_lines(docs.select("doc_id", "text"), min_chars), F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_text")), "left"
     )
-    split = joined.select("row", "text", F.split("text", "\n").alias("lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"), "n_near")
+    split = joined.select("row", F.split("row.text", "\n").alias("lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"), "n_near")
     numbered = F.transform("lines", lambda line, i: F.struct(i.alias("i"), line.rlike(SPACED_WORD).alias("visible")))
     marked = split.withColumns({"blank": F.transform(F.filter(numbered, lambda x: ~x["visible"]), lambda x: x["i"]), "size": F.size("lines")})
     places = F.array_sort(F.concat("kept", "blank"))
     done = marked.select(
         "row",
         F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n").alias("deduped"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("size") - F.size("blank")).cast("bigint").alias("n_lines"),
+        F.when(F.col("row.text").isNull(), 0).otherwise(F.col("size") - F.size("blank")).cast("bigint").alias("n_lines"),
         F.size("kept").cast("bigint").alias("n_kept"),
         F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
     )
