@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import Scratch, WordSpans, byte_class, byte_values, lists, mixed, pieces, text_buffers, text_key
+from tidebook.llm.common import Scratch, WordSpans, byte_class, byte_values, lists, mixed, pieces, sent_if_small, text_buffers, text_key
 from tidebook.llm.components import components
 
 BANDS, ROWS = 44, 5
@@ -133,15 +133,17 @@ def different_bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, label: str) -> DataFrame:
     """The pairs (a, b) of nodes with 100 * common >= percent * joint shingles, on the full sets."""
-    at = nodes.select("node", "doc_id", "text_key")
-    texts = docs.select(F.col("doc_id").alias("at_id"), text_key(F.col("text")).alias("at_text"), "text").dropDuplicates(["at_id", "at_text"])
-    for side in ("a", "b"):
-        named = at.select(F.col("node").alias(side), F.col("doc_id").alias(f"id_{side}"), F.col("text_key").alias(f"key_{side}"))
-        pairs = pairs.join(named, side)
-    with_b = pairs.join(texts, F.col("id_b").eqNullSafe(F.col("at_id")) & (F.col("key_b") == F.col("at_text"))).select("a", "b", "id_a", "key_a", F.col("text").alias("text_b"))
-    with_both = with_b.join(texts, F.col("id_a").eqNullSafe(F.col("at_id")) & (F.col("key_a") == F.col("at_text"))).select("a", "b", F.col("text").alias("text_a"), "text_b")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    places = classes.select("node", F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_text"))
+    needed = scratch.put(f"{label}-needed", places.join(asked, "node"))
+    same_text = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_text"))
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    wanted = keyed.join(sent_if_small(needed.select("at_id", "at_text")), same_text, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    texts = scratch.put(f"{label}-texts", wanted.join(needed, same_text).select("node", "text"))
+    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
@@ -160,7 +162,9 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
                 last = a[-1]
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    return with_both.mapInArrow(run, "a bigint, b bigint")
+    links = scratch.put(label, with_both.mapInArrow(run, "a bigint, b bigint"))
+    scratch.drop(f"{label}-texts", f"{label}-needed")
+    return links
 
 
 def leader_pairs(nodes: DataFrame, buckets: DataFrame, limit: int) -> DataFrame:
@@ -206,30 +210,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """One row per row of ``docs``: doc_id, text_key, n_shingles, component_id (the least id of its component), kept."""
     scratch = Scratch(docs.sparkSession)
     limit = most_different_bits(percent / 100)
-    sets = scratch.put("near-sets", signed(docs.select("doc_id", "text"), width))
+    sets = scratch.put("near-sets", signed(docs.select("doc_id", "text"), width).withColumn("node", F.monotonically_increasing_id()))
     same = ["n_shingles", "sum1", "sum2"]
-    nodes = scratch.put(
-        "near-nodes",
+    # Texts of one set are one node, named after one of its rows.
+    classes = scratch.put(
+        "near-classes",
         sets.where("n_shingles > 0")
         .groupBy(*same)
-        .agg(F.min("doc_id").alias("least_id"), F.min_by(F.struct("doc_id", "text_key"), F.struct("doc_id", "text_key")).alias("at"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
-        .select(*same, "least_id", "at.doc_id", "at.text_key", "bands", "sketch")
-        .withColumn("node", F.monotonically_increasing_id()),
+        .agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key", "node")).alias("at"))
+        .select(*same, "least_id", "at.doc_id", "at.text_key", "at.node"),
     )
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    signed_nodes = sets.select("node", "bands", "sketch").join(sent_if_small(classes.select("node")), "node", "left_semi")
+    banded = signed_nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = scratch.put("near-shared", banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"))
+    members = scratch.put("near-members", banded.join(sent_if_small(shared), "key", "left_semi").select("band", "key", "node"))
+    bucket_nodes = scratch.put("near-bucket-nodes", members.select("node").distinct())
+    nodes = scratch.put("near-candidates", sets.select("node", "bands", "sketch").join(sent_if_small(bucket_nodes), "node", "left_semi"))
     orders = [F.min("node")] + [F.min_by("node", F.xxhash64(F.lit(i), "node")) for i in range(1, LEADERS)]
-    shared = banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.array(*orders).alias("leaders")).where("size > 1").drop("size")
-    buckets = scratch.put("near-buckets", banded.join(shared, ["band", "key"]))
+    buckets = members.join(members.groupBy("key").agg(F.array(*orders).alias("leaders")), "key")
 
     first = scratch.put("near-first", leader_pairs(nodes, buckets, limit))
-    links = scratch.put("near-links", confirmed(first, nodes, docs, width, percent))
+    links = confirmed(first, classes, docs, width, percent, scratch, "near-links")
     roots = components(links, scratch, "near-roots")
     either = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = scratch.put("near-second", open_pairs(nodes, buckets, roots, either, limit))
-    more = scratch.put("near-more", confirmed(second, nodes, docs, width, percent))
+    second = scratch.put("near-second", open_pairs(nodes, members, roots, either, limit))
+    more = confirmed(second, classes, docs, width, percent, scratch, "near-more")
     roots = components(links.union(more), scratch, "near-components")
 
-    rooted = nodes.join(roots, "node", "left").select(*same, "least_id", F.coalesce("root", "node").alias("root"))
+    rooted = classes.join(roots, "node", "left").select(*same, "least_id", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select(*same, "component_id")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return (
