@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from tidebook.llm.common import pieces as text_pieces
 from tidebook.llm.common import text_buffers, worker_cache
-from tidebook.llm.memo import PieceMemo
+from tidebook.llm.memo import LONG_PIECE, PieceMemo
 
 SPACE = "▁"
 MOST_PAIRS = 300_000
@@ -95,21 +95,14 @@ class Encoder(PieceMemo):
             return []
         return self.pattern.findall((" " if self.model.dummy_prefix else "") + text.replace(SPACE, " "))
 
-    def encode_new(self, pieces: list[str]) -> None:
-        for piece in pieces:
-            if piece not in self.known:
-                self.learn(piece)
-
-    def learn(self, piece: str) -> list[int]:
-        """Ids of a piece; its last character is taken off first where nothing joins it to the rest."""
-        if piece in self.known:
-            return self.of(piece)
-        if 1 < len(piece) <= 48 and piece[-2:].replace(" ", SPACE) not in self.inside:
-            ids = self.learn(piece[:-1]) + self.learn(piece[-1])
-        else:
-            ids = self.by_prefixes(piece)
-        self.add(piece, ids)
-        return ids
+    def split(self, piece: str) -> tuple[str, str] | None:
+        """The last character goes off where nothing joins it to the rest."""
+        if 1 < len(piece) <= LONG_PIECE and piece[-2:].replace(" ", SPACE) not in self.inside:
+            return piece[:-1], piece[-1]
+        return None
+
+    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        return [self.by_prefixes(piece) for piece in pieces]
 
     def by_prefixes(self, text: str) -> list[int]:
         text = text.replace(" ", SPACE)

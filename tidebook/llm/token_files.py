@@ -14,8 +14,8 @@ The table with the code lengths (id, length) lies beside it; canonical codes fol
 both, so a file that a lost executor left unfinished is written again and any file system serves. Decoding
 looks up ``limit`` bits in a table and moves on; all checkpoints of a block are decoded side by side in numpy.
 
-Text is encoded by the tokenizers library, one call for each piece between white space that has not been seen
-lately: its pre-tokenizer never joins pieces across white space.
+Text is encoded by the tokenizers library, piece by piece between white space, where a piece has not been seen
+lately: the pre-tokenizer never joins pieces across white space.
 
 NULL and empty texts have the end id only; NULL document ids come first; repeated rows each keep their place
 (ties by text). An empty table gives empty files.
@@ -27,6 +27,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import Scratch, pieces, text_buffers, worker_cache
-from tidebook.llm.memo import PieceMemo
+from tidebook.llm.common import Scratch, WordSpans, byte_class, byte_values, pieces, text_buffers, worker_cache
+from tidebook.llm.memo import NumberTable
 from tidebook.llm.sentencepiece import packed
 
 BLOCK_IDS = 131_072
@@ -45,34 +46,88 @@ MAGIC = b"TBH1"
 LIMIT = 16
 
 
-class WordEncoder(PieceMemo):
-    """Ids by the library. A piece's closing full stops and commas are words of their own after a letter."""
+class WordEncoder:
+    """Ids by the library, for pieces between white space, which the tokenizer never joins.
 
-    CLOSED = re.compile(r"(?s)(.*[A-Za-z])([.,]+)")
+    Pieces are told apart by a 64-bit hash that takes A-Z for a-z, as the tokenizer does; each is encoded when it
+    is first seen and its ids are kept. Texts that may hold a special token, whose case matters, go to the library.
+    """
+
+    #: Pieces remembered at once, some 100 MB; then the memory starts afresh.
+    MOST_PIECES = 1_500_000
+    #: One word, and closing full stops or commas as a second one.
+    SIMPLE = re.compile(r"([^\W\d_]+)([.,]+)?").fullmatch
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_str(definition)
-        self.cut = re.compile(r"[^ \n]+").findall
-
-    def encode_new(self, pieces: list[str]) -> None:
-        parts: dict[str, list[str]] = {}
-        for piece in pieces:
-            closed = self.CLOSED.fullmatch(piece) if piece[-1] in ".," else None
-            base, end = closed.groups() if closed else (piece, None)
-            base = base.lower() if base.isascii() and base.isalpha() else base
-            parts[piece] = [base, end] if end else [base]
-        unknown = sorted({p for ps in parts.values() for p in ps}.difference(self.known))
-        for low in range(0, len(unknown), 4096):
-            some = unknown[low : low + 4096]
-            for piece, coded in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.add(piece, coded.ids)
-        for piece, ps in parts.items():
-            if piece not in self.known:
-                self.add(piece, [i for p in ps for i in self.of(p)])
+        vocabulary = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.flags = byte_class("spaced")
+        self.values = byte_values(self.flags)
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = NumberTable(22)
+        self.ids, self.bounds = array("I"), array("q", [0])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has."""
+        text = data[offsets[0] : offsets[-1]].tobytes()
+        if b"<|" in text:
+            bounds = (offsets - offsets[0]).tolist()
+            coded = self.library.encode_batch_fast([text[a:b].decode() for a, b in zip(bounds, bounds[1:])], add_special_tokens=False)
+            return np.concatenate([np.array(c.ids, np.uint32) for c in coded]), np.array([len(c.ids) for c in coded], np.int64)
+        words = WordSpans(data, offsets, self.flags, self.values)
+        if self.table.count > self.MOST_PIECES:
+            self.clear()
+        numbers = self.table.find(words.hash)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            keys, first = np.unique(words.hash[new], return_index=True)
+            at = new[first]
+            self.learn([text[a:b].decode() for a, b in zip(words.start[at].tolist(), words.end[at].tolist())])
+            self.table.add(keys)
+            numbers[new] = self.table.find(words.hash[new])
+        bounds = np.frombuffer(self.bounds, np.int64)
+        start = bounds[numbers]
+        size = bounds[numbers + 1] - start
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = np.frombuffer(self.ids, np.uint32) if len(self.ids) else np.zeros(0, np.uint32)
+        ids = flat[np.repeat(start - ends + size, size) + np.arange(total)]
+        upto = np.concatenate([[0], ends])[words.first]
+        del bounds, flat
+        return ids, np.diff(upto)
+
+    def learn(self, pieces: list[str]) -> None:
+        for ids in self.encode_pieces(pieces):
+            self.ids.extend(ids)
+            self.bounds.append(len(self.ids))
+
+    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        """Simple pieces have one or two words: many go into one text, and word-end tokens part them."""
+        out: dict[int, list[int]] = {}
+        simple = [(i, 2 if found[2] else 1) for i, p in enumerate(pieces) if (found := self.SIMPLE(p)) and found[1].isalpha()]
+        for low in range(0, len(simple), 500):
+            some = simple[low : low + 500]
+            ids = self.library.encode(" ".join([pieces[i] for i, _ in some]), add_special_tokens=False).ids
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) == sum(n for _, n in some) and ends[-1] == len(ids):
+                start, word = 0, -1
+                for i, n in some:
+                    word += n
+                    out[i] = ids[start : ends[word]]
+                    start = ends[word]
+        rest = [i for i in range(len(pieces)) if i not in out]
+        for low in range(0, len(rest), 4096):
+            some = rest[low : low + 4096]
+            coded = self.library.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)
+            out.update(zip(some, (c.ids for c in coded)))
+        return [out[i] for i in range(len(pieces))]
 
 
 def raw_blocks(docs: DataFrame, tokenizer_file: str, end_id: int) -> tuple[DataFrame, str]:
@@ -109,9 +164,9 @@ def raw_blocks(docs: DataFrame, tokenizer_file: str, end_id: int) -> tuple[DataF
             return pa.RecordBatch.from_arrays(row, names)
 
         for batch in batches:
-            _, offsets = text_buffers(batch.column(1))
+            data, offsets = text_buffers(batch.column(1))
             for low, high in pieces(offsets, 1 << 18):
-                flat, counts = encoder.encode([t or "" for t in batch.column(1).slice(low, high - low).to_pylist()])
+                flat, counts = encoder.encode(data, offsets[low : high + 1])
                 flat = np.insert(flat, np.cumsum(counts), end_id).astype(kind)
                 if held and held + len(flat) > BLOCK_IDS:
                     yield finished()
@@ -178,40 +233,46 @@ class CodeBook:
         space = np.uint64(1) << (self.longest - self.lengths).astype(np.uint64)
         first = np.concatenate([[np.uint64(0)], np.cumsum(space)[:-1]]) if len(ids) else np.zeros(0, np.uint64)
         size = int(self.ids.max()) + 1 if len(ids) else 0
-        self.code, self.bits = np.zeros(size, np.uint64), np.zeros(size, np.int64)
-        self.code[self.ids] = first >> (self.longest - self.lengths).astype(np.uint64)
-        self.bits[self.ids] = self.lengths
+        #: Code word and its length (the low 6 bits) of each id.
+        self.entry = np.zeros(size, np.uint64)
+        self.entry[self.ids] = (first >> (self.longest - self.lengths).astype(np.uint64)) << np.uint64(6) | self.lengths.astype(np.uint64)
         self.symbol = np.zeros(1 << self.longest, np.uint32)
-        self.width = np.ones(1 << self.longest, np.int64)
+        self.width = np.ones(1 << self.longest, np.uint32)
         runs = space.astype(np.int64)
         self.symbol[: runs.sum()] = np.repeat(self.ids, runs)
         self.width[: runs.sum()] = np.repeat(self.lengths, runs)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Code words end to end, and the bit offset of every STEP-th id."""
-        bits, code = self.bits[ids], self.code[ids]
+        entry = self.entry.take(ids)
+        bits = (entry & np.uint64(63)).astype(np.int64)
+        code = entry >> np.uint64(6)
         ends = np.cumsum(bits)
         at = ends - bits
         words = np.zeros((int(ends[-1]) if len(ends) else 0) // 64 + 2, np.uint64)
-        word, room = at >> 6, 64 - (at & 63) - bits
-        over = room < 0
-        high = np.where(over, code >> np.maximum(-room, 0).astype(np.uint64), code << np.maximum(room, 0).astype(np.uint64))
+        word = at >> 6
+        room = 64 - (at & 63) - bits  # below 0: the word's end cuts the code
+        left = np.maximum(room, 0).astype(np.uint64)
+        high = code << left
+        over = np.flatnonzero(room < 0)
+        cut = -room[over]
+        high[over] = code[over] >> cut.astype(np.uint64)
         starts = np.flatnonzero(np.diff(word, prepend=-1))
         if len(starts):
             words[word[starts]] = np.bitwise_or.reduceat(high, starts)
-            words[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
+            words[word[over] + 1] |= code[over] << (64 - cut).astype(np.uint64)
         return words.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8 if len(ends) else 0], at[::STEP]
 
     def decode(self, data: np.ndarray, offsets: np.ndarray, n: int, step: int) -> np.ndarray:
         padded = np.concatenate([data, np.zeros(step * self.longest // 8 + 8, np.uint8)]).astype(np.uint32)
         window = padded[:-3] << 24 | padded[1:-2] << 16 | padded[2:-1] << 8 | padded[3:]
-        at = offsets.astype(np.int64)
+        at = offsets.astype(np.uint32 if len(data) < 1 << 28 else np.int64)
         out = np.zeros((min(step, n), len(at)), np.uint32)
-        last, mask = len(window) - 1, (1 << self.longest) - 1
+        shift, mask = 32 - self.longest, (1 << self.longest) - 1
         for row in out:
-            peek = (window[np.minimum(at >> 3, last)] >> (32 - self.longest - (at & 7)).astype(np.uint32)) & mask
-            row[:] = self.symbol[peek]
-            at += self.width[peek]
+            peek = (window.take(at >> 3, mode="clip") >> (shift - (at & 7)).astype(np.uint32)) & mask
+            self.symbol.take(peek, out=row, mode="clip")
+            at += self.width.take(peek, mode="clip")
         return out.T.ravel()[:n] if len(at) * len(out) >= n else np.zeros(0, np.uint32)
 
 
