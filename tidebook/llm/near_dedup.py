@@ -10,7 +10,8 @@ is already joined need no test, and a bucket never makes all its pairs:
 
 1. Each text takes, of a few common leaders of its buckets (least by as many random orders), the one whose
    sketch is nearest, and the link is confirmed on the full sets. Copies of one text join here.
-2. Buckets that then hold several components are finished exactly: every text outside the bucket's main
+2. Components that meet in a bucket are joined by their nearest pair, if that is confirmed.
+3. Buckets that then still hold several components are finished exactly: every text outside the bucket's main
    component is compared by sketch with the texts of other components in the bucket, once per pair (in the
    first band they share), and what the sketch cannot rule out is confirmed on the full sets.
 
@@ -36,6 +37,8 @@ from tidebook.llm.components import components
 BANDS, ROWS = 44, 5
 SKETCH_BITS = 1024
 LEADERS = 4
+#: Rounds that join whole components before the exact rest; fewer or more change the work, not the result.
+BRIDGES = 2
 SAMPLES = BANDS * ROWS
 
 
@@ -167,37 +170,54 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return links
 
 
-def leader_pairs(nodes: DataFrame, buckets: DataFrame, limit: int) -> DataFrame:
-    """(a, b): for each node b the leader a of its buckets whose sketch is nearest, within the bound."""
-    leaders = buckets.select("node", F.explode(F.array_distinct(F.col("leaders"))).alias("leader")).where("node <> leader").distinct()
+def leader_orders() -> list[Column]:
+    """The least node by its number and by some random orders, the same ones in every bucket."""
+    return [F.min("node")] + [F.min_by("node", F.xxhash64(F.lit(i), "node")) for i in range(1, LEADERS)]
+
+
+def near_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``pairs`` (node, leader, ...) with the number of bits in which their sketches differ."""
     sketches = nodes.select("node", "sketch")
-    seen = (
-        leaders.join(sketches, "node")
-        .join(sketches.select(F.col("node").alias("leader"), F.col("sketch").alias("other")), "leader")
-        .select("node", "leader", different_bits(F.col("sketch"), F.col("other")).alias("bits"))
-        .where(F.col("bits") <= limit)
-    )
-    nearest = seen.groupBy("node").agg(F.min(F.struct("bits", "leader")).alias("best"))
+    both = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("leader"), F.col("sketch").alias("other")), "leader")
+    return both.withColumn("bits", different_bits(F.col("sketch"), F.col("other"))).drop("sketch", "other")
+
+
+def leader_pairs(nodes: DataFrame, members: DataFrame, limit: int) -> DataFrame:
+    """(a, b): for each node b the leader a of its buckets whose sketch is nearest, within the bound."""
+    by_key = members.groupBy("key").agg(F.array(*leader_orders()).alias("leaders"))
+    leaders = members.join(by_key, "key").select("node", F.explode(F.array_distinct("leaders")).alias("leader")).where("node <> leader").distinct()
+    nearest = near_sketches(leaders, nodes).where(F.col("bits") <= limit).groupBy("node").agg(F.min(F.struct("bits", "leader")).alias("best"))
     return nearest.select(F.col("best.leader").alias("a"), F.col("node").alias("b"))
 
 
-def open_pairs(nodes: DataFrame, buckets: DataFrame, roots: DataFrame, tested: DataFrame, limit: int) -> DataFrame:
-    """(a, b): b outside the main component of a bucket, a in another component of it, sketches within the bound."""
-    rooted = buckets.select("band", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # Only buckets of three or more can hold a pair that was not tested as (leader, node).
-    mixed_ones = (
-        rooted.groupBy("band", "key")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-        .where("low <> high AND size > 2")
-        .select("band", "key")
-    )
-    members = rooted.join(mixed_ones, ["band", "key"])
-    per_root = members.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-    main = per_root.groupBy("band", "key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    marked = members.join(main, ["band", "key"]).join(nodes.select("node", "sketch", "bands"), "node")
-    out = marked.where("root <> main").select("band", "key", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "sketch", "bands")])
+def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their root and the bucket's ``main`` (largest) one.
+
+    Buckets of two are left out: their one pair was tested as (leader, node).
+    """
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per_root = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    several = per_root.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("components"), F.sum("n").alias("size"))
+    return rooted.join(several.where("components > 1 AND size > 2").select("key", "main"), "key")
+
+
+def bridge_pairs(nodes: DataFrame, opened: DataFrame, limit: int) -> DataFrame:
+    """(a, b): for two components that meet in a bucket, the pair of nearest sketches among the main one's leaders
+    and the other one's members."""
+    leaders = opened.where("root = main").groupBy("key").agg(F.array(*leader_orders()).alias("leaders"))
+    outside = opened.where("root <> main").join(leaders, "key").select("node", "root", "main", F.explode(F.array_distinct("leaders")).alias("leader")).distinct()
+    seen = near_sketches(outside, nodes).where(F.col("bits") <= limit)
+    best = seen.groupBy("root", "main").agg(F.min(F.struct("bits", "leader", "node")).alias("best"))
+    return best.select(F.col("best.leader").alias("a"), F.col("best.node").alias("b"))
+
+
+def open_pairs(nodes: DataFrame, opened: DataFrame, tested: DataFrame, limit: int) -> DataFrame:
+    """(a, b): b outside the main component of a bucket, a in another component of it, sketches within the bound.
+    A pair comes up in the first band it shares only."""
+    marked = opened.join(nodes.select("node", "sketch", "bands"), "node")
+    out = marked.where("root <> main").select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "sketch", "bands")])
     first_shared = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) - 1
-    pairs = marked.join(out, ["band", "key"]).where(
+    pairs = marked.join(out, "key").where(
         (F.col("root") != F.col("root_b"))
         & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("node_b")))
         & (first_shared == F.col("band"))
@@ -226,15 +246,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = scratch.put("near-members", banded.join(sent_if_small(shared), "key", "left_semi").select("band", "key", "node"))
     bucket_nodes = scratch.put("near-bucket-nodes", members.select("node").distinct())
     nodes = scratch.put("near-candidates", sets.select("node", "bands", "sketch").join(sent_if_small(bucket_nodes), "node", "left_semi"))
-    orders = [F.min("node")] + [F.min_by("node", F.xxhash64(F.lit(i), "node")) for i in range(1, LEADERS)]
-    buckets = members.join(members.groupBy("key").agg(F.array(*orders).alias("leaders")), "key")
 
-    first = scratch.put("near-first", leader_pairs(nodes, buckets, limit))
-    links = confirmed(first, classes, docs, width, percent, scratch, "near-links")
+    tested = scratch.put("near-first", leader_pairs(nodes, members, limit))
+    links = confirmed(tested, classes, docs, width, percent, scratch, "near-links")
     roots = components(links, scratch, "near-roots")
-    either = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = scratch.put("near-second", open_pairs(nodes, members, roots, either, limit))
-    more = confirmed(second, classes, docs, width, percent, scratch, "near-more")
+    for step in range(BRIDGES):
+        bridges = scratch.put(f"near-bridges-{step}", bridge_pairs(nodes, open_members(members, roots), limit).join(tested, ["a", "b"], "left_anti"))
+        more = confirmed(bridges, classes, docs, width, percent, scratch, f"near-bridged-{step}")
+        tested = tested.union(bridges)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        roots = components(links, scratch, f"near-roots-{step}")
+    either = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = scratch.put("near-rest", open_pairs(nodes, open_members(members, roots), either, limit))
+    more = confirmed(rest, classes, docs, width, percent, scratch, "near-more")
     roots = components(links.union(more), scratch, "near-components")
 
     rooted = classes.join(roots, "node", "left").select(*same, "least_id", F.coalesce("root", "node").alias("root"))
