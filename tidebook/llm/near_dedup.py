@@ -8,10 +8,9 @@ its population count tells high similarities apart; texts of equal sets are merg
 Bands of equal samples bring candidates together. Only components are asked for, so links that join what
 is already joined need no test, and a bucket never makes all its pairs:
 
-1. Each text takes, of a few common leaders of its buckets (least by as many random orders), the one whose
-   sketch is nearest, and the link is confirmed on the full sets. Copies of one text join here.
-2. Components that meet in a bucket are joined by their nearest pair, if that is confirmed.
-3. Buckets that then still hold several components are finished exactly: every text outside the bucket's main
+1. Each text takes, of a few common leaders of its buckets (least by as many random orders), the two whose
+   sketches are nearest, and the links are confirmed on the full sets. Copies of one text join here.
+2. Buckets that then still hold several components are finished exactly: every text outside the bucket's main
    component is compared by sketch with the texts of other components in the bucket, once per pair (in the
    first band they share), and what the sketch cannot rule out is confirmed on the full sets.
 
@@ -37,8 +36,10 @@ from tidebook.llm.components import components
 BANDS, ROWS = 44, 5
 SKETCH_BITS = 1024
 LEADERS = 4
-#: Rounds that join whole components before the exact rest; fewer or more change the work, not the result.
-BRIDGES = 2
+#: Nearest leaders that each text is tested against; more change the work, not the result.
+NEAREST = 2
+#: Texts of a block when a bucket is finished exactly.
+BLOCK = 400
 SAMPLES = BANDS * ROWS
 
 
@@ -136,15 +137,20 @@ def different_bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, label: str) -> DataFrame:
-    """The pairs (a, b) of nodes with 100 * common >= percent * joint shingles, on the full sets."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def node_texts(asked: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    """(node, text) of the distinct nodes ``asked``, stored; texts of other documents are not shuffled if few are asked for."""
     places = classes.select("node", F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_text"))
     needed = scratch.put(f"{label}-needed", places.join(asked, "node"))
     same_text = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_text"))
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
     wanted = keyed.join(sent_if_small(needed.select("at_id", "at_text")), same_text, "left_semi").dropDuplicates(["doc_id", "text_key"])
-    texts = scratch.put(f"{label}-texts", wanted.join(needed, same_text).select("node", "text"))
+    return scratch.put(f"{label}-texts", wanted.join(needed, same_text).select("node", "text"))
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, label: str) -> DataFrame:
+    """The pairs (a, b) of nodes with 100 * common >= percent * joint shingles, on the full sets."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = node_texts(asked, classes, docs, scratch, label)
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -175,55 +181,75 @@ def leader_orders() -> list[Column]:
     return [F.min("node")] + [F.min_by("node", F.xxhash64(F.lit(i), "node")) for i in range(1, LEADERS)]
 
 
-def near_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``pairs`` (node, leader, ...) with the number of bits in which their sketches differ."""
-    sketches = nodes.select("node", "sketch")
-    both = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("leader"), F.col("sketch").alias("other")), "leader")
-    return both.withColumn("bits", different_bits(F.col("sketch"), F.col("other"))).drop("sketch", "other")
-
-
 def leader_pairs(nodes: DataFrame, members: DataFrame, limit: int) -> DataFrame:
-    """(a, b): for each node b the leader a of its buckets whose sketch is nearest, within the bound."""
+    """(a, b): for each node b the leaders a of its buckets whose sketches are nearest, within the bound."""
     by_key = members.groupBy("key").agg(F.array(*leader_orders()).alias("leaders"))
     leaders = members.join(by_key, "key").select("node", F.explode(F.array_distinct("leaders")).alias("leader")).where("node <> leader").distinct()
-    nearest = near_sketches(leaders, nodes).where(F.col("bits") <= limit).groupBy("node").agg(F.min(F.struct("bits", "leader")).alias("best"))
-    return nearest.select(F.col("best.leader").alias("a"), F.col("node").alias("b"))
+    sketches = nodes.select("node", "sketch")
+    both = leaders.join(sketches, "node").join(sketches.select(F.col("node").alias("leader"), F.col("sketch").alias("other")), "leader")
+    near = both.select("node", "leader", different_bits(F.col("sketch"), F.col("other")).alias("bits")).where(F.col("bits") <= limit)
+    # A node has a few leaders for each of its bands at most.
+    nearest = near.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("bits", "leader"))), 1, NEAREST).alias("best"))
+    pairs = nearest.select(F.explode("best.leader").alias("a"), F.col("node").alias("b"))
+    # Two leaders may have chosen each other.
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their root and the bucket's ``main`` (largest) one.
-
-    Buckets of two are left out: their one pair was tested as (leader, node).
-    """
+    """Members of buckets that hold several components, with their root and the bucket's ``main`` (largest) one."""
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per_root = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    several = per_root.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("components"), F.sum("n").alias("size"))
-    return rooted.join(several.where("components > 1 AND size > 2").select("key", "main"), "key")
-
-
-def bridge_pairs(nodes: DataFrame, opened: DataFrame, limit: int) -> DataFrame:
-    """(a, b): for two components that meet in a bucket, the pair of nearest sketches among the main one's leaders
-    and the other one's members."""
-    leaders = opened.where("root = main").groupBy("key").agg(F.array(*leader_orders()).alias("leaders"))
-    outside = opened.where("root <> main").join(leaders, "key").select("node", "root", "main", F.explode(F.array_distinct("leaders")).alias("leader")).distinct()
-    seen = near_sketches(outside, nodes).where(F.col("bits") <= limit)
-    best = seen.groupBy("root", "main").agg(F.min(F.struct("bits", "leader", "node")).alias("best"))
-    return best.select(F.col("best.leader").alias("a"), F.col("best.node").alias("b"))
-
-
-def open_pairs(nodes: DataFrame, opened: DataFrame, tested: DataFrame, limit: int) -> DataFrame:
-    """(a, b): b outside the main component of a bucket, a in another component of it, sketches within the bound.
-    A pair comes up in the first band it shares only."""
-    marked = opened.join(nodes.select("node", "sketch", "bands"), "node")
-    out = marked.where("root <> main").select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "sketch", "bands")])
-    first_shared = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) - 1
-    pairs = marked.join(out, "key").where(
-        (F.col("root") != F.col("root_b"))
-        & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("node_b")))
-        & (first_shared == F.col("band"))
-        & (different_bits(F.col("sketch"), F.col("sketch_b")) <= limit)
-    )
-    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).join(tested, ["a", "b"], "left_anti")
+    several = per_root.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("components"))
+    return rooted.join(several.where("components > 1").select("key", "main"), "key")
+
+
+def block_links(table: pa.Table, width: int, percent: int, limit: int) -> pa.Table:
+    """Links between the two blocks of one group: each text outside the main component against the texts of other
+    components, in the first band they share, by sketch and then on the full sets."""
+    column = lambda name: table.column(name).combine_chunks()
+    outside = column("outside").to_numpy(zero_copy_only=False)
+    node, root, main = (column(c).to_numpy() for c in ("node", "root", "main"))
+    band = column("band")[0].as_py()
+    bands, sketch = (column(c).flatten().to_numpy().reshape(table.num_rows, -1) for c in ("bands", "sketch"))
+    rest, left = np.flatnonzero(outside), np.flatnonzero(~outside)
+    tried: list[tuple[int, np.ndarray]] = []
+    for i in rest:
+        some = left[(root[left] != root[i]) & ((root[left] == main[i]) | (node[left] < node[i]))]
+        some = some[np.bitwise_count((sketch[some] ^ sketch[i]).view(np.uint64)).sum(axis=1) <= limit]
+        some = some[(bands[some, :band] != bands[i, :band]).all(axis=1)]
+        if len(some):
+            tried.append((i, some))
+    needed = np.unique(np.concatenate([[i] for i, _ in tried] + [some for _, some in tried])) if tried else np.zeros(0, np.int64)
+    sets = dict(zip(needed.tolist(), shingle_sets(column("text").take(pa.array(needed, pa.int64())), width)))
+    found: list[tuple[int, int]] = []
+    for i, some in tried:
+        own = sets[i]
+        flat = np.concatenate([sets[j] for j in some.tolist()])
+        sizes = np.array([len(sets[j]) for j in some.tolist()])
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        common = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+        linked = some[100 * common >= percent * (len(own) + sizes - common)]
+        found += [(int(node[j]), int(node[i])) for j in linked.tolist()]
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def rest_links(nodes: DataFrame, opened: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, limit: int, scratch: Scratch) -> DataFrame:
+    """All links between different components of a bucket, in groups of at most about two BLOCKs of texts."""
+    texts = node_texts(opened.select("node").distinct(), classes, docs, scratch, "near-rest")
+    outside = F.col("root") != F.col("main")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = opened.groupBy("key").agg(blocks(F.count("*")).alias("lefts"), blocks(F.sum(outside.cast("int"))).alias("rights"))
+    rows = opened.join(sizes, "key").join(nodes.select("node", "bands", "sketch"), "node").join(texts, "node")
+    spot = F.xxhash64("node")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "band", "node", "root", "main", "bands", "sketch", "text"]
+    left = rows.select(*columns, F.lit(False).alias("outside"), F.pmod(spot, F.col("lefts")).cast("int").alias("left"), every("rights").alias("right"))
+    right = rows.where(outside).select(*columns, F.lit(True).alias("outside"), every("lefts").alias("left"), F.pmod(spot, F.col("rights")).cast("int").alias("right"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        return block_links(table, width, percent, limit)
+
+    return scratch.put("near-more", left.unionByName(right).groupBy("key", "left", "right").applyInArrow(compare, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -250,17 +276,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tested = scratch.put("near-first", leader_pairs(nodes, members, limit))
     links = confirmed(tested, classes, docs, width, percent, scratch, "near-links")
     roots = components(links, scratch, "near-roots")
-    for step in range(BRIDGES):
-        bridges = scratch.put(f"near-bridges-{step}", bridge_pairs(nodes, open_members(members, roots), limit).join(tested, ["a", "b"], "left_anti"))
-        more = confirmed(bridges, classes, docs, width, percent, scratch, f"near-bridged-{step}")
-        tested = tested.union(bridges)
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        roots = components(links, scratch, f"near-roots-{step}")
-    either = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = scratch.put("near-rest", open_pairs(nodes, open_members(members, roots), either, limit))
-    more = confirmed(rest, classes, docs, width, percent, scratch, "near-more")
+    opened = scratch.put("near-opened", open_members(members, roots))
+    more = rest_links(nodes, opened, classes, docs, width, percent, limit, scratch)
     roots = components(links.union(more), scratch, "near-components")
 
     rooted = classes.join(roots, "node", "left").select(*same, "least_id", F.coalesce("root", "node").alias("root"))
