@@ -484,6 +484,30 @@ def correlation(spark, folder):
     return analysis.correlation(model_table(spark, folder), CORR)
 
 
+SMALL = ["std_mid_price", "mean_mid_price_variation", "weighted_mid_price_variation", "total_net_order_flow"]
+
+
+def small_sql(value: str) -> str:
+    return with_bars(
+        " UNION ALL ".join(
+            f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r6(f'corr({value.format(c=a)}, {value.format(c=b)})')} AS r FROM full_bars" for a in SMALL for b in SMALL
+        ),
+        WIDE,
+    )
+
+
+@register("correlation_small_moves", small_sql("{c} * 1e-7::DOUBLE"))
+def correlation_small_moves(spark, folder):
+    table = model_table(spark, folder).select(*[(F.col(c).cast("double") * F.lit(1e-7)).alias(c) for c in SMALL])
+    return analysis.correlation(table, SMALL)
+
+
+@register("correlation_with_nulls", small_sql("CASE WHEN {c} > 0 THEN CAST({c} AS DOUBLE) END"))
+def correlation_with_nulls(spark, folder):
+    table = model_table(spark, folder).select(*[F.when(F.col(c) > 0, F.col(c).cast("double")).alias(c) for c in SMALL])
+    return analysis.correlation(table, SMALL)
+
+
 @register("class_counts", with_bars('SELECT CAST(mid_price_variation_class AS INTEGER) AS "class", count(*) AS n FROM full_bars GROUP BY 1', WIDE))
 def class_counts(spark, folder):
     return analysis.class_counts(complete(spark, folder), "mid_price_variation_class")
@@ -606,7 +630,7 @@ def accuracy(spark, folder):
     "confusion",
     f"WITH {GUESSES} SELECT y, "
     + ", ".join(f"count(*) FILTER (WHERE yhat = {k}) AS predicted_{k}" for k in range(3))
-    + " FROM votes GROUP BY y",
+    + " FROM (SELECT y, yhat FROM votes UNION ALL SELECT CAST(unnest(range(3)) AS INTEGER), NULL) t GROUP BY y",
 )
 def confusion(spark, folder):
     return evaluation.confusion_matrix(voted(spark, folder), NUM_CLASSES)
@@ -642,10 +666,11 @@ def class_report(spark, folder):
 
 
 def histogram_sql(value: str, table: str, bins: int) -> str:
-    return f"""v AS (SELECT y, {value} AS v FROM {table}), lim AS (SELECT y, min(v) AS lo, max(v) AS hi FROM v GROUP BY y)
-    SELECT y, CAST(least(coalesce(floor((v - lo) / nullif((hi - lo) / {bins}.0::DOUBLE, 0)), 0), {bins - 1}) + 1 AS INTEGER) AS bin,
-    {r6(f'lo + (hi - lo) / {bins}.0::DOUBLE * least(coalesce(floor((v - lo) / nullif((hi - lo) / {bins}.0::DOUBLE, 0)), 0), {bins - 1})')} AS bin_start,
-    count(*) AS n FROM v JOIN lim USING (y) GROUP BY ALL"""
+    return f"""v AS (SELECT y, {value} AS v FROM {table}), lim AS (SELECT y, min(v) AS lo, max(v) AS hi FROM v GROUP BY y),
+    placed AS (SELECT y, CAST(least(coalesce(floor((v - lo) / nullif((hi - lo) / {bins}.0::DOUBLE, 0)), 0), {bins - 1}) + 1 AS INTEGER) AS bin FROM v JOIN lim USING (y)),
+    every AS (SELECT y, lo, hi, CAST(unnest(range(1, {bins + 1})) AS INTEGER) AS bin FROM lim)
+    SELECT y, bin, {r6(f'lo + (hi - lo) / {bins}.0::DOUBLE * (bin - 1)')} AS bin_start, count(placed.bin) AS n
+    FROM every LEFT JOIN placed USING (y, bin) GROUP BY y, bin, lo, hi"""
 
 
 @register("prob_hist", f"WITH {GUESSES}, {histogram_sql('p[y + 1]', 'single', 30)}")

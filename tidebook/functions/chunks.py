@@ -17,9 +17,11 @@ CHUNK_ROWS = 65_536
 
 
 def with_halo(df: DataFrame, ord_col: str, halo: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add ``chunk`` and ``own``; the last ``halo`` rows of a chunk also open the next one, not owned."""
-    if halo > chunk_rows:
-        raise ValueError("the halo must fit in one chunk")
+    """Add ``chunk`` and ``own``; the last ``halo`` rows of a chunk also open the next one, not owned.
+
+    A chunk is at least as long as the halo, whatever ``chunk_rows`` says.
+    """
+    chunk_rows = max(chunk_rows, halo)
     home = F.floor(F.col(ord_col) / chunk_rows).cast("bigint")
     near_end = F.col(ord_col) % chunk_rows >= chunk_rows - halo
     chunks = F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home)) if halo else F.array(home)

@@ -6,9 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rank accuracy of the sketch that brackets a quantile, and the bracket size worth sorting exactly.
@@ -171,18 +169,42 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+# Correlations of one aggregate; wider tables take several passes over them.
+PAIRS_PER_PASS = 150
+# Of a column scaled to deviation 1, what rounding leaves where the values are really constant.
+CONSTANT = 1e-9
+
+
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair, as ``(feature_a, feature_b, r)``; NULL for a constant column."""
-    spark = df.sparkSession
-    safe = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    vectors = VectorAssembler(inputCols=safe.columns, outputCol="v").transform(safe).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    rows = [
-        (a, b, None if math.isnan(matrix[i, j]) else float(matrix[i, j]))
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-    ]
-    return spark.createDataFrame(rows, "feature_a STRING, feature_b STRING, r DOUBLE")
+    """Pearson correlation of every pair over the rows that have both, as ``(feature_a, feature_b, r)``.
+
+    NULL for a pair without two rows or with a constant column, the diagonal included. Sums are combined
+    before the shuffle; only one row of sums per pass is exchanged. Columns are centred near their mean and
+    scaled first, so that small variances keep their digits.
+    """
+    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    sizes = wide.agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in wide.columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+
+    def scaled(c: str) -> Column:
+        mean, deviation = sizes[f"{c}_m"] or 0.0, sizes[f"{c}_s"] or 0.0
+        return ((F.col(c) - F.lit(mean)) / F.lit(deviation if deviation > 1e-12 * abs(mean) else 1.0)).alias(c)
+
+    table = wide.select(*[scaled(c) for c in wide.columns])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    found: dict[tuple[int, int], float | None] = {}
+    for low in range(0, len(pairs), PAIRS_PER_PASS):
+        some, sums = pairs[low : low + PAIRS_PER_PASS], []
+        for k, (i, j) in enumerate(some):
+            x, y = F.col(f"c{i}"), F.col(f"c{j}")
+            sums += [F.covar_pop(x, y).alias(f"xy{k}"), F.stddev_pop(F.when(y.isNotNull(), x)).alias(f"x{k}"), F.stddev_pop(F.when(x.isNotNull(), y)).alias(f"y{k}")]
+        row = table.agg(*sums).first()
+        for k, pair in enumerate(some):
+            xy, x, y = row[f"xy{k}"], row[f"x{k}"], row[f"y{k}"]
+            found[pair] = max(-1.0, min(1.0, xy / (x * y))) if xy is not None and min(x, y) > CONSTANT else None
+            if pair[0] == pair[1] and found[pair] is not None:
+                found[pair] = 1.0
+    rows = [(a, b, found[min(i, j), max(i, j)]) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "feature_a STRING, feature_b STRING, r DOUBLE")
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:

@@ -11,41 +11,137 @@ from tidebook.functions.chunks import CHUNK_ROWS, in_chunk, with_halo
 
 # Named feature sets.
 FEATURE_SETS: dict[str, list[str]] = {
-    "trend": (
-        "ADX_5 ADX_7 ADX_10 DMP_5 DMP_10 DMN_5 DMN_10 AROONU_7 AROOND_7 OLL3 OLL5 OLL10 OLL15 OHH3 OHH5"
-    ).split(),
-    "oscillators": "STOCHk_7_3_3 STOCHd_7_3_3 MACD_8_21_5 RSI_7 AO_5_10".split(),
-    "moving_averages": "EMA_15 HMA_10 KAMA_3_2_10 MA_10 MA_20 rmCO(3) rmCO(4) rmCO(5) rmCO(6)".split(),
-    "volatility": "Bollinger_Upper Bollinger_Lower U_minus_L MA20dSTD".split(),
-    "other": "CO C1O1 C2O2 C3O3 range OH1".split(),
-    "mid_price": (
-        "mid_price_mean std_mid_price weighted_mid_price_first weighted_mid_price_mean weighted_mid_price_last "
-        "mid_price_variation weighted_mid_price_variation"
-    ).split(),
-    "bid_ask_prices": (
-        "last_best_bid_price mean_best_bid_price last_best_ask_price mean_best_ask_price bid_price_variation "
-        "ask_price_variation last_spread mean_spread std_spread mean_second_ask_price mean_second_bid_price"
-    ).split(),
-    "volume": (
-        "last_best_bid_size mean_best_bid_size std_best_bid_size last_best_ask_size mean_best_ask_size "
-        "std_best_ask_size bid_volume_variation ask_volume_variation total_bid_volume total_ask_volume"
-    ).split(),
-    "orders": (
-        "total_net_order_flow num_added_orders mean_order_book_imbalance last_order_book_imbalance "
-        "order_book_imbalance_5s order_flow_5s num_canceled_orders num_traded_orders"
-    ).split(),
-    "ohlc": "trade_open trade_close trade_high trade_low".split(),
-    "classifier": (
-        "std_mid_price weighted_mid_price_variation mean_mid_price_variation std_spread mean_spread total_bid_volume "
-        "total_ask_volume std_best_bid_size std_best_ask_size mean_order_book_imbalance order_book_imbalance_5s "
-        "order_flow_5s last_order_book_imbalance total_net_order_flow time_since_open"
-    ).split(),
-    "regression_standard": (
-        "DMP_5 DMP_10 DMN_5 DMN_10 MACD_8_21_5 AO_5_10 EMA_15 MA_20 KAMA_3_2_10 CO C2O2 C3O3 total_ask_volume "
-        "total_bid_volume Bollinger_Upper Bollinger_Lower mid_price_variation std_mid_price"
-    ).split(),
-    "regression_minmax": "ADX_10 ADX_7 ADX_5 STOCHk_7_3_3 STOCHd_7_3_3 RSI_7 time_since_open".split(),
+    "trend": [
+        "ADX_5",
+        "ADX_7",
+        "ADX_10",
+        "DMP_5",
+        "DMP_10",
+        "DMN_5",
+        "DMN_10",
+        "AROONU_7",
+        "AROOND_7",
+        "OLL3",
+        "OLL5",
+        "OLL10",
+        "OLL15",
+        "OHH3",
+        "OHH5",
+    ],
+    "oscillators": ["STOCHk_7_3_3", "STOCHd_7_3_3", "MACD_8_21_5", "RSI_7", "AO_5_10"],
+    "moving_averages": [
+        "EMA_15",
+        "HMA_10",
+        "KAMA_3_2_10",
+        "MA_10",
+        "MA_20",
+        "rmCO(3)",
+        "rmCO(4)",
+        "rmCO(5)",
+        "rmCO(6)",
+    ],
+    "volatility": ["Bollinger_Upper", "Bollinger_Lower", "U_minus_L", "MA20dSTD"],
+    "other": ["CO", "C1O1", "C2O2", "C3O3", "range", "OH1"],
+    "mid_price": [
+        "mid_price_mean",
+        "std_mid_price",
+        "weighted_mid_price_first",
+        "weighted_mid_price_mean",
+        "weighted_mid_price_last",
+        "mid_price_variation",
+        "weighted_mid_price_variation",
+    ],
+    "bid_ask_prices": [
+        "last_best_bid_price",
+        "mean_best_bid_price",
+        "last_best_ask_price",
+        "mean_best_ask_price",
+        "bid_price_variation",
+        "ask_price_variation",
+        "last_spread",
+        "mean_spread",
+        "std_spread",
+        "mean_second_ask_price",
+        "mean_second_bid_price",
+    ],
+    "volume": [
+        "last_best_bid_size",
+        "mean_best_bid_size",
+        "std_best_bid_size",
+        "last_best_ask_size",
+        "mean_best_ask_size",
+        "std_best_ask_size",
+        "bid_volume_variation",
+        "ask_volume_variation",
+        "total_bid_volume",
+        "total_ask_volume",
+    ],
+    "orders": [
+        "total_net_order_flow",
+        "num_added_orders",
+        "mean_order_book_imbalance",
+        "last_order_book_imbalance",
+        "order_book_imbalance_5s",
+        "order_flow_5s",
+        "num_canceled_orders",
+        "num_traded_orders",
+    ],
+    "ohlc": ["trade_open", "trade_close", "trade_high", "trade_low"],
+    "classifier": [
+        "std_mid_price",
+        "weighted_mid_price_variation",
+        "mean_mid_price_variation",
+        "std_spread",
+        "mean_spread",
+        "total_bid_volume",
+        "total_ask_volume",
+        "std_best_bid_size",
+        "std_best_ask_size",
+        "mean_order_book_imbalance",
+        "order_book_imbalance_5s",
+        "order_flow_5s",
+        "last_order_book_imbalance",
+        "total_net_order_flow",
+        "time_since_open",
+    ],
+    "regression_standard": [
+        "DMP_5",
+        "DMP_10",
+        "DMN_5",
+        "DMN_10",
+        "MACD_8_21_5",
+        "AO_5_10",
+        "EMA_15",
+        "MA_20",
+        "KAMA_3_2_10",
+        "CO",
+        "C2O2",
+        "C3O3",
+        "total_ask_volume",
+        "total_bid_volume",
+        "Bollinger_Upper",
+        "Bollinger_Lower",
+        "mid_price_variation",
+        "std_mid_price",
+    ],
+    "regression_minmax": ["ADX_10", "ADX_7", "ADX_5", "STOCHk_7_3_3", "STOCHd_7_3_3", "RSI_7", "time_since_open"],
     "regression_plain": ["market_session"],
+    "classifier_technical": [
+        "DMN_5",
+        "DMN_10",
+        "ADX_5",
+        "ADX_10",
+        "DMP_5",
+        "MACD_8_21_5",
+        "STOCHd_7_3_3",
+        "RSI_7",
+        "MA_20",
+        "KAMA_3_2_10",
+        "EMA_15",
+        "MA_10",
+        "Bollinger_Lower",
+        "Bollinger_Upper",
+    ],
 }
 FEATURE_SETS["technical"] = [
     c for s in ("trend", "oscillators", "moving_averages", "volatility", "other") for c in FEATURE_SETS[s]
@@ -107,7 +203,12 @@ def fit_scaler(train: DataFrame, columns: Sequence[str], kind: str = "standard")
         for part, f in zip(("center", "scale"), pairs)
     ]
     row = train.agg(*aggs).first()
-    return {c: (row[f"center_{i}"], row[f"scale_{i}"] or 1.0) for i, c in enumerate(columns)}
+
+    def usable(center: float | None, scale: float | None) -> float:
+        """1 for a constant column: merged partial moments may leave a rest of rounding errors."""
+        return scale if scale is not None and scale > 1e-12 * abs(center or 0.0) else 1.0
+
+    return {c: (row[f"center_{i}"], usable(row[f"center_{i}"], row[f"scale_{i}"])) for i, c in enumerate(columns)}
 
 
 def scale(df: DataFrame, scaler: Mapping[str, tuple[float, float]]) -> DataFrame:

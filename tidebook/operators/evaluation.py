@@ -60,9 +60,15 @@ def confusion(predictions: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(predictions: DataFrame, num_classes: int) -> DataFrame:
-    """One row per true class, one column per predicted class, zero filled."""
+    """One row per class, one column per predicted class, zero filled: a class that is never true has its row.
+
+    A true class outside ``range(num_classes)`` keeps its row too.
+    """
+    spark = predictions.sparkSession
     cells = confusion(predictions).groupBy("y").pivot("yhat", list(range(num_classes))).agg(F.sum("n"))
-    return cells.select("y", *[F.coalesce(F.col(f"`{k}`"), F.lit(0)).alias(f"predicted_{k}") for k in range(num_classes)])
+    every = spark.range(num_classes).select(F.col("id").cast(predictions.schema["y"].dataType).alias("y"))
+    whole = cells.join(every, "y", "full")
+    return whole.select("y", *[F.coalesce(F.col(f"`{k}`"), F.lit(0)).alias(f"predicted_{k}") for k in range(num_classes)])
 
 
 def class_report(predictions: DataFrame) -> DataFrame:
@@ -107,27 +113,20 @@ def class_report(predictions: DataFrame) -> DataFrame:
     )
 
 
-def prob_histogram(predictions: DataFrame, bins: int, value: Column | None = None, max_classes: int = 1_000) -> DataFrame:
+def prob_histogram(predictions: DataFrame, bins: int, value: Column | None = None) -> DataFrame:
     """Counts per true class and equal-width bin over that class's own range; the last bin is closed.
 
-    ``value`` defaults to the probability of the row's true class. The range table has one row per class;
-    its size is checked before it becomes part of the plan.
+    ``value`` defaults to the probability of the row's true class. Every class has all its bins, empty ones
+    with 0. Rows without a value are left out; a class with one value only has it in bin 1.
     """
-    scored = predictions.withColumn("value", F.col("p")[F.col("y")] if value is None else value)
-    ranges = scored.groupBy("y").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).limit(max_classes + 1).collect()
-    if len(ranges) > max_classes:
-        raise ValueError(f"more than {max_classes} classes; is 'y' a class label?")
-    if not ranges:
-        return scored.select("y", F.lit(1).alias("bin"), F.lit(0.0).alias("bin_start"), F.lit(0).cast("bigint").alias("n")).limit(0)
-    low = F.create_map(*[x for r in ranges for x in (F.lit(r["y"]), F.lit(r["lo"]))])[F.col("y")]
-    high = F.create_map(*[x for r in ranges for x in (F.lit(r["y"]), F.lit(r["hi"]))])[F.col("y")]
+    scored = predictions.withColumn("value", F.col("p")[F.col("y")] if value is None else value).where("value IS NOT NULL")
+    ranges = scored.groupBy("y").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     place = F.least(F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), width)), F.lit(0)), F.lit(bins - 1)) + 1
-    return (
-        scored.withColumns({"lo": low, "hi": high})
-        .withColumn("bin", place.cast("int"))
-        .groupBy("y", "bin", (F.col("lo") + width * (F.col("bin") - 1)).alias("bin_start"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    counts = scored.join(ranges, "y").groupBy("y", place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = ranges.select("y", "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    return every.join(counts, ["y", "bin"], "left").select(
+        "y", "bin", (F.col("lo") + width * (F.col("bin") - 1)).alias("bin_start"), F.coalesce("n", F.lit(0)).alias("n")
     )
 
 

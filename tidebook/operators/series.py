@@ -113,8 +113,8 @@ def critical_values(nobs: int) -> dict[str, float]:
     return {level: sum(b / nobs**k for k, b in enumerate(bs)) for level, bs in TAU_CRITICAL.items()}
 
 
-# Partial matrices a task holds before it passes them on; bounds its memory when series are many and short.
-HELD_SERIES = 256
+# Bytes of partial matrices a task holds before it passes them on; bounds its memory when series are many.
+HELD_BYTES = 64 << 20
 
 
 def _cross_products(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -137,7 +137,7 @@ def _cross_products(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
                 x = part[names].to_numpy(dtype=float)
                 g, n = held.get(sid, (np.zeros((d, d)), 0))
                 held[sid] = (g + x.T @ x, n + len(x))
-            if len(held) > HELD_SERIES:
+            if len(held) * d * d * 8 > HELD_BYTES:
                 yield from passed_on(held)
                 held = {}
         yield from passed_on(held)

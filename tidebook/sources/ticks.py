@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,7 @@ TICK_COLUMNS = ["symbol", "session", "ts_us", "seq", *CODE_COLUMNS, *PRICE_COLUM
 # Stored integer -> microseconds, as (multiplier, divisor).
 _TIME_UNITS = {"ns": (1, 1_000), "us": (1, 1), "ms": (1_000, 1)}
 
+
 # Bits of the packed order key left for the tie-break once 37 bits hold the microsecond of the day.
 _TIE_BITS = 26
 
@@ -57,13 +58,6 @@ def missing_sessions(ticks: DataFrame, start: str, end: str) -> DataFrame:
     return wanted.join(have, ["symbol", "session"], "left_anti")
 
 
-def packed_order(ts_us: str, tie: str) -> str:
-    """One BIGINT that orders by microsecond of the day, then by ``tie``; fails loudly if ``tie`` is too big."""
-    span = 1 << _TIE_BITS
-    too_big = "CAST(raise_error('tie-break outside the packed range') AS BIGINT)"
-    return f"CASE WHEN {tie} BETWEEN 0 AND {span - 1} THEN {time_of_day_us(ts_us)} * {span}L + {tie} ELSE {too_big} END"
-
-
 def _wall_clock_us(col: str, unit: str, zone: str | None) -> str:
     if unit not in _TIME_UNITS:
         raise ValueError(f"time unit {unit!r}: expected one of {sorted(_TIME_UNITS)}")
@@ -72,6 +66,12 @@ def _wall_clock_us(col: str, unit: str, zone: str | None) -> str:
     return us if zone is None else f"unix_micros(from_utc_timestamp(timestamp_micros({us}), '{zone}'))"
 
 
+def packed_order() -> Column:
+    """One BIGINT that orders by microsecond of the day, then by row; ties are ranked inside their microsecond."""
+    moment = Window.partitionBy("symbol", "session", "ts_us").orderBy("seq")
+    return F.expr(f"{time_of_day_us()} * {1 << _TIE_BITS}L") + F.row_number().over(moment) - 1
+
+
 def read_daily_ticks(
     spark: SparkSession,
     paths: Sequence[str],
@@ -85,8 +85,9 @@ def read_daily_ticks(
     ``time_col`` picks the event clock. The time column is read as its stored integer (pandas writes
     nanoseconds, which Spark has no timestamp type for), in ``time_unit``; ``zone`` shifts a UTC clock to a
     local one, the default keeps the stored wall clock. File order is the tie-break of equal timestamps:
-    with ``time_ordered`` the row index alone is the order, otherwise time and row index are packed.
-    A missing file is an error.
+    with ``time_ordered`` the row index alone is the order; otherwise ``seq`` packs the microsecond of the
+    day and the rank among the rows of that microsecond, so files may have any length. A missing file is an
+    error.
     """
     schema = T.StructType(
         [T.StructField(time_col, T.LongType())]
@@ -101,12 +102,12 @@ def read_daily_ticks(
         f"substring_index({name}, '_', 1) AS symbol",
         f"to_date(substring_index(substring_index({name}, '_', 2), '_', -1)) AS session",
         f"{ts_us} AS ts_us",
-        f"CAST({row if time_ordered else packed_order(ts_us, row)} AS BIGINT) AS seq",
+        f"CAST({row} AS BIGINT) AS seq",
         *CODE_COLUMNS,
         *PRICE_COLUMNS,
         *SIZE_COLUMNS,
     )
-    return nan_to_null(ticks)
+    return nan_to_null(ticks if time_ordered else ticks.withColumn("seq", packed_order()))
 
 
 def read_tick_table(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -116,7 +117,7 @@ def read_tick_table(spark: SparkSession, path: str, start: str | None = None, en
         ticks = ticks.where(F.col("session") >= F.to_date(F.lit(start)))
     if end:
         ticks = ticks.where(F.col("session") <= F.to_date(F.lit(end)))
-    return nan_to_null(ticks.select(*TICK_COLUMNS))
+    return nan_to_null(ticks.withColumn("symbol", F.col("symbol").cast("string")).select(*TICK_COLUMNS))
 
 
 def market_hours(ticks: DataFrame, opens: str = "09:30", closes: str = "16:00") -> DataFrame:
@@ -160,16 +161,20 @@ def event_ticks(spark: SparkSession, folder: str, symbols: int = 1) -> DataFrame
 
 
 def write_features(df: DataFrame, path: str, buckets: int | None = None, table: str | None = None) -> None:
-    """Save a feature table, one directory per session.
+    """Save a feature or tick table, one directory per session.
 
-    With ``table`` and ``buckets`` the files are also bucketed by ``(symbol, session)``, so later windows
-    and joins on that key need no shuffle. Rows are gathered by ``(symbol, session)`` first, which keeps
-    one file per session and symbol group instead of one per task.
+    Rows are gathered by ``(session, symbol)``, and a symbol and day with very many rows is spread over several
+    tasks and files of even size. Within a file rows are in order of time where the table has one, so that
+    row-group statistics serve a filter on it. With ``table`` and ``buckets`` the files are also bucketed by
+    ``(symbol, session)``, so later windows and joins on that key need no shuffle; a bucket is one task.
     """
+    clock = [c for c in ("bar_ts", "ts_us") if c in df.columns]
     if table:
         if not buckets:
             raise ValueError("a bucketed table needs a bucket count")
-        writer = df.write.bucketBy(buckets, "symbol", "session").sortBy("bar_ts").option("path", path)
+        gathered = df.repartition(buckets, "symbol", "session")
+        writer = gathered.write.bucketBy(buckets, "symbol", "session").sortBy(*clock).option("path", path)
         writer.format("parquet").saveAsTable(table)
         return
-    df.repartition("symbol", "session").write.partitionBy("session").parquet(path)
+    even = df.hint("rebalance", "session", "symbol").sortWithinPartitions("session", "symbol", *clock)
+    even.write.partitionBy("session").parquet(path)
