@@ -19,6 +19,7 @@ from tidebook.functions.rates import time_of_day_us
 from tidebook.operators import analysis, bars, book, calendar, dataset, evaluation, importance, indicators, labels, models
 from tidebook.operators import recursive, series
 from tidebook.plans import feature_table as ft
+from tidebook.plans import ranking as rank
 from tidebook.session import scratch_dir, written
 from tidebook.sources import ticks as src
 
@@ -540,26 +541,30 @@ def top_correlated(spark, folder):
 MI_BINS = 10
 
 
+# Columns that both engines hold exactly, so that values equal to an edge are equal in both.
+EXACT = ["total_bid_volume", "total_ask_volume", "last_best_bid_price", "last_best_ask_price", "last_best_bid_size", "last_best_ask_size", "last_spread", "num_added_orders"]
+
+
 def mutual_info_sql() -> str:
+    moved = f"(SELECT *, lead({TARGET}) OVER (PARTITION BY symbol ORDER BY bar_ts) AS cls FROM full_bars)"
+    rows = f"(SELECT * FROM {moved} m WHERE cls IS NOT NULL)"
     parts = [
         f"""SELECT '{c}' AS feature, {r6('sum(n * 1.0 / total * ln(n * 1.0 * total / (in_bin * in_class)))')} AS mutual_information FROM (
         SELECT n, sum(n) OVER () AS total, sum(n) OVER (PARTITION BY bin) AS in_bin, sum(n) OVER (PARTITION BY cls) AS in_class FROM (
         SELECT bin, cls, count(*) AS n FROM (
-        SELECT len(list_filter(edges, lambda e: e < x)) AS bin, cls FROM (SELECT {r6(c)} AS x, {MI_TARGET} AS cls FROM full_bars) v,
-        (SELECT list_distinct(list(x)) AS edges FROM (SELECT {r6(c)} AS x, row_number() OVER (ORDER BY {c}) AS rk, count(*) OVER () AS n FROM full_bars) o
+        SELECT len(list_filter(edges, lambda e: e < x)) AS bin, cls FROM (SELECT {c} AS x, cls FROM {rows} f) v,
+        (SELECT list_distinct(list(x)) AS edges FROM (SELECT {c} AS x, row_number() OVER (ORDER BY {c}) AS rk, count(*) OVER () AS n FROM {rows} g) o
         WHERE rk IN ({', '.join(f'greatest(CAST(ceil(n * {k} / {MI_BINS}) AS BIGINT), 1)' for k in range(1, MI_BINS))})) e) b GROUP BY bin, cls) j) s"""
-        for c in CORR
+        for c in EXACT
     ]
     return with_bars(" UNION ALL ".join(parts), WIDE)
 
 
-MI_TARGET = "weighted_mid_price_variation_class"
-
-
 @register("mutual_info", mutual_info_sql())
 def mutual_info(spark, folder):
-    # Rounded first: a deviation that equals an edge must equal it in both engines.
-    return analysis.mutual_information(rounded(model_table(spark, folder)), CORR, MI_TARGET, MI_BINS)
+    """What the features tell about the class of the next bar."""
+    table = written(labels.next_bar_target(model_table(spark, folder).select("symbol", "session", "bar_ix", *EXACT, TARGET), TARGET), "next")
+    return analysis.mutual_information(table, EXACT, TARGET, MI_BINS)
 
 
 # --- evaluation, on deterministic pseudo-predictions ------------------------------------------------
@@ -846,30 +851,91 @@ def arima_accuracy(spark, folder):
 # --- ranking and models (no SQL counterpart) ---------------------------------------------------------
 
 
+def ranking(spark, folder) -> DataFrame:
+    return rank.ranking_table(ticks(spark, folder, DEEP), rate(DEEP))
+
+
 @register("rf_importance", None)
 def rf_importance(spark, folder):
-    return importance.forest_importance(model_table(spark, folder), CORR, TARGET, 25, numTrees=20, maxDepth=8)
+    return rank.rank_by_forests(ranking(spark, folder))
 
 
 @register("shap_importance", None)
 def shap_importance(spark, folder):
-    return importance.shap_importance(model_table(spark, folder), CORR, TARGET, 25, maxIter=10)
+    return rank.rank_by_shap(ranking(spark, folder))
+
+
+@register("mutual_info_sets", None)
+def mutual_info_sets(spark, folder):
+    return rank.rank_by_information(ranking(spark, folder))
 
 
 @register("pca_selection", None)
 def pca_selection(spark, folder):
-    return importance.pca_selection(model_table(spark, folder), NUMERIC).importance
+    return rank.rank_by_components(ranking(spark, folder))
+
+
+@register(
+    "pca_correlation",
+    with_bars(
+        " UNION ALL ".join(
+            f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r6(f'corr({a}, {b})')} AS r FROM full_bars" for a in CORR for b in CORR
+        ),
+        WIDE,
+    ),
+)
+def pca_correlation(spark, folder):
+    """All components together give the correlations back: the sum of variance * loading * loading."""
+    picked = importance.pca_selection(model_table(spark, folder), CORR, n_components=len(CORR), num_features_to_keep=len(CORR))
+    shares = spark.createDataFrame([(f"PC{k + 1}", v * len(CORR)) for k, v in enumerate(picked.variance)], "component STRING, variance DOUBLE")
+    sides = [picked.loadings.select("component", F.col("feature").alias(f"feature_{x}"), F.col("loading").alias(x)) for x in "ab"]
+    pairs = sides[0].join(sides[1], "component").join(shares, "component")
+    return pairs.groupBy("feature_a", "feature_b").agg(F.sum(F.col("variance") * F.col("a") * F.col("b")).alias("r"))
+
+
+@register("shap_additivity", with_bars(f"SELECT {', '.join(KEYS)}, {r6('0.0::DOUBLE')} AS rest FROM full_bars", WIDE))
+def shap_additivity(spark, folder):
+    """Values, base and margin of every bar: nothing is left over."""
+    table = bars.with_bar_time(model_table(spark, folder), rate(WIDE))
+    model = importance.fit_boosted(table, CORR[:6], TARGET, maxIter=10)
+    values = importance.shap_values(table, CORR[:6], model, KEYS)
+    left = F.col("margin") - F.col("base") - F.aggregate("phi", F.lit(0.0), lambda a, x: a + x)
+    return values.select(*KEYS, F.round(left, 6).alias("rest"))
+
+
+SEQUENCES_SQL = f"""SELECT symbol, split, CAST(split_ord AS BIGINT) AS split_ord, CAST({TARGET} AS INTEGER) AS y, 1.0::DOUBLE AS total
+FROM splits WHERE split <> 'train' AND split_ord >= {LOOK_BACK}"""
+
+
+@register("seq_classifier_outputs", with_split(SEQUENCES_SQL))
+def seq_classifier_outputs(spark, folder):
+    """Every validation and test sequence gets class probabilities."""
+    seqs = written(dataset.sequences(split_table(spark, folder), SEQ_FEATURES[:4], TARGET, LOOK_BACK), "sequences")
+    model = models.fit_sequence_classifier(seqs.where("split = 'train'"), LOOK_BACK, 4, hidden=(16,), epochs=20)
+    guessed = models.predict_classes(model, seqs.where("split <> 'train'"))
+    return guessed.select("symbol", "split", "split_ord", "y", F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @register("seq_classifier", None)
 def seq_classifier(spark, folder):
+    """Reports of the validation and the test split, and of a random guess on the test split."""
     seqs = written(dataset.sequences(split_table(spark, folder), SEQ_FEATURES, TARGET, LOOK_BACK), "sequences")
-    model = models.fit_sequence_classifier(seqs.where("split = 'train'"), LOOK_BACK, len(SEQ_FEATURES), hidden=(32, 16), epochs=20)
-    return evaluation.class_report(models.predict_classes(model, seqs.where("split = 'test'")))
+    model = models.fit_sequence_classifier(seqs.where("split = 'train'"), LOOK_BACK, len(SEQ_FEATURES), epochs=100)
+    reports = []
+    for split in ("val", "test"):
+        guessed = models.predict_classes(model, seqs.where(f"split = '{split}'"))
+        reports.append(evaluation.class_report(guessed).select(F.lit(split).alias("split"), "*"))
+    keyed = guessed.select(F.concat_ws(":", "symbol", "split_ord").alias("row_id"), "y")
+    chance = evaluation.class_report(evaluation.random_baseline(keyed, 2))
+    return reports[0].unionByName(reports[1]).unionByName(chance.select(F.lit("random").alias("split"), "*"))
 
 
 @register("seq_regressor", None)
 def seq_regressor(spark, folder):
     seqs = written(dataset.sequences(split_table(spark, folder), SEQ_FEATURES, TWO, LOOK_BACK), "sequences")
     fitted = models.fit_sequence_regressors(seqs.where("split = 'train'"), TWO)
-    return evaluation.regression_errors(models.predict_values(fitted, seqs.where("split = 'test'")), TWO)
+    found = [
+        evaluation.regression_errors(models.predict_values(fitted, seqs.where(f"split = '{split}'")), TWO).select(F.lit(split).alias("split"), "*")
+        for split in ("val", "test")
+    ]
+    return found[0].unionByName(found[1])

@@ -28,14 +28,19 @@ FOREST_SETS: dict[str, dict[str, object]] = {
 }
 
 
-def assembled(df: DataFrame, features: Sequence[str], target: str | None = None) -> DataFrame:
-    """``x`` vector of the features, and ``label``. Names with brackets or dots are safe."""
+def assembled(df: DataFrame, features: Sequence[str], target: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys``, the ``x`` vector of the features, and ``label``. Names with brackets or dots are safe.
+
+    Rows with a missing feature or target are left out: no model here takes them.
+    """
     slim = df.select(
+        *keys,
         *[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)],
         *([F.col(f"`{target}`").cast("double").alias("label")] if target else []),
     )
-    vectors = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="x").transform(slim)
-    return vectors.select("x", *(["label"] if target else []))
+    whole = slim.dropna(subset=[c for c in slim.columns if c not in keys])
+    vectors = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="x").transform(whole)
+    return vectors.select(*keys, "x", *(["label"] if target else []))
 
 
 def forest_importance(
@@ -133,8 +138,8 @@ def fit_boosted(df: DataFrame, features: Sequence[str], target: str, seed: int =
     return GBTClassifier(featuresCol="x", labelCol="label", seed=seed, **params).fit(assembled(df, features, target))
 
 
-def shap_values(df: DataFrame, features: Sequence[str], model: GBTClassificationModel) -> DataFrame:
-    """SHAP values in log-odds per row: ``phi`` array, ``base`` and the model's own ``margin``.
+def shap_values(df: DataFrame, features: Sequence[str], model: GBTClassificationModel, keys: Sequence[str] = ()) -> DataFrame:
+    """SHAP values in log-odds per row: ``keys``, ``phi`` array, ``base`` and the model's own ``margin``.
 
     Spark's margin is half the log-odds, hence the factor 2.
     """
@@ -146,12 +151,13 @@ def shap_values(df: DataFrame, features: Sequence[str], model: GBTClassification
             x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, 0))
             if len(x):
                 phi = 2.0 * shap_matrix(x, leaves)
-                yield pd.DataFrame({"phi": list(phi), "base": base, "margin": pdf["margin"]})
+                yield pdf[list(keys)].assign(phi=list(phi), base=base, margin=pdf["margin"])
 
-    scored = model.transform(assembled(df, features)).select(
-        vector_to_array("x").alias("x"), (vector_to_array("rawPrediction")[1] * 2.0).alias("margin")
+    scored = model.transform(assembled(df, features, keys=keys)).select(
+        *keys, vector_to_array("x").alias("x"), (vector_to_array("rawPrediction")[1] * 2.0).alias("margin")
     )
-    return scored.mapInPandas(explain, "phi ARRAY<DOUBLE>, base DOUBLE, margin DOUBLE")
+    key_types = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    return scored.mapInPandas(explain, f"{key_types}phi ARRAY<DOUBLE>, base DOUBLE, margin DOUBLE")
 
 
 def shap_importance(
