@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidebook.operators import analysis, evaluation
 
@@ -51,6 +52,15 @@ def test_correlation(frame):
     assert got[("a", "flat")] is None
 
 
+def test_correlation_takes_pairs_and_small_spreads(frame, spark):
+    got = {(r["feature_a"], r["feature_b"]): r["r"] for r in analysis.correlation(frame, ["a", "gaps"]).collect()}
+    rows = [(r["a"], r["gaps"]) for r in frame.collect() if r["gaps"] is not None]
+    assert got[("a", "gaps")] == pytest.approx(np.corrcoef(np.array(rows).T)[0, 1])
+    tiny = spark.createDataFrame([(1.0 + k * 1e-8, 5e-9 * k + (k % 3) * 1e-10) for k in range(50)], "x DOUBLE, y DOUBLE")
+    want = np.corrcoef(np.array([tuple(r) for r in tiny.collect()]).T)[0, 1]
+    assert {(r["feature_a"], r["feature_b"]): r["r"] for r in analysis.correlation(tiny, ["x", "y"]).collect()}[("x", "y")] == pytest.approx(want, rel=1e-6)
+
+
 def test_mutual_information(spark):
     rng = random.Random(2)
     rows = [(x, rng.random(), int(x > 0.5)) for x in (rng.random() for _ in range(2000))]
@@ -91,7 +101,8 @@ def test_histogram_closes_the_last_bin(spark):
     rows = [(0, [v, 1 - v]) for v in (0.0, 0.1, 0.5, 1.0)] + [(1, [0.3, 0.7])]
     df = spark.createDataFrame(rows, "y INT, p ARRAY<DOUBLE>")
     got = {(r["y"], r["bin"]): r["n"] for r in evaluation.prob_histogram(df, 10).collect()}
-    assert got == {(0, 1): 1, (0, 2): 1, (0, 6): 1, (0, 10): 1, (1, 1): 1}
+    empty = {(y, b): 0 for y in (0, 1) for b in range(1, 11)}
+    assert got == empty | {(0, 1): 1, (0, 2): 1, (0, 6): 1, (0, 10): 1, (1, 1): 1}
 
 
 def test_random_baseline_is_reproducible_and_uniform(spark):
@@ -101,3 +112,14 @@ def test_random_baseline_is_reproducible_and_uniform(spark):
     assert first == again
     counts = np.bincount([r[1] for r in first])
     assert len(counts) == 3 and counts.min() > 1800
+
+
+def test_histogram_of_many_classes_keeps_empty_bins(spark):
+    df = spark.range(2400).selectExpr("CAST(id DIV 2 AS INT) AS y", "CAST(id % 2 AS DOUBLE) AS value")
+    got = evaluation.prob_histogram(df, 5, F.col("value")).groupBy("n").count().collect()
+    assert {r["n"]: r["count"] for r in got} == {0: 3 * 1200, 1: 2 * 1200}
+
+
+def test_matrix_has_a_row_for_a_class_that_is_never_true(spark):
+    matrix = {r["y"]: list(r)[1:] for r in evaluation.confusion_matrix(predictions(spark, [(0, 1), (0, 0)]), 2).collect()}
+    assert matrix == {0: [1, 1], 1: [0, 0]}
