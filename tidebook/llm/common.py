@@ -76,6 +76,11 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_tidebook_worker_cache", {})
 
 
+def release_worker_cache() -> None:
+    """Let go of what other operators keep in this Python worker: Spark hands idle workers on to the next job."""
+    worker_cache().clear()
+
+
 def byte_class(word: str) -> np.ndarray:
     """256 flags: does the byte belong to a word; ``word`` is "alnum" (after lower-casing) or "spaced"."""
     flags = np.ones(256, dtype=bool)

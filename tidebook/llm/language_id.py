@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import pieces, text_buffers, text_key
+from tidebook.llm.common import pieces, release_worker_cache, text_buffers, text_key
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -94,6 +94,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each bucket occurs, and how many texts there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_cache()
         total = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
             for _, texts in text_runs(batch.column(0)):
@@ -210,6 +211,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     names = ["doc_id", "text_key", "held_out", "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_cache()
         model = shared.value
         for batch in batches:
             predicted, score = [], []
