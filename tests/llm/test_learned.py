@@ -122,3 +122,51 @@ def test_perplexity_by_definition(spark):
             assert a.perplexity is None and not a.kept
     assert kneser_ney.perplexities(docs, labels.limit(0)).where("kept AND perplexity IS NULL").count() == len(rows)
     assert kneser_ney.perplexities(docs.limit(0), labels).count() == 0
+
+
+def test_word_perplexity_by_definition(spark):
+    texts = [f"{a} {b} sat on the {c}" for a in ("a", "the", "my") for b in ("cat", "dog", "cow") for c in ("mat", "log", "bed", "rug")]
+    odd = ["log THE on sat  dog my", "qqq zzz the", "", None, " \n ", "the mat " * 3000]
+    rows = [(i, t, "en") for i, t in enumerate(texts + odd)] + [(3, texts[3], "en"), (None, "the dog", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id bigint, quality int, toxic int")
+    counts = {r.doc_id: r.counts for r in kneser_ney.trusted_ids(labels).collect()}
+    code, split = {}, lambda t: [code.setdefault(w, len(code) + 3) for w in (t or "").lower().split()]
+    grams = lambda t: list(zip(*[([1, 1] + split(t) + [2])[j:] for j in range(3)]))
+    trusted = [t for i, t, _ in rows if counts.get(i)]
+    for entries in (kneser_ney.SHARD, 1):  # all n-grams in the sent table; none
+        found = kneser_ney.perplexities(docs, labels, shard_entries=entries, unit="word").collect()
+        assert len(found) == len(rows)
+        by = {(r.doc_id, r.n_grams): r for r in found}
+        for i, text, _ in rows:
+            n = len(split(text))
+            row = by[i, n + 1 if n else 0]
+            assert math.isclose(row.perplexity, brute_ngram_perplexity(trusted, text, grams, 3), rel_tol=1e-9) if n else row.perplexity is None and not row.kept
+        # The same words in senseless order are less likely: characters hardly tell.
+        assert by[len(texts), 7].perplexity > 2 * max(by[i, 7].perplexity for i in range(len(texts)))
+
+
+def brute_ngram_perplexity(trusted, text, grams, top):
+    counts = {top: Counter(g for t in trusted for g in grams(t))}
+    for k in range(top - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    ds, by_context = {}, {k: defaultdict(list) for k in counts}
+    for k, c in counts.items():
+        n = [max(sum(v == i for v in c.values()), 1) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        ds[k] = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
+        for g, v in c.items():
+            by_context[k][g[:-1]].append(v)
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        values = by_context[len(g)].get(g[:-1])
+        if not values:
+            return p(g[1:])
+        c, d = counts[len(g)][g], ds[len(g)]
+        gamma = sum(d[min(v, 3) - 1] for v in values) / sum(values)
+        return (c - d[min(c, 3) - 1] if c else 0) / sum(values) + gamma * p(g[1:])
+
+    logs = [math.log(p(g)) for g in grams(text)]
+    return math.exp(-sum(logs) / len(logs))

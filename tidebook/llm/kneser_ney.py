@@ -1,21 +1,23 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and perplexity thresholds.
 
-The model counts character 4-grams, packed into one BIGINT of 16 bits a character (characters beyond the
-basic plane share one code). One Arrow pass over all texts yields, per task, its distinct 4-grams and how
-often trusted texts hold them; a shuffled sum gives the count table, which grows with the input. Lower
-orders hold continuation counts. Probabilities of every 4-gram of the corpus follow from the lowest order up
-by joins of the count tables on n-gram, context and suffix, all sharded by hash:
+The model counts n-grams of words (3) or of characters (4). A word is a run without white space, A-Z as a-z, held
+as a 64-bit hash; a character is its code (those beyond the basic plane share one). One Arrow pass over all texts
+yields, per task, its distinct n-grams, how often trusted texts hold them and how often all do; a shuffled sum
+gives the count table, which for words grows with the input (character 4-grams run out). Lower orders hold
+continuation counts. Probabilities of every n-gram of the corpus follow from the lowest order up by joins of the
+count tables on n-gram, context and suffix:
 
     p(w | h) = max(c(hw) - D(c), 0) / c(h) + gamma(h) * p(w | shorter h),  D from the counts of counts 1 to 4.
 
-Texts are not exploded into n-grams: the table of log-probabilities is cut into hash shards of at most
-``SHARD`` entries, each shard (a proven size) is sent to the tasks, and the sums of the shards add up to a
-text's perplexity per character. A shard costs one scan; the number of n-grams grows far slower than text.
+A second Arrow pass emits each text's distinct n-grams with their counts; they meet the probability table in a
+shuffled join on the n-gram's hash and add up per text. Only n-grams that make up more than one ``shard_entries``th
+of all occurrences, so fewer than ``shard_entries``, are sent to the tasks and summed there: no other n-gram has
+enough rows to fill a task, and nothing else of the table passes the driver.
 
 Trusted are texts whose labels all say quality 1 and not toxic. A fifth of them (by a hash of the id) is not
 counted and sets the thresholds: per language, the ``quantile`` of their perplexities; languages without
-trusted text take the quantile over all. NULL languages form a language. A text without characters has NULL
-perplexity and is not kept. Without trusted text nothing is judged: perplexity NULL, every text kept.
+trusted text take the quantile over all. NULL languages form a language. A text without words (characters) has
+NULL perplexity and is not kept. Without trusted text nothing is judged: perplexity NULL, every text kept.
 Repeated rows each get their row; only ``doc_id``, ``text`` and ``lang`` of documents are read.
 """
 
@@ -28,85 +30,92 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import Scratch, mixed, pieces, sent_if_small, text_buffers, text_key
+from tidebook.llm.common import Scratch, WordSpans, byte_class, byte_values, mixed, pieces, sent_if_small, text_buffers, text_key
 
-ORDER = 4
+#: N-gram order by unit.
+ORDERS = {"word": 3, "character": 4}
 BEGIN, END, OTHER, BEYOND = 1, 2, 0xFFFF, 0xFFFE
-SHARD = 1 << 20
+SHARD = 1 << 17
 QUANTILE = 0.99
 
 
-def packed_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All 4-grams of the texts, each opened by three begin marks and closed by an end mark, and each text's count."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    codes = np.where(codes > 0xFFFF, np.uint64(BEYOND), codes)
-    codes[(codes == BEGIN) | (codes == END) | (codes == 0)] = OTHER
-    room = sizes + ORDER
-    ends = np.cumsum(room)
+def coded(column: pa.Array, unit: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of texts: first, past-the-end, the codes of their units and how many each text has."""
+    data, offsets = text_buffers(column)
+    flags = byte_class("spaced")
+    values = byte_values(flags)
+    for low, high in pieces(offsets, 1 << 19):
+        if unit == "word":
+            spans = WordSpans(data, offsets[low : high + 1], flags, values)
+            codes, sizes = spans.hash, spans.counts
+        else:
+            texts = [t or "" for t in column.slice(low, high - low).to_pylist()]
+            sizes = np.array([len(t) for t in texts], np.int64)
+            codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            codes = np.where(codes > 0xFFFF, np.uint64(BEYOND), codes)
+        yield low, high, np.where(codes <= END, np.uint64(OTHER), codes), sizes
+
+
+def framed_grams(codes: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All n-grams of the texts that are not empty, each text opened by order - 1 begin marks and closed by an end
+    mark: index of the text, hash of the n-gram, and its units."""
+    full = np.flatnonzero(sizes)
+    ends = np.cumsum(sizes[full] + order)
+    starts = ends - sizes[full] - order
     framed = np.full(int(ends[-1]) if len(ends) else 0, BEGIN, np.uint64)
-    inside = np.ones(len(framed), bool)
-    inside[ends - 1] = False
-    starts = ends - room
-    for i in range(ORDER - 1):
-        inside[starts + i] = False
-    framed[inside] = codes
+    closes = np.ones(len(framed), bool)
+    for i in range(order - 1):
+        closes[starts + i] = False
+    at = np.flatnonzero(closes)
+    closes[ends - 1] = False
+    framed[closes] = codes
     framed[ends - 1] = END
-    keys = np.zeros(max(len(framed) - ORDER + 1, 0), np.uint64)
-    for j in range(ORDER):
-        keys = keys << np.uint64(16) | framed[j : j + len(keys)]
-    own = np.ones(len(keys), bool)
-    for i in range(1, ORDER):  # 4-grams that run into the next text
-        at = ends[:-1] - i
-        own[at] = False
-    return keys[own].view(np.int64), sizes + 1
-
-
-def text_runs(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
-    _, offsets = text_buffers(column)
-    for low, high in pieces(offsets, 1 << 19):
-        yield low, high, [t or "" for t in column.slice(low, high - low).to_pylist()]
+    units = [framed[at - order + 1 + j] for j in range(order)]
+    hashed = mixed(units[0])
+    for unit in units[1:]:
+        hashed = mixed(hashed * WordSpans.POWER + unit)
+    return np.repeat(full, sizes[full] + 1), hashed.view(np.int64), [u.view(np.int64) for u in units]
+
 
+def names(order: int, top: int) -> list[str]:
+    """Columns of the last ``order`` units of ``top``."""
+    return [f"u{i}" for i in range(top - order + 1, top + 1)]
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
+def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """One row per n-gram of (gram, units, n, seen)."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    grams, first, inverse = np.unique(columns[0], return_index=True, return_inverse=True)
+    sums = [np.bincount(inverse, c, len(grams)).astype(np.int64) for c in columns[-2:]]
+    return [grams, *[c[first] for c in columns[1:-2]], *sums]
 
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """(gram, n): the distinct 4-grams of all texts and how often texts with ``counts`` hold them."""
+
+def gram_counts(rows: DataFrame, unit: str) -> DataFrame:
+    """(gram, units, n, seen): the distinct n-grams of all texts, how often texts with ``counts`` hold them, and how
+    often all do."""
+    order = ORDERS[unit]
+    columns = ["gram", *names(order, order), "n", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: list[list[np.ndarray]] = []
         held = 0
         for batch in batches:
-            counted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for low, high, texts in text_runs(batch.column(0)):
-                for flag in (True, False):
-                    some = [t for t, c in zip(texts, counted[low:high]) if t and c == flag]
-                    if some:
-                        keys, n = np.unique(packed_grams(some)[0], return_counts=True)
-                        parts.append((keys, n if flag else np.zeros(len(n), np.int64)))
-                        held += len(keys)
-                if held > 4_000_000:
+            counted = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for low, high, codes, sizes in coded(batch.column(0), unit):
+                text, grams, units = framed_grams(codes, sizes, order)
+                parts.append(merged([[grams, *units, counted[low:high][text], np.ones(len(grams), np.int64)]]))
+                held += len(parts[-1][0])
+                if held > 1_000_000:
                     parts = [merged(parts)]
                     held = len(parts[0][0])
-                    if held > 2_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(parts[0][0]), pa.array(parts[0][1])], ["gram", "n"])
+                    if held > 500_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], columns)
                         parts, held = [], 0
         if parts:
-            keys, n = merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["gram", "n"])
-
-    return rows.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged(parts)], columns)
 
-def suffix(gram: str, order: int) -> Column:
-    return F.col(gram).bitwiseAND(F.lit((1 << 16 * order) - 1))
-
-
-def context(gram: str) -> Column:
-    return F.shiftrightunsigned(gram, 16)
+    found = rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in columns))
+    return found.groupBy("gram").agg(*[F.first(c).alias(c) for c in columns[1:-2]], F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -119,41 +128,38 @@ def discounts(counts: DataFrame) -> list[float]:
 
 
 def discounted(n: Column, d: list[float]) -> Column:
-    return F.when(n >= 3, F.lit(d[2])).when(n == 2, F.lit(d[1])).otherwise(F.lit(d[0]))
+    return F.when(n >= 3, F.lit(d[2])).when(n == 2, F.lit(d[1])).when(n == 1, F.lit(d[0])).otherwise(F.lit(0.0))
 
 
-def log_probabilities(grams: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """(gram, logp) of every distinct 4-gram of the corpus; None if nothing was counted."""
-    counts = {ORDER: grams.where("n > 0")}
-    for order in range(ORDER - 1, 0, -1):
-        counts[order] = scratch.put(f"kn-counts-{order}", counts[order + 1].groupBy(suffix("gram", order).alias("gram")).agg(F.count("*").alias("n")))
-    total, symbols = counts[1].agg(F.sum("n"), F.count("*")).first()
+def log_probabilities(grams: DataFrame, scratch: Scratch, top: int) -> DataFrame | None:
+    """(gram, seen, logp) of every distinct n-gram of the corpus; None if nothing was counted."""
+    # Every n-gram of the corpus, with how many counted n-grams of the next order end in it (0: in none).
+    counts = {top: grams}
+    for order in range(top - 1, 0, -1):
+        counts[order] = scratch.put(f"kn-counts-{order}", counts[order + 1].groupBy(*names(order, top)).agg(F.count(F.when(F.col("n") > 0, 1)).alias("n")))
+    total, symbols = counts[1].where("n > 0").agg(F.sum("n"), F.count("*")).first()
     if not total:
         return None
-    wanted = {ORDER: grams.select("gram")}
-    for order in range(ORDER - 1, 0, -1):
-        wanted[order] = wanted[order + 1].select(suffix("gram", order).alias("gram")).distinct()
-
+    n = F.col("n")
     d = discounts(counts[1])
-    kept = counts[1].agg(F.sum(discounted(F.col("n"), d))).first()[0]
-    uniform = kept / total / (symbols + 1)
-    n = F.coalesce("n", F.lit(0))
-    p = F.when(n > 0, (n - discounted(n, d)) / total).otherwise(0.0) + uniform
-    below = wanted[1].join(counts[1], "gram", "left").select("gram", p.alias("p"))
-    for order in range(2, ORDER + 1):
+    kept = counts[1].agg(F.sum(discounted(n, d))).first()[0]
+    below = counts[1].select(*names(1, top), ((n - discounted(n, d)) / total + kept / total / (symbols + 1)).alias("p"))
+    for order in range(2, top + 1):
         d = discounts(counts[order])
-        contexts = counts[order].groupBy(context("gram").alias("context")).agg(F.sum("n").alias("total"), F.sum(discounted(F.col("n"), d)).alias("freed"))
-        seen = wanted[order].join(counts[order].select("gram", "n"), "gram", "left").select("gram", n.alias("n"), context("gram").alias("context"), suffix("gram", order - 1).alias("shorter"))
-        direct = F.when(F.col("n") > 0, (F.col("n") - discounted(F.col("n"), d)) / F.col("total")).otherwise(0.0)
+        context = names(order, top)[:-1]
+        contexts = counts[order].where("n > 0").groupBy(*context).agg(F.sum("n").alias("total"), F.sum(discounted(n, d)).alias("freed"))
+        direct = F.coalesce((n - discounted(n, d)) / F.col("total"), F.lit(0.0))
         gamma = F.coalesce(F.col("freed") / F.col("total"), F.lit(1.0))
+        rest = names(order, top) if order < top else ["gram", "seen"]
         below = (
-            seen.join(contexts, "context", "left")
-            .join(below.withColumnRenamed("gram", "shorter"), "shorter")
-            .select("gram", (F.coalesce(direct, F.lit(0.0)) + gamma * F.col("p")).alias("p"))
+            counts[order]
+            .join(contexts, context, "left")
+            .join(below, names(order - 1, top))
+            .select(*rest, (direct + gamma * F.col("p")).alias("p"))
         )
-        if order < ORDER:
+        if order < top:
             below = scratch.put(f"kn-p-{order}", below)
-    return below.select("gram", F.log("p").alias("logp"))
+    return below.select("gram", "seen", F.log("p").alias("logp"))
 
 
 class Lookup:
@@ -190,25 +196,44 @@ class Lookup:
         return out
 
 
-def shard_sums(docs: DataFrame, shard: DataFrame, number: int) -> DataFrame:
-    """doc_id, text_key, lang, log-probability over the shard's 4-grams and (in shard 0 only) the 4-gram count."""
-    stored = shard.toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(Lookup(stored["gram"].to_numpy(), stored["logp"].to_numpy()))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text_key", "lang", "logp", "n"]
+def text_grams(rows: DataFrame, unit: str, hot: DataFrame) -> DataFrame:
+    """(row, gram, n, own, times): each text's distinct n-grams that are not ``hot``; and a line per text with the
+    count and log-probability (``own``) of its hot n-grams, which takes the row's key for an n-gram."""
+    order = ORDERS[unit]
+    stored = hot.toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast(Lookup(stored["gram"].to_numpy(), stored["logp"].to_numpy()))
+    columns = ["row", "gram", "n", "own", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = shared.value
         for batch in batches:
-            for low, high, texts in text_runs(batch.column(3)):
-                keys, counts = packed_grams(texts)
-                ends = np.cumsum(counts)
-                sums = np.add.reduceat(lookup.of(keys), ends - counts) if len(keys) else np.zeros(0)
-                counts = np.where(counts > 1, counts, 0) if number == 0 else np.zeros(len(counts), np.int64)
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(low, high - low) for i in range(3)], pa.array(sums), pa.array(counts)], names)
-
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("lang").cast("string").alias("lang"), "text")
-    return rows.mapInArrow(run, f"doc_id {id_type}, text_key bigint, lang string, logp double, n bigint")
+            rows_of = batch.column(0).to_numpy(zero_copy_only=False)
+            for low, high, codes, sizes in coded(batch.column(1), unit):
+                own_row = rows_of[low:high]
+                text, grams, _ = framed_grams(codes, sizes, order)
+                logp = lookup.of(grams)
+                known = logp < 0
+                hot_n = np.bincount(text[known], minlength=high - low)
+                hot_sum = np.bincount(text[known], logp[known], high - low)
+                text, grams = text[~known], grams[~known]
+                by = np.lexsort((grams, text))
+                text, grams = text[by], grams[by]
+                first = np.ones(len(grams), bool)
+                first[1:] = (text[1:] != text[:-1]) | (grams[1:] != grams[:-1])
+                at = np.flatnonzero(first)
+                n = np.diff(np.append(at, len(grams)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([own_row, own_row[text[at]]])),
+                        pa.array(np.concatenate([own_row, grams[at]])),
+                        pa.array(np.concatenate([hot_n, n]).astype(np.int32)),
+                        pa.array(np.concatenate([hot_sum, np.zeros(len(at))]), mask=np.arange(high - low + len(at)) >= high - low),
+                        pa.array((np.arange(high - low + len(at)) < high - low).astype(np.int32)),
+                    ],
+                    columns,
+                )
+
+    return rows.mapInArrow(run, "row bigint, gram bigint, n int, own double, times int")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -216,30 +241,32 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return worst.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("split")), F.lit(5)) > 0).alias("counts"))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD, quantile: float = QUANTILE) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD, quantile: float = QUANTILE, unit: str = "character") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_key, lang, n_grams, perplexity, threshold, kept."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang")
     trusted = scratch.put("kn-trusted", trusted_ids(labels))
     flagged = docs.join(sent_if_small(trusted), "doc_id", "left").select("text", F.coalesce("counts", F.lit(False)).alias("counts"))
-    grams = scratch.put("kn-grams", gram_counts(flagged))
-    found = log_probabilities(grams, scratch)
+    grams = scratch.put("kn-grams", gram_counts(flagged, unit))
+    found = log_probabilities(grams, scratch, ORDERS[unit])
     if found is None:
         nothing = F.lit(None).cast("double")
         return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "lang", F.lit(0).cast("bigint").alias("n_grams"), nothing.alias("perplexity"), nothing.alias("threshold"), F.lit(True).alias("kept"))
     table = scratch.put("kn-logp", found)
-    shards = max(1, -(-table.count() // shard_entries))
-    place = F.pmod(F.xxhash64("gram"), F.lit(shards))
-    sums = [scratch.put(f"kn-sums-{i}", shard_sums(docs, table.where(place == i), i)) for i in range(shards)]
-    rows = sums[0]
-    if shards > 1:
-        for other in sums[1:]:
-            rows = rows.unionByName(other)
-        # Rows repeated in the input are summed together and told out again.
-        grouped = rows.groupBy("doc_id", "text_key", "lang").agg(F.sum("logp").alias("logp"), F.sum("n").alias("n"), F.count("*").alias("times"))
-        copies = (F.col("times") / shards).cast("int")
-        rows = grouped.select("doc_id", "text_key", "lang", (F.col("logp") / copies).alias("logp"), (F.col("n") / copies).cast("bigint").alias("n"), F.explode(F.sequence(F.lit(1), copies))).drop("col")
-    scored = rows.select("doc_id", "text_key", "lang", F.col("n").alias("n_grams"), F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
+    occurrences = table.agg(F.sum("seen")).first()[0]
+    hot = table.where(F.col("seen") * shard_entries > occurrences)
+    key = text_key(F.col("text"))
+    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), key)
+    lines = text_grams(docs.select(row.alias("row"), "text"), unit, hot)
+    # Rows repeated in the input are summed together.
+    sums = (
+        lines.join(table.select("gram", "logp"), "gram", "left")
+        .groupBy("row")
+        .agg(F.sum("n").alias("n"), F.sum(F.coalesce("own", F.col("n") * F.col("logp"))).alias("logp"), F.sum("times").alias("times"))
+    )
+    rows = docs.select(row.alias("row"), "doc_id", key.alias("text_key"), F.col("lang").cast("string").alias("lang")).join(sums, "row")
+    perplexity = F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n")))
+    scored = scratch.put("kn-scored", rows.select("doc_id", "text_key", "lang", (F.col("n") / F.col("times")).cast("bigint").alias("n_grams"), perplexity.alias("perplexity")))
     held = scored.join(trusted.where(~F.col("counts")), "doc_id")
     cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     language = F.coalesce("lang", F.lit(""))

@@ -193,7 +193,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("op2_kneser_ney_quality")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    scored = kneser_ney.perplexities(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    scored = kneser_ney.perplexities(table(spark, folder, "documents"), table(spark, folder, "labels"), unit="word")
     return scored.select("doc_id", "lang", "n_grams", "perplexity", "threshold", "kept")
 
 
