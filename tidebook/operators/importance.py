@@ -161,10 +161,10 @@ def shap_values(df: DataFrame, features: Sequence[str], model: GBTClassification
 
 
 def shap_importance(
-    df: DataFrame, features: Sequence[str], target: str, num_features: int | None = None, seed: int = 0, **params
+    df: DataFrame, features: Sequence[str], target: str, num_features: int | None = None, seed: int = 0, fit_rows: DataFrame | None = None, **params
 ) -> DataFrame:
-    """Mean absolute SHAP value per feature, ranked."""
-    model = fit_boosted(df, features, target, seed, **params)
+    """Mean absolute SHAP value per feature over all rows, ranked. The model is fitted on ``fit_rows``, else on all rows."""
+    model = fit_boosted(df if fit_rows is None else fit_rows, features, target, seed, **params)
     phi = shap_values(df, features, model)
     means = [F.avg(F.abs(F.col("phi")[i])).alias(f"m{i}") for i in range(len(features))]
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean_abs_shap")) for i, c in enumerate(features)])

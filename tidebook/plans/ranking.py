@@ -74,9 +74,13 @@ def rank_by_forests(
 def rank_by_shap(
     table: DataFrame, target: str = TARGET, sets: Sequence[str] = BOTH, most_rows: int = 200_000, num_features: int = 25, rounds: int = 100, depth: int = 6
 ) -> DataFrame:
-    """(feature_set, feature, mean_abs_shap); the model has at most rounds * 2^depth leaves."""
+    """(feature_set, feature, mean_abs_shap) over all rows; the model is fitted on a sample and has at most
+    rounds * 2^depth leaves."""
     rows = fit_sample(table, most_rows)
-    found = [_named(importance.shap_importance(rows, FEATURE_SETS[s], target, num_features, maxIter=rounds, maxDepth=depth), feature_set=s) for s in sets]
+    found = [
+        _named(importance.shap_importance(table, FEATURE_SETS[s], target, num_features, fit_rows=rows, maxIter=rounds, maxDepth=depth), feature_set=s)
+        for s in sets
+    ]
     return reduce(DataFrame.unionByName, found)
 
 
