@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, kneser_ney, language_id, licenses, line_dedup, near_dedup, quality_rules, quotes, sentencepiece, token_files
+from tidebook.llm import decontaminate, divergence, kneser_ney, language_id, licenses, line_dedup, near_dedup, quality_rules, quotes, sentencepiece, token_files
 from tidebook.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +243,40 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.reply_ordered(table(spark, folder, "conversations"))
+
+
+@register(
+    "op12_source_divergence",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    words AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+    languages AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+    totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+    groups AS (
+      SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v, coalesce(lang_total, 0) AS lang_total
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN totals USING (lang, source) LEFT JOIN languages USING (lang)
+    ),
+    dense AS (
+      SELECT lang, source, term, coalesce(n, 0) AS n,
+        1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (total + v)::HUGEINT AS p, 1 + 1000000000::HUGEINT * (lang_n + 1) // (lang_total + v)::HUGEINT AS q
+      FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+    ),
+    sums AS (
+      SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM dense AS a JOIN dense AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ),
+    pairs AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+      FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+    ),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM dense WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
