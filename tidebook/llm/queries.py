@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, divergence, kneser_ney, language_id, licenses, line_dedup, near_dedup, quality_rules, quotes, sentencepiece, token_files
-from tidebook.llm.common import Scratch, table
+from tidebook.llm import decontaminate, divergence, kneser_ney, language_id, licenses, line_dedup, near_dedup, periodic, quality_rules, quotes, sentencepiece, token_files
+from tidebook.llm.common import SPACE_GAP, Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -280,3 +280,66 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergence(table(spark, folder, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the rows, by the id's hash, a passage repeats to the end of the text.
+
+    h = crc32(doc_id as text), g = h div 10; where h ends in 0, each word i >= a = g mod n is word a + (i - a) mod p,
+    p = 1 + (n - a) div (3 + g mod 8). Rows without an id stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.filter(F.split("text", SPACE_GAP), lambda w: w != "")
+    marked = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, split).alias("words"))
+    sized = marked.select("*", F.size("words").alias("n")).select("*", F.when(F.col("n") > 0, F.col("g") % F.col("n")).alias("a"))
+    placed = sized.select("*", F.expr("1 + (n - a) div (3 + g % 8)").alias("p"))
+    planted = F.expr("array_join(transform(sequence(0, n - 1), i -> element_at(words, cast(if(i < a, i, a + (i - a) % p) + 1 as int))), ' ')")
+    return placed.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@register(
+    "op13_periodic_runs",
+    rf"""
+    WITH RECURSIVE steps(i, k, v) AS (
+      SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FROM range(256) AS r(i)
+      UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM steps WHERE k < 8
+    ),
+    crc_table AS (SELECT i, v FROM steps WHERE k = 8),
+    crcs(id, pos, c) AS (
+      SELECT DISTINCT CAST(doc_id AS VARCHAR), 0, CAST(4294967295 AS BIGINT) FROM documents WHERE doc_id IS NOT NULL
+      UNION ALL SELECT id, pos + 1, xor(c // 256, v) FROM crcs JOIN crc_table ON i = xor(c, CAST(ascii(substr(id, pos + 1, 1)) AS BIGINT)) % 256 WHERE pos < length(id)
+    ),
+    hashes AS (SELECT id, xor(c, 4294967295) AS h FROM crcs WHERE pos = length(id)),
+    split AS (
+      SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents)
+        LEFT JOIN hashes ON id = CAST(doc_id AS VARCHAR)
+    ),
+    placed AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM split),
+    sized AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+    d AS (
+      SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM sized
+    ),
+    grams AS (SELECT doc_id, n, i, list_slice(w, i, i + 5) AS gram FROM (SELECT doc_id, n, w, unnest(range(1, n - 4)) AS i FROM d WHERE n >= 12)),
+    twins AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM grams AS a JOIN grams AS b ON a.doc_id = b.doc_id AND a.gram = b.gram AND b.i > a.i AND 2 * (b.i - a.i) <= a.n),
+    islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM twins),
+    stretches AS (SELECT doc_id, q, min(i) - 1 AS start, max(i) - min(i) + 6 + q AS length FROM islands GROUP BY doc_id, q, island),
+    runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY doc_id, start, length),
+    listed AS (
+      SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS shown,
+        min({{'l': -length, 's': start, 'q': period}}) AS best
+      FROM runs GROUP BY doc_id
+    ),
+    dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, n)) AS i FROM d WHERE n > 0),
+    joined AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(-best.l AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period,
+      CAST(1000 * -best.l // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(shown, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+    FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN joined USING (doc_id)
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(table(spark, folder, "documents")))
+    shown = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), periodic.longest().alias("best"), F.sha2(shown, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.expr("1000 * best.length div best.period")
+    return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
