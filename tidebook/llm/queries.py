@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, divergence, kneser_ney, language_id, licenses, line_dedup, near_dedup, periodic, quality_rules, quotes, sentencepiece, token_files
+from tidebook.llm import decontaminate, divergence, kneser_ney, language_id, licenses, line_dedup, near_dedup, periodic, pii, quality_rules, quotes, sentencepiece, token_files
 from tidebook.llm.common import SPACE_GAP, Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -343,3 +343,17 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     best = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), periodic.longest().alias("best"), F.sha2(shown, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
     exponent = F.expr("1000 * best.length div best.period")
     return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@register("op11_personal_data")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = pii.personal_data(docs, pii.learn(docs)).select("doc_id", "spans", F.filter("spans", lambda s: s["by"] == "rule").alias("base"))
+
+    def listed(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
