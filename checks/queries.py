@@ -163,13 +163,47 @@ def tick_table_scan(spark, folder):
     ),
 )
 def days_union(spark, folder):
-    """Weekday and weekend ticks, concatenated again."""
-    every = ticks(spark, folder)
-    weekend = F.weekday("session") >= 5
-    whole = every.where(~weekend).unionByName(every.where(weekend))
+    """Daily files of the weekdays and of the weekends, each read as one list of paths, put together."""
+    where, days = daily_folder(spark, folder, WIDE["symbols"])
+    symbols = [str(k) for k in range(WIDE["symbols"])]
+    weekend, week = [[d for d in days if (d.weekday() >= 5) == late] for late in (True, False)]
+    read = [src.read_daily_ticks(spark, src.daily_paths(where, some, symbols, src.DAILY_FOLDERS), "ts_recv") for some in (week, weekend)]
+    whole = read[0].unionByName(read[1])
     return whole.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total_size"))
 
 
+def daily_folder(spark, folder, symbols: int) -> tuple[str, list]:
+    """Daily files of the ticks with two nanosecond clocks, a coarse one with many ties and a fine one; the rows of
+    one day are not in order. Returns the folder and the days."""
+    path = f"{scratch_dir(spark)}/daily-{uuid.uuid4().hex}"
+    # Tick columns, and the order of the rows in their file.
+    every = src.event_ticks(spark, folder, symbols).withColumns(
+        {
+            "ts_event": F.expr(f"ts_us DIV {sql.COARSE_US} * {sql.COARSE_US} * 1000"),
+            "ts_recv": F.expr("ts_us * 1000 + 777"),
+            "place": F.expr(f"CASE WHEN session = DATE'{sql.MIXED_DAY}' THEN {sql.MIXED.replace('event_id', 'seq')} ELSE 0 END"),
+        }
+    )
+    days = [r["session"] for r in every.select("session").distinct().collect()]  # one row per day
+    src.write_daily_ticks(every.drop("ts_us"), path, ["place", "seq"])
+    return path, sorted(days)
+
+
+@register(
+    "daily_scan",
+    f"""SELECT symbol, session, clock, CAST(row AS BIGINT) AS seq, CAST(epoch_us(CAST(session AS TIMESTAMP)) + CASE clock WHEN 'event' THEN event_us ELSE recv_us END AS BIGINT) AS ts_us,
+      action, side, {r6('price')} AS price, {r6('bid')} AS bid_px_00, {r6('ask')} AS ask_px_00, CAST(size AS BIGINT) AS size
+    FROM ({sql.daily_rows(1)}) AS r, (VALUES ('event'), ('receive')) AS c(clock)""",
+)
+def daily_scan(spark, folder):
+    """All daily files of the business days on both clocks."""
+    where, days = daily_folder(spark, folder, 1)
+    paths = src.daily_paths(where, ft.weekdays_between(str(days[0]), str(days[-1])), ["0"], src.DAILY_FOLDERS)
+    clocks = {"event": "ts_event", "receive": "ts_recv"}
+    event, receive = [src.read_daily_ticks(spark, paths, column).withColumn("clock", F.lit(name)) for name, column in clocks.items()]
+    return event.unionByName(receive).select("symbol", "session", "clock", "seq", "ts_us", "action", "side", "price", "bid_px_00", "ask_px_00", "size")
+
+
 @register(
     "head",
     with_bars(
@@ -330,6 +364,37 @@ def feature_table(spark, folder):
     return ft.features_of(ticks(spark, folder, DEEP), rate(DEEP)).drop("bar_ix")
 
 
+#: Aroon with the earliest of equal extremes, and an unchanged mean counted as down.
+DAILY_SQL = {
+    **{
+        name: "CASE WHEN row_nr >= 8 THEN 100.0 * (7 - CASE " + " ".join(f"WHEN lag({x}, {k}) OVER w8 = {best}({x}) OVER w8b THEN {k}" for k in range(7, 0, -1)) + " ELSE 0 END) / 7 END"
+        for name, x, best in (("AROONU_7", "mid_price_high", "max"), ("AROOND_7", "mid_price_low", "min"))
+    },
+    "mean_mid_price_variation_class": "CASE WHEN mean_mid_price_variation > 0 THEN 1 ELSE 0 END",
+}
+
+
+def daily_sql() -> str:
+    columns = ", ".join(out(c) for c in [*KEYS, *FEATURES])
+    replaced = ", ".join(f"{e} AS {q(c)}" for c, e in DAILY_SQL.items())
+    kept = " AND ".join(f"{q(c)} IS NOT NULL" for c in ft.INDICATORS)
+    by = "PARTITION BY symbol, session ORDER BY bar_ix"
+    tail = f"""SELECT {columns} FROM (SELECT * REPLACE ({replaced}) FROM technical
+      WINDOW w8 AS ({by}), w8b AS ({by} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)) AS t WHERE {kept}"""
+    return with_indicators(tail, DEEP, sql.daily_ticks(1, 2 * 3_600_000_000, 23 * 3_600_000_000))
+
+
+@register("daily_feature_table", daily_sql())
+def daily_feature_table(spark, folder):
+    """The feature table from daily files: the coarse clock, whose ties rows decide, a day out of order, and options."""
+    where, days = daily_folder(spark, folder, 1)
+    table = ft.feature_table(
+        spark, where, str(days[0]), str(days[-1]), "15min", symbols=["0"], time_col="ts_event", zero_is_up=False, time_ordered=False,
+        hours=("02:00", "23:00"), ties="earliest", pattern=src.DAILY_FOLDERS,
+    )
+    return table.drop("bar_ix")
+
+
 # --- datasets --------------------------------------------------------------------------------------
 
 SEQ_FEATURES = dataset.FEATURE_SETS["classifier"]

@@ -53,8 +53,38 @@ def pick(names: list[str], table: str, where: str = "") -> str:
     return f"SELECT {', '.join(out(n) for n in names)} FROM {table} {where}"
 
 
-def chain(symbols: int, rate_s: int) -> str:
-    """CTEs from ``events`` to complete bars with labels and book features (``full_bars``)."""
+def event_ticks(symbols: int) -> str:
+    """The tick columns derived from ``events``."""
+    return f"""SELECT CAST(user_id % {symbols} AS VARCHAR) AS symbol, CAST(ts AS DATE) AS session,
+         epoch_us(ts) % 86400000000 AS tod, event_id AS seq,
+         CASE event_type WHEN 'purchase' THEN 'T' WHEN 'error' THEN 'C' WHEN 'signup' THEN 'M' ELSE 'A' END AS action,
+         CASE WHEN (event_id // 3) % 2 = 0 THEN 'B' ELSE 'A' END AS side,
+         100 + floor(value) / 64 AS price, 1 + event_id % 100 AS size,
+         CASE WHEN event_id % 97 <> 0 THEN 100 + floor(value) / 64 END AS bid,
+         CASE WHEN event_id % 89 <> 0 THEN 100 + floor(value) / 64 + (1 + event_id % 5) / 64 END AS ask,
+         (event_id * 7) % 50 AS bid_sz, (event_id * 13) % 40 AS ask_sz
+  FROM events"""
+
+
+#: A day whose rows lie in its file in the order of MIXED, and the event clock of the daily files, in microseconds.
+MIXED_DAY, MIXED, COARSE_US = "2024-01-09", "event_id * 7919 % 1009", 600_000_000
+
+
+def daily_rows(symbols: int) -> str:
+    """The ticks of the daily files: ``row`` in the file, ``recv_us`` and the coarse ``event_us`` of the day."""
+    return f"""SELECT *, tod AS recv_us, tod // {COARSE_US} * {COARSE_US} AS event_us, row_number() OVER (PARTITION BY symbol, session
+      ORDER BY CASE WHEN session = DATE '{MIXED_DAY}' THEN {MIXED.replace('event_id', 'seq')} ELSE 0 END, seq) - 1 AS row
+    FROM ({event_ticks(symbols)}) AS e WHERE isodow(session) <= 5"""
+
+
+def daily_ticks(symbols: int, opens_us: int, closes_us: int) -> str:
+    """Ticks of the daily files on the coarse clock, ordered by time, then row, inside the hours."""
+    return f"""SELECT * REPLACE (event_us AS tod, row_number() OVER (PARTITION BY symbol, session ORDER BY event_us, row) AS seq)
+    FROM ({daily_rows(symbols)}) AS r WHERE event_us BETWEEN {opens_us} AND {closes_us}"""
+
+
+def chain(symbols: int, rate_s: int, ticks: str | None = None) -> str:
+    """CTEs from ticks (those of ``events`` by default) to complete bars with labels and book features (``full_bars``)."""
     rate = rate_s * 1_000_000
     w = "(PARTITION BY symbol, session ORDER BY bar_ix)"
     s = "(PARTITION BY symbol, session)"
@@ -90,16 +120,7 @@ def chain(symbols: int, rate_s: int) -> str:
         return f"{x} / nullif({y}, 0) - 1"
 
     return f"""
-ticks AS (
-  SELECT CAST(user_id % {symbols} AS VARCHAR) AS symbol, CAST(ts AS DATE) AS session,
-         epoch_us(ts) % 86400000000 AS tod, event_id AS seq,
-         CASE event_type WHEN 'purchase' THEN 'T' WHEN 'error' THEN 'C' WHEN 'signup' THEN 'M' ELSE 'A' END AS action,
-         CASE WHEN (event_id // 3) % 2 = 0 THEN 'B' ELSE 'A' END AS side,
-         100 + floor(value) / 64 AS price, 1 + event_id % 100 AS size,
-         CASE WHEN event_id % 97 <> 0 THEN 100 + floor(value) / 64 END AS bid,
-         CASE WHEN event_id % 89 <> 0 THEN 100 + floor(value) / 64 + (1 + event_id % 5) / 64 END AS ask,
-         (event_id * 7) % 50 AS bid_sz, (event_id * 13) % 40 AS ask_sz
-  FROM events),
+ticks AS ({ticks or event_ticks(symbols)}),
 priced AS (
   SELECT *, coalesce((ask + bid) / 2, ask, bid) AS mid, ask - bid AS spread,
          coalesce((ask * bid_sz + bid * ask_sz) / nullif(bid_sz + ask_sz, 0), ask, bid) AS wmid,
@@ -295,5 +316,5 @@ def with_bars(select: str, scope: dict) -> str:
     return f"WITH RECURSIVE {chain(**scope)}\n{select}"
 
 
-def with_indicators(select: str, scope: dict = DEEP) -> str:
-    return f"WITH RECURSIVE {chain(**scope)},{indicator_chain()}\n{select}"
+def with_indicators(select: str, scope: dict = DEEP, ticks: str | None = None) -> str:
+    return f"WITH RECURSIVE {chain(**scope, ticks=ticks)},{indicator_chain()}\n{select}"

@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from frames import SCHEMA, random_ticks, tick
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
+from tidebook.operators.bars import aggregate_bars
 from tidebook.plans.feature_table import feature_table, weekdays_between
 from tidebook.sources import ticks as src
 
@@ -66,10 +68,40 @@ def test_missing_file_is_an_error(spark, tmp_path):
 
 def test_unordered_files_use_time_then_row(spark, tmp_path):
     day_file(tmp_path, "2024-10-07", ["09:30:02", "09:30:01", "09:30:01"])
-    ticks = src.read_daily_ticks(
-        spark, src.daily_paths(str(tmp_path), [date(2024, 10, 7)], ["AAPL"]), time_col="ts_recv", time_ordered=False
-    )
-    assert [r["price"] for r in ticks.orderBy("seq").collect()] == [1.0, 2.0, 0.0]
+    paths = src.daily_paths(str(tmp_path), [date(2024, 10, 7)], ["AAPL"])
+    ticks = src.read_daily_ticks(spark, paths, time_col="ts_recv")
+    bar = aggregate_bars(ticks.withColumn("bid_px_00", F.col("price")).withColumn("ask_px_00", F.col("price")), "1min", src.tick_order(False)).first()
+    assert (bar["mid_price_first"], bar["mid_price_last"]) == (1.0, 0.0)
+    # Times of different days order within their day; nothing but bars is exchanged.
+    plan = aggregate_bars(ticks, "1min", src.tick_order(False))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("partial_") > plan.index("Exchange")
+
+
+def test_hours_reach_the_scan(spark, tmp_path):
+    day_file(tmp_path, "2024-10-07", TIMES)
+    day_file(tmp_path, "2024-10-08", TIMES)
+    paths = src.daily_paths(str(tmp_path), [date(2024, 10, 7), date(2024, 10, 8)], ["AAPL"])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    for clock in ("ts_recv", "ts_event"):
+        kept = src.read_daily_ticks(spark, paths, clock, hours=("09:30", "16:00"))
+        assert kept.orderBy("session", "seq").collect() == src.market_hours(src.read_daily_ticks(spark, paths, clock)).orderBy("session", "seq").collect()
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert f"GreaterThanOrEqual({clock}," in plan and f"LessThanOrEqual({clock}," in plan
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    many = src.stored_hours("t", "ns", [f"2024-{m:02d}-{d:02d}" for m in range(1, 4) for d in range(1, 29)], "09:30", "16:00")
+    assert many.count(" AND ") == 1
+
+
+def test_daily_folders(spark, tmp_path):
+    ticks = spark.createDataFrame(random_ticks(3), SCHEMA).withColumn("clock", F.expr("ts_us * 1000"))
+    src.write_daily_ticks(ticks, str(tmp_path / "d"), ["seq"])
+    days = [r["session"] for r in ticks.select("session").distinct().collect()]
+    symbols = [r["symbol"] for r in ticks.select("symbol").distinct().collect()]
+    have = {(r["symbol"], r["session"]) for r in ticks.select("symbol", "session").distinct().collect()}
+    paths = [p for s in symbols for d in days if (s, d) in have for p in src.daily_paths(str(tmp_path / "d"), [d], [s], src.DAILY_FOLDERS)]
+    back = src.read_daily_ticks(spark, paths, "clock")
+    shown = ["symbol", "session", "ts_us", "action", "price", "size"]
+    assert sorted(map(str, back.select(shown).collect())) == sorted(map(str, ticks.select(shown).collect()))
 
 
 def test_business_days(spark):

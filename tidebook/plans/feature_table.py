@@ -13,7 +13,7 @@ from tidebook.operators.book import BAR_COLUMNS, complete_bars, labelled_book
 from tidebook.operators.calendar import WEEKDAYS, calendar_features
 from tidebook.operators.indicators import NATIVE, native_indicators
 from tidebook.operators.recursive import RECURSIVE, recursive_indicators
-from tidebook.sources.ticks import daily_paths, market_hours, read_daily_ticks
+from tidebook.sources.ticks import DAILY_FILES, daily_paths, read_daily_ticks, tick_order
 
 INDICATORS = [
     *[c for c in RECURSIVE if c.startswith(("ADX", "DM"))],
@@ -38,21 +38,21 @@ def bar_features(
     return complete_bars(labelled_book(bars(ticks, rate, order), threshold, zero_is_up))
 
 
-def indicators(bar_table: DataFrame) -> DataFrame:
-    """Add all indicators to complete bars and drop the warm-up rows.
+def indicators(bar_table: DataFrame, ties: str = "latest") -> DataFrame:
+    """Add all indicators to complete bars and drop the warm-up rows; ``ties`` is Aroon's.
 
     Window indicators run first: they share the session partitioning and sort of the bar windows, and
     the Arrow pass that follows reuses both.
     """
-    full_set = recursive_indicators(native_indicators(bar_table))
+    full_set = recursive_indicators(native_indicators(bar_table, ties))
     return full_set.where(all_present(LAST_READY))
 
 
 def features_of(
-    ticks: DataFrame, rate: str, threshold: float = 0.0, zero_is_up: bool = True, order: Sequence[str] = ("seq",)
+    ticks: DataFrame, rate: str, threshold: float = 0.0, zero_is_up: bool = True, order: Sequence[str] = ("seq",), ties: str = "latest"
 ) -> DataFrame:
     """Bars, labels, book features, indicators and calendar of a tick frame."""
-    table = calendar_features(indicators(bar_features(ticks, rate, threshold, zero_is_up, order)), rate)
+    table = calendar_features(indicators(bar_features(ticks, rate, threshold, zero_is_up, order), ties), rate)
     names = [*BAR_COLUMNS, *INDICATORS, *CALENDAR]
     return with_bar_time(table, rate).selectExpr("symbol", "session", "bar_ts", "bar_ix", *[f"`{c}`" for c in names])
 
@@ -74,8 +74,17 @@ def feature_table(
     time_col: str = "ts_event",
     time_unit: str = "ns",
     zone: str | None = None,
+    zero_is_up: bool = True,
+    time_ordered: bool = True,
+    hours: tuple[str, str] = ("09:30", "16:00"),
+    ties: str = "latest",
+    pattern: str = DAILY_FILES,
 ) -> DataFrame:
-    """Feature table of the business days from ``start`` to ``end``, read from daily files."""
-    paths = daily_paths(folder, weekdays_between(start, end), symbols)
-    ticks = market_hours(read_daily_ticks(spark, paths, time_col, time_unit, zone))
-    return features_of(ticks, rate, threshold)
+    """Feature table of the business days from ``start`` to ``end``, read from daily files.
+
+    ``time_ordered=False`` is for files that are not sorted by the chosen clock: ticks are then ordered by time and
+    row inside the aggregation, which sorts them in their task; they are not exchanged.
+    """
+    paths = daily_paths(folder, weekdays_between(start, end), symbols, pattern)
+    ticks = read_daily_ticks(spark, paths, time_col, time_unit, zone, hours)
+    return features_of(ticks, rate, threshold, zero_is_up, tick_order(time_ordered), ties)

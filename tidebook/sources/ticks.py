@@ -12,10 +12,11 @@ keeps the tick aggregation a hash aggregate; a struct key would force a sort of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,10 +30,9 @@ TICK_COLUMNS = ["symbol", "session", "ts_us", "seq", *CODE_COLUMNS, *PRICE_COLUM
 
 # Stored integer -> microseconds, as (multiplier, divisor).
 _TIME_UNITS = {"ns": (1, 1_000), "us": (1, 1), "ms": (1_000, 1)}
-
-
-# Bits of the packed order key left for the tie-break once 37 bits hold the microsecond of the day.
-_TIE_BITS = 26
+DAY = re.compile("[0-9]{4}-[0-9]{2}-[0-9]{2}")
+#: Days whose hours are filtered one by one.
+MOST_RANGES = 64
 
 
 def business_days(spark: SparkSession, start: str, end: str) -> DataFrame:
@@ -43,13 +43,24 @@ def business_days(spark: SparkSession, start: str, end: str) -> DataFrame:
     return days.where(F.weekday("session") < 5)
 
 
-def daily_paths(
-    folder: str, days: Iterable[date], symbols: Sequence[str], pattern: str = "{symbol}_{day:%Y-%m-%d}_xnas-itch.parquet"
-) -> list[str]:
+DAILY_FILES = "{symbol}_{day:%Y-%m-%d}_xnas-itch.parquet"
+
+
+def daily_paths(folder: str, days: Iterable[date], symbols: Sequence[str], pattern: str = DAILY_FILES) -> list[str]:
     """One path per symbol and day."""
     return [f"{folder.rstrip('/')}/{pattern.format(symbol=s, day=d)}" for s in symbols for d in days]
 
 
+DAILY_FOLDERS = "file={symbol}_{day:%Y-%m-%d}_xnas-itch.parquet"
+
+
+def write_daily_ticks(ticks: DataFrame, folder: str, order: Sequence[str]) -> None:
+    """One folder with one file per symbol and day, rows in the given order; read with ``DAILY_FOLDERS`` as pattern."""
+    named = ticks.withColumn("file", F.expr("concat(symbol, '_', date_format(session, 'yyyy-MM-dd'), '_xnas-itch.parquet')"))
+    gathered = named.drop("symbol", "session").repartition("file").sortWithinPartitions("file", *order)
+    gathered.write.partitionBy("file").parquet(folder)
+
+
 def missing_sessions(ticks: DataFrame, start: str, end: str) -> DataFrame:
     """``(symbol, session)`` pairs without a tick: every symbol seen, every business day of the range."""
     have = ticks.select("symbol", "session").distinct()
@@ -66,28 +77,22 @@ def _wall_clock_us(col: str, unit: str, zone: str | None) -> str:
     return us if zone is None else f"unix_micros(from_utc_timestamp(timestamp_micros({us}), '{zone}'))"
 
 
-def packed_order() -> Column:
-    """One BIGINT that orders by microsecond of the day, then by row; ties are ranked inside their microsecond."""
-    moment = Window.partitionBy("symbol", "session", "ts_us").orderBy("seq")
-    return F.expr(f"{time_of_day_us()} * {1 << _TIE_BITS}L") + F.row_number().over(moment) - 1
-
-
 def read_daily_ticks(
     spark: SparkSession,
     paths: Sequence[str],
     time_col: str = "ts_event",
     time_unit: str = "ns",
     zone: str | None = None,
-    time_ordered: bool = True,
+    hours: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Scan ``{symbol}_{date}_…parquet`` files; symbol and session come from the file name.
+    """Scan ``{symbol}_{date}_…parquet`` files, or folders of one file; symbol and session come from that name.
 
     ``time_col`` picks the event clock. The time column is read as its stored integer (pandas writes
     nanoseconds, which Spark has no timestamp type for), in ``time_unit``; ``zone`` shifts a UTC clock to a
-    local one, the default keeps the stored wall clock. File order is the tie-break of equal timestamps:
-    with ``time_ordered`` the row index alone is the order; otherwise ``seq`` packs the microsecond of the
-    day and the rank among the rows of that microsecond, so files may have any length. A missing file is an
-    error.
+    local one, the default keeps the stored wall clock. ``seq`` is the row index in the file: the order of a file
+    that is sorted by time, else the tie-break of ``tick_order``. ``hours`` keeps the ticks of those hours; on the
+    stored wall clock they are also plain ranges, one a day, that reach the row groups' statistics. A missing file
+    is an error.
     """
     schema = T.StructType(
         [T.StructField(time_col, T.LongType())]
@@ -96,18 +101,36 @@ def read_daily_ticks(
         + [T.StructField(c, T.LongType()) for c in SIZE_COLUMNS]
     )
     raw = spark.read.schema(schema).parquet(*paths)
-    name, row = "_metadata.file_name", "_metadata.row_index"
+    if hours and zone is None:
+        raw = raw.where(stored_hours(f"`{time_col}`", time_unit, {day for path in paths for day in re.findall(DAY, path)}, *hours))
+    named, row = f"'([^/=]+)_({DAY.pattern})_[^/]*[.]parquet'", "_metadata.row_index"
     ts_us = _wall_clock_us(f"`{time_col}`", time_unit, zone)
     ticks = raw.selectExpr(
-        f"substring_index({name}, '_', 1) AS symbol",
-        f"to_date(substring_index(substring_index({name}, '_', 2), '_', -1)) AS session",
+        f"regexp_extract(_metadata.file_path, {named}, 1) AS symbol",
+        f"to_date(regexp_extract(_metadata.file_path, {named}, 2)) AS session",
         f"{ts_us} AS ts_us",
         f"CAST({row} AS BIGINT) AS seq",
         *CODE_COLUMNS,
         *PRICE_COLUMNS,
         *SIZE_COLUMNS,
     )
-    return nan_to_null(ticks if time_ordered else ticks.withColumn("seq", packed_order()))
+    return nan_to_null(market_hours(ticks, *hours) if hours else ticks)
+
+
+def tick_order(time_ordered: bool = True) -> tuple[str, ...]:
+    """What orders the ticks of a daily file: its rows, or time and then rows if it is not sorted by time."""
+    return ("seq",) if time_ordered else ("ts_us", "seq")
+
+
+def stored_hours(column: str, unit: str, days: Iterable[str], opens: str, closes: str) -> str:
+    """A range of the stored clock for each day, or one over all days where they are many."""
+    mult, div = _TIME_UNITS[unit]
+    first, last = (clock_us(c) * div // mult for c in (opens, closes))
+    midnights = sorted((date.fromisoformat(d) - date(1970, 1, 1)).days * 86_400_000_000 * div // mult for d in days)
+    spans = [(m + first, m + last + div - 1) for m in midnights]
+    if len(spans) > MOST_RANGES:
+        spans = [(spans[0][0], spans[-1][1])]
+    return " OR ".join(f"({column} >= {low}L AND {column} <= {high}L)" for low, high in spans) or "true"
 
 
 def read_tick_table(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
