@@ -930,9 +930,53 @@ def shap_importance(spark, folder):
     return rank.rank_by_shap(ranking(spark, folder))
 
 
-@register("mutual_info_sets", None)
+RANKED = list(dict.fromkeys(c for s in rank.BOTH for c in dataset.FEATURE_SETS[s]))
+
+
+def ranking_sql(tail: str) -> str:
+    """CTE ``ranked``: all ranked features of every bar, and ``cls``, the class of the symbol's next bar."""
+    ready = " AND ".join(f"{q(c)} IS NOT NULL" for c in ft.LAST_READY)
+    held = " AND ".join(f"{q(c)} IS NOT NULL" for c in RANKED)
+    base = with_indicators("", DEEP).rstrip()
+    return f"""{base}, ranked AS (SELECT {', '.join(q(c) for c in RANKED)}, cls
+      FROM (SELECT *, lead({TARGET}) OVER (PARTITION BY symbol ORDER BY bar_ts) AS cls FROM technical WHERE {ready}) AS t WHERE cls IS NOT NULL AND {held}) {tail}"""
+
+
+def r9(column: str, engine_one: str) -> str:
+    """Nine decimals, so that values which the engines round apart still share a bin edge."""
+    return f"floor({column} * 1e9{engine_one} + 0.487{engine_one}) / 1e9{engine_one}"
+
+
+def mutual_info_sets_sql() -> str:
+    ranks = ", ".join(f"greatest(CAST(ceil(n * {k} / 10) AS BIGINT), 1)" for k in range(1, 10))
+    whole = "(PARTITION BY feature)"
+    return ranking_sql(f""", tall AS (SELECT cls, feature, value FROM (SELECT cls, {', '.join(f"{r9(f'CAST({q(c)} AS DOUBLE)', '::DOUBLE')} AS {q(c)}" for c in RANKED)} FROM ranked)
+        UNPIVOT (value FOR feature IN ({', '.join(q(c) for c in RANKED)}))),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value) AS rk, count(*) OVER {whole} AS n FROM tall),
+      edges AS (SELECT feature, list(DISTINCT value) AS edges FROM placed WHERE rk IN ({ranks}) GROUP BY feature),
+      binned AS (SELECT feature, len(list_filter(edges, lambda e: e < value)) AS bin, cls FROM tall JOIN edges USING (feature)),
+      joint AS (SELECT feature, bin, cls, count(*) AS n FROM binned GROUP BY ALL),
+      shares AS (SELECT feature, n, sum(n) OVER {whole} AS total, sum(n) OVER (PARTITION BY feature, bin) AS in_bin, sum(n) OVER (PARTITION BY feature, cls) AS in_class FROM joint),
+      scored AS (SELECT feature, sum(n * 1.0 / total * ln(n * 1.0 * total / (in_bin * in_class))) AS value FROM shares GROUP BY feature),
+      sets(feature_set, feature) AS (VALUES {', '.join(f"('{s}', '{c}')" for s in rank.BOTH for c in dataset.FEATURE_SETS[s])})
+      SELECT feature_set, feature, {r6('value')} AS mutual_information FROM sets JOIN scored USING (feature)""")
+
+
+@register(
+    "correlation_sets",
+    ranking_sql(f""", tall AS (SELECT row, feature, value FROM (SELECT row_number() OVER () AS row, {', '.join(f'CAST({q(c)} AS DOUBLE) AS {q(c)}' for c in RANKED)} FROM ranked)
+        UNPIVOT (value FOR feature IN ({', '.join(q(c) for c in RANKED)})))
+      SELECT a.feature AS feature_a, b.feature AS feature_b, {r6('corr(a.value, b.value)')} AS r FROM tall AS a JOIN tall AS b USING (row) GROUP BY ALL"""),
+)
+def correlation_sets(spark, folder):
+    """Every pair of the features of both ranked sets."""
+    return analysis.correlation(ranking(spark, folder), RANKED)
+
+
+@register("mutual_info_sets", mutual_info_sets_sql())
 def mutual_info_sets(spark, folder):
-    return rank.rank_by_information(ranking(spark, folder))
+    even = [f"{r9(f'CAST(`{c}` AS DOUBLE)', 'D')} AS `{c}`" for c in RANKED]
+    return rank.rank_by_information(ranking(spark, folder).selectExpr(*even, rank.TARGET))
 
 
 @register("pca_selection", None)

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rank accuracy of the sketch that brackets a quantile, and the bracket size worth sorting exactly.
-SKETCH_ACCURACY = 10_000
-BRACKET_ROWS = 1_000_000
+#: A value's 64 bits are read 16 at a time, from the most significant.
+DIGIT = 16
+#: Counts a task gathers before it adds equal ones up.
+HELD = 1 << 20
+
+
+def _wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
 
 
 def _melt(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
@@ -20,120 +26,110 @@ def _melt(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
     return df.selectExpr(*keep, f"inline(array({pairs}))").where("value IS NOT NULL")
 
 
-def _sizes(tall: DataFrame, columns: Sequence[str]) -> list[int]:
-    counts = {r["feature_ix"]: r["n"] for r in tall.groupBy("feature_ix").agg(F.count("value").alias("n")).collect()}
-    return [counts.get(i, 0) for i in range(len(columns))]
+def _array(values: Sequence[float]) -> str:
+    cells = ", ".join(f"double('{'Infinity' if v == math.inf else '-Infinity' if v == -math.inf else repr(v)}')" for v in values)
+    return f"array({cells})"
 
 
-@dataclass
-class _Target:
-    """A wanted rank of one feature and the bracket that is known to hold it."""
+def sizes(df: DataFrame, columns: Sequence[str]) -> list[int]:
+    """How many values each column has."""
+    wide = _wide(df, columns)
+    return list(wide.agg(*[F.count(c).alias(c) for c in wide.columns]).first())
 
-    feature: int
-    rank: int
-    low: float = -math.inf
-    high: float = math.inf
-    below: int = 0
-    held: int = 0
 
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles; -0.0 is 0.0 and NaN comes last."""
+    bits = np.where(np.isnan(x), np.nan, x + 0.0).view(np.uint64)
+    negative = bits >> np.uint64(63) > 0
+    return np.where(negative, ~bits, bits | np.uint64(1 << 63))
 
-def _array(values: Sequence[float]) -> str:
-    cells = ", ".join(f"double('{'Infinity' if v == math.inf else '-Infinity' if v == -math.inf else repr(v)}')" for v in values)
-    return f"array({cells})"
 
+def double_of(bits: int) -> float:
+    raw = bits & ((1 << 63) - 1) if bits >> 63 else ~bits & ((1 << 64) - 1)
+    return float(np.array([raw], np.uint64).view(np.float64)[0])
 
-def _in_brackets(tall: DataFrame, targets: Sequence[_Target]) -> DataFrame:
-    """``(t, value)``: every value once per target whose bracket holds it."""
-    spark, by_feature = tall.sparkSession, {}
-    for t, target in enumerate(targets):
-        by_feature.setdefault(target.feature, []).append((t, target.low, target.high))
-    # One row per feature: as many as there are columns, whatever the data.
-    table = spark.createDataFrame(list(by_feature.items()), "feature_ix INT, brackets ARRAY<STRUCT<t: INT, low: DOUBLE, high: DOUBLE>>")
-    spread = tall.join(F.broadcast(table), "feature_ix")
-    return spread.selectExpr("value", "inline(filter(brackets, b -> value BETWEEN b.low AND b.high))").select("t", "value")
-
-
-def _narrow(tall: DataFrame, targets: Sequence[_Target], accuracy: int) -> bool:
-    """Bracket every target again from a sketch of its current bracket; True if any bracket shrank."""
-    shares = [(t.rank - t.below + 0.5) / t.held for t in targets]
-    slack = 2.0 / accuracy
-    ends = [(max(0.0, s - slack), min(1.0, s + slack)) for s in shares]
-    probs = sorted({p for pair in ends for p in pair})
-    # The first round needs one sketch per feature, later ones one per bracket.
-    whole = all(t.low == -math.inf and t.high == math.inf for t in targets)
-    rows = tall.withColumnRenamed("feature_ix", "t") if whole else _in_brackets(tall, targets)
-    sketch = rows.groupBy("t").agg(F.percentile_approx("value", probs, accuracy).alias("q"))
-    found = {r["t"]: dict(zip(probs, r["q"])) for r in sketch.collect()}
-    brackets = []
-    for i, (t, (lo, hi)) in enumerate(zip(targets, ends)):
-        q = found[t.feature if whole else i]
-        brackets.append((q[lo], q[hi]))
-    by_feature: dict[int, list[int]] = {}
-    for i, t in enumerate(targets):
-        by_feature.setdefault(t.feature, []).append(i)
-    slots = max(len(members) for members in by_feature.values())
-    table = tall.sparkSession.createDataFrame(
-        [(f, [brackets[i][0] for i in members], [brackets[i][1] for i in members]) for f, members in by_feature.items()],
-        "feature_ix INT, lows ARRAY<DOUBLE>, highs ARRAY<DOUBLE>",
-    )
-    low, high = "get(lows, {k})", "get(highs, {k})"
-    tallies = []
-    for k in range(slots):
-        lo, hi = low.format(k=k), high.format(k=k)
-        tallies += [f"count_if(value < {lo}) AS below_{k}", f"count_if(value BETWEEN {lo} AND {hi}) AS held_{k}"]
-    counted = tall.join(F.broadcast(table), "feature_ix").groupBy("feature_ix").agg(*[F.expr(e) for e in tallies])
-    shrank = False
-    for r in counted.collect():
-        for k, i in enumerate(by_feature[r["feature_ix"]]):
-            t, below, held = targets[i], r[f"below_{k}"], r[f"held_{k}"]
-            if below <= t.rank < below + held:  # else the sketch missed; the old bracket stands
-                shrank |= held < t.held
-                t.low, t.high = brackets[i]
-                t.below, t.held = below, held
-    return shrank
-
-
-def order_statistics(
-    df: DataFrame,
-    columns: Sequence[str],
-    ranks: Sequence[Sequence[int]],
-    accuracy: int = SKETCH_ACCURACY,
-    bracket_rows: int = BRACKET_ROWS,
-) -> list[dict[int, float]]:
-    """Exact values at the given 0-based ranks of each column, NULLs left out.
-
-    A quantile sketch brackets every rank and exact counts say how many values lie below and inside. A
-    bracket that still holds too many rows is bracketed again. Only what is left inside is grouped by
-    value and ranked, so no task ever holds a column. Every round reads ``df``; hand in a written table.
+
+def _present(column: pa.Array) -> np.ndarray:
+    return column.drop_null().to_numpy(zero_copy_only=False)
+
+
+def _digit_counts(wide: DataFrame, open_: Sequence[tuple[int, int]], done: int) -> DataFrame:
+    """``(slot, digit, n)``: for each open (column, leading ``done`` bits), a slot, how many values have each next digit.
+
+    One pass over the columns; a task keeps only the digits that occur, and adds them up before the shuffle.
+    """
+    prefixes = {c: np.array(sorted(p for of, p in open_ if of == c), np.uint64) for c in {c for c, _ in open_}}
+    slots = {c: np.array([open_.index((c, int(p))) for p in ps], np.int64) for c, ps in prefixes.items()}
+    shift = np.uint64(64 - done - DIGIT)
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for batch in batches:
+            for i, c in enumerate(prefixes):
+                lead = ordered_bits(_present(batch.column(i))) >> shift
+                if done:
+                    top = lead >> np.uint64(DIGIT)
+                    at = np.minimum(np.searchsorted(prefixes[c], top), len(prefixes[c]) - 1)
+                    inside = prefixes[c][at] == top
+                    lead, at = lead[inside], at[inside]
+                else:
+                    at = np.zeros(len(lead), np.int64)
+                keys, n = np.unique(slots[c][at] << DIGIT | (lead & np.uint64((1 << DIGIT) - 1)).astype(np.int64), return_counts=True)
+                parts.append((keys, n))
+                held += len(keys)
+            if held > HELD:
+                parts = [summed(parts)]
+                held = len(parts[0][0])
+        if held:
+            keys, n = summed(parts)
+            for low in range(0, len(keys), 1 << 16):
+                some = keys[low : low + (1 << 16)]
+                columns = [(some >> DIGIT).astype(np.int32), (some & ((1 << DIGIT) - 1)).astype(np.int32), n[low : low + (1 << 16)]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["slot", "digit", "n"])
+
+    counted = wide.select(*[f"c{c}" for c in prefixes]).mapInArrow(run, "slot INT, digit INT, n BIGINT")
+    return counted.groupBy("slot", "digit").agg(F.sum("n").alias("n"))
+
+
+def order_statistics(df: DataFrame, columns: Sequence[str], ranks: Sequence[Sequence[int]]) -> list[dict[int, float]]:
+    """Exact values at the given 0-based ranks of each column, NULLs left out, by radix selection.
+
+    Doubles become integers of the same order. Each pass counts, for the leading bits that hold a wanted rank, how
+    many values have which next 16 bits; the running count tells in which of them the rank lies. After four passes
+    all 64 bits are known, whatever the values: no sketch, no sort, and no task sees more than 65,536 counts a rank.
+    All columns share the passes, and one row per rank reaches the driver. Hand in a written table.
     """
-    tall = _melt(df, columns)
-    sizes = _sizes(tall, columns)
-    targets = [_Target(i, r, held=sizes[i]) for i, rs in enumerate(ranks) for r in sorted(set(rs))]
-    todo = targets
-    while todo:
-        shrank = _narrow(tall, todo, accuracy)
-        todo = [t for t in todo if t.held > bracket_rows and t.low < t.high] if shrank else []
+    wide = _wide(df, columns)
+    wanted = [(i, r) for i, rs in enumerate(ranks) for r in sorted(set(rs))]
+    lead, rest = [0] * len(wanted), [r for _, r in wanted]  # leading bits found, rank among the values that share them
+    upto = F.sum("n").over(Window.partitionBy("slot").orderBy("digit"))
+    for done in range(0, 64, DIGIT):
+        if not wanted:
+            break
+        open_ = sorted({(c, p) for (c, _), p in zip(wanted, lead)})
+        targets = [(t, open_.index((c, p)), r) for t, ((c, _), p, r) in enumerate(zip(wanted, lead, rest))]
+        table = df.sparkSession.createDataFrame(targets, "t INT, slot INT, place BIGINT")
+        running = _digit_counts(wide, open_, done).withColumn("upto", upto)
+        found = running.join(F.broadcast(table), "slot").where("place < upto AND place >= upto - n")
+        for r in found.select("t", "digit", (F.col("upto") - F.col("n")).alias("below")).collect():  # one row per rank
+            lead[r["t"]] = lead[r["t"]] << DIGIT | r["digit"]
+            rest[r["t"]] -= r["below"]
     out: list[dict[int, float]] = [{} for _ in columns]
-    for t in targets:
-        if t.low == t.high:
-            out[t.feature][t.rank] = t.low
-    wide = [t for t in targets if t.low < t.high]
-    if wide:
-        tied = _in_brackets(tall, wide).groupBy("t", "value").agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("t").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-        inner = ", ".join(f"{t.rank - t.below}L" for t in wide)
-        ranked = tied.withColumn("upto", upto).withColumn("wanted", F.expr(f"array({inner})[t]"))
-        for r in ranked.where("wanted < upto AND wanted >= upto - n").select("t", "value").collect():  # one row per target
-            out[wide[r["t"]].feature][wide[r["t"]].rank] = r["value"]
+    for (c, r), bits in zip(wanted, lead):
+        out[c][r] = double_of(bits)
     return out
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact_rows: int = BRACKET_ROWS) -> list[list[float | None]]:
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], known_sizes: Sequence[int] | None = None) -> list[list[float | None]]:
     """Exact quantiles with linear interpolation between neighbouring ranks, one list per column."""
-    sizes = _sizes(_melt(df, columns), columns)
-    places = [[(n - 1) * p for p in probs] if n else [] for n in sizes]
+    places = [[(n - 1) * p for p in probs] if n else [] for n in known_sizes or sizes(df, columns)]
     ranks = [[r for x in xs for r in (math.floor(x), math.ceil(x))] for xs in places]
-    known = order_statistics(df, columns, ranks, bracket_rows=exact_rows)
+    known = order_statistics(df, columns, ranks)
     out: list[list[float | None]] = []
     for i, xs in enumerate(places):
         if not xs:
@@ -145,65 +141,90 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], exa
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column."""
-    moments = (
-        _melt(df, columns)
-        .groupBy("feature_ix")
-        .agg(
-            F.count("value").alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-    )
-    found = {r["feature_ix"]: r for r in moments.collect()}  # one row per column
-    quarters = quantiles(df, columns, [0.25, 0.5, 0.75])
-    rows = [
-        (c, r["count"], r["mean"], r["std"], r["min"], *quarters[i], r["max"])
-        if (r := found.get(i))
-        else (c, 0, *[None] * 7)
-        for i, c in enumerate(columns)
-    ]
+    """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column; five passes in all."""
+    wide = _wide(df, columns)
+    parts = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = wide.agg(*[f(c).alias(f"{c}_{name}") for c in wide.columns for name, f in parts.items()]).first()
+    moments = [{name: row[f"{c}_{name}"] for name in parts} for c in wide.columns]
+    quarters = quantiles(df, columns, [0.25, 0.5, 0.75], [m["n"] for m in moments])
+    rows = [(c, m["n"], m["mean"], m["std"], m["min"], *q, m["max"]) for c, m, q in zip(columns, moments, quarters)]
     schema = "feature STRING, count BIGINT, mean DOUBLE, std DOUBLE, min DOUBLE, q25 DOUBLE, q50 DOUBLE, q75 DOUBLE, max DOUBLE"
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-# Correlations of one aggregate; wider tables take several passes over them.
-PAIRS_PER_PASS = 150
-# Of a column scaled to deviation 1, what rounding leaves where the values are really constant.
-CONSTANT = 1e-9
+# A deviation below this share of the mean is what rounding leaves of a constant.
+CONSTANT = 1e-13
 
 
-def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair over the rows that have both, as ``(feature_a, feature_b, r)``.
+class _Comoments:
+    """Counts, means and centred products of all pairs of columns over the rows that have both.
 
-    NULL for a pair without two rows or with a constant column, the diagonal included. Sums are combined
-    before the shuffle; only one row of sums per pass is exchanged. Columns are centred near their mean and
-    scaled first, so that small variances keep their digits.
+    ``mean[i, j]`` is the mean of column i and ``square[i, j]`` its centred square where column j has a value too.
     """
-    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    sizes = wide.agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in wide.columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
 
-    def scaled(c: str) -> Column:
-        mean, deviation = sizes[f"{c}_m"] or 0.0, sizes[f"{c}_s"] or 0.0
-        return ((F.col(c) - F.lit(mean)) / F.lit(deviation if deviation > 1e-12 * abs(mean) else 1.0)).alias(c)
+    def __init__(self, size: int):
+        self.n, self.mean, self.square, self.product = (np.zeros((size, size)) for _ in range(4))
+
+    def add(self, columns: Sequence[pa.Array]) -> None:
+        held = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in columns], 1).astype(float)
+        x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in columns], 1)
+        # Close to the mean, and exactly 0 for a constant column.
+        first = x[held.argmax(axis=0), np.arange(x.shape[1])]
+        near = (x - first) * held
+        shift = near.sum(axis=0) / np.maximum(held.sum(axis=0), 1)
+        x = (near - shift) * held
+        n = held.T @ held
+        some = np.maximum(n, 1)
+        mean = x.T @ held / some
+        square = np.maximum((x * x).T @ held - n * mean * mean, 0.0)
+        self.merge(n, mean + (first + shift)[:, None], square, x.T @ x - n * mean * mean.T)
+
+    def merge(self, n: np.ndarray, mean: np.ndarray, square: np.ndarray, product: np.ndarray) -> None:
+        whole = np.maximum(self.n + n, 1)
+        apart = np.where((self.n > 0) & (n > 0), mean - self.mean, 0.0)
+        weight = self.n * n / whole
+        self.square += square + apart * apart * weight
+        self.product += product + apart * apart.T * weight
+        self.mean = np.where(self.n > 0, self.mean + apart * n / whole, mean)
+        self.n = self.n + n
 
-    table = wide.select(*[scaled(c) for c in wide.columns])
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+
+def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every pair over the rows that have both, as ``(feature_a, feature_b, r)``.
+
+    NULL for a pair without two rows or with a constant column, the diagonal included. One pass: a task turns its
+    batches into matrices of counts, means and centred products, and hands on one row per pair; these are put together
+    around the pair's mean after one shuffle. Sums are centred, so small spreads around large values keep their
+    digits.
+    """
+    size = len(columns)
+    a, b = np.triu_indices(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = _Comoments(size)
+        for batch in batches:
+            if batch.num_rows:
+                total.add(batch.columns)
+        shown = [a, b, total.n[a, b], total.mean[a, b], total.mean[b, a], total.square[a, b], total.square[b, a], total.product[a, b]]
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32) if k < 2 else x) for k, x in enumerate(shown)], names)
+
+    names = ["a", "b", "n", "x", "y", "xx", "yy", "xy"]
+    parts = _wide(df, columns).mapInArrow(run, "a INT, b INT, " + ", ".join(f"{c} DOUBLE" for c in names[2:])).where("n > 0")
+    pair = Window.partitionBy("a", "b")
+    centred = parts.withColumns({f"m{c}": F.sum(F.col("n") * F.col(c)).over(pair) / F.sum("n").over(pair) for c in ("x", "y")})
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    sums = centred.groupBy("a", "b").agg(
+        F.sum("n").alias("n"),
+        F.first("mx").alias("mx"),
+        F.first("my").alias("my"),
+        *[F.sum(F.col(c) + F.col("n") * p).alias(c) for c, p in (("xx", dx * dx), ("yy", dy * dy), ("xy", dx * dy))],
+    )
     found: dict[tuple[int, int], float | None] = {}
-    for low in range(0, len(pairs), PAIRS_PER_PASS):
-        some, sums = pairs[low : low + PAIRS_PER_PASS], []
-        for k, (i, j) in enumerate(some):
-            x, y = F.col(f"c{i}"), F.col(f"c{j}")
-            sums += [F.covar_pop(x, y).alias(f"xy{k}"), F.stddev_pop(F.when(y.isNotNull(), x)).alias(f"x{k}"), F.stddev_pop(F.when(x.isNotNull(), y)).alias(f"y{k}")]
-        row = table.agg(*sums).first()
-        for k, pair in enumerate(some):
-            xy, x, y = row[f"xy{k}"], row[f"x{k}"], row[f"y{k}"]
-            found[pair] = max(-1.0, min(1.0, xy / (x * y))) if xy is not None and min(x, y) > CONSTANT else None
-            if pair[0] == pair[1] and found[pair] is not None:
-                found[pair] = 1.0
-    rows = [(a, b, found[min(i, j), max(i, j)]) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    for r in sums.collect():  # one row per pair of columns
+        spread = [math.sqrt(r[c] / r["n"]) > CONSTANT * abs(r[m]) for c, m in (("xx", "mx"), ("yy", "my"))]
+        if r["n"] > 1 and all(spread):
+            found[r["a"], r["b"]] = 1.0 if r["a"] == r["b"] else max(-1.0, min(1.0, r["xy"] / math.sqrt(r["xx"]) / math.sqrt(r["yy"])))
+    rows = [(a, b, found.get((min(i, j), max(i, j)))) for i, a in enumerate(columns) for j, b in enumerate(columns)]
     return df.sparkSession.createDataFrame(rows, "feature_a STRING, feature_b STRING, r DOUBLE")
 
 
@@ -226,8 +247,7 @@ def top(ranking: DataFrame, score: str, n: int | None = None, label: str = "feat
 
 def bin_edges(df: DataFrame, columns: Sequence[str], bins: int) -> list[list[float]]:
     """Inner edges of equal-count bins: the values at ranks ceil(n*q) (from 1) for q = 1/bins, 2/bins, …"""
-    sizes = _sizes(_melt(df, columns), columns)
-    ranks = [[max(-(-n * k // bins), 1) - 1 for k in range(1, bins)] if n else [] for n in sizes]
+    ranks = [[max(-(-n * k // bins), 1) - 1 for k in range(1, bins)] if n else [] for n in sizes(df, columns)]
     known = order_statistics(df, columns, ranks)
     return [[known[i][r] for r in rs] for i, rs in enumerate(ranks)]
 
