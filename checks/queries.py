@@ -336,7 +336,8 @@ for _name, _columns in [
     ("kama", ["KAMA_3_2_10"]),
     ("adx_dmi", ["ADX_5", "ADX_7", "ADX_10", "DMP_5", "DMP_10", "DMN_5", "DMN_10"]),
 ]:
-    indicator_query(_name, _columns, recursive.recursive_indicators)
+    # In blocks of sixteen bars, as sessions of very many bars are; ``feature_table`` takes a session in one.
+    indicator_query(_name, _columns, lambda df: recursive.recursive_indicators(df, block_rows=16))
 
 bar_query("calendar", ft.CALENDAR, lambda s, f: calendar.calendar_features(occupied(s, f), rate(WIDE)), "lagged", where="WHERE occupied")
 

@@ -6,7 +6,7 @@ import pytest
 
 from tidebook.functions.nulls import all_present
 from tidebook.operators.indicators import aroon, native_indicators, with_families
-from tidebook.operators.recursive import RECURSIVE, recursive_columns, recursive_indicators
+from tidebook.operators.recursive import RECURSIVE, recursive_indicators, scan
 from tidebook.plans.feature_table import INDICATORS, indicators
 
 SCHEMA = (
@@ -79,20 +79,45 @@ def by_hand(rows):
     return out
 
 
+@pytest.mark.parametrize("size", [{"session_bars": 100}, {}, {"block_rows": 7}, {"block_rows": 1}])
 @pytest.mark.parametrize("n, flat", [(60, 0.2), (4, 0.0), (26, 0.9)])
-def test_recursive_indicators(spark, n, flat):
+def test_recursive_indicators(spark, n, flat, size):
     rows = random_bars(5, n, flat)
-    got = collected(recursive_indicators(spark.createDataFrame(rows, SCHEMA)))
+    got = collected(recursive_indicators(spark.createDataFrame(rows, SCHEMA), **size))
     want = by_hand(rows)
     for name in RECURSIVE:
         assert [r[name] for r in got] == [None if v is None else pytest.approx(v, abs=1e-9) for v in want[name]], name
 
 
-def test_constant_prices():
-    flat = np.full(40, 100.0)
-    out = recursive_columns(flat, flat, flat, flat)
-    assert set(out["RSI_7"][6:]) == {100.0} and set(out["ADX_10"][19:]) == {0.0}
-    assert np.allclose(out["KAMA_3_2_10"][2:], 100.0) and np.isnan(out["KAMA_3_2_10"][:2]).all()
+@pytest.mark.parametrize("size", [{"session_bars": 100}, {"block_rows": 7}])
+def test_constant_prices(spark, size):
+    rows = [("X", "d", i, 100.0, 100.0, 100.0, 100.0, 100.0) for i in range(40)]
+    got = collected(recursive_indicators(spark.createDataFrame(rows, SCHEMA), **size))
+    assert {r["RSI_7"] for r in got[6:]} == {100.0} and {r["ADX_10"] for r in got[19:]} == {0.0}
+    assert [r["KAMA_3_2_10"] for r in got[2:]] == pytest.approx([100.0] * 38) and all(r["KAMA_3_2_10"] is None for r in got[:2])
+
+
+def test_scan_composes_steps():
+    rng = np.random.default_rng(0)
+    gain, add = rng.random((53, 2)), rng.normal(size=(53, 2))
+    gain[20] = 0
+    y, want = np.array([3.0, -1.0]), []
+    for g, a in zip(gain, add):
+        y = g * y + a
+        want.append(y)
+    gains, adds = scan(gain, add)
+    assert np.allclose(adds + gains * np.array([3.0, -1.0]), want)
+
+
+def test_blocks_are_the_groups_of_a_long_session(spark):
+    bars = spark.createDataFrame(random_bars(5, 40), SCHEMA)
+    grouped = []
+    groups = type(bars).groupBy
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(bars), "groupBy", lambda self, *keys: grouped.append(keys) or groups(self, *keys))
+        recursive_indicators(bars, block_rows=7)
+    # Whole sessions are only grouped on one row per block.
+    assert grouped.count(("symbol", "session", "block")) == 4 and grouped.count(("symbol", "session")) == 2
 
 
 def test_window_indicators_wait_for_a_full_window(spark):

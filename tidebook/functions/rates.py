@@ -52,3 +52,8 @@ def bar_start(rate: str) -> str:
 def session_of(ts_us: str = "ts_us") -> str:
     """Calendar date of an epoch-microsecond column."""
     return f"date_from_unix_date(CAST(floor({ts_us} / {DAY_US}L) AS INT))"
+
+
+def bars_a_day(rate: str) -> int:
+    """The most bars a session can have."""
+    return -(-DAY_US // rate_us(rate))

@@ -8,6 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebook.functions.nulls import all_present
+from tidebook.functions.rates import bars_a_day
 from tidebook.operators.bars import bars, with_bar_time
 from tidebook.operators.book import BAR_COLUMNS, complete_bars, labelled_book
 from tidebook.operators.calendar import WEEKDAYS, calendar_features
@@ -38,13 +39,14 @@ def bar_features(
     return complete_bars(labelled_book(bars(ticks, rate, order), threshold, zero_is_up))
 
 
-def indicators(bar_table: DataFrame, ties: str = "latest") -> DataFrame:
-    """Add all indicators to complete bars and drop the warm-up rows; ``ties`` is Aroon's.
+def indicators(bar_table: DataFrame, ties: str = "latest", session_bars: int | None = None) -> DataFrame:
+    """Add all indicators to complete bars and drop the warm-up rows; ``ties`` is Aroon's, ``session_bars`` the most
+    bars of a session.
 
     Window indicators run first: they share the session partitioning and sort of the bar windows, and
     the Arrow pass that follows reuses both.
     """
-    full_set = recursive_indicators(native_indicators(bar_table, ties))
+    full_set = recursive_indicators(native_indicators(bar_table, ties), session_bars)
     return full_set.where(all_present(LAST_READY))
 
 
@@ -52,7 +54,7 @@ def features_of(
     ticks: DataFrame, rate: str, threshold: float = 0.0, zero_is_up: bool = True, order: Sequence[str] = ("seq",), ties: str = "latest"
 ) -> DataFrame:
     """Bars, labels, book features, indicators and calendar of a tick frame."""
-    table = calendar_features(indicators(bar_features(ticks, rate, threshold, zero_is_up, order), ties), rate)
+    table = calendar_features(indicators(bar_features(ticks, rate, threshold, zero_is_up, order), ties, bars_a_day(rate)), rate)
     names = [*BAR_COLUMNS, *INDICATORS, *CALENDAR]
     return with_bar_time(table, rate).selectExpr("symbol", "session", "bar_ts", "bar_ix", *[f"`{c}`" for c in names])
 
