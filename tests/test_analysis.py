@@ -23,13 +23,15 @@ def arrays(frame):
     return [np.array([r[c] for r in rows if r[c] is not None]) for c in COLUMNS]
 
 
-def test_order_statistics_are_exact(frame):
+@pytest.mark.parametrize("few", [0, 100, 1 << 16])
+def test_order_statistics_are_exact(frame, few):
     data = [np.sort(x) for x in arrays(frame)]
     ranks = [[0, 1, len(x) // 3, len(x) // 2, len(x) - 1] for x in data]
-    got = analysis.order_statistics(frame, COLUMNS, ranks)
+    counts = analysis.sizes(frame, COLUMNS)
+    got = analysis.order_statistics(frame, COLUMNS, ranks, counts, few)
     for x, rs, found in zip(data, ranks, got):
         assert found == {r: x[r] for r in rs}
-    assert analysis.order_statistics(frame, COLUMNS, [[], [], [], []]) == [{}, {}, {}, {}]
+    assert analysis.order_statistics(frame, COLUMNS, [[], [], [], []], counts) == [{}, {}, {}, {}]
 
 
 def test_bits_keep_the_order_of_doubles():
@@ -51,7 +53,7 @@ def test_order_statistics_of_hard_columns(spark, monkeypatch):
     )
     ranks = [[0, 250_000, 499_999, 500_000, 999_999], [1, 123_456, 999_998], [0, 3, 500_000, 999_999]]
     data = [np.sort(c) for c in df.toPandas().to_numpy().T]
-    assert analysis.order_statistics(df, df.columns, ranks) == [{r: x[r] for r in rs} for x, rs in zip(data, ranks)]
+    assert analysis.order_statistics(df, df.columns, ranks, [1_000_000] * 3) == [{r: x[r] for r in rs} for x, rs in zip(data, ranks)]
     assert len(passes) == 4 and len(np.unique(data[1])) == 1_000_000
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A value's 64 bits are read 16 at a time, from the most significant.
 DIGIT = 16
+#: Values that share the bits found so far, few enough to tell apart in one more pass.
+FEW = 1 << 16
 #: Counts a task gathers before it adds equal ones up.
 HELD = 1 << 20
 
@@ -53,72 +55,81 @@ def _present(column: pa.Array) -> np.ndarray:
     return column.drop_null().to_numpy(zero_copy_only=False)
 
 
-def _digit_counts(wide: DataFrame, open_: Sequence[tuple[int, int]], done: int) -> DataFrame:
-    """``(slot, digit, n)``: for each open (column, leading ``done`` bits), a slot, how many values have each next digit.
+def _digit_counts(wide: DataFrame, open_: Sequence[tuple[int, int]], done: int, width: int) -> DataFrame:
+    """``(slot, digit, n)``: for each open (column, leading ``done`` bits), a slot, how many values have which next
+    ``width`` bits; digits of all 64 bits are shifted into the signed range.
 
     One pass over the columns; a task keeps only the digits that occur, and adds them up before the shuffle.
     """
-    prefixes = {c: np.array(sorted(p for of, p in open_ if of == c), np.uint64) for c in {c for c, _ in open_}}
-    slots = {c: np.array([open_.index((c, int(p))) for p in ps], np.int64) for c, ps in prefixes.items()}
-    shift = np.uint64(64 - done - DIGIT)
+    prefixes = {c: np.array(sorted(p for of, p in open_ if of == c), np.uint64) for c in sorted({c for c, _ in open_})}
+    slots = {c: np.array([open_.index((c, int(p))) for p in ps], np.int32) for c, ps in prefixes.items()}
 
-    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+    def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        slot, digit, n = (np.concatenate(p) for p in zip(*parts))
+        by = np.lexsort((digit, slot))
+        slot, digit, n = slot[by], digit[by], n[by]
+        heads = np.flatnonzero(np.append(True, (slot[1:] != slot[:-1]) | (digit[1:] != digit[:-1])))
+        return slot[heads], digit[heads], np.add.reduceat(n, heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, ...]] = []
         held = 0
         for batch in batches:
             for i, c in enumerate(prefixes):
-                lead = ordered_bits(_present(batch.column(i))) >> shift
+                bits = ordered_bits(_present(batch.column(i)))
+                at = np.zeros(len(bits), np.int64)
                 if done:
-                    top = lead >> np.uint64(DIGIT)
+                    top = bits >> np.uint64(64 - done)
                     at = np.minimum(np.searchsorted(prefixes[c], top), len(prefixes[c]) - 1)
                     inside = prefixes[c][at] == top
-                    lead, at = lead[inside], at[inside]
+                    bits, at = bits[inside], at[inside]
+                if not len(bits):
+                    continue
+                if width == 64:
+                    digit = (bits ^ np.uint64(1 << 63)).view(np.int64)
                 else:
-                    at = np.zeros(len(lead), np.int64)
-                keys, n = np.unique(slots[c][at] << DIGIT | (lead & np.uint64((1 << DIGIT) - 1)).astype(np.int64), return_counts=True)
-                parts.append((keys, n))
-                held += len(keys)
+                    digit = ((bits >> np.uint64(64 - done - width)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                parts.append(summed([(slots[c][at], digit, np.ones(len(digit), np.int64))]))
+                held += len(parts[-1][0])
             if held > HELD:
                 parts = [summed(parts)]
                 held = len(parts[0][0])
         if held:
-            keys, n = summed(parts)
-            for low in range(0, len(keys), 1 << 16):
-                some = keys[low : low + (1 << 16)]
-                columns = [(some >> DIGIT).astype(np.int32), (some & ((1 << DIGIT) - 1)).astype(np.int32), n[low : low + (1 << 16)]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["slot", "digit", "n"])
+            found = summed(parts)
+            for low in range(0, len(found[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[low : low + (1 << 16)]) for x in found], ["slot", "digit", "n"])
 
-    counted = wide.select(*[f"c{c}" for c in prefixes]).mapInArrow(run, "slot INT, digit INT, n BIGINT")
+    counted = wide.select(*[f"c{c}" for c in prefixes]).mapInArrow(run, "slot INT, digit BIGINT, n BIGINT")
     return counted.groupBy("slot", "digit").agg(F.sum("n").alias("n"))
 
 
-def order_statistics(df: DataFrame, columns: Sequence[str], ranks: Sequence[Sequence[int]]) -> list[dict[int, float]]:
+def order_statistics(df: DataFrame, columns: Sequence[str], ranks: Sequence[Sequence[int]], known_sizes: Sequence[int], few: int = FEW) -> list[dict[int, float]]:
     """Exact values at the given 0-based ranks of each column, NULLs left out, by radix selection.
 
     Doubles become integers of the same order. Each pass counts, for the leading bits that hold a wanted rank, how
-    many values have which next 16 bits; the running count tells in which of them the rank lies. After four passes
-    all 64 bits are known, whatever the values: no sketch, no sort, and no task sees more than 65,536 counts a rank.
-    All columns share the passes, and one row per rank reaches the driver. Hand in a written table.
+    many values have which next 16 bits; the running count tells in which of them the rank lies. Where all open
+    leading bits are shared by at most ``few`` values, the pass takes all bits that are left. After four passes at
+    most all 64 bits are known, whatever the values: no sketch, no sort, and no task sees more than 65,536 counts a
+    rank. All columns share the passes, and one row per rank reaches the driver. Hand in a written table.
     """
     wide = _wide(df, columns)
     wanted = [(i, r) for i, rs in enumerate(ranks) for r in sorted(set(rs))]
-    lead, rest = [0] * len(wanted), [r for _, r in wanted]  # leading bits found, rank among the values that share them
+    # Leading bits found, the rank among the values that share them, and how many do.
+    lead, rest, share = [0] * len(wanted), [r for _, r in wanted], [known_sizes[c] for c, _ in wanted]
     upto = F.sum("n").over(Window.partitionBy("slot").orderBy("digit"))
-    for done in range(0, 64, DIGIT):
-        if not wanted:
-            break
+    done = 0
+    while wanted and done < 64:
+        width = 64 - done if max(share) <= few else DIGIT
         open_ = sorted({(c, p) for (c, _), p in zip(wanted, lead)})
         targets = [(t, open_.index((c, p)), r) for t, ((c, _), p, r) in enumerate(zip(wanted, lead, rest))]
         table = df.sparkSession.createDataFrame(targets, "t INT, slot INT, place BIGINT")
-        running = _digit_counts(wide, open_, done).withColumn("upto", upto)
+        running = _digit_counts(wide, open_, done, width).withColumn("upto", upto)
         found = running.join(F.broadcast(table), "slot").where("place < upto AND place >= upto - n")
-        for r in found.select("t", "digit", (F.col("upto") - F.col("n")).alias("below")).collect():  # one row per rank
-            lead[r["t"]] = lead[r["t"]] << DIGIT | r["digit"]
+        for r in found.select("t", "digit", "n", (F.col("upto") - F.col("n")).alias("below")).collect():  # one row per rank
+            lead[r["t"]] = lead[r["t"]] << width | (r["digit"] + (1 << 63) if width == 64 else r["digit"])
             rest[r["t"]] -= r["below"]
+            share[r["t"]] = r["n"]
+        done += width
     out: list[dict[int, float]] = [{} for _ in columns]
     for (c, r), bits in zip(wanted, lead):
         out[c][r] = double_of(bits)
@@ -127,9 +138,10 @@ def order_statistics(df: DataFrame, columns: Sequence[str], ranks: Sequence[Sequ
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], known_sizes: Sequence[int] | None = None) -> list[list[float | None]]:
     """Exact quantiles with linear interpolation between neighbouring ranks, one list per column."""
-    places = [[(n - 1) * p for p in probs] if n else [] for n in known_sizes or sizes(df, columns)]
+    known_sizes = known_sizes or sizes(df, columns)
+    places = [[(n - 1) * p for p in probs] if n else [] for n in known_sizes]
     ranks = [[r for x in xs for r in (math.floor(x), math.ceil(x))] for xs in places]
-    known = order_statistics(df, columns, ranks)
+    known = order_statistics(df, columns, ranks, known_sizes)
     out: list[list[float | None]] = []
     for i, xs in enumerate(places):
         if not xs:
@@ -141,7 +153,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], kno
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column; five passes in all."""
+    """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column; at most five passes in all."""
     wide = _wide(df, columns)
     parts = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     row = wide.agg(*[f(c).alias(f"{c}_{name}") for c in wide.columns for name, f in parts.items()]).first()
@@ -247,8 +259,9 @@ def top(ranking: DataFrame, score: str, n: int | None = None, label: str = "feat
 
 def bin_edges(df: DataFrame, columns: Sequence[str], bins: int) -> list[list[float]]:
     """Inner edges of equal-count bins: the values at ranks ceil(n*q) (from 1) for q = 1/bins, 2/bins, …"""
-    ranks = [[max(-(-n * k // bins), 1) - 1 for k in range(1, bins)] if n else [] for n in sizes(df, columns)]
-    known = order_statistics(df, columns, ranks)
+    known_sizes = sizes(df, columns)
+    ranks = [[max(-(-n * k // bins), 1) - 1 for k in range(1, bins)] if n else [] for n in known_sizes]
+    known = order_statistics(df, columns, ranks, known_sizes)
     return [[known[i][r] for r in rs] for i, rs in enumerate(ranks)]
 
 

@@ -166,9 +166,20 @@ def _rows(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(rows, -1)
 
 
+def _near(prices: Columns) -> Columns:
+    """The columns of ``NEAR`` of a whole session."""
+    size = len(prices["mid_price_mean"])
+
+    def back(name: str, n: int) -> np.ndarray:
+        return np.concatenate([np.full(min(n, size), np.nan), prices[f"mid_price_{name}"][: max(0, size - n)]])
+
+    lags = {name: back(*name.split("_")[:1], int(name.split("_")[1])) for name in NEAR if name != "nr"}
+    return prices | {"nr": np.arange(1, size + 1)} | lags
+
+
 def _session_pass(table: pa.Table) -> pa.Table:
     ordered = table.sort_by("bar_ix")
-    c = _columns(ordered)
+    c = _near({name: ordered.column(name).to_numpy() for name in PRICES})
     y: Columns = {}
     for steps in (first_steps, lambda c: second_steps(c, y)):
         found = steps(c)
@@ -254,9 +265,10 @@ def recursive_indicators(bars: DataFrame, session_bars: int | None = None, block
     """
     others = [c for c in bars.columns if c not in {*KEYS, *PRICES}]
     near = [f"{e.replace(' w', ' (PARTITION BY symbol, session ORDER BY bar_ix)')} AS {name}" for name, e in NEAR.items()]
-    packed = bars.selectExpr(*KEYS, *PRICES, *near, *([f"struct({', '.join(f'`{c}`' for c in others)}) AS others"] if others else []))
+    rest = [f"struct({', '.join(f'`{c}`' for c in others)}) AS others"] if others else []
     if session_bars is not None and session_bars <= block_rows:
+        packed = bars.selectExpr(*KEYS, *PRICES, *rest)
         done = packed.groupBy(*GROUP).applyInArrow(_session_pass, _with_indicators(packed))
     else:
-        done = _by_blocks(packed, block_rows)
+        done = _by_blocks(bars.selectExpr(*KEYS, *PRICES, *near, *rest), block_rows)
     return done.selectExpr(*[f"others.`{c}`" if c in others else f"`{c}`" for c in bars.columns], *RECURSIVE)
