@@ -63,3 +63,11 @@ def test_repeated_rows_null_ids_and_an_empty_table(spark):
     # NULL ids come first, so they keep the line; equal rows stay equal.
     assert found == [("1", "a line\nmore", "more"), ("1", "a line\nmore", "more"), ("None", "None", ""), ("None", "a line", "a line")]
     assert line_dedup.without_repeats(frame.limit(0)).count() == 0
+
+
+def test_near_equal_lines_of_millions_of_characters(spark):
+    line = "".join(chr(97 + (i * i // 7) % 26) for i in range(2500)) * 1800
+    rows = [(1, line), (2, line[:2_000_000] + line[2_000_001:])]
+    frame = spark.createDataFrame(rows, "doc_id int, text string")
+    found = {r.doc_id: (r.n_kept, r.n_near) for r in line_dedup.without_repeats(frame).drop("text", "deduped").collect()}
+    assert found == {1: (1, 0), 2: (0, 1)}

@@ -10,8 +10,9 @@ are one exchange apart if they agree after losing the character at the same plac
 n + 1 are one insertion apart if the shorter equals the longer less one. Keys are therefore (variant,
 place) for the first and (variant) for the second relation, and all lines that share a key are really
 within the bound: the earliest line of a key is the only partner that matters, so no group makes pairs.
-A variant's key is a sum of hashes of (character, place), so prefix and suffix sums give all keys of a
-line in time linear in its length. Hash keys only propose; the edit distance is verified on the texts.
+A variant's key is the XOR of hashes of (character, place), so prefix and suffix XORs give all keys of a
+line in time linear in its length, for lines of any length. Hash keys only propose; the edit they name is
+verified on the texts.
 
 Before variants are made, an exact filter drops lines without a possible partner. Cut a line into equal
 parts: an edit touches one, so two lines within one edit agree, in the same length class, on what is left
@@ -31,8 +32,6 @@ from tidebook.llm.common import SPACED_WORD, Scratch, sent_if_small, text_key
 MIN_CHARS = 30
 #: Parts of the second filter.
 PARTS = 16
-#: Hashes summed over a line stay below 2^63 for lines of up to 2^21 characters.
-SUM_MASK = (1 << 42) - 1
 
 
 def part_keys(line: Column, n: Column, parts: int) -> Column:
@@ -88,35 +87,47 @@ def neighbourhood(lines: DataFrame) -> DataFrame:
     upto = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     here, moved = [], []
     for seed in ("a", "b"):
-        here.append(F.xxhash64(F.lit(seed), "c", "at").bitwiseAND(F.lit(SUM_MASK)))
-        moved.append(F.xxhash64(F.lit(seed), "c", F.col("at") - 1).bitwiseAND(F.lit(SUM_MASK)))
+        here.append(F.xxhash64(F.lit(seed), "c", "at"))
+        moved.append(F.xxhash64(F.lit(seed), "c", F.col("at") - 1))
     hashed = chars.select("id", "at", *[x.alias(f"here{i}") for i, x in enumerate(here)], *[x.alias(f"moved{i}") for i, x in enumerate(moved)])
-    whole = hashed.groupBy("id").agg(F.sum("here0").alias("k0"), F.sum("here1").alias("k1"))
-    # Prefix sums run upwards; suffix sums are the total less the sum up to and including this place.
+    whole = hashed.groupBy("id").agg(F.bit_xor("here0").alias("k0"), F.bit_xor("here1").alias("k1"))
+    # Prefix XORs run upwards; a suffix XOR is the total without what stands up to and including this place.
     total = Window.partitionBy("id")
-    sums = []
+    keys = []
     for i in (0, 1):
-        prefix = F.coalesce(F.sum(f"here{i}").over(upto), F.lit(0))
-        moved_before = F.coalesce(F.sum(f"moved{i}").over(upto), F.lit(0))
-        suffix = F.sum(f"moved{i}").over(total) - moved_before - F.col(f"moved{i}")
-        sums.append((prefix + suffix).alias(f"k{i}"))
-    less = hashed.select("id", F.col("at").alias("place"), *sums)
+        prefix = F.coalesce(F.bit_xor(f"here{i}").over(upto), F.lit(0))
+        moved_before = F.coalesce(F.bit_xor(f"moved{i}").over(upto), F.lit(0))
+        suffix = F.bit_xor(f"moved{i}").over(total).bitwiseXOR(moved_before).bitwiseXOR(F.col(f"moved{i}"))
+        keys.append(prefix.bitwiseXOR(suffix).alias(f"k{i}"))
+    less = hashed.select("id", F.col("at").alias("place"), *keys)
     return less.select("k0", "k1", "place", "id").unionByName(whole.select("k0", "k1", F.lit(-1).alias("place"), "id"))
 
 
 def proposed(variants: DataFrame) -> DataFrame:
-    """Pairs (id, earlier): each line with the earliest line of each key it shares."""
+    """(id, earlier, kind, place): each line with the earliest line of each key it shares. The character at ``place`` is
+    exchanged, or is missing in the line (kind "shorter") or in the earlier one ("longer")."""
     exchanged = variants.where("place >= 0").groupBy("k0", "k1", "place").agg(F.min("id").alias("earlier"), F.count("*").alias("n")).where("n > 1")
-    by_place = variants.where("place >= 0").join(exchanged.drop("n"), ["k0", "k1", "place"]).select("id", "earlier")
+    by_place = variants.where("place >= 0").join(exchanged.drop("n"), ["k0", "k1", "place"]).select("id", "earlier", F.lit("exchange").alias("kind"), "place")
     is_whole = F.col("place") < 0
     both = (
         variants.groupBy("k0", "k1")
-        .agg(F.min(F.when(is_whole, F.col("id"))).alias("whole"), F.min(F.when(~is_whole, F.col("id"))).alias("less"))
+        .agg(F.min(F.when(is_whole, F.col("id"))).alias("whole"), F.min(F.when(~is_whole, F.struct("id", "place"))).alias("less"))
         .where("whole IS NOT NULL AND less IS NOT NULL")
     )
-    shorter = both.select(F.col("whole").alias("id"), F.col("less").alias("earlier"))
-    longer = variants.where("place >= 0").join(both.drop("less"), ["k0", "k1"]).select("id", F.col("whole").alias("earlier"))
-    return by_place.union(shorter).union(longer).where("earlier < id").distinct()
+    shorter = both.select(F.col("whole").alias("id"), F.col("less.id").alias("earlier"), F.lit("shorter").alias("kind"), "less.place")
+    longer = variants.where("place >= 0").join(both.drop("less"), ["k0", "k1"]).select("id", F.col("whole").alias("earlier"), F.lit("longer").alias("kind"), "place")
+    return by_place.union(shorter).union(longer).where("earlier < id").groupBy("id", "earlier", "kind").agg(F.min("place").alias("place"))
+
+
+def one_edit() -> Column:
+    """Whether ``line`` and ``earlier_line`` are the edit apart that their keys propose; linear in their length."""
+
+    def less(line: str) -> Column:
+        return F.concat(F.left(line, F.col("place")), F.substr(line, F.col("place") + 2))
+
+    exchange = (F.col("kind") == "exchange") & (F.length("line") == F.length("earlier_line")) & (less("line") == less("earlier_line"))
+    shorter = (F.col("kind") == "shorter") & (F.col("line") == less("earlier_line"))
+    return exchange | shorter | ((F.col("kind") == "longer") & (less("line") == F.col("earlier_line")))
 
 
 def near_repeats(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
@@ -130,7 +141,7 @@ def near_repeats(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> Data
     verified = (
         pairs.join(lines, "id")
         .join(lines.select(F.col("id").alias("earlier"), F.col("line").alias("earlier_line")), "earlier")
-        .where(F.levenshtein("line", "earlier_line", 1) >= 0)
+        .where(one_edit())
         .select("id")
         .distinct()
     )
