@@ -71,6 +71,15 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text, text.isNull())
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose (doc_id, text_key) is not in ``gone``. A row travels as one struct, so
+    its columns may have any name."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), text_key(F.col("text")).alias("own_key"))
+    named = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    left = rows.join(named, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_key") == F.col("gone_key")), "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def worker_cache() -> dict:
     """Objects that stay in a Python worker between tasks. Functions travel by value, so modules don't."""
     return sys.__dict__.setdefault("_tidebook_worker_cache", {})

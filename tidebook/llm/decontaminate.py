@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import ALNUM_GAP, Scratch, WordSpans, byte_class, byte_values, lists, lower_az, pieces, text_buffers, text_key
+from tidebook.llm.common import ALNUM_GAP, Scratch, WordSpans, byte_class, byte_values, lists, lower_az, pieces, text_buffers, text_key, without
 
 WINDOW = 13
 MIN_BITS, MAX_BITS = 16, 27
@@ -191,6 +191,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words_per_hit: int = 20) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated; decided by id and text, NULLs included."""
-    bad = contamination(docs, benchmark, window, words_per_hit).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_text")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (text_key(docs["text"]) == F.col("bad_text")), "left_anti")
+    """The rows of ``docs``, all columns, that are not contaminated; decided by id and text, NULLs included. Very long
+    texts are read whole, an empty table stays empty, columns may have any name."""
+    return without(docs, contamination(docs, benchmark, window, words_per_hit).where("contaminated"))

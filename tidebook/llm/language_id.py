@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import pieces, release_worker_cache, text_buffers, text_key
+from tidebook.llm.common import pieces, release_worker_cache, text_buffers, text_key, without
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -230,8 +230,15 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {id_type}, text_key bigint, held_out boolean, lang_pred string, score double")
 
 
+def any_language() -> LanguageModel:
+    """Takes every text with a letter for one unnamed language."""
+    return LanguageModel(["any"], np.ones(BUCKETS), np.zeros((BUCKETS, 1)), np.zeros(1), 1.0)
+
+
 def in_a_language(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be told: letters, and a probability of ``least_score``."""
-    rejected = predict(docs, learn(docs)).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score))
-    named = rejected.select(F.col("doc_id").alias("rejected_id"), F.col("text_key").alias("rejected_key")).distinct()
-    return docs.join(named, docs["doc_id"].eqNullSafe(F.col("rejected_id")) & (text_key(docs["text"]) == F.col("rejected_key")), "left_anti")
+    """The rows of ``docs``, all columns, whose language can be told: letters, and a probability of ``least_score``.
+
+    Where nothing can be learned, because no row has a label, only texts without a letter go. Very long texts are
+    judged whole, repeated rows alike; an empty table stays empty; columns may have any name."""
+    found = predict(docs, learn(docs) or any_language())
+    return without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score)))

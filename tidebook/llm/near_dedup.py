@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import Scratch, WordSpans, byte_class, byte_values, lists, mixed, pieces, sent_if_small, text_buffers, text_key
+from tidebook.llm.common import Scratch, WordSpans, byte_class, byte_values, lists, mixed, pieces, sent_if_small, text_buffers, text_key, without
 from tidebook.llm.components import components
 
 BANDS, ROWS = 44, 5
@@ -291,6 +291,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that are kept; decided by id and text."""
-    rest = near_duplicates(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("rest_id"), F.col("text_key").alias("rest_key")).distinct()
-    return docs.join(rest, docs["doc_id"].eqNullSafe(F.col("rest_id")) & (text_key(docs["text"]) == F.col("rest_key")), "left_anti")
+    """The rows of ``docs``, all columns, that are kept; decided by id and text. NULL and empty texts stay, an empty
+    table stays empty, columns may have any name."""
+    return without(docs, near_duplicates(docs, width, percent).where(~F.col("kept")))
