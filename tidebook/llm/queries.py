@@ -128,7 +128,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @register("op8_quality_rules")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def license_oracle() -> str:
