@@ -26,12 +26,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document goes if it had lines and all of them occur in earlier documents."""
-    deduped = line_dedup.without_repeats(docs).where("n_lines = 0 OR n_kept > 0")
-    new = {"text": F.col("deduped")}
-    if "n_chars" in docs.columns:
+    """Repeated lines go; a document goes if it had lines and all of them occur in earlier documents. Of the other
+    columns only ``n_chars`` changes."""
+    packed = docs.select("doc_id", "text", F.struct("*").alias("whole"))
+    deduped = line_dedup.without_repeats(packed).where("n_lines = 0 OR n_kept > 0")
+    new = {c: F.col("whole")[c] for c in docs.columns} | {"text": F.col("deduped")}
+    if "n_chars" in new:
         new["n_chars"] = F.length("deduped").cast(docs.schema["n_chars"].dataType)
-    return deduped.withColumns(new).select(*docs.columns)
+    return deduped.select(*[value.alias(c) for c, value in new.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
