@@ -28,9 +28,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document goes if it had lines and all of them occur in earlier documents. Of the other
     columns only ``n_chars`` changes."""
-    packed = docs.select("doc_id", "text", F.struct("*").alias("whole"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("others")] if others else []))
     deduped = line_dedup.without_repeats(packed).where("n_lines = 0 OR n_kept > 0")
-    new = {c: F.col("whole")[c] for c in docs.columns} | {"text": F.col("deduped")}
+    new = {c: F.col("others")[c] if c in others else F.col("deduped" if c == "text" else c) for c in docs.columns}
     if "n_chars" in new:
         new["n_chars"] = F.length("deduped").cast(docs.schema["n_chars"].dataType)
     return deduped.select(*[value.alias(c) for c, value in new.items()])
