@@ -19,7 +19,7 @@ def test_every_query_with_sql_is_registered():
     queries, oracles = entry_module.queries(), entry_module.oracle_sql()
     assert set(oracles) <= set(queries)
     own = {name for name in queries if name in REGISTRY}
-    assert own - set(oracles) == {"adf", "rf_importance", "shap_importance", "mutual_info_sets", "pca_selection", "seq_classifier", "seq_regressor"}
+    assert own - set(oracles) == {"adf", "rf_importance", "shap_importance", "pca_selection", "seq_classifier", "seq_regressor"}
 
 
 @pytest.mark.parametrize("name", SMOKE)
