@@ -300,9 +300,10 @@ def arima_fit(series: DataFrame, train_share: float = 0.8, ar_order: int = 10, c
 def arima_walk_forward(
     series: DataFrame, train_share: float = 0.8, ar_order: int = 10, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """One-step ARIMA(1,1,1) forecasts of the test part, coefficients refitted before every step.
+    """One-step ARIMA(1,1,1) forecasts of the test part, the two coefficients refitted before every step.
 
-    The refit is a 2 x 2 solve on running sums of the history, so the whole walk is one pass.
+    The refit is a 2 x 2 solve on running sums of the history, so the whole walk is one pass. The long autoregression
+    that yields the residuals is fitted once, on the training part.
     """
     terms = written(_normal_terms(_innovations(series, train_share, ar_order, chunk_rows)), "series")
     history = running_totals(terms, SERIES, "ord", NORMAL)
