@@ -135,10 +135,10 @@ def license_oracle() -> str:
     templates = ", ".join(f"({i}, '{label}', '{wording}')" for i, (label, wording) in enumerate(licenses.TEMPLATES))
     phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in licenses.PHRASES.items())
     return f"""
-    WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS w, string_split({LOWER}, chr(10)) AS ls FROM documents),
+    WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS w FROM documents),
     phrases(phrase, label) AS (VALUES {phrases}),
     templates(template, label, wording) AS (VALUES {templates}),
-    split_templates AS (SELECT template, label, list_distinct(string_split(wording, ' ')) AS tw FROM templates),
+    split_templates AS (SELECT template, label, list_distinct(string_split(wording, ' ')) AS tw, len(string_split(wording, ' ')) AS span FROM templates),
     wanted AS (SELECT string_split(phrase, ' ') AS pw, label FROM phrases),
     places AS (
       SELECT doc_id, label, p - 1 AS place
@@ -149,13 +149,14 @@ def license_oracle() -> str:
       SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
       FROM places GROUP BY doc_id
     ),
-    blocks AS (SELECT doc_id, block, list_distinct(regexp_extract_all(line, '{ALNUM}')) AS bw
-      FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS block FROM d)),
+    spans AS (SELECT DISTINCT span FROM split_templates),
+    blocks AS (SELECT doc_id, span, run, list_distinct(w[run * span + 1:(run + 2) * span]) AS bw
+      FROM (SELECT doc_id, w, span, unnest(range(0, (len(w) + span - 1) // span)) AS run FROM d, spans)),
     matches AS (
-      SELECT doc_id, block, label, len(list_intersect(tw, bw)) AS common, len(tw) AS size FROM blocks, split_templates
+      SELECT doc_id, span, run, label, len(list_intersect(tw, bw)) AS common, len(tw) AS size FROM blocks JOIN split_templates USING (span)
       WHERE len(list_intersect(tw, bw)) >= ceil(0.8 * len(tw) - 1e-9)
     ),
-    more AS (SELECT doc_id, max(CAST(common AS DOUBLE) / size) AS share, count(DISTINCT block) AS n_blocks FROM matches GROUP BY doc_id),
+    more AS (SELECT doc_id, max(CAST(common AS DOUBLE) / size) AS share, count(DISTINCT (span, run)) AS n_blocks FROM matches GROUP BY doc_id),
     named AS (
       SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels
       FROM (SELECT doc_id, label FROM matches UNION SELECT doc_id, label FROM places) GROUP BY doc_id
