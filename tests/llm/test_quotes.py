@@ -21,6 +21,13 @@ MESSAGES = [
     (3, 0, "user", "same text in here"),
     (3, 1, "user", "> same text in here\n> same text in here"),
     (3, 2, "user", "> same text in here\n\n> same text in here"),
+    # One line of two; a sentence with new line breaks; a piece that a later whole paragraph also holds; nothing known.
+    (4, 0, "user", "What is a monad?\nAnd why should I care about it, really? Tell me more."),
+    (4, 1, "assistant", "> What is a monad?\nA monoid."),
+    (4, 2, "user", "> And why should I care\n> about it, really?\nBecause."),
+    (4, 3, "user", "What is a monad?\nno"),
+    (4, 4, "user", "> What is a monad?\n> A monoid.\n\n> never said by anyone"),
+    (4, 5, "user", "> A monoid.\n>\n> Because.\nWell."),
 ]
 
 
@@ -36,6 +43,19 @@ def test_threads_follow_replies(spark):
     assert rows[1, 3].text == "Or slice it." and rows[1, 3].n_quoted == 2 and rows[1, 3].n_linked == 2
 
 
+def test_partial_quotes_are_linked(spark):
+    rows = {r.turn: r for r in quotes.reply_ordered(frame(spark, [m for m in MESSAGES if m[0] == 4])).collect()}
+    assert {t: r.reply_to for t, r in rows.items()} == {0: None, 1: 0, 2: 0, 3: None, 4: 1, 5: 2}
+    assert rows[4].n_quoted == 2 and rows[4].n_linked == 1 and rows[2].text == "Because."
+
+
+def test_a_very_long_quote(spark):
+    long = "\n".join(f"line number {i} of a long message." for i in range(20_000))
+    rows = [(1, 0, "user", long), (1, 1, "user", "\n".join("> " + line for line in long.split("\n")[5:]) + "\nyes")]
+    found = {r.turn: r for r in quotes.reply_ordered(frame(spark, rows)).collect()}
+    assert found[1].reply_to == 0 and found[1].text == "yes" and found[1].n_quoted == found[1].n_linked == 1
+
+
 def test_against_sql(spark):
     con = duckdb.connect()
     con.register("conversations", pd.DataFrame(MESSAGES, columns=["conv_id", "turn", "role", "text"]))

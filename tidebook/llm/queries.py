@@ -198,10 +198,10 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "lang", "n_grams", "perplexity", "threshold", "kept")
 
 
-@register(
-    "op1_quotation_linking",
-    rf"""
-    WITH RECURSIVE m AS (SELECT row_number() OVER () AS row, conv_id, turn, role, text, string_split(text, chr(10)) AS ls FROM conversations),
+def quotation_oracle(messages: str) -> str:
+    return rf"""
+    WITH RECURSIVE source AS ({messages}),
+    m AS (SELECT row_number() OVER () AS row, conv_id, turn, role, text, string_split(text, chr(10)) AS ls FROM source),
     tagged AS (
       SELECT row, conv_id, turn, i, line, len(regexp_replace(opening, '[^>]', '', 'g')) AS level, substr(line, len(opening) + 1) AS body
       FROM (SELECT row, conv_id, turn, i, line, regexp_extract(line, '^[ \t]*(?:>[ \t]*)+', 0) AS opening
@@ -218,12 +218,24 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
       FROM levels AS l JOIN marked AS k USING (row) GROUP BY ALL
     ),
     paragraphs AS (
-      SELECT row, conv_id, turn, level, trim(regexp_replace(lower(p), '\s+', ' ', 'g')) AS p
-      FROM (SELECT *, unnest(regexp_split_to_array(text, '\n[ \t\r\n]*\n')) AS p FROM shown)
+      SELECT row, conv_id, turn, level, place, p, list_distinct(list_concat([p],
+        list_transform(string_split(raw, chr(10)), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))),
+        string_split(regexp_replace(p, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)))) AS passages
+      FROM (
+        SELECT *, trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) AS p
+        FROM (SELECT *, unnest(parts) AS raw, unnest(range(0, len(parts))) AS place FROM (SELECT *, regexp_split_to_array(text, '\n[ \t\r\n]*\n') AS parts FROM shown))
+      )
     ),
     quotes AS (SELECT * FROM paragraphs WHERE level > 0 AND p <> ''),
-    originals AS (SELECT conv_id, p, min(turn) AS original FROM paragraphs WHERE level = 0 AND p <> '' GROUP BY ALL),
-    linked AS (SELECT row, conv_id, turn, level, original FROM quotes JOIN originals USING (conv_id, p) WHERE original < turn AND length(p) >= 8),
+    originals AS (
+      SELECT conv_id, passage, min(turn) AS original
+      FROM (SELECT conv_id, turn, unnest(passages) AS passage FROM paragraphs WHERE level = 0 AND p <> '') GROUP BY ALL
+    ),
+    linked AS (
+      SELECT row, place, conv_id, turn, level, max({{'a': passage = p, 'b': original}}).b AS original
+      FROM (SELECT *, unnest(passages) AS passage FROM quotes) JOIN originals USING (conv_id, passage)
+      WHERE original < turn AND length(passage) >= 8 GROUP BY row, place, conv_id, turn, level
+    ),
     parents AS (
       SELECT conv_id, turn, max(parent) AS parent
       FROM (SELECT conv_id, turn, max({{'a': -level, 'b': original}}).b AS parent FROM linked GROUP BY row, conv_id, turn) GROUP BY ALL
@@ -240,12 +252,36 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     SELECT m.conv_id, row_number() OVER (PARTITION BY m.conv_id ORDER BY coalesce(root, m.turn), m.turn, role, own.text) - 1 AS position,
       m.turn, role, own.text, parent AS reply_to, coalesce(root, m.turn) AS thread, CAST(coalesce(n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked
     FROM m LEFT JOIN own USING (row) LEFT JOIN parents USING (conv_id, turn) LEFT JOIN roots USING (conv_id, turn) LEFT JOIN counts USING (row) LEFT JOIN links USING (row)
-    """,
-)
+    """
+
+
+@register("op1_quotation_linking", quotation_oracle("SELECT conv_id, turn, role, text FROM conversations"))
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.reply_ordered(table(spark, folder, "conversations"))
 
 
+@register(
+    "quotation_linking_replies",
+    quotation_oracle(
+        """
+      SELECT c.conv_id, c.turn, c.role, CASE WHEN q.line IS NULL THEN text ELSE 'On Monday A wrote:' || chr(10) || '> ' || q.line || chr(10) || text END AS text
+      FROM conversations AS c LEFT JOIN (
+        SELECT conv_id, turn, min(string_split(text, chr(10))[1]) AS line FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, turn
+      ) AS q ON c.conv_id = q.conv_id AND q.turn = c.turn - 1 - c.turn % 2
+    """
+    ),
+)
+def quoting_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversations with a quote in every reply: the first line of the message one or two turns before."""
+    messages = table(spark, folder, "conversations")
+    first_line = F.substring_index("text", "\n", 1)
+    lines = messages.where("text IS NOT NULL").groupBy(F.col("conv_id").alias("of"), F.col("turn").alias("at")).agg(F.min(first_line).alias("line"))
+    earlier = (F.col("conv_id") == F.col("of")) & (F.col("at") == F.col("turn") - 1 - F.col("turn") % 2)
+    quoting = F.concat(F.lit("On Monday A wrote:\n> "), "line", F.lit("\n"), "text")
+    replies = messages.join(lines, earlier, "left").select("conv_id", "turn", "role", F.when(F.col("line").isNull(), F.col("text")).otherwise(quoting).alias("text"))
+    return quotes.reply_ordered(replies)
+
+
 @register(
     "op12_source_divergence",
     r"""

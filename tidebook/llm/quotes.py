@@ -1,10 +1,12 @@
 """Chat formatting by quotation linking: reply-ordered conversations without quotes.
 
 A line's quote level is the number of ">" it opens with. Paragraphs are runs of non-blank lines of one
-level; a line like "On ... wrote:" right before a deeper line is an attribution and is left out. Quoted
-paragraphs are normalised (lower case, single spaces) and hashed, and joined to the conversation's own
-paragraphs on (conversation, hash). The earliest message that holds a paragraph unquoted is its original;
-one row per key on that side keeps a passage quoted by everybody from making pairs.
+level; a line like "On ... wrote:" right before a deeper line is an attribution and is left out. Passages are
+paragraphs and their pieces: the lines, for a quote of some lines, and the sentences, which outlast new line breaks.
+Quoted passages are normalised (lower case, single spaces) and hashed, and joined to the conversation's own passages
+on (conversation, hash). The earliest message that holds a passage unquoted is its original; one row per key on that
+side keeps a passage quoted by everybody from making pairs. A quoted paragraph is linked to the original of the whole
+if there is an earlier one, else to the latest of the earlier originals of its pieces.
 
 A message replies to the latest message among the originals of its paragraphs of the lowest quoted level
 that were found in earlier turns; without one it opens a thread. Threads follow each other by their first
@@ -13,7 +15,8 @@ from a range-partitioned order and one offset per partition: no conversation mee
 
 NULL text stays NULL. Messages with a NULL conversation or turn are not linked; they share the NULL
 conversation and come first. Rows repeated with the same conversation and turn are ordered by role and text.
-Paragraphs shorter than ``least_chars`` are removed as quotes but not linked.
+Passages shorter than ``least_chars`` are removed as quotes but not linked. Texts of any length are read whole, an
+empty table gives no rows, and columns other than the four are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import Scratch
+from tidebook.llm.common import Scratch, sent_if_small
 
 OPENING = r"^[ \t]*(?:>[ \t]*)+"
 ATTRIBUTION = r"^(?:On .+ wrote|Am .+ schrieb.*|Le .+ a écrit|El .+ escribió) ?:[ \t\r]*$"
@@ -51,22 +54,39 @@ def at_level(level: Column) -> Column:
     return F.array_join(F.transform(lines, shown), "\n")
 
 
+def normal(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
 def paragraphs(text: Column) -> Column:
-    """Normalised paragraphs, blanks left out."""
-    whole = F.transform(F.split(text, BLANK), lambda p: F.trim(F.regexp_replace(F.lower(p), r"\s+", " ")))
-    return F.filter(whole, lambda p: p != "")
+    """(whole, pieces) of each paragraph that is not blank: normalised, and its normalised lines and sentences."""
+
+    def passages(paragraph: Column) -> Column:
+        lines = F.transform(F.split(paragraph, "\n"), normal)
+        sentences = F.split(F.regexp_replace(normal(paragraph), "([.!?]) ", "$1\n"), "\n")
+        return F.struct(normal(paragraph).alias("whole"), F.array_union(lines, sentences).alias("pieces"))
+
+    return F.filter(F.transform(F.split(text, BLANK), passages), lambda p: p["whole"] != "")
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Messages with ``own`` (text without quotes) and ``quotes``: (level, normalised paragraph) of quoted text."""
+    """Messages with ``own`` (text without quotes) and ``quotes``: (level, whole, pieces) of quoted paragraphs."""
     lines = messages.select("*", F.when(F.col("text").rlike("(?m)" + OPENING), tagged_lines(F.col("text"))).alias("lines"))
     levels = F.filter(F.array_distinct(F.transform("lines", lambda x: x["level"])), lambda x: x > 0)
-    quoted = F.flatten(F.transform(levels, lambda level: F.transform(paragraphs(at_level(level)), lambda p: F.struct(level.alias("level"), p.alias("paragraph")))))
+    quoted = F.flatten(F.transform(levels, lambda level: F.transform(paragraphs(at_level(level)), lambda p: F.struct(level.alias("level"), p["whole"].alias("whole"), p["pieces"].alias("pieces")))))
     own = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.regexp_replace(at_level(F.lit(0)), r"(^[ \t\r\n]+)|([ \t\r\n]+$)", ""))
-    none = F.array().cast("array<struct<level:int,paragraph:string>>")
+    none = F.array().cast("array<struct<level:int,whole:string,pieces:array<string>>>")
     return lines.select("row", "conv_id", "turn", "role", "text", own.alias("own"), F.coalesce(quoted, none).alias("quotes"))
 
 
+def own_passages(text: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(paragraphs(text), lambda p: F.array_union(F.array(p["whole"]), p["pieces"]))))
+
+
+def hashed(passage: Column) -> Column:
+    return F.unhex(F.sha2(passage, 256))
+
+
 def numbered(df: DataFrame, scratch: Scratch, order: list[Column]) -> DataFrame:
     """``df`` with ``index``, its place in the given order over all rows, from 0."""
     spread = scratch.put("ordered", df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("spot", F.monotonically_increasing_id()))
@@ -99,17 +119,23 @@ def reply_ordered(conversations: DataFrame, least_chars: int = LEAST_CHARS) -> D
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("row", F.monotonically_increasing_id())
     messages = scratch.put("quote-messages", parsed(rows))
     known = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    quotes = known.select("row", "conv_id", "turn", F.explode("quotes").alias("q")).select("row", "conv_id", "turn", "q.level", F.sha2("q.paragraph", 256).alias("hash"), F.length("q.paragraph").alias("size"))
-    quotes = scratch.put("quote-passages", quotes.where(F.col("size") >= least_chars))
-    wanted = quotes.select("conv_id", "hash").distinct()
-    own = known.select("conv_id", "turn", F.explode(F.array_distinct(paragraphs(F.col("own")))).alias("paragraph"))
+    paragraph = known.select("row", "conv_id", "turn", F.posexplode("quotes").alias("paragraph", "q"))
+    passages = paragraph.select("row", "conv_id", "turn", "paragraph", "q.level", "q.whole", F.explode(F.array_union(F.array("q.whole"), "q.pieces")).alias("passage"))
+    stored = passages.where(F.length("passage") >= least_chars).select(
+        "row", "conv_id", "turn", "paragraph", "level", (F.col("passage") == F.col("whole")).alias("is_whole"), hashed(F.col("passage")).alias("hash")
+    )
+    quotes = scratch.put("quote-passages", stored)
+    wanted = scratch.put("quote-wanted", quotes.select("conv_id", "hash").distinct())
+    own = known.select("conv_id", "turn", F.explode(own_passages(F.col("own"))).alias("passage")).where(F.length("passage") >= least_chars)
     originals = (
-        own.select("conv_id", "turn", F.sha2("paragraph", 256).alias("hash"))
+        own.select("conv_id", "turn", hashed(F.col("passage")).alias("hash"))
+        .join(sent_if_small(wanted), ["conv_id", "hash"], "left_semi")
         .groupBy("conv_id", "hash")
         .agg(F.min("turn").alias("original"))
-        .join(wanted, ["conv_id", "hash"], "left_semi")
     )
-    linked = quotes.join(originals, ["conv_id", "hash"]).where("original < turn")
+    found = quotes.join(originals, ["conv_id", "hash"]).where("original < turn")
+    # The whole paragraph's original comes before those of its pieces.
+    linked = found.groupBy("row", "paragraph", "conv_id", "turn", "level").agg(F.max(F.struct("is_whole", "original"))["original"].alias("original"))
     per_row = scratch.put("quote-links", linked.groupBy("row", "conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "original"))["original"].alias("parent"), F.count("*").alias("n_linked")))
     parents = per_row.groupBy("conv_id", "turn").agg(F.max("parent").alias("parent"))
     roots = thread_roots(parents, scratch)
@@ -126,7 +152,7 @@ def reply_ordered(conversations: DataFrame, least_chars: int = LEAST_CHARS) -> D
         F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
     )
     index = numbered(placed, scratch, [F.col(c) for c in ("conv_id", "thread", "turn", "role", "text")])
-    first = index.groupBy(F.col("conv_id").alias("of")).agg(F.min("index").alias("first"))
-    return index.join(first, F.col("conv_id").eqNullSafe(F.col("of"))).select(
+    first = scratch.put("quote-first", index.groupBy(F.col("conv_id").alias("of")).agg(F.min("index").alias("first")))
+    return index.join(sent_if_small(first), F.col("conv_id").eqNullSafe(F.col("of"))).select(
         "conv_id", (F.col("index") - F.col("first")).alias("position"), "turn", "role", "text", "reply_to", "thread", "n_quoted", "n_linked"
     )
