@@ -47,6 +47,27 @@ def test_odd_texts_nulls_and_repeated_rows(spark, library):
     check(sorted(rows, key=lambda r: r.start), docs, library)
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_rows_of_one_id_are_spread(spark, library, hot):
+    docs = [(hot, f"text {i} of " + "one id " * (i % 9)) for i in range(1500)] + [(9, "the last")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS spread")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks, codes = token_files.write(frame, tokenizer_file(FILE), Scratch(spark))
+        most = blocks.selectExpr("file", "size(doc_ids) AS n").groupBy("file").sum("n").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(most) >= 4 and max(r[1] for r in most) < 800
+    rows = sorted(token_files.read(blocks, codes).selectExpr("doc_id", "start", "n_tokens", "crc32(ids) AS crc").collect(), key=lambda r: r.start)
+    start = 0
+    for r in rows:
+        assert r.start == start
+        start += r.n_tokens
+    assert rows[-1].doc_id == 9
+    wanted = [[*library.encode(t, add_special_tokens=False).ids, 1] for _, t in docs]
+    assert sorted((r.n_tokens, r.crc) for r in rows) == sorted((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for ids in wanted)
+
+
 def test_an_empty_table(spark):
     blocks, codes = token_files.write(spark.createDataFrame([], "doc_id bigint, text string"), tokenizer_file(FILE), Scratch(spark))
     assert token_files.read(blocks, codes).count() == 0

@@ -18,7 +18,8 @@ Text is encoded by the tokenizers library, piece by piece between white space, w
 lately: the pre-tokenizer never joins pieces across white space.
 
 NULL and empty texts have the end id only; NULL document ids come first; repeated rows each keep their place
-(ties by text). An empty table gives empty files.
+(ties by a hash of the text, so that the rows of one id, NULL included, spread over files). An empty table gives empty
+files; columns other than ``doc_id`` and ``text`` are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -178,8 +179,10 @@ def raw_blocks(docs: DataFrame, tokenizer_file: str, end_id: int) -> tuple[DataF
             yield finished()
 
     schema = f"file int, block bigint, skipped bigint, doc_ids array<{id_type}>, sizes array<bigint>, ids binary"
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, schema), kind
+    # Rows of one id, NULLs included, are spread by a hash of the text, which also breaks ties.
+    spread = F.xxhash64("text")
+    ordered = docs.select("doc_id", "text", spread.alias("spread")).repartitionByRange("doc_id", "spread").sortWithinPartitions("doc_id", "spread")
+    return ordered.select("doc_id", "text").mapInArrow(run, schema), kind
 
 
 def id_counts(raw: DataFrame, kind: str) -> DataFrame:
