@@ -2,6 +2,7 @@
 
 import duckdb
 import pandas as pd
+import pytest
 
 from tidebook.llm import quotes
 from tidebook.llm.queries import ORACLES
@@ -56,7 +57,10 @@ def test_a_very_long_quote(spark):
     assert found[1].reply_to == 0 and found[1].text == "yes" and found[1].n_quoted == found[1].n_linked == 1
 
 
-def test_against_sql(spark):
+@pytest.mark.parametrize("sent", [True, False])
+def test_against_sql(spark, monkeypatch, sent):
+    if not sent:  # as with more passages or conversations than are sent to the tasks
+        monkeypatch.setattr(quotes, "sent_if_small", lambda stored: stored)
     con = duckdb.connect()
     con.register("conversations", pd.DataFrame(MESSAGES, columns=["conv_id", "turn", "role", "text"]))
     cursor = con.execute(ORACLES["op1_quotation_linking"])
