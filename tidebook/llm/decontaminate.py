@@ -13,7 +13,8 @@ many items and many documents makes no pairs. Lists of items are made once per d
 
 NULL and empty texts have no words. Repeated rows each get their row. An item without words has no
 window; an item with a NULL id makes words hit but is not listed. Only ``doc_id``, ``text``, ``item_id``
-and ``text`` of the inputs are read, so extra columns do not matter.
+and ``text`` of the inputs are read, so extra columns do not matter. Texts of any length are read whole. An empty
+table of documents gives no rows, an empty benchmark hits nothing.
 """
 
 from __future__ import annotations

@@ -1,10 +1,8 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and perplexity thresholds.
 
-The model counts n-grams of words (3) or of characters (4). A word is a run without white space, A-Z as a-z, held
-as a 64-bit hash; a character is its code (those beyond the basic plane share one). One Arrow pass over all texts
-yields, per task, its distinct n-grams, how often trusted texts hold them and how often all do; a shuffled sum
-gives the count table, which for words grows with the input (character 4-grams run out). Lower orders hold
-continuation counts. Probabilities of every n-gram of the corpus follow from the lowest order up by joins of the
+The model counts word 3-grams. A word is a run without white space, A-Z as a-z, held as a 64-bit hash. One Arrow
+pass over all texts yields, per task, its distinct n-grams, how often trusted texts hold them and how often all do;
+a shuffled sum gives the count table, which grows with the input. Lower orders hold continuation counts. Probabilities of every n-gram of the corpus follow from the lowest order up by joins of the
 count tables on n-gram, context and suffix:
 
     p(w | h) = max(c(hw) - D(c), 0) / c(h) + gamma(h) * p(w | shorter h),  D from the counts of counts 1 to 4.
@@ -16,8 +14,9 @@ enough rows to fill a task, and nothing else of the table passes the driver.
 
 Trusted are texts whose labels all say quality 1 and not toxic. A fifth of them (by a hash of the id) is not
 counted and sets the thresholds: per language, the ``quantile`` of their perplexities; languages without
-trusted text take the quantile over all. NULL languages form a language. A text without words (characters) has
-NULL perplexity and is not kept. Without trusted text nothing is judged: perplexity NULL, every text kept.
+trusted text take the quantile over all. NULL languages form a language. A text without words has NULL perplexity
+and is not kept; one that ties with the threshold is kept. Texts of any length are read whole; an empty table gives
+no rows. Without trusted text nothing is judged: perplexity NULL, every text kept.
 Repeated rows each get their row; only ``doc_id``, ``text`` and ``lang`` of documents are read.
 """
 
@@ -32,28 +31,20 @@ from pyspark.sql import functions as F
 
 from tidebook.llm.common import Scratch, WordSpans, byte_class, byte_values, mixed, pieces, sent_if_small, text_buffers, text_key
 
-#: N-gram order by unit.
-ORDERS = {"word": 3, "character": 4}
-BEGIN, END, OTHER, BEYOND = 1, 2, 0xFFFF, 0xFFFE
+ORDER = 3
+BEGIN, END, OTHER = 1, 2, 0xFFFF
 SHARD = 1 << 17
 QUANTILE = 0.99
 
 
-def coded(column: pa.Array, unit: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of texts: first, past-the-end, the codes of their units and how many each text has."""
+def coded(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of texts: first, past-the-end, the hashes of their words and how many each text has."""
     data, offsets = text_buffers(column)
     flags = byte_class("spaced")
     values = byte_values(flags)
     for low, high in pieces(offsets, 1 << 19):
-        if unit == "word":
-            spans = WordSpans(data, offsets[low : high + 1], flags, values)
-            codes, sizes = spans.hash, spans.counts
-        else:
-            texts = [t or "" for t in column.slice(low, high - low).to_pylist()]
-            sizes = np.array([len(t) for t in texts], np.int64)
-            codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-            codes = np.where(codes > 0xFFFF, np.uint64(BEYOND), codes)
-        yield low, high, np.where(codes <= END, np.uint64(OTHER), codes), sizes
+        spans = WordSpans(data, offsets[low : high + 1], flags, values)
+        yield low, high, np.where(spans.hash <= END, np.uint64(OTHER), spans.hash), spans.counts
 
 
 def framed_grams(codes: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -90,10 +81,9 @@ def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [grams, *[c[first] for c in columns[1:-2]], *sums]
 
 
-def gram_counts(rows: DataFrame, unit: str) -> DataFrame:
+def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, units, n, seen): the distinct n-grams of all texts, how often texts with ``counts`` hold them, and how
     often all do."""
-    order = ORDERS[unit]
     columns = ["gram", *names(order, order), "n", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +91,7 @@ def gram_counts(rows: DataFrame, unit: str) -> DataFrame:
         held = 0
         for batch in batches:
             counted = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for low, high, codes, sizes in coded(batch.column(0), unit):
+            for low, high, codes, sizes in coded(batch.column(0)):
                 text, grams, units = framed_grams(codes, sizes, order)
                 parts.append(merged([[grams, *units, counted[low:high][text], np.ones(len(grams), np.int64)]]))
                 held += len(parts[-1][0])
@@ -196,10 +186,9 @@ class Lookup:
         return out
 
 
-def text_grams(rows: DataFrame, unit: str, hot: DataFrame) -> DataFrame:
+def text_grams(rows: DataFrame, hot: DataFrame, order: int = ORDER) -> DataFrame:
     """(row, gram, n, own, times): each text's distinct n-grams that are not ``hot``; and a line per text with the
     count and log-probability (``own``) of its hot n-grams, which takes the row's key for an n-gram."""
-    order = ORDERS[unit]
     stored = hot.toArrow()
     shared = rows.sparkSession.sparkContext.broadcast(Lookup(stored["gram"].to_numpy(), stored["logp"].to_numpy()))
     columns = ["row", "gram", "n", "own", "times"]
@@ -208,7 +197,7 @@ def text_grams(rows: DataFrame, unit: str, hot: DataFrame) -> DataFrame:
         lookup = shared.value
         for batch in batches:
             rows_of = batch.column(0).to_numpy(zero_copy_only=False)
-            for low, high, codes, sizes in coded(batch.column(1), unit):
+            for low, high, codes, sizes in coded(batch.column(1)):
                 own_row = rows_of[low:high]
                 text, grams, _ = framed_grams(codes, sizes, order)
                 logp = lookup.of(grams)
@@ -241,14 +230,14 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return worst.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("split")), F.lit(5)) > 0).alias("counts"))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD, quantile: float = QUANTILE, unit: str = "character") -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD, quantile: float = QUANTILE) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_key, lang, n_grams, perplexity, threshold, kept."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang")
     trusted = scratch.put("kn-trusted", trusted_ids(labels))
     flagged = docs.join(sent_if_small(trusted), "doc_id", "left").select("text", F.coalesce("counts", F.lit(False)).alias("counts"))
-    grams = scratch.put("kn-grams", gram_counts(flagged, unit))
-    found = log_probabilities(grams, scratch, ORDERS[unit])
+    grams = scratch.put("kn-grams", gram_counts(flagged))
+    found = log_probabilities(grams, scratch, ORDER)
     if found is None:
         nothing = F.lit(None).cast("double")
         return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "lang", F.lit(0).cast("bigint").alias("n_grams"), nothing.alias("perplexity"), nothing.alias("threshold"), F.lit(True).alias("kept"))
@@ -257,7 +246,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD,
     hot = table.where(F.col("seen") * shard_entries > occurrences)
     key = text_key(F.col("text"))
     row = F.xxhash64("doc_id", F.col("doc_id").isNull(), key)
-    lines = text_grams(docs.select(row.alias("row"), "text"), unit, hot)
+    lines = text_grams(docs.select(row.alias("row"), "text"), hot)
     # Rows repeated in the input are summed together.
     sums = (
         lines.join(table.select("gram", "logp"), "gram", "left")

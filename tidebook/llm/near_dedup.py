@@ -18,7 +18,8 @@ Bands miss a pair at the threshold with probability (1 - 0.8^5)^44 = 3e-8, the s
 deviations about as rarely; both fall steeply above the threshold. Texts are shuffled for confirmation only.
 
 Texts without words are linked with nothing. Repeated rows are copies like others. A NULL id is never a
-component's name unless all ids of the component are NULL; such rows are kept.
+component's name unless all ids of the component are NULL; such rows are kept. Very long texts are compared by all their
+shingles; an empty table gives no rows; only ``doc_id`` and ``text`` are read, other columns may have any name.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ row counts. ``verdict`` turns the list into one ordered CASE expression.
 
 NULL and empty texts have zero counts and fail the base rules. Several labels of an id: the worst counts;
 NULL labels are ignored. Without labelled rows of both kinds the list is empty and only the base decides.
-Repeated rows each get their row; only ``doc_id`` and ``text`` of documents are read.
+Conditions of equal gain: the first statistic, its lowest threshold, "above" before "not above". Repeated rows each get
+their row, and count as often in learning; very long texts are counted whole; an empty table gives no rows; only
+``doc_id`` and ``text`` of documents are read.
 """
 
 from __future__ import annotations

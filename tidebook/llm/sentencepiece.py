@@ -11,7 +11,8 @@ The model file is read on the driver; its table (one entry per id) travels with
 need no file. Only models with identity normalisation, escaped white space and byte fallback are taken.
 
 NULL and empty texts give the begin and end ids alone and decode to the empty text. Characters outside
-the vocabulary become their bytes. Any length of text works in memory proportional to it.
+the vocabulary become their bytes. Any length of text works in memory proportional to it. Repeated rows each get their
+row; an empty table gives no rows.
 """
 
 from __future__ import annotations
