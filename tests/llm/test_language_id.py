@@ -119,3 +119,13 @@ def test_the_model_by_its_definition(spark):
         else:
             p = plain_softmax([s / model.temperature for s in plain.scores(text)])
             assert row.lang_pred == plain.languages[p.index(max(p))] and math.isclose(row.score, max(p), rel_tol=1e-7)
+
+
+def test_collected_features_stay_in_arrow_memory(spark):
+    docs = spark.createDataFrame([(i, f"some words {i} of text" if i % 3 else "12 34", "en") for i in range(30)], "doc_id bigint, text string, lang string")
+    found = language_id.sampled_features(docs, 12)
+    assert 0 < len(found) <= 12 and [order for _, order, *_ in found] == sorted(order for _, order, *_ in found)
+    for _, _, seen, counts in found:
+        assert seen.dtype == counts.dtype == np.int32 and len(seen) == len(counts) > 0 and seen.base is not None
+        assert (np.diff(seen) > 0).all() and (counts > 0).all()
+    assert language_id.sampled_features(docs.where("text = '12 34'"), 12) == []

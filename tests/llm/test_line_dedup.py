@@ -3,6 +3,9 @@
 import random
 
 from tidebook.llm import line_dedup
+from tidebook.llm.common import Scratch
+
+LONG = "the quick brown fox jumps over the lazy dog and sleeps"
 
 
 def within_one(a, b):
@@ -71,3 +74,27 @@ def test_near_equal_lines_of_millions_of_characters(spark):
     frame = spark.createDataFrame(rows, "doc_id int, text string")
     found = {r.doc_id: (r.n_kept, r.n_near) for r in line_dedup.without_repeats(frame).drop("text", "deduped").collect()}
     assert found == {1: (1, 0), 2: (0, 1)}
+
+
+def test_tables_are_counted_as_they_are_written(spark):
+    """Each count of its own is two stages more that the driver plans and broadcasts; large tables still aren't sent."""
+    docs = spark.createDataFrame([(1, LONG), (2, LONG.replace("quick", "quack")), (3, LONG + "!")], "doc_id bigint, text string")
+    spark.sparkContext.setJobGroup("kept lines", "counts its jobs")
+    rows = line_dedup.kept_lines(docs).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("kept lines"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert sum(r.n_near for r in rows) == 2 and jobs <= 44
+    scratch = Scratch(spark)
+    for n, most, sent in ((5, 5, True), (6, 5, False), (0, 5, True)):
+        stored = scratch.put_to_send("numbers", spark.range(n), most)
+        assert ("broadcast" in stored._jdf.queryExecution().analyzed().toString().lower()) == sent and stored.count() == n
+
+
+def test_code_of_part_keys_does_not_grow_with_the_parts(spark):
+    lines = spark.createDataFrame([(1, LONG)], "id bigint, line string")
+    sizes = []
+    for parts in (2, line_dedup.PARTS):
+        keys = line_dedup.cut_keys(lines, parts)
+        assert len({r.part for r in keys.collect()}) == 2 * parts
+        sizes.append(len(keys._jdf.queryExecution().executedPlan().toString()))
+    assert sizes[1] < 2 * sizes[0]

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,9 +130,13 @@ def sampled_features(rows: DataFrame, per_language: int) -> list[tuple[str, int,
                         lists = [pa.array([v.tolist()], pa.list_(pa.int32())) for v in (seen, counts)]
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(low + i, 1), batch.column(1).slice(low + i, 1), *lists], ["lang", "ord", "seen", "counts"])
 
-    table = chosen.mapInArrow(run, "lang string, ord int, seen array<int>, counts array<int>").toArrow().to_pylist()
-    table.sort(key=lambda r: (r["ord"], r["lang"]))
-    return [(r["lang"], r["ord"], np.array(r["seen"], np.int64), np.array(r["counts"], np.float64)) for r in table]
+    table = chosen.mapInArrow(run, "lang string, ord int, seen array<int>, counts array<int>").toArrow()
+    table = table.sort_by([("ord", "ascending"), ("lang", "ascending")])
+    # Views of the collected columns: a Python object for each number would stay with the driver long after.
+    seen, counts = (pc.list_flatten(table[c]).combine_chunks().to_numpy(zero_copy_only=False) for c in ("seen", "counts"))
+    ends = np.cumsum(pc.list_value_length(table["seen"]).to_numpy()).tolist()
+    spans = zip([0, *ends[:-1]], ends)
+    return [(lang, order, seen[a:b], counts[a:b]) for lang, order, (a, b) in zip(table["lang"].to_pylist(), table["ord"].to_pylist(), spans)]
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:

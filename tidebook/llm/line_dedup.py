@@ -27,29 +27,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import SPACED_WORD, Scratch, sent_if_small, text_key
+from tidebook.llm.common import SPACED_WORD, Scratch, text_key
 
 MIN_CHARS = 30
 #: Parts of the second filter.
 PARTS = 16
 
 
-def part_keys(line: Column, n: Column, parts: int) -> Column:
-    """Hashes of the line without one of its parts, for each part: once as the shorter or equal line of a pair
-    (m = n characters are cut), once as the longer (m = n - 1)."""
-    keys = []
-    for m in (n, n - 1):
-        for part in range(parts):
-            start, end = (F.floor(m * i / parts).cast("int") for i in (part, part + 1))
-            keys.append(F.xxhash64(F.lit(part), m, F.left(line, start), F.lit("|"), F.right(line, m - end)))
-    return F.array(*keys)
+def part_key(line: Column, part: Column, longer: Column, parts: int) -> Column:
+    """A hash of the line without one of its parts: as the shorter or equal line of a pair (``longer`` 0, m = n
+    characters are cut) or as the longer one (1, m = n - 1)."""
+    m = F.length(line) - longer
+    start, end = (F.floor(m * i / parts).cast("int") for i in (part, part + 1))
+    return F.xxhash64(part, m, F.left(line, start), F.lit("|"), F.right(line, m - end))
+
+
+def all_parts(parts: int) -> list[tuple[int, int]]:
+    return [(part, longer) for longer in (0, 1) for part in range(parts)]
 
 
 def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """One row per distinct visible line: a number, its first place, and half keys (NULL for short lines)."""
     lines = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    n = F.length("line")
-    halves = F.when(n >= min_chars, part_keys(F.col("line"), n, 2))
+    keys = [part_key(F.col("line"), F.lit(part), F.lit(longer), 2) for part, longer in all_parts(2)]
+    halves = F.when(F.length("line") >= min_chars, F.array(*keys))
     keyed = lines.where(F.col("line").rlike(SPACED_WORD)).select(
         F.xxhash64("line").alias("h1"),
         F.xxhash64(F.lit("second"), "line").alias("h2"),
@@ -63,18 +64,25 @@ def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 def candidate_lines(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """Long lines that share a half with another line, numbered in order of their first place."""
     halves = distinct.where("half0 IS NOT NULL").select("line", F.explode(F.array("half0", "half1", "half2", "half3")).alias("half"))
-    shared = scratch.put("line-halves", halves.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half"))
-    found = scratch.put("line-sharing", halves.join(sent_if_small(shared), "half", "left_semi").select("line").distinct())
-    chosen = distinct.select("line", "place").join(sent_if_small(found), "line", "left_semi")
+    shared = scratch.put_to_send("line-halves", halves.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half"))
+    found = scratch.put_to_send("line-sharing", halves.join(shared, "half", "left_semi").select("line").distinct())
+    chosen = distinct.select("line", "place").join(found, "line", "left_semi")
     return chosen.orderBy("place", "line").withColumn("id", F.monotonically_increasing_id())
 
 
+def cut_keys(lines: DataFrame, parts: int) -> DataFrame:
+    """(id, part): all part keys of each line, by one expression: code that the driver compiles doesn't grow with ``parts``."""
+    places = F.array(*[F.struct(F.lit(part).alias("part"), F.lit(longer).alias("longer")) for part, longer in all_parts(parts)])
+    cut = lines.select("id", "line", F.explode(places).alias("at"))
+    return cut.select("id", part_key(F.col("line"), F.col("at.part"), F.col("at.longer"), parts).alias("part"))
+
+
 def line_texts(docs: DataFrame, candidates: DataFrame, scratch: Scratch) -> DataFrame:
     """Id and text of the candidate lines, read from the documents of their first places."""
     texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     wanted = candidates.select("id", F.col("place.doc_id").alias("at_id"), F.col("place.text_key").alias("at_text"), F.col("place.line_no").alias("at_line"))
     same_text = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_text"))
-    places = sent_if_small(scratch.put("line-places", wanted.select("at_id", "at_text").distinct()))
+    places = scratch.put_to_send("line-places", wanted.select("at_id", "at_text").distinct())
     lines = texts.join(places, same_text, "left_semi").select(
         "doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
@@ -134,7 +142,7 @@ def near_repeats(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> Data
     """Numbers of distinct lines that have an earlier line one edit away."""
     candidates = scratch.put("line-candidates", candidate_lines(distinct, scratch))
     halved = scratch.put("line-halved", line_texts(docs, candidates, scratch))
-    parts = halved.select("id", F.explode(part_keys(F.col("line"), F.length("line"), PARTS)).alias("part"))
+    parts = cut_keys(halved, PARTS)
     close = parts.groupBy("part").agg(F.count("*").alias("lines")).where("lines > 1").select("part")
     lines = scratch.put("line-texts", halved.join(parts.join(close, "part", "left_semi").select("id").distinct(), "id", "left_semi"))
     pairs = proposed(scratch.put("line-variants", neighbourhood(lines)))
@@ -152,8 +160,8 @@ def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per (doc_id, text_key) that keeps or loses first lines: ``kept`` line numbers and ``n_near`` dropped."""
     scratch = Scratch(docs.sparkSession)
     distinct = scratch.put("lines", distinct_lines(docs, min_chars))
-    near = scratch.put("lines-near", near_repeats(docs, distinct, scratch))
-    marked = distinct.join(sent_if_small(near), "line", "left").select("place.*", F.coalesce("near", F.lit(False)).alias("near"))
+    near = scratch.put_to_send("lines-near", near_repeats(docs, distinct, scratch))
+    marked = distinct.join(near, "line", "left").select("place.*", F.coalesce("near", F.lit(False)).alias("near"))
     return marked.groupBy(F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_text")).agg(
         F.collect_list(F.when(~F.col("near"), F.col("line_no"))).alias("kept"), F.sum(F.col("near").cast("bigint")).alias("n_near")
     )
