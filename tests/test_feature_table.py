@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 
+from tidebook.functions.rates import bars_of_hours
 from tidebook.plans.feature_table import CALENDAR, INDICATORS, feature_table
 
 
@@ -36,3 +37,8 @@ def test_feature_table_from_daily_files(spark, tmp_path):
     assert rows[0]["bar_ts"] == pd.Timestamp("2024-10-07 09:30:00") + pd.Timedelta(seconds=rows[0]["time_since_open"])
     plan = table._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("- Sort [") == 1 and "SortAggregate" not in plan
+
+
+def test_market_hours_bound_the_bars_of_a_session():
+    assert bars_of_hours("1s", "09:30", "16:00") == 23_401 and bars_of_hours("1h", "09:30", "16:00") == 8
+    assert bars_of_hours("200ms", "00:00", "24:00") == 432_001 and bars_of_hours("1s", "16:00", "09:30") == 0

@@ -57,3 +57,8 @@ def session_of(ts_us: str = "ts_us") -> str:
 def bars_a_day(rate: str) -> int:
     """The most bars a session can have."""
     return -(-DAY_US // rate_us(rate))
+
+
+def bars_of_hours(rate: str, opens: str, closes: str) -> int:
+    """The most bars a session can have whose ticks lie in ``[opens, closes]``, both ends included."""
+    return max(0, clock_us(closes) // rate_us(rate) - clock_us(opens) // rate_us(rate) + 1)

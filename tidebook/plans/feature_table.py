@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebook.functions.nulls import all_present
-from tidebook.functions.rates import bars_a_day
+from tidebook.functions.rates import bars_a_day, bars_of_hours
 from tidebook.operators.bars import bars, with_bar_time
 from tidebook.operators.book import BAR_COLUMNS, complete_bars, labelled_book
 from tidebook.operators.calendar import WEEKDAYS, calendar_features
@@ -51,10 +51,18 @@ def indicators(bar_table: DataFrame, ties: str = "latest", session_bars: int | N
 
 
 def features_of(
-    ticks: DataFrame, rate: str, threshold: float = 0.0, zero_is_up: bool = True, order: Sequence[str] = ("seq",), ties: str = "latest"
+    ticks: DataFrame,
+    rate: str,
+    threshold: float = 0.0,
+    zero_is_up: bool = True,
+    order: Sequence[str] = ("seq",),
+    ties: str = "latest",
+    session_bars: int | None = None,
 ) -> DataFrame:
-    """Bars, labels, book features, indicators and calendar of a tick frame."""
-    table = calendar_features(indicators(bar_features(ticks, rate, threshold, zero_is_up, order), ties, bars_a_day(rate)), rate)
+    """Bars, labels, book features, indicators and calendar of a tick frame; ``session_bars`` is the most bars of a
+    session, all bins of a day by default."""
+    most = bars_a_day(rate) if session_bars is None else session_bars
+    table = calendar_features(indicators(bar_features(ticks, rate, threshold, zero_is_up, order), ties, most), rate)
     names = [*BAR_COLUMNS, *INDICATORS, *CALENDAR]
     return with_bar_time(table, rate).selectExpr("symbol", "session", "bar_ts", "bar_ix", *[f"`{c}`" for c in names])
 
@@ -89,4 +97,4 @@ def feature_table(
     """
     paths = daily_paths(folder, weekdays_between(start, end), symbols, pattern)
     ticks = read_daily_ticks(spark, paths, time_col, time_unit, zone, hours)
-    return features_of(ticks, rate, threshold, zero_is_up, tick_order(time_ordered), ties)
+    return features_of(ticks, rate, threshold, zero_is_up, tick_order(time_ordered), ties, bars_of_hours(rate, *hours))
