@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebook.llm import sentencepiece
 from tidebook.llm.queries import QUERIES, tokenizer_file
@@ -59,6 +62,26 @@ def test_decoding_any_ids(library, model):
         assert decoder.decode(np.array(ids, np.int64)).decode() == library.decode(ids)
 
 
+def test_a_batch_is_decoded_in_bounded_runs(library, model):
+    """Not a whole batch of texts at once: its memory would grow with the rows that Spark sends together."""
+    texts = [f"Text {i}, é😀 中{' word' * 2000}" for i in range(300)]
+    ids = [np.array([1, *library.encode(t), 2], "<u4") for t in texts]
+    ids.insert(7, np.array([model.names.index("<0xC3>"), model.names.index("<0x41>")], "<u4"))
+    batch = pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in ids] + [None], pa.binary())], ["ids"])
+
+    class Rows:
+        schema = T.StructType([])
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value)))
+
+        def mapInArrow(self, run, _):
+            return list(run(iter([batch.slice(3)])))
+
+    parts = sentencepiece.decode(Rows(), model)
+    assert max(part.num_rows for part in parts) < 200
+    shown = [text for part in parts for text in part.column("decoded").to_pylist()]
+    assert shown == [library.decode(r.tolist()) for r in ids[3:]] + [""]
+
+
 def test_an_empty_table(spark, model):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert sentencepiece.decode(sentencepiece.encode(empty, model), model).where(F.lit(True)).count() == 0

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidebook.llm.common import binary_buffers, text_buffers, worker_cache
 from tidebook.llm.common import pieces as text_pieces
-from tidebook.llm.common import text_buffers, worker_cache
 from tidebook.llm.memo import LONG_PIECE, PieceMemo
 
 SPACE = "▁"
@@ -177,24 +177,38 @@ class Decoder:
         return {"c": "", "u": " ⁇ "}.get(kind, name.replace(SPACE, " ")).encode()
 
     def decode(self, ids: np.ndarray) -> bytes:
+        return self.decode_runs(ids, np.array([len(ids)]))[0].as_buffer().to_pybytes()
+
+    def decode_runs(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The texts of runs of ``counts`` ids each."""
         if len(ids) and (ids.max() >= len(self.control)):
             raise ValueError("an id is outside the vocabulary")
-        size = self.bounds[ids + 1] - self.bounds[ids]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        out = self.flat[np.repeat(self.bounds[ids] - ends + size, size) + np.arange(total)].tobytes()
-        real = np.flatnonzero(~self.control[ids[: np.argmax(~self.control[ids]) + 1]]) if len(ids) else []
-        if len(real) and self.model.dummy_prefix and self.spaced[ids[real[0]]]:
-            out = out[1:]
+        first = self.bounds[ids]
+        size = self.bounds[ids + 1] - first
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        if self.model.dummy_prefix:
+            real = np.flatnonzero(~self.control[ids])
+            place = np.searchsorted(real, upto[:-1])
+            opening = real[place[place < np.searchsorted(real, upto[1:])]]
+            opening = opening[self.spaced[ids[opening]]]
+            first[opening] += 1
+            size[opening] -= 1
+        ends = np.concatenate([[0], np.cumsum(size)])
+        out = self.flat[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+        shown = binary(out, ends[upto])
         try:
-            out.decode()
-        except UnicodeDecodeError:
-            out = repaired(out)
-        return out
+            return shown.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([repaired(run) for run in shown.to_pylist()], pa.binary()).cast(pa.string())
 
 
 def repaired(data: bytes) -> bytes:
     """Each byte that starts no valid character becomes the replacement character."""
+    try:
+        data.decode()
+        return data
+    except UnicodeDecodeError:
+        pass
     out, at = [], 0
     while at < len(data):
         for size in (1, 2, 3, 4):
@@ -252,19 +266,27 @@ def encode(df: DataFrame, model: Model, text: str = "text", ids: str = "ids") ->
 
 def packed(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     """A binary column of runs of a flat array."""
-    offsets = np.concatenate([[0], np.cumsum(counts * flat.itemsize)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+    return binary(flat, np.concatenate([[0], np.cumsum(counts * flat.itemsize)]))
+
+
+def binary(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary column of the bytes of a flat array, cut at ``offsets``."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
 
 def decode(df: DataFrame, model: Model, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``df`` with a string column ``text`` decoded from the binary column ``ids``; NULL gives the empty text."""
+    """``df`` with a string column ``text`` decoded from the binary column ``ids``; NULL gives the empty text.
+
+    Runs of rows are decoded and handed on one after the other, not a whole batch at once.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = cached(Decoder, shared.value)
         for batch in batches:
-            runs = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            shown = [decoder.decode(np.frombuffer(run or b"", "<u4").astype(np.int64)) for run in runs]
-            yield with_column(batch, text, pa.array(shown, pa.binary()).cast(pa.string()))
+            data, offsets = binary_buffers(batch.column(batch.schema.get_field_index(ids)))
+            for low, high in text_pieces(offsets):
+                flat = np.frombuffer(data, "<u4", (offsets[high] - offsets[low]) // 4, offsets[low]).astype(np.int64)
+                yield with_column(batch.slice(low, high - low), text, decoder.decode_runs(flat, np.diff(offsets[low : high + 1]) // 4))
 
     return df.mapInArrow(run, schema_with(df, text, T.StringType()))
