@@ -47,6 +47,29 @@ def test_odd_texts_nulls_and_repeated_rows(spark, library):
     check(sorted(rows, key=lambda r: r.start), docs, library)
 
 
+def encoded(encoder, texts):
+    raw = [t.encode() for t in texts]
+    flat, counts = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+    return [part.tolist() for part in np.split(flat, np.cumsum(counts)[:-1])]
+
+
+def test_a_word_is_encoded_once_whatever_signs_close_it(library):
+    encoder = token_files.WordEncoder(library.to_str())
+    texts = [f"{a}{sign} {b}{sign}" for a, b in (("alpha", "beta"), ("Beta", "x9")) for sign in ("", ".", ",", "&&&", '."')]
+    assert encoded(encoder, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.table.count == 3 + 4
+
+
+def test_signs_at_the_ends_of_words_and_texts(library):
+    random.seed(10)
+    alphabet = ["a", "B", "s", "'s", "9", "é", "ñ", "€", "…", ".", "'", "&", "_", "<", ">", "=", "^", "\u0338", "\u0301", "\x00", "\x1c", " ", "\n", "\u00a0"]
+    texts = ["".join(random.choices(alphabet, k=random.randint(0, 12))) for _ in range(6000)]
+    encoder = token_files.WordEncoder(library.to_str())
+    for low in range(0, len(texts), 500):
+        some = texts[low : low + 500]
+        assert encoded(encoder, some) == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
 @pytest.mark.parametrize("hot", [7, None])
 def test_rows_of_one_id_are_spread(spark, library, hot):
     docs = [(hot, f"text {i} of " + "one id " * (i % 9)) for i in range(1500)] + [(9, "the last")]

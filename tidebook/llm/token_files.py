@@ -15,7 +15,8 @@ both, so a file that a lost executor left unfinished is written again and any fi
 looks up ``limit`` bits in a table and moves on; all checkpoints of a block are decoded side by side in numpy.
 
 Text is encoded by the tokenizers library, piece by piece between white space, where a piece has not been seen
-lately: the pre-tokenizer never joins pieces across white space.
+lately: the pre-tokenizer never joins pieces across white space, nor closing ASCII signs to an ASCII letter or digit
+before them, so that those are pieces of their own.
 
 NULL and empty texts have the end id only; NULL document ids come first; repeated rows each keep their place
 (ties by a hash of the text, so that the rows of one id, NULL included, spread over files). An empty table gives empty
@@ -48,7 +49,8 @@ LIMIT = 16
 
 
 class WordEncoder:
-    """Ids by the library, for pieces between white space, which the tokenizer never joins.
+    """Ids by the library, for pieces between white space, which the tokenizer never joins; signs that close a piece
+    are a piece of their own where they follow an ASCII letter or digit.
 
     Pieces are told apart by a 64-bit hash that takes A-Z for a-z, as the tokenizer does; each is encoded when it
     is first seen and its ids are kept. Texts that may hold a special token, whose case matters, go to the library.
@@ -57,7 +59,7 @@ class WordEncoder:
     #: Pieces remembered at once, some 100 MB; then the memory starts afresh.
     MOST_PIECES = 1_500_000
     #: One word, and closing full stops or commas as a second one.
-    SIMPLE = re.compile(r"([^\W\d_]+)([.,]+)?").fullmatch
+    CLOSED = re.compile(r"([^\W\d_]+)[.,]+").fullmatch
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,66 +71,94 @@ class WordEncoder:
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.flags = byte_class("spaced")
         self.values = byte_values(self.flags)
+        self.letter = byte_class("alnum")
+        self.letter[128:] = False
+        self.sign = np.zeros(256, bool)
+        self.sign[0x21:0x7F] = ~self.letter[0x21:0x7F]
         self.clear()
 
     def clear(self) -> None:
         self.table = NumberTable(22)
-        self.ids, self.bounds = array("I"), array("q", [0])
+        self.ids, self.start, self.size = array("I"), array("q"), array("i")
+
+    def closing(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where signs begin that follow an ASCII letter or digit and go on up to white space or a text's end."""
+        sign = np.zeros(len(data) + 2, bool)
+        sign[1:-1] = self.sign[data]
+        edges = np.flatnonzero(sign[1:] != sign[:-1])
+        start, end = edges[::2], edges[1::2]
+        over = np.ones(len(data) + 1, bool)
+        over[:-1] = ~self.flags[data]
+        over[offsets] = True
+        return start[(start > 0) & self.letter[data[start - 1]] & over[end]]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has."""
-        text = data[offsets[0] : offsets[-1]].tobytes()
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        text = data.tobytes()
         if b"<|" in text:
-            bounds = (offsets - offsets[0]).tolist()
+            bounds = offsets.tolist()
             coded = self.library.encode_batch_fast([text[a:b].decode() for a, b in zip(bounds, bounds[1:])], add_special_tokens=False)
             return np.concatenate([np.array(c.ids, np.uint32) for c in coded]), np.array([len(c.ids) for c in coded], np.int64)
-        words = WordSpans(data, offsets, self.flags, self.values)
+        words = WordSpans(data, offsets, self.flags, self.values, self.closing(data, offsets))
+        if not len(words.hash):
+            return np.zeros(0, np.uint32), words.counts
         if self.table.count > self.MOST_PIECES:
             self.clear()
         numbers = self.table.find(words.hash)
         new = np.flatnonzero(numbers < 0)
         if len(new):
-            keys, first = np.unique(words.hash[new], return_index=True)
+            keys, first, key = np.unique(words.hash[new], return_index=True, return_inverse=True)
             at = new[first]
             self.learn([text[a:b].decode() for a, b in zip(words.start[at].tolist(), words.end[at].tolist())])
+            numbers[new] = self.table.count + key
             self.table.add(keys)
-            numbers[new] = self.table.find(words.hash[new])
-        bounds = np.frombuffer(self.bounds, np.int64)
-        start = bounds[numbers]
-        size = bounds[numbers + 1] - start
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
+        size = np.frombuffer(self.size, np.int32)[numbers]
+        ends = np.cumsum(size, dtype=np.int64)
+        shift = np.frombuffer(self.start, np.int64)[numbers] - ends + size
         flat = np.frombuffer(self.ids, np.uint32) if len(self.ids) else np.zeros(0, np.uint32)
-        ids = flat[np.repeat(start - ends + size, size) + np.arange(total)]
+        ids = flat[np.repeat(shift, size) + np.arange(ends[-1])]
         upto = np.concatenate([[0], ends])[words.first]
-        del bounds, flat
+        del flat
         return ids, np.diff(upto)
 
     def learn(self, pieces: list[str]) -> None:
-        for ids in self.encode_pieces(pieces):
-            self.ids.extend(ids)
-            self.bounds.append(len(self.ids))
-
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Simple pieces have one or two words: many go into one text, and word-end tokens part them."""
-        out: dict[int, list[int]] = {}
-        simple = [(i, 2 if found[2] else 1) for i, p in enumerate(pieces) if (found := self.SIMPLE(p)) and found[1].isalpha()]
-        for low in range(0, len(simple), 500):
-            some = simple[low : low + 500]
-            ids = self.library.encode(" ".join([pieces[i] for i, _ in some]), add_special_tokens=False).ids
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-            if len(ends) == sum(n for _, n in some) and ends[-1] == len(ids):
-                start, word = 0, -1
-                for i, n in some:
-                    word += n
-                    out[i] = ids[start : ends[word]]
-                    start = ends[word]
-        rest = [i for i in range(len(pieces)) if i not in out]
+        ids, start, size = self.encode_pieces(pieces)
+        self.start.frombytes((start + len(self.ids)).tobytes())
+        self.size.frombytes(size.tobytes())
+        self.ids.frombytes(ids.tobytes())
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in any order, and where those of each piece start and how many they are.
+
+        Simple pieces have one or two words: many go into one text, and word-end tokens part them.
+        """
+        words = np.array([1 if p.isalpha() else 2 if (found := self.CLOSED(p)) and found[1].isalpha() else 0 for p in pieces], np.int64)
+        start, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int32)
+        parts, held = [np.zeros(0, np.uint32)], 0
+        simple = np.flatnonzero(words)
+        groups = [simple[low : low + 500] for low in range(0, len(simple), 500)]
+        joined = [" ".join([pieces[i] for i in some.tolist()]) for some in groups]
+        for some, coded in zip(groups, self.library.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(coded.ids, np.uint32)
+            ends, last = np.flatnonzero(self.ends_word[ids]) + 1, np.cumsum(words[some])
+            if len(ends) == last[-1] and ends[-1] == len(ids):
+                upto = ends[last - 1]
+                size[some] = np.diff(upto, prepend=0)
+                start[some] = held + upto - size[some]
+                parts.append(ids)
+                held += len(ids)
+            else:
+                words[some] = 0
+        rest = np.flatnonzero(words == 0).tolist()
         for low in range(0, len(rest), 4096):
             some = rest[low : low + 4096]
             coded = self.library.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)
-            out.update(zip(some, (c.ids for c in coded)))
-        return [out[i] for i in range(len(pieces))]
+            for i, c in zip(some, coded):
+                start[i], size[i] = held, len(c.ids)
+                parts.append(np.array(c.ids, np.uint32))
+                held += len(c.ids)
+        return np.concatenate(parts), start, size
 
 
 def raw_blocks(docs: DataFrame, tokenizer_file: str, end_id: int) -> tuple[DataFrame, str]:
