@@ -67,19 +67,19 @@ def test_a_batch_is_decoded_in_bounded_runs(library, model):
     texts = [f"Text {i}, é😀 中{' word' * 2000}" for i in range(300)]
     ids = [np.array([1, *library.encode(t), 2], "<u4") for t in texts]
     ids.insert(7, np.array([model.names.index("<0xC3>"), model.names.index("<0x41>")], "<u4"))
-    batch = pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in ids] + [None], pa.binary())], ["ids"])
 
-    class Rows:
-        schema = T.StructType([])
-        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value)))
-
-        def mapInArrow(self, run, _):
-            return list(run(iter([batch.slice(3)])))
-
-    parts = sentencepiece.decode(Rows(), model)
-    assert max(part.num_rows for part in parts) < 200
-    shown = [text for part in parts for text in part.column("decoded").to_pylist()]
-    assert shown == [library.decode(r.tolist()) for r in ids[3:]] + [""]
+    def decoded(*values):
+        batch = pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["ids"])
+        rows = SimpleNamespace(schema=T.StructType([]), mapInArrow=lambda run, _: list(run(iter([batch.slice(1)]))))
+        rows.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value)))
+        return [part.column("decoded").to_pylist() for part in sentencepiece.decode(rows, model)]
+
+    parts = decoded(*[r.tobytes() for r in ids], None)
+    assert max(map(len, parts)) < 200
+    assert sum(parts, []) == [library.decode(r.tolist()) for r in ids[1:]] + [""]
+    assert decoded(b"", None, None) == [["", ""]] and decoded(None) == []
+    with pytest.raises(ValueError):
+        decoded(b"", b"12345", b"123")
 
 
 def test_an_empty_table(spark, model):

@@ -285,6 +285,8 @@ def decode(df: DataFrame, model: Model, ids: str = "ids", text: str = "decoded")
         decoder = cached(Decoder, shared.value)
         for batch in batches:
             data, offsets = binary_buffers(batch.column(batch.schema.get_field_index(ids)))
+            if (np.diff(offsets) % 4).any():
+                raise ValueError("ids are not whole 32-bit integers")
             for low, high in text_pieces(offsets):
                 flat = np.frombuffer(data, "<u4", (offsets[high] - offsets[low]) // 4, offsets[low]).astype(np.int64)
                 yield with_column(batch.slice(low, high - low), text, decoder.decode_runs(flat, np.diff(offsets[low : high + 1]) // 4))
