@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -90,6 +91,28 @@ def test_gradient_against_differences():
             assert (losses[0] - losses[1]) / 0.02 == pytest.approx(float(g[i]), abs=2e-3)
 
 
+def least_time(f, runs=5):
+    took = []
+    for _ in range(runs):
+        start = time.process_time()
+        f()
+        took.append(time.process_time() - start)
+    return min(took)
+
+
+def test_reading_gives_the_scores_in_less_time(model):
+    rng = np.random.default_rng(3)
+    for texts in (1, 2, 7, 64):
+        codes = rng.integers(0, pii.CLASSES, (50, texts)).astype(np.uint8)
+        codes[rng.integers(1, 50) :, texts // 2] = 0  # a text that ends inside its window
+        for used in (model, pii.Tagger.fresh(rng, 3)):
+            assert np.abs(used.read(codes) - used.scores(used.states(codes))).max() < 1e-4
+    far = pii.Tagger(*[a * 40 for a in model.arrays()])  # gates beyond the range of exp
+    assert np.isfinite(far.read(codes)).all()
+    codes = rng.integers(1, pii.CLASSES, (pii.WINDOW, 1024)).astype(np.uint8)
+    assert least_time(lambda: model.read(codes)) < 0.95 * least_time(lambda: model.scores(model.states(codes)))
+
+
 def excerpts(seed, n=120):
     rng = np.random.default_rng(seed)
     letters = "abcdefghijklmnopqrstuvwxyz"

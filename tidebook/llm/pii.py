@@ -191,6 +191,51 @@ class Tagger:
         hidden = self.own.shape[2]
         return self.emit[:, :hidden] @ states[:, 0] + self.emit[:, hidden:] @ states[::-1, 1] + self.bias
 
+    def read(self, codes: np.ndarray) -> np.ndarray:
+        """``scores`` of the ``states``, made for reading many texts. A gate is 1 / (1 + exp(-2 z)) and tanh z twice that
+        less 1: one exp serves all rows, in half the time of tanh. One product gives the gates and the tags of the step
+        before, and what two neighbouring texts add to a gate is looked up at once."""
+        steps, n = codes.shape
+        hidden, rows = self.own.shape[2], self.own.shape[1]
+        even = np.pad(codes, ((0, 0), (0, n % 2))).astype(np.intp)
+        x = even[:, ::2] * CLASSES + even[:, 1::2]
+        n = even.shape[1]
+        given = np.stack(np.broadcast_arrays(self.given[..., None], self.given[:, :, None]), -1) * np.float32(-2)
+        given = given.reshape(2, rows, -1).view(np.float64)  # (2, 4 H, classes ** 2), each a pair of float32
+        weights = np.concatenate([self.own * np.float32(-2), np.stack([self.emit[:, :hidden], self.emit[:, hidden:]])], axis=1)
+        product, g = np.empty((2, rows + TAGS, n), np.float32), np.empty((rows, n), np.float32)
+        z, shown, pair = product[:, :rows], product[:, rows:], g.view(np.float64)
+        into, keep, show, cell = (z[:, k * hidden : (k + 1) * hidden] for k in range(4))
+        h, c, t = np.zeros((2, hidden, n), np.float32), np.zeros((2, hidden, n), np.float32), np.empty((2, hidden, n), np.float32)
+        out = np.zeros((steps, TAGS, n), np.float32)
+        with np.errstate(over="ignore"):  # exp of a closed gate is infinite, and the gate 0
+            for step in range(steps + 1):
+                np.matmul(weights, h, out=product)
+                if step:
+                    out[step - 1] += shown[0]
+                    out[steps - step] += shown[1]
+                if step == steps:
+                    break
+                for way, at in ((0, step), (1, steps - 1 - step)):
+                    np.take(given[way], x[at], axis=1, out=pair, mode="clip")
+                    z[way] += g
+                np.exp(z, out=z)
+                z += 1
+                np.divide(1, z, out=z)
+                cell *= 2
+                cell -= 1
+                c *= keep
+                np.multiply(into, cell, out=t)
+                c += t
+                np.multiply(c, -2, out=t)
+                np.exp(t, out=t)
+                t += 1
+                np.divide(2, t, out=t)
+                t -= 1
+                np.multiply(show, t, out=h)
+        out += self.bias
+        return out[:, :, : codes.shape[1]]
+
     def gradient(self, codes: np.ndarray, tags: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean negative log-likelihood of the tags and its gradient by each of ``arrays``."""
         steps, n = codes.shape
@@ -302,7 +347,7 @@ def tagged(model: Tagger, codes: np.ndarray, bounds: np.ndarray, window: int, ov
         text, begin = owner[low : low + group], offset[low : low + group]
         at = (bounds[text] + begin)[None, :] + np.arange(window)[:, None]
         shown = padded[np.where(at < bounds[text + 1][None, :], at, len(codes))]
-        scores = model.scores(model.states(shown))
+        scores = model.read(shown)
         open_ = np.flatnonzero(may_hold_spans(scores, model.moves))
         if not len(open_):
             continue
