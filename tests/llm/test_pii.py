@@ -91,13 +91,15 @@ def test_gradient_against_differences():
             assert (losses[0] - losses[1]) / 0.02 == pytest.approx(float(g[i]), abs=2e-3)
 
 
-def least_time(f, runs=5):
-    took = []
+def least_times(*ways, runs=15):
+    """The least CPU time of each way, taken in turns, so that a slow moment of the machine meets them all."""
+    took = [[] for _ in ways]
     for _ in range(runs):
-        start = time.process_time()
-        f()
-        took.append(time.process_time() - start)
-    return min(took)
+        for way, own in zip(ways, took):
+            start = time.thread_time()
+            way()
+            own.append(time.thread_time() - start)
+    return [min(own) for own in took]
 
 
 def test_reading_gives_the_scores_in_less_time(model):
@@ -109,8 +111,9 @@ def test_reading_gives_the_scores_in_less_time(model):
             assert np.abs(used.read(codes) - used.scores(used.states(codes))).max() < 1e-4
     far = pii.Tagger(*[a * 40 for a in model.arrays()])  # gates beyond the range of exp
     assert np.isfinite(far.read(codes)).all()
-    codes = rng.integers(1, pii.CLASSES, (pii.WINDOW, 1024)).astype(np.uint8)
-    assert least_time(lambda: model.read(codes)) < 0.95 * least_time(lambda: model.scores(model.states(codes)))
+    codes = rng.integers(1, pii.CLASSES, (pii.WINDOW, 512)).astype(np.uint8)
+    read, plain = least_times(lambda: model.read(codes), lambda: model.scores(model.states(codes)))
+    assert read < 0.95 * plain
 
 
 def excerpts(seed, n=120):
