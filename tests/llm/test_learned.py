@@ -3,11 +3,15 @@
 import math
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 from tidebook.llm import kneser_ney, language_id, quality_rules
+from tidebook.llm.common import text_buffers
 from tidebook.llm.queries import QUERIES
+from tidebook.session import scratch_dir
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -139,3 +143,33 @@ def brute_ngram_perplexity(trusted, text, grams, top):
 
     logs = [math.log(p(g)) for g in grams(text)]
     return math.exp(-sum(logs) / len(logs))
+
+
+def test_word_codes_tell_words_apart():
+    texts = ["The the THE", "", None, "a\tb\x0bc\n d", "é É x" + "y" * 70 + " X" + "Y" * 70 + " x" + "y" * 71, "eightlen eightlenz sixteenlettersxx sixteenlettersxy", " \r\n "]
+    data, offsets = text_buffers(pa.array(texts))
+    codes, sizes = kneser_ney.word_codes(data, offsets)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))]
+    assert sizes.tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    assert len(words) == len(codes) and len(set(zip(words, codes.tolist()))) == len(set(words)) == len(set(codes.tolist()))
+
+
+def test_perplexity_in_rounds(spark):
+    """Several rounds and buckets give what one gives, and no table of a round stays on disk."""
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 23}" for j in range(5 + i % 9)) + " the end" * (i % 3), "en") for i in range(60)] + [(60, "", "en"), (61, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    counts = {r.doc_id: r.counts for r in kneser_ney.trusted_ids(labels).collect()}
+    code, split = {}, lambda t: [code.setdefault(w, len(code) + 3) for w in t.split()]
+    grams = lambda t: list(zip(*[([1, 1] + split(t) + [2])[j:] for j in range(3)]))
+    trusted = [t for i, t, _ in rows if counts.get(i)]
+    folder = Path(scratch_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    found = {r.doc_id: r for r in kneser_ney.perplexities(docs, labels, shard_entries=20, passes=3, bucket_bytes=500).collect()}
+    left = {p.name.rpartition("-")[0] for p in set(folder.iterdir()) - before}
+    assert left == {"kn-trusted", "kn-scored", "kn-thresholds", "kn-sums-0", "kn-sums-1", "kn-sums-2"}
+    for i, text, _ in rows[:60]:
+        assert math.isclose(found[i].perplexity, brute_ngram_perplexity(trusted, text, grams, 3), rel_tol=1e-9)
+        assert found[i].n_grams == len(text.split()) + 1
+    assert len(found) == 62 and found[60].perplexity is found[61].perplexity is None

@@ -1,16 +1,25 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and perplexity thresholds.
 
-The model counts word 3-grams. A word is a run without white space, A-Z as a-z, held as a 64-bit hash. One Arrow
-pass over all texts yields, per task, its distinct n-grams, how often trusted texts hold them and how often all do;
-a shuffled sum gives the count table, which grows with the input. Lower orders hold continuation counts. Probabilities of every n-gram of the corpus follow from the lowest order up by joins of the
-count tables on n-gram, context and suffix:
+The model counts word 3-grams. A word is a run without white space, A-Z as a-z, held as a 64-bit hash. Lower orders hold
+continuation counts:
 
     p(w | h) = max(c(hw) - D(c), 0) / c(h) + gamma(h) * p(w | shorter h),  D from the counts of counts 1 to 4.
 
-A second Arrow pass emits each text's distinct n-grams with their counts; they meet the probability table in a
-shuffled join on the n-gram's hash and add up per text. Only n-grams that make up more than one ``shard_entries``th
-of all occurrences, so fewer than ``shard_entries``, are sent to the tasks and summed there: no other n-gram has
-enough rows to fill a task, and nothing else of the table passes the driver.
+A text's log-probability is a sum over its words, 2-grams and 3-grams of values that differ from 0 only for those of the
+model, so that each is looked up by itself and none has to know whether a longer one was found:
+
+    log p(w | uv) = over(uvw) + [log gamma(uv)] + over(vw) + [log gamma(v)] + log p(w),
+    over(hw) = log(p(w | h) / (gamma(h) * p(w | shorter h))), so over(uvw) = log(1 + (c - D) / (freed(uv) * p(w | v))).
+
+The 2-grams of trusted text, with their continuation counts and what p(w | v) needs of their words, are one stored table.
+Everything longer is counted, joined and added up in ``passes`` rounds, each over the n-grams whose middle (2-grams: last)
+word falls to it by a hash; every text is read in every round. In a round, counts meet by context, then meet p(w | v) by
+suffix, which gives the values of the round; then these meet the n-grams of the texts by n-gram, and sums go back to the
+texts: four shuffles by bucket, whose rows are arrays of n-grams, sorted, bytes of one place together. Shuffle files go with
+the query that wrote them, so disk holds half a round and the table of 2-grams. One bucket stands for ``bucket_bytes`` of
+text, so that buckets stay small; there are at most as many rounds as buckets.
+Only words that make up more than one ``shard_entries``th of the trusted words, so fewer than ``shard_entries``, are sent to
+the tasks and summed there; nothing else of the model passes the driver.
 
 Trusted are texts whose labels all say quality 1 and not toxic. A fifth of them (by a hash of the id) is not
 counted and sets the thresholds: per language, the ``quantile`` of their perplexities; languages without
@@ -22,96 +31,338 @@ Repeated rows each get their row; only ``doc_id``, ``text`` and ``lang`` of docu
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import Scratch, WordSpans, byte_class, byte_values, mixed, pieces, sent_if_small, text_buffers, text_key
+from tidebook.llm.common import SPACES, UPPER, Scratch, WordSpans, mixed, pieces, sent_if_small, text_buffers, text_key
 
-ORDER = 3
 BEGIN, END, OTHER = 1, 2, 0xFFFF
 SHARD = 1 << 17
 QUANTILE = 0.99
-
-
-def coded(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of texts: first, past-the-end, the hashes of their words and how many each text has."""
-    data, offsets = text_buffers(column)
-    flags = byte_class("spaced")
-    values = byte_values(flags)
-    for low, high in pieces(offsets, 1 << 19):
-        spans = WordSpans(data, offsets[low : high + 1], flags, values)
-        yield low, high, np.where(spans.hash <= END, np.uint64(OTHER), spans.hash), spans.counts
-
-
-def framed_grams(codes: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """All n-grams of the texts that are not empty, each text opened by order - 1 begin marks and closed by an end
-    mark: index of the text, hash of the n-gram, and its units."""
+#: Rounds over the n-grams, and over the 2-grams of trusted text: what is on disk at once goes down with them, time up.
+PASSES, COUNT_PASSES = 10, 2
+#: Bytes of text for one bucket; n-grams and texts that a task deals out together; longest word hashed by eights of bytes.
+BUCKET_BYTES = 1 << 24
+BLOCK_GRAMS, BLOCK_TEXTS = 1 << 20, 1 << 16
+LONG_WORD = 64
+
+ROWS = "bucket int, kind int, block bigint, a binary, b binary, c binary"
+VALUES, WANTED, TEXTS, COUNTED, OVER, SUFFIXES = range(6)
+
+
+def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of a run of texts, and how many each text has."""
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    lower, inside = np.arange(256, dtype=np.uint8), np.ones(256, bool)
+    lower[[ord(c) for c in UPPER]] += 32
+    inside[[ord(c) for c in SPACES]] = False
+    within = inside[data]
+    first, last = within.copy(), within.copy()
+    first[1:] &= ~within[:-1]
+    last[:-1] &= ~within[1:]
+    full = offsets[1:] > offsets[:-1]
+    opens, closes = offsets[:-1][full], offsets[1:][full] - 1
+    first[opens] = within[opens]
+    last[closes] = within[closes]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = lower[data]
+    eights = np.ndarray(len(data) + 1, np.uint64, padded, strides=(1,))
+    masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    codes = mixed((eights[start] & masks[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for done in range(8, LONG_WORD, 8):
+        left = np.flatnonzero(size > done)
+        codes[left] = mixed(codes[left] * WordSpans.POWER + (eights[start[left] + done] & masks[np.minimum(size[left] - done, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD):
+        codes[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]], digest_size=8).digest(), "little")
+    codes[codes <= END] = OTHER
+    return codes, np.diff(np.searchsorted(start, offsets))
+
+
+def framed(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts that are not empty, each opened by two begin marks and closed by an end mark: index of the text of each
+    unit, the units, and which place of its text (0 and up) each has, at most 2."""
     full = np.flatnonzero(sizes)
-    ends = np.cumsum(sizes[full] + order)
-    starts = ends - sizes[full] - order
-    framed = np.full(int(ends[-1]) if len(ends) else 0, BEGIN, np.uint64)
-    closes = np.ones(len(framed), bool)
-    for i in range(order - 1):
-        closes[starts + i] = False
-    at = np.flatnonzero(closes)
-    closes[ends - 1] = False
-    framed[closes] = codes
-    framed[ends - 1] = END
-    units = [framed[at - order + 1 + j] for j in range(order)]
-    hashed = mixed(units[0])
-    for unit in units[1:]:
-        hashed = mixed(hashed * WordSpans.POWER + unit)
-    return np.repeat(full, sizes[full] + 1), hashed.view(np.int64), [u.view(np.int64) for u in units]
-
-
-def names(order: int, top: int) -> list[str]:
-    """Columns of the last ``order`` units of ``top``."""
-    return [f"u{i}" for i in range(top - order + 1, top + 1)]
-
-
-def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """One row per n-gram of (gram, units, n, seen)."""
-    columns = [np.concatenate(c) for c in zip(*parts)]
-    grams, first, inverse = np.unique(columns[0], return_index=True, return_inverse=True)
-    sums = [np.bincount(inverse, c, len(grams)).astype(np.int64) for c in columns[-2:]]
-    return [grams, *[c[first] for c in columns[1:-2]], *sums]
-
-
-def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, units, n, seen): the distinct n-grams of all texts, how often texts with ``counts`` hold them, and how
-    often all do."""
-    columns = ["gram", *names(order, order), "n", "seen"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
-        held = 0
+    ends = np.cumsum(sizes[full] + 3)
+    starts = ends - sizes[full] - 3
+    units = np.full(int(ends[-1]) if len(ends) else 0, BEGIN, np.uint64)
+    place = np.full(len(units), 2, np.int8)
+    place[starts], place[starts + 1] = 0, 1
+    inner = place == 2
+    inner[ends - 1] = False
+    units[inner] = codes
+    units[ends - 1] = END
+    return np.repeat(full, sizes[full] + 3), units, place
+
+
+def pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mixed(mixed(left) * WordSpans.POWER + right)
+
+
+def triples(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """A 3-gram's hash from those of its two 2-grams."""
+    return mixed(context * WordSpans.POWER + suffix)
+
+
+def falls_to(words: np.ndarray, passes: int) -> np.ndarray:
+    return (words >> np.uint64(40)) % np.uint64(passes)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Eight-byte numbers, the bytes of one place together: sorted or alike ones take little space in a shuffle."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(rows: list[bytes | None], kind: type = np.uint64) -> np.ndarray:
+    parts = [np.ascontiguousarray(np.frombuffer(r, np.uint8).reshape(8, -1).T).view(kind).ravel() for r in rows]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def dealt(kind: int, buckets: int, keys: np.ndarray, *more: np.ndarray, block: int = 0, ordered: bool = False) -> list[tuple]:
+    """Rows of arrays, one for each bucket that ``keys`` fall to; numbers of two bytes are not packed."""
+    if not ordered:
+        by = np.argsort(keys)
+        keys, more = keys[by], [m[by] for m in more]
+    lows = np.array([-(-(i << 32) // buckets) << 32 for i in range(buckets)], np.uint64)
+    at = np.append(np.searchsorted(keys, lows), len(keys))
+    put = lambda m: m.tobytes() if m.dtype.itemsize < 8 else packed(m)
+    return [(i, kind, block, *([put(m[at[i] : at[i + 1]]) for m in (keys, *more)] + [None] * 2)[:3]) for i in np.flatnonzero(at[1:] > at[:-1]).tolist()]
+
+
+def arrow_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    columns = zip(*rows) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["bucket", "kind", "block", "a", "b", "c"])
+
+
+def group_rows(table: pa.Table) -> dict[int, list[tuple]]:
+    found: dict[int, list[tuple]] = {}
+    for kind, *row in zip(*(table[c].to_pylist() for c in ("kind", "bucket", "block", "a", "b", "c"))):
+        found.setdefault(kind, []).append((row[0], kind, *row[1:]))
+    return found
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal ``keys``, which are sorted, begin; and how long they are."""
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, len(keys)))
+
+
+def trusted_grams(batches: Iterator[pa.RecordBatch], of) -> Iterator[list[np.ndarray]]:
+    """What ``of`` makes of the units, 2-grams and 3-gram places of the texts, in parts of some size."""
+    parts, held = [], 0
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(0))
+        for low, high in pieces(offsets, 1 << 19):
+            _, units, place = framed(*word_codes(data, offsets[low : high + 1]))
+            parts.append(of(units, np.flatnonzero(place == 2)))
+            held += len(parts[-1][0])
+            if held > BLOCK_GRAMS:
+                yield [np.concatenate(c) for c in zip(*parts)]
+                parts, held = [], 0
+    if parts:
+        yield [np.concatenate(c) for c in zip(*parts)]
+
+
+def suffix_counts(texts: DataFrame, buckets: int, part: int, parts: int) -> DataFrame:
+    """(v, w, n, seen, c1 to c4) of the 2-grams that fall to ``part``: how many 3-grams end in them, how often they occur
+    there, and how many of those 3-grams occur once, ... four times."""
+
+    def of(units, at):
+        suffix = pairs(units[at - 1], units[at])
+        mine = suffix % np.uint64(parts) == part
+        return [suffix[mine], *[units[at[mine] - i] for i in (2, 1, 0)]]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for suffix, u, v, w in trusted_grams(batches, of):
+            by = np.argsort(suffix)
+            at = np.searchsorted(suffix[by], np.array([-(-(i << 32) // buckets) << 32 for i in range(buckets)], np.uint64))
+            at = np.append(at, len(by))
+            yield arrow_rows([(i, COUNTED, 0, *[packed(x[by[at[i] : at[i + 1]]]) for x in (u, v, w)]) for i in range(buckets) if at[i + 1] > at[i]])
+
+    def count(table: pa.Table) -> pa.Table:
+        u, v, w = (unpacked(table[c].to_pylist()) for c in "abc")
+        by = np.lexsort((u, w, v))
+        u, v, w = u[by], v[by], w[by]
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1]) | (v[1:] != v[:-1])
+        at = np.flatnonzero(new)
+        c = np.diff(np.append(at, len(u)))
+        v, w = v[at], w[at]
+        new = np.ones(len(v), bool)
+        new[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
+        at = np.flatnonzero(new)
+        sums = [np.add.reduceat(x.astype(np.int64), at) for x in (np.ones(len(c)), c, c == 1, c == 2, c == 3, c == 4)]
+        return pa.table([pa.array(x.view(np.int64)) for x in (v[at], w[at], *sums)], ["v", "w", "n", "seen", "c1", "c2", "c3", "c4"])
+
+    return texts.mapInArrow(deal, ROWS).groupBy("bucket").applyInArrow(count, "v bigint, w bigint, n bigint, seen bigint, c1 bigint, c2 bigint, c3 bigint, c4 bigint")
+
+
+def over_contexts(texts: DataFrame, buckets: int, d: list[float], part: int, parts: int) -> DataFrame:
+    """For 3-grams whose middle word falls to ``part``: rows OVER (2-gram it ends in, 3-gram, (c - D) / freed(context)), and
+    VALUES of log gamma of the contexts."""
+
+    def of(units, at):
+        at = at[falls_to(units[at - 1], parts) == part]
+        return [pairs(units[at - 2], units[at - 1]), pairs(units[at - 1], units[at])]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for context, suffix in trusted_grams(batches, of):
+            yield arrow_rows(dealt(COUNTED, buckets, context, suffix))
+
+    def count(table: pa.Table) -> pa.Table:
+        context, suffix = unpacked(table["a"].to_pylist()), unpacked(table["b"].to_pylist())
+        by = np.lexsort((suffix, context))
+        context, suffix = context[by], suffix[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (context[1:] != context[:-1]) | (suffix[1:] != suffix[:-1])
+        at = np.flatnonzero(new)
+        c = np.diff(np.append(at, len(by)))
+        context, suffix = context[at], suffix[at]
+        less = np.array([0.0, *d])[np.minimum(c, 3)]
+        at, runs = grouped(context)
+        total, freed = np.add.reduceat(c, at), np.add.reduceat(less, at)
+        rows = dealt(OVER, buckets, suffix, triples(context, suffix), (c - less) / np.repeat(freed, runs))
+        return pa.Table.from_batches([arrow_rows(rows + dealt(VALUES, buckets, context[at], np.log(freed / total), ordered=True))])
+
+    return texts.mapInArrow(deal, ROWS).groupBy("bucket").applyInArrow(count, ROWS)
+
+
+def stored_values(stored: DataFrame, kind: int, buckets: int) -> DataFrame:
+    """Rows of ``kind`` from a table of (words, value): one word, or two for a 2-gram."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            *words, value = [c.to_numpy() for c in batch.columns]
+            words = [w.view(np.uint64) for w in words]
+            parts.append((pairs(*words) if len(words) > 1 else words[0], value))
+            held += len(value)
+            if held > BLOCK_GRAMS:
+                yield arrow_rows(dealt(kind, buckets, *[np.concatenate(c) for c in zip(*parts)]))
+                parts, held = [], 0
+        if held:
+            yield arrow_rows(dealt(kind, buckets, *[np.concatenate(c) for c in zip(*parts)]))
+
+    return stored.mapInArrow(deal, ROWS)
+
+
+def over_suffixes(rows: DataFrame, buckets: int) -> DataFrame:
+    """VALUES of the 3-grams: rows OVER meet p(w | v) in rows SUFFIXES."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        found = group_rows(table)
+        out = found.get(VALUES, [])
+        if over := found.get(OVER):
+            suffix, gram, value = unpacked([r[3] for r in over]), unpacked([r[4] for r in over]), unpacked([r[5] for r in over], np.float64)
+            keys, p = unpacked([r[3] for r in found[SUFFIXES]]), unpacked([r[4] for r in found[SUFFIXES]], np.float64)
+            by = np.argsort(keys)
+            out = out + dealt(VALUES, buckets, gram, np.log1p(value / p[by][np.searchsorted(keys[by], suffix)]))
+        return pa.Table.from_batches([arrow_rows(out)])
+
+    return rows.groupBy("bucket").applyInArrow(meet, ROWS)
+
+
+def wanted(rows: DataFrame, sent, unknown: float, buckets: int, part: int, parts: int) -> DataFrame:
+    """Rows WANTED (n-grams of the texts that fall to ``part``, and the texts they are in) and TEXTS (row, log-probability
+    so far, n-grams): words that are ``sent`` (words and values) are summed here, in the first round."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, values = sent.value
+        base = TaskContext.get().partitionId() << 32
+
+        def block(texts: list, keys: list, of: list) -> pa.RecordBatch:
+            nonlocal base
+            base += 1
+            out = dealt(WANTED, buckets, np.concatenate(keys), np.concatenate(of), block=base)
+            return arrow_rows([*out, (base % buckets, TEXTS, base, *[packed(np.concatenate(c)) for c in zip(*texts)])])
+
+        texts, keys, of, held, n = [], [], [], 0, 0
         for batch in batches:
-            counted = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for low, high, codes, sizes in coded(batch.column(0)):
-                text, grams, units = framed_grams(codes, sizes, order)
-                parts.append(merged([[grams, *units, counted[low:high][text], np.ones(len(grams), np.int64)]]))
-                held += len(parts[-1][0])
-                if held > 1_000_000:
-                    parts = [merged(parts)]
-                    held = len(parts[0][0])
-                    if held > 500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], columns)
-                        parts, held = [], 0
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged(parts)], columns)
-
-    found = rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in columns))
-    return found.groupBy("gram").agg(*[F.first(c).alias(c) for c in columns[1:-2]], F.sum("n").alias("n"), F.sum("seen").alias("seen"))
-
-
-def discounts(counts: DataFrame) -> list[float]:
+            own = batch.column(0).to_numpy()
+            data, offsets = text_buffers(batch.column(1))
+            for low, high in pieces(offsets, 1 << 19):
+                while low < high:
+                    top = min(high, low + BLOCK_TEXTS - n)
+                    codes, sizes = word_codes(data, offsets[low : top + 1])
+                    text, units, place = framed(codes, sizes)
+                    gram = np.flatnonzero(place > 0)
+                    last = falls_to(units, parts) == part
+                    two = gram[last[gram]]
+                    three = np.flatnonzero(place == 2)
+                    three = three[last[three - 1]]
+                    pair = np.zeros(len(units), np.uint64)
+                    pair[1:] = pairs(units[:-1], units[1:])
+                    at = np.minimum(np.searchsorted(words, units[two]), max(len(words) - 1, 0))
+                    known = words[at] == units[two] if len(words) else np.zeros(len(two), bool)
+                    so_far = np.bincount(text[two[known]], values[at[known]], top - low) if len(words) else np.zeros(top - low)
+                    n_grams = np.where(sizes > 0, sizes + 1, 0) if part == 0 else np.zeros(top - low, np.int64)
+                    texts.append((own[low:top], so_far + n_grams * unknown, n_grams))
+                    cold = two[~known]
+                    keys += [units[cold], pair[two], triples(pair[three - 1], pair[three])]
+                    of += [(text[x] + n).astype(np.uint16) for x in (cold, two, three)]
+                    held += len(cold) + len(two) + len(three)
+                    n += top - low
+                    if held > BLOCK_GRAMS or n >= BLOCK_TEXTS:
+                        yield block(texts, keys, of)
+                        texts, keys, of, held, n = [], [], [], 0, 0
+                    low = top
+        if texts:
+            yield block(texts, keys, of)
+
+    return rows.mapInArrow(deal, ROWS)
+
+
+def looked_up(rows: DataFrame) -> DataFrame:
+    """Rows WANTED meet VALUES (those of one n-gram add up): sums per text, for the texts with any. TEXTS stay."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        found = group_rows(table)
+        keys, values = unpacked([r[3] for r in found.get(VALUES, [])]), unpacked([r[4] for r in found.get(VALUES, [])], np.float64)
+        by = np.argsort(keys)
+        keys, values = keys[by], values[by]
+        at, _ = grouped(keys)
+        keys, values = keys[at], (np.add.reduceat(values, at) if len(at) else values)
+        out = found.get(TEXTS, [])
+        for _, kind, block, a, b, _ in found.get(WANTED, []) if len(keys) else []:
+            want, of = unpacked([a]), np.frombuffer(b, np.uint16)
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == want)
+            sums = np.bincount(of[hit], values[at[hit]])
+            some = np.flatnonzero(sums)
+            out.append((0, kind, block, some.astype(np.uint16).tobytes(), packed(sums[some]), None))
+        return pa.Table.from_batches([arrow_rows(out)])
+
+    return rows.groupBy("bucket").applyInArrow(meet, ROWS)
+
+
+def text_sums(rows: DataFrame) -> DataFrame:
+    """(row, logp, n, times) of the texts."""
+
+    def add(table: pa.Table) -> pa.Table:
+        found = group_rows(table)
+        (_, _, _, a, b, c), = found[TEXTS]
+        row, logp, n = unpacked([a], np.int64), unpacked([b], np.float64), unpacked([c], np.int64)
+        for _, _, _, of, sums, _ in found.get(WANTED, []):
+            logp[np.frombuffer(of, np.uint16)] += unpacked([sums], np.float64)
+        return pa.table([pa.array(x) for x in (row, logp, n)], ["row", "logp", "n"])
+
+    return rows.groupBy("block").applyInArrow(add, "row bigint, logp double, n bigint")
+
+
+def discounts(counts: list[int | None]) -> list[float]:
     """D1, D2, D3+ from how many n-grams were counted once to four times."""
-    row = counts.agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in range(1, 5)]).first()
-    n1, n2, n3, n4 = (max(row[f"n{i}"], 1) for i in range(1, 5))
+    n1, n2, n3, n4 = (max(n or 0, 1) for n in counts)
     y = n1 / (n1 + 2 * n2)
     raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
     return [min(max(d, 0.05), i - 0.05) for i, d in enumerate(raw, 1)]
@@ -121,108 +372,76 @@ def discounted(n: Column, d: list[float]) -> Column:
     return F.when(n >= 3, F.lit(d[2])).when(n == 2, F.lit(d[1])).when(n == 1, F.lit(d[0])).otherwise(F.lit(0.0))
 
 
-def log_probabilities(grams: DataFrame, scratch: Scratch, top: int) -> DataFrame | None:
-    """(gram, seen, logp) of every distinct n-gram of the corpus; None if nothing was counted."""
-    # Every n-gram of the corpus, with how many counted n-grams of the next order end in it (0: in none).
-    counts = {top: grams}
-    for order in range(top - 1, 0, -1):
-        counts[order] = scratch.put(f"kn-counts-{order}", counts[order + 1].groupBy(*names(order, top)).agg(F.count(F.when(F.col("n") > 0, 1)).alias("n")))
-    total, symbols = counts[1].where("n > 0").agg(F.sum("n"), F.count("*")).first()
+def times(n: Column, i: int) -> Column:
+    return F.count(F.when(n == i, 1))
+
+
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files are removed when the query that wrote them ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def log_probabilities(rows: DataFrame, texts: DataFrame, scratch: Scratch, shard_entries: int, passes: int, bucket_bytes: int) -> DataFrame | None:
+    """(row, n, logp, times) of ``rows`` (row, text) under the model of ``texts`` (text); equal rows are summed together.
+    None if nothing was counted."""
+    buckets = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes
+    passes = min(passes, buckets)
+    parts = min(COUNT_PASSES, passes)
+    counted = [scratch.put(f"kn-counts-{i}", suffix_counts(texts, buckets, i, parts)) for i in range(parts)]
+    counts = counted[0]
+    for more in counted[1:]:
+        counts = counts.union(more)
+    n = F.col("n")
+    c = counts.agg(*[times(n, i) for i in range(1, 5)], *[F.sum(f"c{i}") for i in range(1, 5)]).first()
+    d2, d3 = discounts(list(c[:4])), discounts(list(c[4:]))
+    ends = counts.groupBy(F.col("w").alias("word")).agg(F.count("*").alias("n"), F.sum("seen").alias("seen"))
+    opens = counts.groupBy(F.col("v").alias("word")).agg(F.sum("n").alias("total"), F.sum(discounted(n, d2)).alias("freed"))
+    words = scratch.put("kn-words", ends.join(opens, "word", "full"))
+    found = words.agg(*[times(n, i) for i in range(1, 5)], F.sum("n"), F.count("n"), F.sum("seen")).first()
+    total, symbols, seen = found[4:]
     if not total:
         return None
-    n = F.col("n")
-    d = discounts(counts[1])
-    kept = counts[1].agg(F.sum(discounted(n, d))).first()[0]
-    below = counts[1].select(*names(1, top), ((n - discounted(n, d)) / total + kept / total / (symbols + 1)).alias("p"))
-    for order in range(2, top + 1):
-        d = discounts(counts[order])
-        context = names(order, top)[:-1]
-        contexts = counts[order].where("n > 0").groupBy(*context).agg(F.sum("n").alias("total"), F.sum(discounted(n, d)).alias("freed"))
-        direct = F.coalesce((n - discounted(n, d)) / F.col("total"), F.lit(0.0))
-        gamma = F.coalesce(F.col("freed") / F.col("total"), F.lit(1.0))
-        rest = names(order, top) if order < top else ["gram", "seen"]
-        below = (
-            counts[order]
-            .join(contexts, context, "left")
-            .join(below, names(order - 1, top))
-            .select(*rest, (direct + gamma * F.col("p")).alias("p"))
-        )
-        if order < top:
-            below = scratch.put(f"kn-p-{order}", below)
-    return below.select("gram", "seen", F.log("p").alias("logp"))
-
-
-class Lookup:
-    """An open-addressing table of one shard; absent keys count 0."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        size = 1 << self.bits
-        self.keys, self.values, self.used = np.zeros(size, np.int64), np.zeros(size), np.zeros(size, bool)
-        left, at = np.arange(len(keys)), self.home(keys)
-        while len(left):
-            free = np.flatnonzero(~self.used[at])
-            _, first = np.unique(at[free], return_index=True)
-            placed = free[first]
-            self.keys[at[placed]], self.values[at[placed]], self.used[at[placed]] = keys[left[placed]], values[left[placed]], True
-            rest = np.ones(len(left), bool)
-            rest[placed] = False
-            left, at = left[rest], (at[rest] + 1) & (size - 1)
-
-    def home(self, keys: np.ndarray) -> np.ndarray:
-        return (mixed(keys.view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        at = self.home(keys)
-        found = self.keys[at] == keys
-        out = np.where(found & self.used[at], self.values[at], 0.0)
-        left = np.flatnonzero(~found & self.used[at])
-        while len(left):
-            at_left = (at[left] + 1) & (len(self.keys) - 1)
-            at[left] = at_left
-            found = (self.keys[at_left] == keys[left]) & self.used[at_left]
-            out[left[found]] = self.values[at_left[found]]
-            left = left[~found & self.used[at_left]]
-        return out
-
-
-def text_grams(rows: DataFrame, hot: DataFrame, order: int = ORDER) -> DataFrame:
-    """(row, gram, n, own, times): each text's distinct n-grams that are not ``hot``; and a line per text with the
-    count and log-probability (``own``) of its hot n-grams, which takes the row's key for an n-gram."""
-    stored = hot.toArrow()
-    shared = rows.sparkSession.sparkContext.broadcast(Lookup(stored["gram"].to_numpy(), stored["logp"].to_numpy()))
-    columns = ["row", "gram", "n", "own", "times"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = shared.value
-        for batch in batches:
-            rows_of = batch.column(0).to_numpy(zero_copy_only=False)
-            for low, high, codes, sizes in coded(batch.column(1)):
-                own_row = rows_of[low:high]
-                text, grams, _ = framed_grams(codes, sizes, order)
-                logp = lookup.of(grams)
-                known = logp < 0
-                hot_n = np.bincount(text[known], minlength=high - low)
-                hot_sum = np.bincount(text[known], logp[known], high - low)
-                text, grams = text[~known], grams[~known]
-                by = np.lexsort((grams, text))
-                text, grams = text[by], grams[by]
-                first = np.ones(len(grams), bool)
-                first[1:] = (text[1:] != text[:-1]) | (grams[1:] != grams[:-1])
-                at = np.flatnonzero(first)
-                n = np.diff(np.append(at, len(grams)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([own_row, own_row[text[at]]])),
-                        pa.array(np.concatenate([own_row, grams[at]])),
-                        pa.array(np.concatenate([hot_n, n]).astype(np.int32)),
-                        pa.array(np.concatenate([hot_sum, np.zeros(len(at))]), mask=np.arange(high - low + len(at)) >= high - low),
-                        pa.array((np.arange(high - low + len(at)) < high - low).astype(np.int32)),
-                    ],
-                    columns,
-                )
-
-    return rows.mapInArrow(run, "row bigint, gram bigint, n int, own double, times int")
+    d1 = discounts(list(found[:4]))
+    kept = words.agg(F.sum(discounted(n, d1))).first()[0]
+    unknown = kept / total / (symbols + 1)
+    p = (n - discounted(n, d1)) / total + unknown
+    alone = F.when(n > 0, F.log(p / unknown)).otherwise(F.lit(0.0)) + F.coalesce(F.log(F.col("freed") / F.col("total")), F.lit(0.0))
+    words = scratch.put("kn-word-values", words.select("word", p.alias("p"), "total", "freed", alone.alias("value"), (F.coalesce("seen", F.lit(0)) * shard_entries > seen).alias("hot")))
+    small = sent_if_small(words)
+    first = counts.select("v", "w", (n - discounted(n, d2)).alias("n")).join(small.select(F.col("word").alias("v"), "total", "freed"), "v")
+    first = scratch.put("kn-first-words", first)  # one join's shuffle on disk at a time
+    scratch.drop("kn-words", *[f"kn-counts-{i}" for i in range(parts)])
+    suffixes = scratch.put("kn-suffixes", first.join(small.select(F.col("word").alias("w"), "p"), "w"))
+    scratch.drop("kn-first-words")
+    shorter = F.col("freed") / F.col("total") * F.col("p")
+    longer = F.col("n") / F.col("total") + shorter
+    hot = words.where("hot").select("word", "value").toArrow()
+    keys, values = hot["word"].to_numpy().view(np.uint64), hot["value"].to_numpy()
+    by = np.argsort(keys)
+    sent = rows.sparkSession.sparkContext.broadcast((keys[by], values[by]))
+    mine = lambda word, i: F.shiftrightunsigned(word, 40) % passes == i
+    sums = []
+    for i in range(passes):
+        over = over_contexts(texts, buckets, d3, i, passes)
+        p_suffix = stored_values(suffixes.where(mine("v", i)).select("v", "w", longer), SUFFIXES, buckets)
+        three = scratch.put("kn-values", over_suffixes(over.union(p_suffix), buckets))
+        two = stored_values(suffixes.where(mine("w", i)).select("v", "w", F.log(longer / shorter)), VALUES, buckets)
+        one = stored_values(words.where(~F.col("hot") & mine("word", i)).select("word", "value"), VALUES, buckets)
+        asked = wanted(rows, sent, float(np.log(unknown)), buckets, i, passes)
+        sums.append(scratch.put(f"kn-sums-{i}", text_sums(looked_up(three.union(two).union(one).union(asked)))))
+        scratch.drop("kn-values")
+    scratch.drop("kn-word-values", "kn-suffixes")
+    whole = sums[0].withColumn("times", F.lit(1))
+    for more in sums[1:]:
+        whole = whole.union(more.withColumn("times", F.lit(0)))
+    return whole.groupBy("row").agg(F.sum("n").alias("n"), F.sum("logp").alias("logp"), F.sum("times").alias("times"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -230,29 +449,19 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return worst.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("split")), F.lit(5)) > 0).alias("counts"))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD, quantile: float = QUANTILE) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD, quantile: float = QUANTILE, passes: int = PASSES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_key, lang, n_grams, perplexity, threshold, kept."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang")
     trusted = scratch.put("kn-trusted", trusted_ids(labels))
-    flagged = docs.join(sent_if_small(trusted), "doc_id", "left").select("text", F.coalesce("counts", F.lit(False)).alias("counts"))
-    grams = scratch.put("kn-grams", gram_counts(flagged))
-    found = log_probabilities(grams, scratch, ORDER)
-    if found is None:
-        nothing = F.lit(None).cast("double")
-        return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "lang", F.lit(0).cast("bigint").alias("n_grams"), nothing.alias("perplexity"), nothing.alias("threshold"), F.lit(True).alias("kept"))
-    table = scratch.put("kn-logp", found)
-    occurrences = table.agg(F.sum("seen")).first()[0]
-    hot = table.where(F.col("seen") * shard_entries > occurrences)
     key = text_key(F.col("text"))
     row = F.xxhash64("doc_id", F.col("doc_id").isNull(), key)
-    lines = text_grams(docs.select(row.alias("row"), "text"), hot)
-    # Rows repeated in the input are summed together.
-    sums = (
-        lines.join(table.select("gram", "logp"), "gram", "left")
-        .groupBy("row")
-        .agg(F.sum("n").alias("n"), F.sum(F.coalesce("own", F.col("n") * F.col("logp"))).alias("logp"), F.sum("times").alias("times"))
-    )
+    counted = docs.join(sent_if_small(trusted.where("counts").select("doc_id")), "doc_id").select("text")
+    with shuffles_go(docs.sparkSession):
+        sums = log_probabilities(docs.select(row.alias("row"), "text"), counted, scratch, shard_entries, passes, bucket_bytes)
+    if sums is None:
+        nothing = F.lit(None).cast("double")
+        return docs.select("doc_id", key.alias("text_key"), "lang", F.lit(0).cast("bigint").alias("n_grams"), nothing.alias("perplexity"), nothing.alias("threshold"), F.lit(True).alias("kept"))
     rows = docs.select(row.alias("row"), "doc_id", key.alias("text_key"), F.col("lang").cast("string").alias("lang")).join(sums, "row")
     perplexity = F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n")))
     scored = scratch.put("kn-scored", rows.select("doc_id", "text_key", "lang", (F.col("n") / F.col("times")).cast("bigint").alias("n_grams"), perplexity.alias("perplexity")))
